@@ -68,6 +68,8 @@ def first_line(c: Column | str) -> Column:
     return F.substring_index(col_(c), "\n", 1)
 
 
-def epoch_seconds(c: Column | str) -> Column:
-    """Seconds since the epoch for TIMESTAMP and TIMESTAMP_NTZ (read as UTC)."""
-    return F.unix_micros(col_(c).cast("timestamp")) / F.lit(1_000_000.0)
+def elapsed_seconds(end: Column | str, start: Column | str) -> Column:
+    """``end - start`` in seconds for TIMESTAMP or TIMESTAMP_NTZ (read as UTC),
+    from the exact microsecond difference."""
+    us = F.unix_micros(col_(end).cast("timestamp")) - F.unix_micros(col_(start).cast("timestamp"))
+    return us / F.lit(1_000_000.0)

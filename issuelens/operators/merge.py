@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from issuelens import config as C
 from issuelens.functions.pii import java_pattern
-from issuelens.functions.text import epoch_seconds, non_empty
+from issuelens.functions.text import elapsed_seconds, non_empty
 
 ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
@@ -170,7 +170,7 @@ def load_progress(log: DataFrame, totals: DataFrame, project_col: str = "project
     """done/total percent, rate (items/s) and remaining per project."""
     d = log.groupBy(project_col).agg(
         F.count(F.lit(1)).alias("done"),
-        (epoch_seconds(F.max(ts_col)) - epoch_seconds(F.min(ts_col))).alias("elapsed"))
+        elapsed_seconds(F.max(ts_col), F.min(ts_col)).alias("elapsed"))
     j = totals.join(d, project_col, "left")
     done = F.coalesce("done", F.lit(0))
     return j.select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from issuelens import config as C
-from issuelens.functions.text import epoch_seconds
+from issuelens.functions.text import elapsed_seconds
 
 
 def stage_share(log: DataFrame, run_col: str, stage_col: str, elapsed_col: str) -> DataFrame:
@@ -21,25 +21,35 @@ def stage_share(log: DataFrame, run_col: str, stage_col: str, elapsed_col: str)
 
 
 def rolling_eta(log: DataFrame, key_col: str, order_cols: list[str], duration_col: str,
-                in_flight_col: str | None = None, window: int = C.ETA_WINDOW,
+                in_flight: int = 1, window: int = C.ETA_WINDOW,
                 default: float = C.DEFAULT_ETA_SECONDS) -> DataFrame:
     """Expected wait = in-flight x mean of the last ``window`` finished durations.
 
     At each log row the history is the ``window`` rows before it for the
-    same key; no history gives ``default``.  One decimal, like the page.
+    same key; no history gives ``default``.  Durations are taken in whole
+    hundredths and the mean is rounded half-up with integer arithmetic
+    (6 decimals for the mean, 1 for the wait), so every engine produces the
+    same digits.
     """
     w = Window.partitionBy(key_col).orderBy(*order_cols).rowsBetween(-window, -1)
-    mean = F.coalesce(F.avg(duration_col).over(w), F.lit(default))
-    n = F.col(in_flight_col) if in_flight_col else F.lit(1)
-    return log.select("*", F.round(mean, 6).alias("mean_duration"),
-                      F.round(n * mean, 1).alias("eta"))
+    cents = F.round(F.col(duration_col) * 100).cast("bigint")
+    out = (log.withColumn("_c", cents)
+           .withColumn("_s", F.sum("_c").over(w))
+           .withColumn("_n", F.count("_c").over(w)))
+    k = int(in_flight)
+    mean = F.expr("(2 * _s * 10000 + _n) div (2 * _n)") / F.lit(1e6)
+    eta = F.expr(f"(2 * {k} * _s + 10 * _n) div (20 * _n)") / F.lit(10.0)
+    has = F.col("_n") > 0
+    return out.select(*log.columns,
+                      F.when(has, mean).otherwise(F.lit(float(default))).alias("mean_duration"),
+                      F.when(has, eta).otherwise(F.lit(round(k * default, 1))).alias("eta"))
 
 
 def throughput(log: DataFrame, group_col: str, ts_col: str) -> DataFrame:
     """Items per second of elapsed time (0 when the elapsed time is 0)."""
     g = log.groupBy(group_col).agg(
         F.count(F.lit(1)).alias("items"),
-        (epoch_seconds(F.max(ts_col)) - epoch_seconds(F.min(ts_col))).alias("elapsed"))
+        elapsed_seconds(F.max(ts_col), F.min(ts_col)).alias("elapsed"))
     return g.select(group_col, "items", F.round("elapsed", 6).alias("elapsed"),
                     F.round(F.when(F.col("elapsed") > 0, F.col("items") / F.col("elapsed"))
                             .otherwise(F.lit(0.0)), 6).alias("per_second"))

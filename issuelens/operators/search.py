@@ -132,6 +132,7 @@ def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fa
         has_filter = q["has_filter"]
         dim = qmat.shape[1]
         fq = np.nonzero(has_filter)[0]
+        nf = np.nonzero(~has_filter)[0]
         budget = max(8 * len(qids) * fetch_k, 100_000)
         acc: list[pd.DataFrame] = []
         acc_rows = 0
@@ -154,28 +155,33 @@ def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fa
             parents = np.asarray(rb.column("parent").to_numpy(zero_copy_only=False), dtype=object)[rows]
             dist = _distances(emb, qmat, metric)
 
-            # pass 1: every question, with its own filters
-            masked = dist
+            # pass 0: questions without filters
+            if nf.size:
+                part = _select(dist[:, nf], ids, parents, qids[nf], 0, fetch_k)
+                if part is not None:
+                    acc.append(part)
+                    acc_rows += len(part)
             if fq.size:
-                masked = dist.copy()
+                # pass 1: questions with filters, each with its own mask
+                masked = dist[:, fq].copy()
                 for col in filter_cols:
-                    want = qfilters[col]
+                    want = qfilters[col][fq]
                     cvals = np.asarray(rb.column(col).to_numpy(zero_copy_only=False), dtype=object)[rows]
                     for v in set(x for x in want if x is not None):
                         cols = np.nonzero(want == v)[0]
                         bad = np.nonzero(cvals != v)[0]
                         if bad.size:
                             masked[np.ix_(bad, cols)] = np.inf
-            part = _select(masked, ids, parents, qids, 1, fetch_k)
-            if part is not None:
-                acc.append(part)
-                acc_rows += len(part)
-            # pass 2: unfiltered search for questions that carry filters
-            if fallback and fq.size:
-                part = _select(dist[:, fq], ids, parents, qids[fq], 2, fetch_k)
+                part = _select(masked, ids, parents, qids[fq], 1, fetch_k)
                 if part is not None:
                     acc.append(part)
                     acc_rows += len(part)
+                # pass 2: the same questions unfiltered, for the fallback
+                if fallback:
+                    part = _select(dist[:, fq], ids, parents, qids[fq], 2, fetch_k)
+                    if part is not None:
+                        acc.append(part)
+                        acc_rows += len(part)
             if acc_rows > budget:
                 acc = [_reduce(pd.concat(acc, ignore_index=True), fetch_k)]
                 acc_rows = len(acc[0])
@@ -251,17 +257,16 @@ def rank_candidates(cand: DataFrame, spec: SearchSpec) -> DataFrame:
         best = F.min("rscore").over(Window.partitionBy("question_id", "pass"))
         hits = (hits.withColumn("_best", best)
                 .where(F.col("_best") <= F.lit(float(spec.score_threshold))))
-    # pass 2 exists only for questions with filters; use it when pass 1 is empty
+    # pass 0: no filters; pass 1: filtered; pass 2: unfiltered retry, used
+    # only when the filtered result (after the gate) is empty
     n_first = F.count(F.when(F.col("pass") == 1, 1)).over(Window.partitionBy("question_id"))
-    has_second = F.max(F.when(F.col("pass") == 2, 1)).over(Window.partitionBy("question_id"))
-    hits = hits.withColumn("_n1", n_first).withColumn("_has2", has_second)
-    hits = hits.where((F.col("pass") == 1) | (F.col("_n1") == 0))
+    hits = hits.withColumn("_n1", n_first).where((F.col("pass") < 2) | (F.col("_n1") == 0))
     return hits.select(
         "question_id", "id", "parent",
         F.round("score", OUT_DIGITS).alias("score"),
         F.col("score").alias("raw_score"),
         F.col("rank").cast("bigint").alias("rank"),
-        ((F.col("pass") == 1) & F.col("_has2").isNotNull()).alias("filtered"),
+        (F.col("pass") == 1).alias("filtered"),
     )
 
 
@@ -283,7 +288,7 @@ def fetch_window(spark: SparkSession, collection: DataFrame, questions: DataFram
     Rows: ``question_id, id, parent, score, fetch_rank``; used to evaluate
     several K / threshold settings from one scan (Q7).
     """
-    cand = candidates(spark, collection, questions, spec).where(F.col("pass") == 1)
+    cand = candidates(spark, collection, questions, spec).where(F.col("pass") < 2)
     cand = cand.repartition("question_id").withColumn("rscore", F.round("score", RANK_DIGITS))
     w = Window.partitionBy("question_id").orderBy("rscore", "id")
     return (cand.withColumn("fetch_rank", F.row_number().over(w))

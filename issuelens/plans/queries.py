@@ -49,7 +49,8 @@ def prepare_single(spark: SparkSession, sf: str) -> DataFrame:
 def prepare_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """D5-D7 with the function defaults (5 journals, 4000 characters)."""
     ch = D.prepare_chunks(I.conv_issues(spark, sf))
-    return ch.select("id", "text", "issue_id", "chunk_index", "is_description", "num_journals")
+    return ch.select("id", "text", "issue_id", F.col("chunk_index").cast("bigint").alias("chunk_index"),
+                     "is_description", "num_journals")
 
 
 def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -236,15 +237,16 @@ def sync_state(spark: SparkSession, sf: str) -> DataFrame:
     v = I.versions(spark, sf)
     before = M.sync_state_from_versions(v.where(F.col("updated_ts") < F.to_timestamp(F.lit(I.CUTOFF))))
     synced = _incoming(spark, sf).select(F.col("project_identifier").alias("project_id"))
-    return M.advance_sync_state(before, synced.where(F.col("project_id").isin(*I.UNION_PROJECTS)),
-                                I.RUN_STARTED_AT)
+    st = M.advance_sync_state(before, synced.where(F.col("project_id").isin(*I.UNION_PROJECTS)),
+                              I.RUN_STARTED_AT)
+    return st.withColumn("sync_count", F.col("sync_count").cast("bigint"))
 
 
 # ---------------------------------------------------------------------------
 # V: vector search on the embeddings table
 # ---------------------------------------------------------------------------
 
-GATE = 0.9          # squared-L2 score gate of the registered gate/fallback queries
+GATE = I.GATE
 
 
 def _vsearch(spark, sf, spec: SearchSpec, with_filter: bool) -> DataFrame:
