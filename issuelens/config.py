@@ -74,7 +74,12 @@ NO_ISSUES_TEXT = "(no issues retrieved)"
 MISSING_META = "?"
 
 # Whitespace removed by Python's str.strip(): every character for which
-# str.isspace() is true.  Written as one regex class usable by Java and RE2.
+# str.isspace() is true, as a string and as one regex class (Java and RE2).
+PY_WHITESPACE_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 PY_WHITESPACE_CLASS = (
     r"[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"

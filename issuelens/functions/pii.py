@@ -23,12 +23,39 @@ def _replacement(rep: str) -> str:
     return rep.replace("\\", "\\\\").replace("$", "\\$")
 
 
+# Cheap necessary conditions of the fixed rules: a text that passes none of
+# them cannot match any rule, so the regex chain is skipped for it.  They
+# also hold on the partly scrubbed text, because no placeholder contains
+# "@", a digit, "openqa" after its own stage, or a ".tld" sequence.
+GUARDS = {
+    "openqa_url": lambda t: t.rlike("(?iU)openqa"),
+    "email": lambda t: F.instr(t, "@") > 0,
+    "ipv4": lambda t: t.rlike(r"(?U)\d\."),
+    "hostname": lambda t: t.rlike(r"(?iU)\.(?:suse\.de|suse\.com|lab|internal|local|intranet)"),
+}
+
+
+def _guard(text: Column, rules: Sequence[Rule]) -> Column | None:
+    conds = []
+    for kind, _, _ in rules:
+        g = GUARDS.get(kind)
+        if g is None:
+            return None  # unknown rule: always run the chain
+        conds.append(g(text))
+    out = conds[0]
+    for c in conds[1:]:
+        out = out | c
+    return out
+
+
 def scrub_pii(text: Column | str, rules: Sequence[Rule] = C.PII_RULES) -> Column:
     """Apply every rule in order; NULL and "" stay as they are."""
-    out = col_(text)
+    src = col_(text)
+    out = src
     for _, pattern, rep in rules:
         out = F.regexp_replace(out, java_pattern(pattern), _replacement(rep))
-    return out
+    guard = _guard(src, rules)
+    return out if guard is None else F.when(guard, out).otherwise(src)
 
 
 def stage_inputs(text: Column | str, rules: Sequence[Rule] = C.PII_RULES) -> list[Column]:

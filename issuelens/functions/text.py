@@ -18,10 +18,10 @@ def col_(c: Column | str) -> Column:
 def py_strip(c: Column | str) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace.
 
-    ``trim`` only removes spaces, so a regex over the exact isspace() class
-    is used instead.
+    ``trim`` with an explicit character set (every ``str.isspace()``
+    character) only touches the two ends of the string, unlike a regex.
     """
-    return F.regexp_replace(col_(c), STRIP_PATTERN, "")
+    return F.trim(col_(c), F.lit(C.PY_WHITESPACE_CHARS))
 
 
 def or_empty(c: Column | str) -> Column:

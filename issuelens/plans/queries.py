@@ -61,7 +61,7 @@ def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def truncate_docs(spark: SparkSession, sf: str) -> DataFrame:
     """D4 on every document at 8192."""
-    d = read_table(spark, sf, "documents")
+    d = I.documents(spark, sf)
     t = D.truncate(F.col("text"), C.MAX_TEXT_LEN)
     return d.select("doc_id", t.alias("text"), F.length(t).cast("bigint").alias("n_chars_out"),
                     (F.length("text") > C.MAX_TEXT_LEN).alias("truncated"))
@@ -69,7 +69,7 @@ def truncate_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def embed_input(spark: SparkSession, sf: str) -> DataFrame:
     """The text the embedder sees (first 1500 characters)."""
-    d = read_table(spark, sf, "documents")
+    d = I.documents(spark, sf)
     t = cap(F.col("text"), C.EMBED_MAX_CHARS)
     return d.select("doc_id", t.alias("embed_text"), F.length(t).cast("bigint").alias("embed_len"))
 
@@ -81,14 +81,14 @@ def embed_input(spark: SparkSession, sf: str) -> DataFrame:
 
 def scrub_pii(spark: SparkSession, sf: str) -> DataFrame:
     """A7-A11 on every document text."""
-    d = read_table(spark, sf, "documents")
+    d = I.documents(spark, sf)
     s = _scrub("text")
     return d.select("doc_id", s.alias("text"), (s != F.col("text")).alias("changed"))
 
 
 def pii_audit_q(spark: SparkSession, sf: str) -> DataFrame:
     """Redacted matches per document and kind, counted."""
-    a = pii_audit(read_table(spark, sf, "documents"), "doc_id", "text")
+    a = pii_audit(I.documents(spark, sf), "doc_id", "text")
     return a.groupBy("doc_id", "kind", "match").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -328,11 +328,10 @@ def filter_predicate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _text_hits(spark, sf, spec=SearchSpec(top_k=5)):
-    chunks = I.conversation_chunks(spark, sf)
-    coll = I.text_collection(chunks)
+    coll = I.text_collection(I.conversation_chunks(spark, sf))
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
     hits = search(spark, coll, qs, spec)
-    return qs, chunks, hits
+    return qs, coll, hits
 
 
 def prompt(spark: SparkSession, sf: str) -> DataFrame:
@@ -359,11 +358,10 @@ def source_list(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _doc_eval(spark, sf, spec=SearchSpec(top_k=5)):
-    chunks = I.document_chunks(spark, sf)
-    coll = I.text_collection(chunks)
+    coll = I.text_collection(I.document_chunks(spark, sf))
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
     hits = search(spark, coll, qs, spec)
-    det = R.hit_details(hits, chunks)
+    det = R.hit_details(hits, coll)
     # relevant: the retrieved chunk contains the question's passage
     qtext = qs.select("question_id", F.col("question").alias("_q"))
     det = det.join(qtext, "question_id").withColumn("relevant", F.instr("text", F.col("_q")) > 0)
@@ -394,13 +392,12 @@ def hit_rate_by_tag(spark: SparkSession, sf: str) -> DataFrame:
 
 def hit_rate_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Q7: hit rate for K in (1, 3, 5) x gate in (none, 1.0)."""
-    chunks = I.document_chunks(spark, sf)
-    coll = I.text_collection(chunks)
+    coll = I.text_collection(I.document_chunks(spark, sf))
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
     cand = fetch_window(spark, coll, qs, SearchSpec(top_k=5, fallback=False))
     swept = Q.sweep(cand, [1, 3, 5], [None, 1.0])
     qtext = qs.select("question_id", F.col("question").alias("_q"))
-    txt = chunks.select("id", "text")
+    txt = coll.select("id", "text")
     rel = (swept.join(txt, "id").join(qtext, "question_id")
            .withColumn("relevant", F.instr("text", F.col("_q")) > 0))
     per = rel.groupBy("k", "threshold", "question_id").agg(F.max(F.col("relevant").cast("int")).alias("h"))
@@ -442,7 +439,7 @@ def query_time(spark: SparkSession, sf: str) -> DataFrame:
 
 def hash_embed_q(spark: SparkSession, sf: str) -> DataFrame:
     """E2 (offline embedder): non-zero buckets of every document's vector."""
-    d = read_table(spark, sf, "documents")
+    d = I.documents(spark, sf)
     v = d.select("doc_id", hash_embed(cap(F.col("text"), C.EMBED_MAX_CHARS), I.EMBED_DIM).alias("v"))
     return (v.select("doc_id", F.posexplode("v").alias("bucket", "w"))
             .where(F.col("w") != 0)
@@ -460,10 +457,9 @@ def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
     qs = qs.withColumn("response", FL.keyword_response(F.col("question")))
     qs = FL.extract_filters(qs, "response")
     qv = I.embedded_questions(qs)
-    chunks = I.conversation_chunks(spark, sf)
-    coll = I.text_collection(chunks)
+    coll = I.text_collection(I.conversation_chunks(spark, sf))
     hits = search(spark, coll, qv, SearchSpec(top_k=C.TOP_K))
-    det = R.hit_details(hits, chunks)
+    det = R.hit_details(hits, coll)
     prompts = R.build_prompts(qs, det)
     answers = R.generate(prompts, R.citation_model)
     n_hits = hits.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_hits"),

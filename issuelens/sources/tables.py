@@ -30,3 +30,18 @@ class Tables:
         if name in TABLES:
             return read_table(self.spark, self.sf_dir, name)
         raise AttributeError(name)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer splits than cores.
+
+    CPU-heavy row work (regex scrubbing, chunking, embedding) on a file
+    with a single row group would otherwise run in one task.  When the
+    scan already has enough splits (any real-sized input) this is a no-op
+    and adds no shuffle.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)
