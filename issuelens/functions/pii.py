@@ -83,4 +83,9 @@ def pii_matches(text: Column | str, rules: Sequence[Rule] = C.PII_RULES) -> Colu
         found = F.regexp_extract_all(src, F.lit(java_pattern(pattern)), 0)
         parts.append(F.transform(F.coalesce(found, F.array().cast("array<string>")),
                                  tag(stage, kind, rep)))
-    return F.concat(*parts)
+    out = F.concat(*parts)
+    guard = _guard(col_(text), rules)
+    if guard is None:
+        return out
+    return F.when(guard, out).otherwise(F.array().cast(
+        "array<struct<stage:int,kind:string,match:string,replacement:string>>"))

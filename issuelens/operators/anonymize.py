@@ -67,7 +67,9 @@ def user_refs(issues: DataFrame, seq_col: str = "seq") -> DataFrame:
         F.transform(F.coalesce("watchers", F.array()),
                     lambda w, i: F.struct(F.lit(3).alias("role_rank"), i.alias("idx"), w.alias("user"))),
     ).cast(USER_REF_TYPE)
-    return (issues.select(F.col(seq_col).alias("seq"), F.explode(refs).alias("r"))
+    # explode_outer + NULL filter: avoids an inferred size() filter that
+    # would build the reference array twice
+    return (issues.select(F.col(seq_col).alias("seq"), F.explode_outer(refs).alias("r"))
             .select("seq", "r.role_rank", "r.idx", "r.user")
             .where(F.col("user").isNotNull() & F.col("user.id").isNotNull()))
 
@@ -83,7 +85,10 @@ def user_mapping(issues: DataFrame, seq_col: str = "seq") -> DataFrame:
 
 def pii_audit(df: DataFrame, key: str, text_col: str) -> DataFrame:
     """One row per redacted match: key, stage, kind, match, replacement."""
-    return (df.select(F.col(key), F.explode(pii_matches(text_col)).alias("m"))
+    # explode_outer + NULL filter: a plain explode gets an inferred
+    # size() filter that runs every regex stage twice
+    return (df.select(F.col(key), F.explode_outer(pii_matches(text_col)).alias("m"))
+            .where(F.col("m").isNotNull())
             .select(key, "m.stage", "m.kind", "m.match", "m.replacement"))
 
 

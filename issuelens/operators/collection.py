@@ -86,6 +86,13 @@ class Collection:
     def _write(self, df: DataFrame, v: int) -> None:
         df.write.mode("errorifexists").parquet(self._version_path(v))
 
+    def write_version(self, df: DataFrame) -> int:
+        """Write ``df`` (already de-duplicated) as the next version; one job."""
+        cur = self.current_version()
+        nxt = 0 if cur is None else cur + 1
+        self._write(df, nxt)
+        return nxt
+
     def upsert(self, incoming: DataFrame, prune_stale: bool = False) -> int | None:
         """V1: incoming rows replace rows with the same id; returns the new version.
 
@@ -93,7 +100,8 @@ class Collection:
         issues that are not in the incoming batch are removed as well.
         """
         incoming = incoming.select(*[f.name for f in COLLECTION_SCHEMA.fields])
-        # within-batch duplicates: the last row per id wins (M5)
+        # duplicate ids inside one batch keep a single row; callers that need
+        # "last one wins" reduce the batch with merge.dedup_last first
         n_in = incoming.count()
         if n_in == 0:
             return None

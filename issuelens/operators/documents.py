@@ -112,8 +112,11 @@ def prepare_chunks(issues: DataFrame, journals_per_chunk: int = C.JOURNALS_PER_C
     """Issue -> chunk rows (at least one per issue)."""
     # chunk array first: its expressions read the raw subject/id columns,
     # which the metadata projection re-uses as output names
+    # explode_outer: the array always holds chunk 0, and a plain explode
+    # makes the optimizer add a size(array) > 0 filter that re-evaluates
+    # the whole chunk expression (scrub, strip, truncate) a second time
     with_chunks = issues.withColumn("_chunks", chunk_structs(journals_per_chunk, max_text_len))
-    exploded = with_chunks.select(*metadata_columns(), F.explode("_chunks").alias("c"))
+    exploded = with_chunks.select(*metadata_columns(), F.explode_outer("_chunks").alias("c"))
     return exploded.select(
         F.col("c.id").alias("id"), F.col("c.text").alias("text"), *META_NAMES,
         F.col("c.chunk_index").alias("chunk_index"),

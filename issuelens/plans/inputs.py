@@ -12,7 +12,10 @@ from issuelens.operators import documents as D
 from issuelens.operators.anonymize import anonymize_issues
 from issuelens.operators.embed import HashEmbedder, embed
 from issuelens.sources import adapters as A
-from issuelens.session import ensure_checkpoint_dir
+import uuid
+
+from issuelens.operators.collection import COLLECTION_SCHEMA, Collection
+from issuelens.session import scratch_path
 from issuelens.sources.tables import read_table, spread
 
 # Parameters of the registered queries (chosen once; see README).
@@ -96,13 +99,17 @@ def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
 def text_collection(chunks: DataFrame) -> DataFrame:
     """Chunks + hash embeddings in the search layout (parent = issue id).
 
-    The embedded collection is checkpointed to the shared checkpoint folder
-    (the ingest step): the search scans it for vectors and the detail join
-    reads text from it, without recomputing scrub, chunking and embedding.
+    The embedded collection is written once as a table version in the
+    shared checkpoint folder (the ingest step) and read back: the search
+    scans it for vectors and the detail join reads text from it, without
+    recomputing scrub, chunking and embedding.  (``Dataset.checkpoint`` on
+    an uncached plan would compute it twice: once to count, once to save.)
     """
+    spark = chunks.sparkSession
     emb = embed(chunks, HashEmbedder(EMBED_DIM), "text", C.EMBED_MAX_CHARS)
-    ensure_checkpoint_dir(chunks.sparkSession)
-    return emb.withColumn("parent", F.col("issue_id")).checkpoint(eager=True)
+    coll = Collection(spark, scratch_path(spark, "collections"), uuid.uuid4().hex)
+    coll.write_version(emb.select(*[f.name for f in COLLECTION_SCHEMA.fields]))
+    return coll.read().withColumn("parent", F.col("issue_id"))
 
 
 def benchmark_questions(spark: SparkSession, sf: str) -> DataFrame:
