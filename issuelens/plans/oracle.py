@@ -643,3 +643,8 @@ SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, eve
   round(sum(value), 6) AS total
 FROM events GROUP BY 1, 2
 """
+
+ORACLE["stream_chunks"] = f"""
+WITH {DOC_CHUNKS}
+SELECT id, text, issue_id FROM chunks
+"""

@@ -49,3 +49,20 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "event_type", F.col("n").cast("bigint").alias("n"),
                       F.round("total", 6).alias("total"))
+
+
+def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch column functions (anonymise, scrub, chunk) on a stream of
+    documents; micro-batches are upserted into a versioned chunk table."""
+    from issuelens import config as C
+    from issuelens.operators import documents as D
+    from issuelens.operators.anonymize import anonymize_issues
+    from issuelens.sources.adapters import document_issues
+
+    schema = read_table(spark, sf, "documents").schema
+    root = _scratch(spark, "chunks")
+    stream = S.file_stream(spark, sf, schema, "documents.parquet")
+    chunks = D.prepare_chunks(anonymize_issues(document_issues(stream)), C.JOURNALS_PER_CHUNK, C.MAX_TEXT_LEN)
+    S.run_upsert_stream(chunks.withColumn("_order", F.col("chunk_index")), f"{root}/table", f"{root}/_ckpt",
+                        key="id", order_col="_order")
+    return S.read_latest(spark, f"{root}/table").select("id", "text", "issue_id")

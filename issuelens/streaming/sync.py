@@ -98,3 +98,32 @@ def run_complete_to_versions(agg: DataFrame, table_root: str, checkpoint: str) -
     q = (agg.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def latest_versions(stream: DataFrame, key: str, order_col: str) -> DataFrame:
+    """Running latest version per key (use with update or complete mode).
+
+    ``max_by`` keeps one row of state per key, however many versions arrive.
+    """
+    cols = [c for c in stream.columns]
+    return (stream.groupBy(key)
+            .agg(F.max_by(F.struct(*[F.col(c) for c in cols if c != key]), F.col(order_col)).alias("_r"))
+            .select(key, "_r.*"))
+
+
+def run_ingest_stream(stream: DataFrame, collection, embedder, text_col: str = "text",
+                      checkpoint: str | None = None, max_chars: int | None = None) -> None:
+    """X2 + X3: issue stream -> (already chunked by the caller's column
+    functions) -> embed -> idempotent upsert of every micro-batch."""
+    from issuelens import config as C
+    from issuelens.operators.embed import embed
+
+    cap = C.EMBED_MAX_CHARS if max_chars is None else max_chars
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        collection.get_or_create()
+        collection.upsert(embed(batch, embedder, text_col, cap))
+
+    q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()

@@ -54,3 +54,35 @@ def test_entry_and_registry(spark):
     qs, oracle = E.queries(), E.oracle_sql()
     assert set(oracle) <= set(qs)
     assert set(qs) - set(oracle) == {"answer_batch"}
+
+
+def test_latest_versions_update_mode(spark):
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    root = scratch_path(spark, f"test-latest/{uuid.uuid4().hex}")
+    stream = S.file_stream(spark, SF, ev.schema, "events.parquet")
+    agg = S.latest_versions(stream.select("user_id", "event_id", "value",
+                                          F.struct("ts", "event_id").alias("k")), "user_id", "k")
+    S.run_complete_to_versions(agg, f"{root}/t", f"{root}/_c")
+    got = sorted((r.user_id, r.event_id) for r in S.read_latest(spark, f"{root}/t").collect())
+    batch = M.dedup_last(ev.withColumn("seq", F.struct("ts", "event_id")), "user_id", "seq")
+    assert got == sorted((r.user_id, r.event_id) for r in batch.collect())
+
+
+def test_ingest_stream_into_collection(spark, make_issues):
+    from issuelens.operators import documents as D
+    from issuelens.operators.anonymize import anonymize_issues
+    from issuelens.operators.collection import Collection
+    from issuelens.operators.embed import HashEmbedder
+    from issuelens.schemas import ISSUE
+    from tests.conftest import base_issue, journal
+
+    root = scratch_path(spark, f"test-ingest/{uuid.uuid4().hex}")
+    make_issues([base_issue(id=1, journals=[journal(1, "B", 2, "mail a@b.com")])]).drop("seq") \
+        .write.json(f"{root}/in/b=1")
+    stream = spark.readStream.schema(ISSUE).json(f"{root}/in/*")
+    chunks = D.prepare_chunks(anonymize_issues(stream), 5, 8192)
+    coll = Collection(spark, root, "coll")
+    S.run_ingest_stream(chunks, coll, HashEmbedder(8), checkpoint=f"{root}/_c")
+    got = sorted((r.id, r.text) for r in coll.read().collect())
+    assert got == [("issue_1", "Subject: Test issue subject\nDescription: Test description"),
+                   ("issue_1_chunk_1", "Subject: Test issue subject\nComments:\n- User_00002: mail [REDACTED-EMAIL]")]
