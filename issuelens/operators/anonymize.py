@@ -76,7 +76,11 @@ def user_refs(issues: DataFrame, seq_col: str = "seq") -> DataFrame:
 
 def user_mapping(issues: DataFrame, seq_col: str = "seq") -> DataFrame:
     """A2: ``user_id, original_name, anonymous_name``; first-seen name wins."""
-    refs = user_refs(issues, seq_col)
+    return mapping_from_refs(user_refs(issues, seq_col))
+
+
+def mapping_from_refs(refs: DataFrame) -> DataFrame:
+    """A2 over reference rows ``seq, role_rank, idx, user`` from any source."""
     original = F.when(non_empty(F.col("user.name")), F.col("user.name")).otherwise(F.lit(C.UNKNOWN_USER))
     return (refs.groupBy(F.col("user.id").alias("user_id"))
             .agg(F.min_by(original, F.struct("seq", "role_rank", "idx")).alias("original_name"))

@@ -30,3 +30,23 @@ def with_index(df: DataFrame, order_cols: list[str], index_col: str = "idx",
     if total_col:
         out = out.withColumn(total_col, F.col("_tot"))
     return out.drop("_pid", "_local", "_off", "_tot")
+
+
+def with_key_rank(df: DataFrame, key: str, order_cols: list[str], rank_col: str = "rank") -> DataFrame:
+    """1-based rank of every row inside its ``key`` group, in ``order_cols`` order.
+
+    Skew-safe: a global sort range-partitions on ``(key, order)``, so a key
+    holding a third of all rows is spread over many partitions.  Each
+    partition numbers its rows per key; a table with one row per
+    (partition, key) gives every key's offset in each partition, and a join
+    adds it back.  No task ever sees more than its own partition.
+    """
+    s = df.sort(key, *order_cols).withColumn("_pid", F.spark_partition_id())
+    s = s.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", key).orderBy(*order_cols)))
+    counts = s.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_cnt"))
+    # rows per key in this table = partitions the key spans (bounded)
+    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", key, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    return (s.join(offsets, ["_pid", key])
+            .withColumn(rank_col, F.col("_off") + F.col("_local"))
+            .drop("_pid", "_local", "_off"))

@@ -11,6 +11,7 @@ from issuelens.functions.vector import l2_normalize
 from issuelens.operators import documents as D
 from issuelens.operators.anonymize import anonymize_issues
 from issuelens.operators.embed import HashEmbedder, embed
+from issuelens.operators.turns import conversation_chunks as conversation_chunks_from_turns
 from issuelens.sources import adapters as A
 import uuid
 
@@ -86,9 +87,13 @@ def embedding_collection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversation_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Anonymised, scrubbed conversation issues -> chunks (ingest settings)."""
-    issues = anonymize_issues(conv_issues(spark, sf))
-    return D.prepare_chunks(issues, C.JOURNALS_PER_CHUNK, C.MAX_TEXT_LEN)
+    """Anonymised, scrubbed conversation issues -> chunks (ingest settings).
+
+    Built from the turn rows (skew-safe: no conversation is gathered into
+    one row); equal to chunking the nested conversation issues.
+    """
+    return conversation_chunks_from_turns(read_table(spark, sf, "conversations"),
+                                          C.JOURNALS_PER_CHUNK, C.MAX_TEXT_LEN, anonymize=True)
 
 
 def document_chunks(spark: SparkSession, sf: str) -> DataFrame:

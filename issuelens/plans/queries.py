@@ -18,8 +18,9 @@ from issuelens.operators import evaluate as Q
 from issuelens.operators import filters as FL
 from issuelens.operators import merge as M
 from issuelens.operators import runlog as T
-from issuelens.operators.anonymize import (anonymize_issues, pii_audit, run_summary,
-                                           user_mapping as _user_mapping)
+from issuelens.operators.anonymize import (anonymize_issues, mapping_from_refs, pii_audit, run_summary,
+                                           user_mapping as _user_mapping, user_refs)
+from issuelens.sources import adapters as A
 from issuelens.operators.search import SearchSpec, candidates, fetch_window, rank_candidates, search
 from issuelens.functions.pii import scrub_pii as _scrub
 from issuelens.plans import inputs as I
@@ -92,16 +93,22 @@ def pii_audit_q(spark: SparkSession, sf: str) -> DataFrame:
     return a.groupBy("doc_id", "kind", "match").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _mapping_input(spark: SparkSession, sf: str) -> DataFrame:
+def user_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    """A1-A2: first-seen name per user id over order issues, then conversations.
+
+    Conversation references come straight from the turn rows (author = first
+    turn, journals = later turns, so turn order is the reference order); no
+    conversation is gathered into one row.
+    """
     cols = ["author", "assigned_to", "journals", "watchers"]
     o = I.order_issues(spark, sf).select(*cols, F.struct(F.lit(0).alias("src"), F.col("seq").alias("pos")).alias("seq"))
-    c = I.conv_issues(spark, sf).select(*cols, F.struct(F.lit(1).alias("src"), F.col("seq").alias("pos")).alias("seq"))
-    return o.unionByName(c)
-
-
-def user_mapping(spark: SparkSession, sf: str) -> DataFrame:
-    """A1-A2: first-seen name per user id over order and conversation issues."""
-    return _user_mapping(_mapping_input(spark, sf))
+    turns = read_table(spark, sf, "conversations")
+    uid = A._lookup(F.col("role"), A.ROLE_USER_IDS).cast("bigint")
+    conv_refs = turns.select(F.struct(F.lit(1).alias("src"), F.col("conv_id").alias("pos")).alias("seq"),
+                             F.lit(0).alias("role_rank"), F.col("turn").cast("int").alias("idx"),
+                             F.struct(uid.alias("id"), F.col("role").alias("name")).alias("user")) \
+        .where(uid.isNotNull())
+    return mapping_from_refs(user_refs(o).unionByName(conv_refs))
 
 
 def anonymize_users(spark: SparkSession, sf: str) -> DataFrame:

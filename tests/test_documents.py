@@ -83,3 +83,24 @@ def test_expansion_counts(make_issues):
     iss = [base_issue(id=1, journals=[journal(k, "B", 2, "n") for k in range(7)]), base_issue(id=2)]
     c = D.expansion_counts(D.prepare_chunks(make_issues(iss))).first()
     assert (c.n_issues, c.n_chunks) == (2, 4)
+
+
+def test_turn_chunks_equal_nested_chunks(spark):
+    from issuelens.operators.anonymize import anonymize_issues
+    from issuelens.operators.turns import conversation_chunks
+    from issuelens.sources.adapters import conversation_issues
+
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    # a hot conversation: many turns in one issue, spread over partitions
+    hot = spark.range(1, 400).select(F.lit(777).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                     F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+                                     F.when(F.col("id") % 7 == 0, "").otherwise(
+                                         F.concat(F.lit("note a@b.com "), F.col("id").cast("string"))).alias("text"))
+    turns = conv.unionByName(hot).repartition(6)
+    for anon in (True, False):
+        nested = conversation_issues(turns)
+        nested = anonymize_issues(nested) if anon else nested
+        want = sorted(tuple(r) for r in D.prepare_chunks(nested, 5, 300).collect())
+        got = sorted(tuple(r) for r in conversation_chunks(turns, 5, 300, anon)
+                     .select(*D.prepare_chunks(nested, 5, 300).columns).collect())
+        assert got == want
