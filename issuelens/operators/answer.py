@@ -39,20 +39,20 @@ def issue_block() -> Column:
     )
 
 
-def hit_details(hits: DataFrame, collection: DataFrame, n_questions: int | None = None,
-                top_k: int = C.TOP_K) -> DataFrame:
+def hit_details(hits: DataFrame, collection: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Attach text and metadata of each hit (join back on chunk id).
 
-    The hit side is bounded by ``n_questions * top_k`` and broadcast when
-    that bound is small; the collection is scanned with only the needed
-    columns.
+    Every hit comes from the collection, so this is an inner join whose
+    build side is the hit set: broadcast when its proven bound
+    (``max_hits``, questions x top_k) is small, so the collection is only
+    scanned (needed columns, no shuffle).  Without a bound AQE decides.
     """
     want = ["id", "text"] + [c for c in HIT_META if c in collection.columns]
     coll = collection.select(*want).withColumnRenamed("issue_id", "meta_issue_id")
     h = hits
-    if n_questions is not None and n_questions * top_k * 2 <= BROADCAST_HIT_ROWS:
+    if max_hits is not None and max_hits <= BROADCAST_HIT_ROWS:
         h = F.broadcast(hits)
-    out = h.join(coll, "id", "left")
+    out = coll.join(h, "id", "inner")
     if "meta_issue_id" in out.columns:
         out = out.withColumnRenamed("meta_issue_id", "issue_id")
     return out

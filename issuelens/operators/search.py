@@ -270,6 +270,17 @@ def rank_candidates(cand: DataFrame, spec: SearchSpec) -> DataFrame:
     )
 
 
+def search_bounded(spark: SparkSession, collection: DataFrame, questions: DataFrame,
+                   spec: SearchSpec = SearchSpec()) -> tuple[DataFrame, int]:
+    """``search`` plus a proven upper bound on its row count.
+
+    The bound (questions x top_k, from the question count the planner
+    measures anyway) is what lets callers broadcast the hits safely.
+    """
+    n_q = questions.count()
+    return search(spark, collection, questions, spec), n_q * spec.top_k
+
+
 def search(spark: SparkSession, collection: DataFrame, questions: DataFrame,
            spec: SearchSpec = SearchSpec()) -> DataFrame:
     """Full retrieval (V5-V12, R6) for a DataFrame of questions.

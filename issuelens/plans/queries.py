@@ -21,7 +21,7 @@ from issuelens.operators import runlog as T
 from issuelens.operators.anonymize import (anonymize_issues, mapping_from_refs, pii_audit, run_summary,
                                            user_mapping as _user_mapping, user_refs)
 from issuelens.sources import adapters as A
-from issuelens.operators.search import SearchSpec, candidates, fetch_window, rank_candidates, search
+from issuelens.operators.search import SearchSpec, fetch_window, search, search_bounded
 from issuelens.functions.pii import scrub_pii as _scrub
 from issuelens.plans import inputs as I
 from issuelens.sources.tables import read_table
@@ -337,27 +337,26 @@ def filter_predicate(spark: SparkSession, sf: str) -> DataFrame:
 def _text_hits(spark, sf, spec=SearchSpec(top_k=5)):
     coll = I.text_collection(I.conversation_chunks(spark, sf))
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
-    hits = search(spark, coll, qs, spec)
-    return qs, coll, hits
+    hits, bound = search_bounded(spark, coll, qs, spec)
+    return qs, coll, R.hit_details(hits, coll, bound)
 
 
 def prompt(spark: SparkSession, sf: str) -> DataFrame:
     """R7 + R8: prompts for every benchmark question over conversation chunks."""
-    qs, chunks, hits = _text_hits(spark, sf)
-    det = R.hit_details(hits, chunks, n_questions=None)
+    qs, _, det = _text_hits(spark, sf)
     return R.build_prompts(qs, det)
 
 
 def source_cards(spark: SparkSession, sf: str) -> DataFrame:
     """R11 + R13."""
-    _, chunks, hits = _text_hits(spark, sf)
-    return R.source_cards(R.hit_details(hits, chunks)).drop("score_text")
+    _, _, det = _text_hits(spark, sf)
+    return R.source_cards(det).drop("score_text")
 
 
 def source_list(spark: SparkSession, sf: str) -> DataFrame:
     """R12."""
-    _, chunks, hits = _text_hits(spark, sf)
-    return R.source_list(R.hit_details(hits, chunks)).drop("score_text")
+    _, _, det = _text_hits(spark, sf)
+    return R.source_list(det).drop("score_text")
 
 
 # ---------------------------------------------------------------------------
@@ -367,8 +366,8 @@ def source_list(spark: SparkSession, sf: str) -> DataFrame:
 def _doc_eval(spark, sf, spec=SearchSpec(top_k=5)):
     coll = I.text_collection(I.document_chunks(spark, sf))
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
-    hits = search(spark, coll, qs, spec)
-    det = R.hit_details(hits, coll)
+    hits, bound = search_bounded(spark, coll, qs, spec)
+    det = R.hit_details(hits, coll, bound)
     # relevant: the retrieved chunk contains the question's passage
     qtext = qs.select("question_id", F.col("question").alias("_q"))
     det = det.join(qtext, "question_id").withColumn("relevant", F.instr("text", F.col("_q")) > 0)
@@ -405,7 +404,12 @@ def hit_rate_sweep(spark: SparkSession, sf: str) -> DataFrame:
     swept = Q.sweep(cand, [1, 3, 5], [None, 1.0])
     qtext = qs.select("question_id", F.col("question").alias("_q"))
     txt = coll.select("id", "text")
-    rel = (swept.join(txt, "id").join(qtext, "question_id")
+    # swept rows <= questions x settings x max K: a proven bound, so the
+    # collection is only scanned for the text of those rows
+    bound = qs.count() * 6 * 5
+    if bound <= R.BROADCAST_HIT_ROWS:
+        swept = F.broadcast(swept)
+    rel = (txt.join(swept, "id").join(qtext, "question_id")
            .withColumn("relevant", F.instr("text", F.col("_q")) > 0))
     per = rel.groupBy("k", "threshold", "question_id").agg(F.max(F.col("relevant").cast("int")).alias("h"))
     return per.groupBy("k", "threshold").agg(F.count(F.lit(1)).alias("answered"),
@@ -465,8 +469,8 @@ def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
     qs = FL.extract_filters(qs, "response")
     qv = I.embedded_questions(qs)
     coll = I.text_collection(I.conversation_chunks(spark, sf))
-    hits = search(spark, coll, qv, SearchSpec(top_k=C.TOP_K))
-    det = R.hit_details(hits, coll)
+    hits, bound = search_bounded(spark, coll, qv, SearchSpec(top_k=C.TOP_K))
+    det = R.hit_details(hits, coll, bound)
     prompts = R.build_prompts(qs, det)
     answers = R.generate(prompts, R.citation_model)
     n_hits = hits.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_hits"),
