@@ -50,3 +50,24 @@ def with_key_rank(df: DataFrame, key: str, order_cols: list[str], rank_col: str
     return (s.join(offsets, ["_pid", key])
             .withColumn(rank_col, F.col("_off") + F.col("_local"))
             .drop("_pid", "_local", "_off"))
+
+
+def with_key_running_sum(df: DataFrame, key: str, order_cols: list[str], value_col: str,
+                         rank_col: str = "rank", sum_col: str = "running") -> DataFrame:
+    """Rank and inclusive running sum of ``value_col`` inside each key (skew-safe).
+
+    Same layout as ``with_key_rank``: per-partition running values plus a
+    per-(partition, key) offset table, so a hot key never lands in one task.
+    """
+    s = df.sort(key, *order_cols).withColumn("_pid", F.spark_partition_id())
+    w_local = Window.partitionBy("_pid", key).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
+    s = (s.withColumn("_local", F.row_number().over(Window.partitionBy("_pid", key).orderBy(*order_cols)))
+         .withColumn("_lsum", F.sum(value_col).over(w_local)))
+    per = s.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_cnt"), F.sum(value_col).alias("_tot"))
+    w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("_pid", key, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"),
+                         F.coalesce(F.sum("_tot").over(w), F.lit(0)).alias("_soff"))
+    return (s.join(offsets, ["_pid", key])
+            .withColumn(rank_col, F.col("_off") + F.col("_local"))
+            .withColumn(sum_col, F.col("_soff") + F.coalesce(F.col("_lsum"), F.lit(0)))
+            .drop("_pid", "_local", "_off", "_lsum", "_soff"))

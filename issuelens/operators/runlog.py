@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from issuelens import config as C
 from issuelens.functions.text import elapsed_seconds
+from issuelens.operators.ordering import with_key_running_sum
 
 
 def stage_share(log: DataFrame, run_col: str, stage_col: str, elapsed_col: str) -> DataFrame:
@@ -31,11 +32,18 @@ def rolling_eta(log: DataFrame, key_col: str, order_cols: list[str], duration_co
     (6 decimals for the mean, 1 for the wait), so every engine produces the
     same digits.
     """
-    w = Window.partitionBy(key_col).orderBy(*order_cols).rowsBetween(-window, -1)
+    # trailing sum over the previous `window` rows = C(r-1) - C(r-1-window),
+    # with C the running sum inside the key; both come from skew-safe
+    # running sums and an equi-join on (key, rank), never from a window
+    # over a whole key
     cents = F.round(F.col(duration_col) * 100).cast("bigint")
-    out = (log.withColumn("_c", cents)
-           .withColumn("_s", F.sum("_c").over(w))
-           .withColumn("_n", F.count("_c").over(w)))
+    base = log.withColumn("_c", cents)
+    run = with_key_running_sum(base, key_col, order_cols, "_c", "_r", "_cum")
+    back = run.select(F.col(key_col).alias("_k2"), (F.col("_r") + window).alias("_r2"),
+                      F.col("_cum").alias("_cum_back"))
+    j = run.join(back, (run[key_col] == back["_k2"]) & (run["_r"] - 1 == back["_r2"]), "left")
+    out = (j.withColumn("_s", F.col("_cum") - F.coalesce(F.col("_c"), F.lit(0)) - F.coalesce(F.col("_cum_back"), F.lit(0)))
+           .withColumn("_n", F.least(F.col("_r") - 1, F.lit(window))))
     k = int(in_flight)
     mean = F.expr("(2 * _s * 10000 + _n) div (2 * _n)") / F.lit(1e6)
     eta = F.expr(f"(2 * {k} * _s + 10 * _n) div (20 * _n)") / F.lit(10.0)

@@ -43,6 +43,13 @@ OUT_DIGITS = 6
 # Candidates within this distance of the k-th one are kept by the kernel,
 # so the exact final order is always decided on the Spark side.
 SLACK = 1e-8
+# Working-set limits of the kernel: distances are computed for at most
+# ROW_BLOCK chunks x Q_BLOCK questions at a time (16 MB of doubles).
+ROW_BLOCK = 2048
+Q_BLOCK = 1024
+# Above this many collection partitions, candidates are first reduced in
+# groups of partitions before the final exchange by question.
+TREE_FANIN = 64
 
 CANDIDATE_SCHEMA = T.StructType([
     T.StructField("question_id", T.LongType()),
@@ -123,7 +130,8 @@ def _reduce(df: pd.DataFrame, k: int) -> pd.DataFrame:
     return df.loc[keep, ["question_id", "pass", "id", "parent", "score"]]
 
 
-def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fallback: bool):
+def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fallback: bool,
+                 row_block: int = ROW_BLOCK, q_block: int = Q_BLOCK):
     def kernel(batches):
         q = bq.value
         qids = q["ids"]
@@ -133,7 +141,7 @@ def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fa
         dim = qmat.shape[1]
         fq = np.nonzero(has_filter)[0]
         nf = np.nonzero(~has_filter)[0]
-        budget = max(8 * len(qids) * fetch_k, 100_000)
+        budget = max(2 * len(qids) * fetch_k, 100_000)
         acc: list[pd.DataFrame] = []
         acc_rows = 0
         for rb in batches:
@@ -151,45 +159,63 @@ def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fa
                 continue
             flat = emb_col.filter(pa.array(valid)).flatten()
             emb = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
-            ids = np.asarray(rb.column("id").to_numpy(zero_copy_only=False), dtype=object)[rows]
-            parents = np.asarray(rb.column("parent").to_numpy(zero_copy_only=False), dtype=object)[rows]
-            dist = _distances(emb, qmat, metric)
-
-            # pass 0: questions without filters
-            if nf.size:
-                part = _select(dist[:, nf], ids, parents, qids[nf], 0, fetch_k)
-                if part is not None:
-                    acc.append(part)
-                    acc_rows += len(part)
-            if fq.size:
-                # pass 1: questions with filters, each with its own mask
-                masked = dist[:, fq].copy()
-                for col in filter_cols:
-                    want = qfilters[col][fq]
-                    cvals = np.asarray(rb.column(col).to_numpy(zero_copy_only=False), dtype=object)[rows]
-                    for v in set(x for x in want if x is not None):
-                        cols = np.nonzero(want == v)[0]
-                        bad = np.nonzero(cvals != v)[0]
-                        if bad.size:
-                            masked[np.ix_(bad, cols)] = np.inf
-                part = _select(masked, ids, parents, qids[fq], 1, fetch_k)
-                if part is not None:
-                    acc.append(part)
-                    acc_rows += len(part)
-                # pass 2: the same questions unfiltered, for the fallback
-                if fallback:
-                    part = _select(dist[:, fq], ids, parents, qids[fq], 2, fetch_k)
-                    if part is not None:
+            ids_all = np.asarray(rb.column("id").to_numpy(zero_copy_only=False), dtype=object)[rows]
+            parents_all = np.asarray(rb.column("parent").to_numpy(zero_copy_only=False), dtype=object)[rows]
+            cvals_all = {col: np.asarray(rb.column(col).to_numpy(zero_copy_only=False), dtype=object)[rows]
+                         for col in filter_cols} if fq.size else {}
+            # bounded working set: ROW_BLOCK x (questions of one block)
+            for r0 in range(0, len(rows), row_block):
+                sl = slice(r0, r0 + row_block)
+                for q0 in range(0, len(qids), q_block):
+                    qs = slice(q0, q0 + q_block)
+                    part_rows = _block(emb[sl], ids_all[sl], parents_all[sl],
+                                       {c: v[sl] for c, v in cvals_all.items()},
+                                       qmat[qs], qids[qs], {c: v[qs] for c, v in qfilters.items()},
+                                       has_filter[qs])
+                    for part in part_rows:
                         acc.append(part)
                         acc_rows += len(part)
-            if acc_rows > budget:
-                acc = [_reduce(pd.concat(acc, ignore_index=True), fetch_k)]
-                acc_rows = len(acc[0])
+                    if acc_rows > budget:
+                        acc = [_reduce(pd.concat(acc, ignore_index=True), fetch_k)]
+                        acc_rows = len(acc[0])
         if acc:
             out = _reduce(pd.concat(acc, ignore_index=True), fetch_k)
             yield pa.RecordBatch.from_pandas(out, schema=pa.schema([
                 ("question_id", pa.int64()), ("pass", pa.int32()), ("id", pa.string()),
                 ("parent", pa.string()), ("score", pa.float64())]), preserve_index=False)
+
+    def _block(emb, ids, parents, cvals, qmat, qids, qfilters, has_filter):
+        """Candidates of one (rows x questions) block for passes 0, 1, 2."""
+        out = []
+        fq = np.nonzero(has_filter)[0]
+        nf = np.nonzero(~has_filter)[0]
+        dist = _distances(emb, qmat, metric)
+
+        # pass 0: questions without filters
+        if nf.size:
+            part = _select(dist[:, nf], ids, parents, qids[nf], 0, fetch_k)
+            if part is not None:
+                out.append(part)
+        if fq.size:
+            # pass 1: questions with filters, each with its own mask
+            masked = dist[:, fq].copy()
+            for col in filter_cols:
+                want = qfilters[col][fq]
+                for v in set(x for x in want if x is not None):
+                    cols = np.nonzero(want == v)[0]
+                    bad = np.nonzero(cvals[col] != v)[0]
+                    if bad.size:
+                        masked[np.ix_(bad, cols)] = np.inf
+            part = _select(masked, ids, parents, qids[fq], 1, fetch_k)
+            if part is not None:
+                out.append(part)
+            # pass 2: the same questions unfiltered, for the fallback
+            if fallback:
+                part = _select(dist[:, fq], ids, parents, qids[fq], 2, fetch_k)
+                if part is not None:
+                    out.append(part)
+        return out
+
     return kernel
 
 
@@ -210,7 +236,7 @@ def _question_payload(pdf: pd.DataFrame, filter_cols: tuple[str, ...]) -> dict:
 
 
 def candidates(spark: SparkSession, collection: DataFrame, questions: DataFrame,
-               spec: SearchSpec) -> DataFrame:
+               spec: SearchSpec, fanin: int = TREE_FANIN) -> DataFrame:
     """Kernel output for all question blocks: ``CANDIDATE_SCHEMA`` rows."""
     fcols = tuple(c for c in spec.filter_cols)
     qcols = ["question_id", "vector"] + [c for c in fcols if c in questions.columns]
@@ -235,14 +261,28 @@ def candidates(spark: SparkSession, collection: DataFrame, questions: DataFrame,
             continue
         payload = _question_payload(pdf, fcols)
         bq = spark.sparkContext.broadcast(payload)
-        kern = _make_kernel(bq, spec.fetch_k, spec.metric, fcols, spec.fallback)
-        parts.append(coll.mapInArrow(kern, CANDIDATE_SCHEMA))
+        kern = _make_kernel(bq, spec.fetch_k, spec.metric, fcols, spec.fallback,
+                            int(spec.extra.get("row_block", ROW_BLOCK)), int(spec.extra.get("q_block", Q_BLOCK)))
+        parts.append(_tree_level(coll.mapInArrow(kern, CANDIDATE_SCHEMA), coll, spec.fetch_k, fanin))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _tree_level(cand: DataFrame, coll: DataFrame, fetch_k: int, fanin: int) -> DataFrame:
+    """With many collection partitions, reduce candidates per group of
+    ``fanin`` partitions first, so no question receives more than
+    ``partitions / fanin * fetch_k`` rows in the final exchange."""
+    n_parts = coll.rdd.getNumPartitions()
+    if n_parts <= fanin:
+        return cand
+    g = (F.spark_partition_id() / F.lit(fanin)).cast("int")
+    w = Window.partitionBy("question_id", "pass", "_g").orderBy(F.round("score", RANK_DIGITS), "id")
+    return (cand.withColumn("_g", g).withColumn("_r", F.row_number().over(w))
+            .where(F.col("_r") <= fetch_k).drop("_g", "_r"))
+
+
 def rank_candidates(cand: DataFrame, spec: SearchSpec) -> DataFrame:
     """V7-V10 and R6 on the candidate rows; one shuffle by question id."""
     cand = cand.repartition("question_id").withColumn("rscore", F.round("score", RANK_DIGITS))
@@ -289,7 +329,8 @@ def search(spark: SparkSession, collection: DataFrame, questions: DataFrame,
     questions:  ``question_id, vector, <filter cols>`` (NULL = no filter)
     returns:    ``question_id, id, parent, score, raw_score, rank, filtered``
     """
-    return rank_candidates(candidates(spark, collection, questions, spec), spec)
+    return rank_candidates(candidates(spark, collection, questions, spec,
+                                      int(spec.extra.get("fanin", TREE_FANIN))), spec)
 
 
 def fetch_window(spark: SparkSession, collection: DataFrame, questions: DataFrame,

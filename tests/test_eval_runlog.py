@@ -34,3 +34,22 @@ def test_rolling_eta(spark):
     got = [r.eta for r in T.rolling_eta(log, "k", ["t"], "d", in_flight=2, window=2).orderBy("t").collect()]
     # no history -> 2 x 40.0; then means of the previous (up to) two durations
     assert got == [80.0, 2.0, 3.0, 5.0]
+
+
+def test_rolling_eta_hot_key_matches_brute_force(spark):
+    import random
+    rnd = random.Random(2)
+    rows = [(0 if i % 3 else rnd.randint(1, 5), i, round(rnd.uniform(0.01, 90), 2)) for i in range(900)]
+    log = spark.createDataFrame(rows, "k bigint, t bigint, d double").repartition(5)
+    got = {(r.k, r.t): (r.mean_duration, r.eta) for r in T.rolling_eta(log, "k", ["t"], "d", window=50).collect()}
+    by_key = {}
+    for k, t, d in sorted(rows, key=lambda x: (x[0], x[1])):
+        hist = by_key.setdefault(k, [])
+        prev = hist[-50:]
+        if prev:
+            s, n = sum(round(x * 100) for x in prev), len(prev)
+            want = ((2 * s * 10000 + n) // (2 * n) / 1e6, (2 * s + 10 * n) // (20 * n) / 10.0)
+        else:
+            want = (40.0, 40.0)
+        assert got[(k, t)] == want
+        hist.append(d)

@@ -106,3 +106,13 @@ def test_question_blocks_split_when_over_budget(spark):
     a = run(spark, coll_df(spark, rows), q_df(spark, qs))
     b = run(spark, coll_df(spark, rows), q_df(spark, qs), max_broadcast_bytes=200)
     assert a == b
+
+
+def test_tree_level_and_blocks_keep_results(spark):
+    rnd = random.Random(5)
+    rows = [(f"c{i}", f"p{i % 40}", rnd.choice(["New", None]), [rnd.random() for _ in range(6)]) for i in range(900)]
+    qs = [(q, [rnd.random() for _ in range(6)], rnd.choice([None, "New"])) for q in range(30)]
+    base = run(spark, coll_df(spark, rows, parts=9), q_df(spark, qs))
+    tree = run(spark, coll_df(spark, rows, parts=9), q_df(spark, qs),
+               extra={"fanin": 2, "row_block": 7, "q_block": 4})
+    assert tree == base
