@@ -14,8 +14,12 @@ from issuelens import config as C
 from issuelens.functions.text import id_text, name_of, non_empty, or_empty, py_strip, truncate
 
 
-def metadata_columns(subject_len: int = C.SUBJECT_META_LEN) -> list[Column]:
-    """The 12 metadata fields shared by every chunk of an issue."""
+def metadata_columns(subject_len: int = C.SUBJECT_META_LEN, journal_count: Column | None = None) -> list[Column]:
+    """The 12 metadata fields shared by every chunk of an issue.
+
+    ``journal_count`` replaces ``size(journals)`` for issue rows that carry
+    a count instead of the journal array.
+    """
     return [
         id_text("id").alias("issue_id"),
         F.substring(or_empty("subject"), 1, subject_len).alias("subject"),
@@ -29,7 +33,8 @@ def metadata_columns(subject_len: int = C.SUBJECT_META_LEN) -> list[Column]:
         F.when(non_empty("updated_on"), F.col("updated_on")).otherwise(F.lit("")).alias("updated_on"),
         name_of("author").alias("author"),
         name_of("assigned_to").alias("assigned_to"),
-        F.size(F.coalesce(F.col("journals"), F.array())).cast("bigint").alias("num_journals"),
+        (journal_count if journal_count is not None
+         else F.size(F.coalesce(F.col("journals"), F.array()))).cast("bigint").alias("num_journals"),
     ]
 
 

@@ -104,17 +104,24 @@ def project_union(df: DataFrame, project_ids: Sequence[str],
             .withColumn("project_rank", F.array_position(order, F.col(project_col))))
 
 
+def journal_count(issues: DataFrame) -> Column:
+    """Journals per issue: the ``n_journals`` column when present, else the array size."""
+    if "n_journals" in issues.columns:
+        return F.coalesce(F.col("n_journals"), F.lit(0))
+    return F.coalesce(F.size("journals"), F.lit(0))
+
+
 def journals_only(issues: DataFrame, projects: Sequence[str] = C.JOURNALS_ONLY_PROJECTS,
                   project_col: str = "project_identifier") -> DataFrame:
     """M6: in the listed projects keep only issues that have journals."""
-    has = F.coalesce(F.size("journals"), F.lit(0)) > 0
+    has = journal_count(issues) > 0
     listed = F.coalesce(F.col(project_col).isin(*projects), F.lit(False)) if projects else F.lit(False)
     return issues.where(~listed | has)
 
 
 def missing_journals(issues: DataFrame) -> DataFrame:
     """M7: issues with NULL or empty journals."""
-    return issues.where(F.coalesce(F.size("journals"), F.lit(0)) <= 0)
+    return issues.where(journal_count(issues) <= 0)
 
 
 def enrich_overlay(bulk: DataFrame, enriched: DataFrame, key: str = "id") -> DataFrame:
@@ -129,7 +136,7 @@ def enrich_overlay(bulk: DataFrame, enriched: DataFrame, key: str = "id") -> Dat
 
 def journal_coverage(issues: DataFrame, group_col: str | None = None) -> DataFrame:
     """M9: issues with journals / all issues, and the percentage."""
-    has = F.coalesce(F.size("journals"), F.lit(0)) > 0
+    has = journal_count(issues) > 0
     g = issues.groupBy(group_col) if group_col else issues.groupBy()
     return (g.agg(F.count_if(has).alias("with_journals"), F.count(F.lit(1)).alias("total"))
             .withColumn("pct", F.round(F.col("with_journals") * 100.0
@@ -185,7 +192,7 @@ def quality_profile(issues: DataFrame, project_col: str = "project_identifier",
                     marker: str = r"^Subject: ", noise: str = C.PII_RULES[0][1]) -> DataFrame:
     """Per project: share with journals, mean journals, template-marker share,
     noise-URL share (these decide which projects get the journals-only rule)."""
-    n_j = F.coalesce(F.size("journals"), F.lit(0))
+    n_j = journal_count(issues)
     text = F.coalesce(F.col("description"), F.lit(""))
     return issues.groupBy(project_col).agg(
         F.count(F.lit(1)).alias("issues"),

@@ -93,3 +93,42 @@ def conversation_chunks(turns: DataFrame, journals_per_chunk: int = C.JOURNALS_P
                  max_text_len).alias("text"),
         *meta_cols, "chunk_index", F.lit(False).alias("is_description"))
     return chunk0.unionByName(rest)
+
+
+def conversation_documents(turns: DataFrame, max_text_len: int = C.MAX_TEXT_LEN,
+                           anonymize: bool = False) -> DataFrame:
+    """D3 from comment rows: one truncated document per issue, bounded work.
+
+    Only the first ``max_text_len // 6 + 2`` noted comments, each cut to
+    ``max_text_len + 2`` characters, can reach the truncated text: every
+    comment line is at least ``- X: n`` (6 characters), so the next line
+    starts beyond the cut, and its non-blank ``- `` keeps the final strip
+    from reaching back past it.  The result equals ``documents.prepare``
+    on the nested issue, while a conversation never gathers more than that
+    bounded slice into one row.
+    """
+    keep = max_text_len // 6 + 2
+    t = turns.select("conv_id", "turn", "role", "text")
+    facts = t.groupBy("conv_id").agg(
+        F.min("turn").alias("t0"), F.count(F.lit(1)).alias("n"),
+        F.min_by(F.struct("role", "text"), F.col("turn")).alias("first"))
+    desc = scrub_pii(F.col("first.text")) if anonymize else F.col("first.text")
+    later = (t.join(facts.select("conv_id", "t0"), "conv_id")
+             .where((F.col("turn") > F.col("t0")) & non_empty("text")))
+    note = scrub_pii("text") if anonymize else F.col("text")
+    line = F.concat(F.lit("- "), _display_name(F.col("role"), anonymize), F.lit(": "), note)
+    ranked = with_key_rank(later.select("conv_id", "turn", F.substring(line, 1, max_text_len + 2).alias("line")),
+                           "conv_id", ["turn"], "r")
+    lines = (ranked.where(F.col("r") <= keep).groupBy("conv_id")
+             .agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("ls")))   # <= keep rows
+    comments = F.array_join(F.transform("ls", lambda x: x.getField("line")), "\n")
+    j = facts.join(lines, "conv_id", "left")
+    head = F.concat_ws(
+        "\n", F.concat(F.lit("Subject: "), or_empty(first_line(F.col("first.text")))),
+        F.when(non_empty(desc), F.concat(F.lit("Description: "), desc)),
+        F.when(F.col("ls").isNotNull() & (F.size("ls") > 0), F.concat(F.lit("Comments:\n"), comments)))
+    return j.select(
+        F.concat(F.lit("issue_"), id_text("conv_id")).alias("id"),
+        truncate(py_strip(head), max_text_len).alias("text"),
+        id_text("conv_id").alias("issue_id"),
+        (F.col("n") - 1).cast("bigint").alias("num_journals"))

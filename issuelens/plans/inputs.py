@@ -48,11 +48,16 @@ def order_issues(spark: SparkSession, sf: str) -> DataFrame:
     return A.order_issues(spread(read_table(spark, sf, "orders")), read_table(spark, sf, "customer"))
 
 
+def conv_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return A.conversation_issue_summary(read_table(spark, sf, "conversations"))
+
+
 def all_issues(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversation issues followed by document issues (M4 order)."""
-    cols = A.issue_columns()
-    return (conv_issues(spark, sf).select(*cols)
-            .unionByName(doc_issues(spark, sf).select(*cols)))
+    """Conversation issues followed by document issues (M4 order), with
+    ``n_journals`` in place of gathered journal arrays."""
+    cols = A.issue_columns() + ["n_journals"]
+    docs = doc_issues(spark, sf).withColumn("n_journals", F.lit(0).cast("bigint"))
+    return conv_summary(spark, sf).select(*cols).unionByName(docs.select(*cols))
 
 
 def versions(spark: SparkSession, sf: str) -> DataFrame:

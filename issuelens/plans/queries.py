@@ -18,6 +18,7 @@ from issuelens.operators import evaluate as Q
 from issuelens.operators import filters as FL
 from issuelens.operators import merge as M
 from issuelens.operators import runlog as T
+from issuelens.operators import turns as TU
 from issuelens.operators.anonymize import (anonymize_issues, mapping_from_refs, pii_audit, run_summary,
                                            user_mapping as _user_mapping, user_refs)
 from issuelens.sources import adapters as A
@@ -32,8 +33,8 @@ from issuelens.sources.tables import read_table
 
 
 def issue_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    """D1 on conversation issues."""
-    return I.conv_issues(spark, sf).select(*D.metadata_columns())
+    """D1 on conversation issues (from partial aggregates, no journal arrays)."""
+    return I.conv_summary(spark, sf).select(*D.metadata_columns(journal_count=F.col("n_journals")))
 
 
 def journal_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,21 +44,25 @@ def journal_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prepare_single(spark: SparkSession, sf: str) -> DataFrame:
-    """D3 + D4: one document per conversation issue (ingest cap 8192)."""
-    return D.prepare(I.conv_issues(spark, sf), C.MAX_TEXT_LEN).select("id", "text", "issue_id", "num_journals")
+    """D3 + D4: one document per conversation issue (ingest cap 8192), from
+    the turn rows with bounded work per conversation."""
+    return TU.conversation_documents(read_table(spark, sf, "conversations"), C.MAX_TEXT_LEN)
 
 
 def prepare_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """D5-D7 with the function defaults (5 journals, 4000 characters)."""
-    ch = D.prepare_chunks(I.conv_issues(spark, sf))
+    """D5-D7 with the function defaults (5 journals, 4000 characters), from turn rows."""
+    ch = TU.conversation_chunks(read_table(spark, sf, "conversations"), C.JOURNALS_PER_CHUNK,
+                                C.CHUNK_MAX_TEXT_LEN, anonymize=False)
     return ch.select("id", "text", "issue_id", F.col("chunk_index").cast("bigint").alias("chunk_index"),
                      "is_description", "num_journals")
 
 
 def chunk_counts(spark: SparkSession, sf: str) -> DataFrame:
     """D8 over conversation and document issues at ingest settings."""
-    ch = D.prepare_chunks(I.all_issues(spark, sf), C.JOURNALS_PER_CHUNK, C.MAX_TEXT_LEN)
-    return D.expansion_counts(ch)
+    conv = TU.conversation_chunks(read_table(spark, sf, "conversations"), C.JOURNALS_PER_CHUNK,
+                                  C.MAX_TEXT_LEN, anonymize=False).select("issue_id")
+    docs = D.prepare_chunks(I.doc_issues(spark, sf), C.JOURNALS_PER_CHUNK, C.MAX_TEXT_LEN).select("issue_id")
+    return D.expansion_counts(conv.unionByName(docs))
 
 
 def truncate_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,7 +189,7 @@ def project_union(spark: SparkSession, sf: str) -> DataFrame:
 def journals_only(spark: SparkSession, sf: str) -> DataFrame:
     """M6 on conversation + document issues."""
     return M.journals_only(I.all_issues(spark, sf), I.JOURNALS_ONLY).select(
-        "id", "project_identifier", F.size("journals").cast("bigint").alias("n_journals"))
+        "id", "project_identifier", F.col("n_journals").cast("bigint").alias("n_journals"))
 
 
 def missing_journals(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,11 +199,11 @@ def missing_journals(spark: SparkSession, sf: str) -> DataFrame:
 
 def enrich_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """M8: document issues overlaid by conversation issues fetched in full."""
-    cols = ["id", "subject", "description", "project_identifier", "journals"]
-    bulk = I.doc_issues(spark, sf).select(*cols)
-    full = I.conv_issues(spark, sf).select(*cols)
+    cols = ["id", "subject", "description", "project_identifier", "n_journals"]
+    bulk = I.doc_issues(spark, sf).withColumn("n_journals", F.lit(0).cast("bigint")).select(*cols)
+    full = I.conv_summary(spark, sf).select(*cols)
     o = M.enrich_overlay(bulk, full, "id")
-    return o.select("id", "subject", "project_identifier", F.size("journals").cast("bigint").alias("n_journals"))
+    return o.select("id", "subject", "project_identifier", F.col("n_journals").cast("bigint").alias("n_journals"))
 
 
 def journal_coverage(spark: SparkSession, sf: str) -> DataFrame:

@@ -84,6 +84,40 @@ def conversation_issues(conv: DataFrame) -> DataFrame:
     )
 
 
+def conversation_issue_summary(conv: DataFrame) -> DataFrame:
+    """Issue rows of the conversations without the journal array.
+
+    Carries ``n_journals`` instead: every field comes from partial
+    aggregates (count, first turn, last role), so a conversation holding a
+    third of all turns is never gathered into one row.  Use it wherever
+    only the journal count is needed.
+    """
+    g = conv.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min_by(F.struct("role", "text"), F.col("turn")).alias("_first"),
+        F.max_by(F.col("role"), F.col("turn")).alias("_last_role"),
+    )
+    project = _project_of(F.col("conv_id"))
+    return g.select(
+        F.col("conv_id").alias("id"),
+        first_line(F.col("_first.text")).alias("subject"),
+        F.col("_first.text").alias("description"),
+        _named(F.when(F.col("_last_role") == "assistant", F.lit("Resolved")).otherwise(F.lit("New"))).alias("status"),
+        _named(F.lit("Normal")).alias("priority"),
+        _named(F.lit("Support")).alias("tracker"),
+        _named(project).alias("project"),
+        project.alias("project_identifier"),
+        F.lit(None).cast("string").alias("created_on"),
+        F.lit(None).cast("string").alias("updated_on"),
+        _role_user(F.col("_first.role")).alias("author"),
+        F.lit(None).cast(NAMED_TYPE).alias("assigned_to"),
+        F.lit(None).cast(EMPTY_JOURNALS).alias("journals"),
+        F.array().cast(EMPTY_USERS).alias("watchers"),
+        F.col("conv_id").alias("seq"),
+        (F.col("_n") - 1).cast("bigint").alias("n_journals"),
+    )
+
+
 def document_issues(docs: DataFrame) -> DataFrame:
     """Description-only issues: ``source`` is the project, ``lang`` the tracker."""
     return docs.select(

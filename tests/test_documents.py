@@ -104,3 +104,25 @@ def test_turn_chunks_equal_nested_chunks(spark):
         got = sorted(tuple(r) for r in conversation_chunks(turns, 5, 300, anon)
                      .select(*D.prepare_chunks(nested, 5, 300).columns).collect())
         assert got == want
+
+
+def test_turn_documents_equal_nested_prepare(spark):
+    from issuelens.operators.anonymize import anonymize_issues
+    from issuelens.operators.turns import conversation_documents
+    from issuelens.sources.adapters import conversation_issues
+
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    # long conversation with blank-heavy notes around the cut
+    hot = spark.range(1, 300).select(F.lit(888).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                     F.lit("user").alias("role"),
+                                     F.when(F.col("id") % 5 == 0, F.lit("x" + " " * 90)).otherwise(
+                                         F.concat(F.lit("n "), F.col("id").cast("string"), F.lit("   "))).alias("text"))
+    turns = conv.unionByName(hot).repartition(5)
+    for anon in (False, True):
+        for max_len in (60, 400, 8192):
+            nested = conversation_issues(turns)
+            nested = anonymize_issues(nested) if anon else nested
+            want = sorted((r.id, r.text, r.num_journals) for r in D.prepare(nested, max_len).collect())
+            got = sorted((r.id, r.text, r.num_journals)
+                         for r in conversation_documents(turns, max_len, anon).collect())
+            assert got == want
