@@ -82,25 +82,29 @@ def prepare(issues: DataFrame, max_text_len: int = C.MAX_TEXT_LEN) -> DataFrame:
 
 
 def chunk_structs(journals_per_chunk: int, max_text_len: int) -> Column:
-    """D5 + D6 as one array of ``struct(id, text, chunk_index, is_description)``."""
-    iid = id_text("id")
+    """D5 + D6 as one array of ``struct(id, text, chunk_index, is_description)``.
+
+    Reads the helper columns ``_lines`` (rendered noted journals), ``_iid``
+    and ``_subject_head`` that ``prepare_chunks`` adds.
+    """
+    iid = F.col("_iid")
     first = F.struct(
         F.concat(F.lit("issue_"), iid).alias("id"),
         truncate(py_strip(_head_text()), max_text_len).alias("text"),
         F.lit(0).alias("chunk_index"),
         F.lit(True).alias("is_description"),
     )
-    noted = noted_journals(F.col("journals"))
+    # per-issue pieces as columns (see prepare_chunks): the lambda below
+    # then reads attributes instead of re-evaluating them for every chunk
+    noted = F.col("_lines")
     n_chunks = F.ceil(F.size(noted) / F.lit(journals_per_chunk)).cast("int")
-    subject_head = F.concat(F.lit("Subject: "), or_empty("subject"), F.lit("\nComments:\n"))
+    subject_head = F.col("_subject_head")
 
     def one(i: Column) -> Column:
         piece = F.slice(noted, i * journals_per_chunk + 1, F.lit(journals_per_chunk))
-        lines = F.array_join(F.transform(
-            piece, lambda j: F.concat(F.lit("- "), name_of(j.getField("user"), C.UNKNOWN_USER),
-                                      F.lit(": "), j.getField("notes"))), "\n")
+        lines = F.array_join(piece, "\n")
         return F.struct(
-            F.concat(F.lit("issue_"), iid, F.lit("_chunk_"), (i + 1).cast("string")).alias("id"),
+            F.concat(F.lit("issue_"), F.col("_iid"), F.lit("_chunk_"), (i + 1).cast("string")).alias("id"),
             truncate(F.concat(subject_head, lines), max_text_len).alias("text"),
             (i + 1).cast("int").alias("chunk_index"),
             F.lit(False).alias("is_description"),
@@ -120,7 +124,15 @@ def prepare_chunks(issues: DataFrame, journals_per_chunk: int = C.JOURNALS_PER_C
     # explode_outer: the array always holds chunk 0, and a plain explode
     # makes the optimizer add a size(array) > 0 filter that re-evaluates
     # the whole chunk expression (scrub, strip, truncate) a second time
-    with_chunks = issues.withColumn("_chunks", chunk_structs(journals_per_chunk, max_text_len))
+    lines = F.transform(noted_journals(F.col("journals")),
+                        lambda j: F.concat(F.lit("- "), name_of(j.getField("user"), C.UNKNOWN_USER),
+                                           F.lit(": "), j.getField("notes")))
+    with_chunks = (issues
+                   .withColumn("_lines", lines)
+                   .withColumn("_iid", id_text("id"))
+                   .withColumn("_subject_head", F.concat(F.lit("Subject: "), or_empty("subject"),
+                                                         F.lit("\nComments:\n")))
+                   .withColumn("_chunks", chunk_structs(journals_per_chunk, max_text_len)))
     exploded = with_chunks.select(*metadata_columns(), F.explode_outer("_chunks").alias("c"))
     return exploded.select(
         F.col("c.id").alias("id"), F.col("c.text").alias("text"), *META_NAMES,

@@ -241,13 +241,14 @@ def candidates(spark: SparkSession, collection: DataFrame, questions: DataFrame,
     fcols = tuple(c for c in spec.filter_cols)
     qcols = ["question_id", "vector"] + [c for c in fcols if c in questions.columns]
     questions = questions.select(*qcols)
-    stats = questions.agg(F.count(F.lit(1)).alias("n"),
-                          F.max(F.size("vector")).alias("dim")).first()
-    n_q, dim = int(stats["n"]), int(stats["dim"] or 0)
+    # counting the ids does not evaluate the (possibly model-computed) vectors
+    n_q = questions.select("question_id").count()
     coll = collection.select("id", "parent", *fcols, "embedding")
     if n_q == 0:
         return spark.createDataFrame([], CANDIDATE_SCHEMA)
-    # measured size of the broadcast block: vectors + filter strings + ids
+    # size of the broadcast block: vectors (dim from one row) + filters + ids
+    first = questions.select(F.size("vector").alias("d")).where(F.col("d") > 0).limit(1).collect()
+    dim = int(first[0]["d"]) if first else 1
     per_q = dim * 8 + 64 * (len(fcols) + 1)
     n_blocks = max(1, math.ceil(n_q * per_q / spec.max_broadcast_bytes))
     if n_blocks > 1:
@@ -317,7 +318,7 @@ def search_bounded(spark: SparkSession, collection: DataFrame, questions: DataFr
     The bound (questions x top_k, from the question count the planner
     measures anyway) is what lets callers broadcast the hits safely.
     """
-    n_q = questions.count()
+    n_q = questions.select("question_id").count()
     return search(spark, collection, questions, spec), n_q * spec.top_k
 
 

@@ -33,9 +33,44 @@ def _display_name(role, anonymize: bool):
     return F.when(uid.isNotNull(), anonymous_name(uid)).otherwise(plain)
 
 
+# Largest issue (comments) that may be gathered into one row; above it the
+# skew-safe path is used.  Measured per run with one partial aggregate.
+GATHER_LIMIT = 50_000
+
+
+def largest_issue(turns: DataFrame) -> int:
+    """Comments in the largest issue (partial aggregation: cheap, skew-proof)."""
+    row = turns.groupBy("conv_id").count().agg(F.max("count").alias("m")).first()
+    return int(row["m"] or 0)
+
+
+def _nested(turns: DataFrame, anonymize: bool) -> DataFrame:
+    from issuelens.operators.anonymize import anonymize_issues
+    from issuelens.sources.adapters import conversation_issues
+
+    issues = conversation_issues(turns)
+    return anonymize_issues(issues) if anonymize else issues
+
+
 def conversation_chunks(turns: DataFrame, journals_per_chunk: int = C.JOURNALS_PER_CHUNK,
-                        max_text_len: int = C.MAX_TEXT_LEN, anonymize: bool = True) -> DataFrame:
-    """Chunks of the conversation issues, from ``conv_id, turn, role, text`` rows."""
+                        max_text_len: int = C.MAX_TEXT_LEN, anonymize: bool = True,
+                        gather_limit: int | None = GATHER_LIMIT) -> DataFrame:
+    """Chunks of the conversation issues, from ``conv_id, turn, role, text`` rows.
+
+    When the largest issue is within ``gather_limit`` comments, issues are
+    gathered (one shuffle) and chunked in-row; otherwise the skew-safe
+    path below runs.  Both give the same rows.
+    """
+    if gather_limit is not None and largest_issue(turns) <= gather_limit:
+        from issuelens.operators.documents import prepare_chunks
+
+        return prepare_chunks(_nested(turns, anonymize), journals_per_chunk, max_text_len)
+    return conversation_chunks_skew_safe(turns, journals_per_chunk, max_text_len, anonymize)
+
+
+def conversation_chunks_skew_safe(turns: DataFrame, journals_per_chunk: int = C.JOURNALS_PER_CHUNK,
+                                  max_text_len: int = C.MAX_TEXT_LEN, anonymize: bool = True) -> DataFrame:
+    """Skew-safe chunking: no issue is ever gathered into one row."""
     t = turns.select("conv_id", "turn", "role", "text")
     facts = t.groupBy("conv_id").agg(
         F.min("turn").alias("t0"),
@@ -96,7 +131,18 @@ def conversation_chunks(turns: DataFrame, journals_per_chunk: int = C.JOURNALS_P
 
 
 def conversation_documents(turns: DataFrame, max_text_len: int = C.MAX_TEXT_LEN,
-                           anonymize: bool = False) -> DataFrame:
+                           anonymize: bool = False, gather_limit: int | None = GATHER_LIMIT) -> DataFrame:
+    """D3 per issue: gathered when the largest issue is within
+    ``gather_limit`` comments, else the bounded path below."""
+    if gather_limit is not None and largest_issue(turns) <= gather_limit:
+        from issuelens.operators.documents import prepare
+
+        return prepare(_nested(turns, anonymize), max_text_len).select("id", "text", "issue_id", "num_journals")
+    return conversation_documents_bounded(turns, max_text_len, anonymize)
+
+
+def conversation_documents_bounded(turns: DataFrame, max_text_len: int = C.MAX_TEXT_LEN,
+                                   anonymize: bool = False) -> DataFrame:
     """D3 from comment rows: one truncated document per issue, bounded work.
 
     Only the first ``max_text_len // 6 + 2`` noted comments, each cut to

@@ -101,7 +101,7 @@ def test_turn_chunks_equal_nested_chunks(spark):
         nested = conversation_issues(turns)
         nested = anonymize_issues(nested) if anon else nested
         want = sorted(tuple(r) for r in D.prepare_chunks(nested, 5, 300).collect())
-        got = sorted(tuple(r) for r in conversation_chunks(turns, 5, 300, anon)
+        got = sorted(tuple(r) for r in conversation_chunks(turns, 5, 300, anon, gather_limit=None)
                      .select(*D.prepare_chunks(nested, 5, 300).columns).collect())
         assert got == want
 
@@ -124,5 +124,5 @@ def test_turn_documents_equal_nested_prepare(spark):
             nested = anonymize_issues(nested) if anon else nested
             want = sorted((r.id, r.text, r.num_journals) for r in D.prepare(nested, max_len).collect())
             got = sorted((r.id, r.text, r.num_journals)
-                         for r in conversation_documents(turns, max_len, anon).collect())
+                         for r in conversation_documents(turns, max_len, anon, gather_limit=None).collect())
             assert got == want
