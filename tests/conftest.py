@@ -24,6 +24,9 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
+    from issuelens.session import ship_package
+
+    ship_package(s)
     yield s
 
 
