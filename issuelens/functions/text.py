@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from issuelens import config as C
 
-_WS = C.PY_WHITESPACE_CLASS
-STRIP_PATTERN = rf"\A{_WS}+|{_WS}+\z"
 
 
 def col_(c: Column | str) -> Column:

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from issuelens.operators.anonymize import anonymize_issues, anonymous_name, run_summary, user_mapping
 from tests.conftest import base_issue, journal

@@ -1,8 +1,8 @@
 import pytest
-from pyspark.sql import functions as F
 
-from issuelens.functions.vector import hash_embed, hash_embed_native
-from issuelens.operators.embed import HashEmbedder, ModelEmbedder, check_model, embed
+
+from issuelens.functions.vector import hash_embed, hash_embed_native, l2_normalize, squared_l2
+from issuelens.operators.embed import ModelEmbedder, check_model, embed
 from tests import pyref
 
 
@@ -42,3 +42,9 @@ def test_hash_embed_forms_agree_with_python(spark):
         want = pyref.hash_vec(t, 16)
         assert all(abs(x - y) < 1e-12 for x, y in zip(r.a, want))
         assert all(abs(x - y) < 1e-12 for x, y in zip(r.b, want))
+
+
+def test_pair_distance_and_normalize(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 2.0], [0.0, 0.0, 0.0])], "a array<double>, b array<double>")
+    r = df.select(squared_l2("a", "b").alias("d"), l2_normalize("a").alias("n")).first()
+    assert r.d == 9.0 and [round(x, 12) for x in r.n] == [round(x / 3, 12) for x in (1.0, 2.0, 2.0)]

@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from issuelens.operators import evaluate as Q
 from issuelens.operators import runlog as T

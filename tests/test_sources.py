@@ -1,7 +1,6 @@
 import json
 import uuid
 
-from pyspark.sql import functions as F
 
 from issuelens.session import scratch_path
 from issuelens.sources import issues as SI

@@ -1,4 +1,3 @@
-import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
