@@ -25,31 +25,44 @@ def anonymous_name(user_id: Column | str) -> Column:
     return F.when(uid.isNotNull(), F.format_string(C.ANON_NAME_FORMAT, uid))
 
 
-def anonymize_user(u: Column) -> Column:
-    """A3: ``{id, User_xxxxx}``; NULL or id-less objects are returned as they are."""
+def anonymize_user(u: Column, strict: bool = False) -> Column:
+    """A3: ``{id, User_xxxxx}``; NULL or id-less objects are returned as they are.
+
+    With ``strict`` an id-less object keeps no name either (``Unknown``).
+    """
+    keep = u
+    if strict:
+        keep = F.when(u.isNotNull(), F.struct(u.getField("id").alias("id"),
+                                              F.lit(C.UNKNOWN_USER).alias("name")))
     return F.when(u.isNotNull() & u.getField("id").isNotNull(),
                   F.struct(u.getField("id").alias("id"),
-                           anonymous_name(u.getField("id")).alias("name"))).otherwise(u)
+                           anonymous_name(u.getField("id")).alias("name"))).otherwise(keep)
 
 
-def anonymize_issues(issues: DataFrame, scrub: bool = True) -> DataFrame:
-    """A4-A6 and A12 on an issue DataFrame; other columns pass through."""
+def anonymize_issues(issues: DataFrame, scrub: bool = True, strict: bool = False) -> DataFrame:
+    """A4-A6 and A12 on an issue DataFrame; other columns pass through.
+
+    ``strict`` (off by default, as in the reference) also masks the names of
+    id-less user objects and scrubs the subject.
+    """
     def journal(j: Column) -> Column:
         notes = j.getField("notes")
         return F.struct(
             j.getField("id").alias("id"),
-            anonymize_user(j.getField("user")).alias("user"),
+            anonymize_user(j.getField("user"), strict).alias("user"),
             (scrub_pii(notes) if scrub else notes).alias("notes"),
             j.getField("created_on").alias("created_on"),
         )
 
     out = (issues
-           .withColumn("author", anonymize_user(F.col("author")))
-           .withColumn("assigned_to", anonymize_user(F.col("assigned_to")))
+           .withColumn("author", anonymize_user(F.col("author"), strict))
+           .withColumn("assigned_to", anonymize_user(F.col("assigned_to"), strict))
            .withColumn("journals", F.transform("journals", journal))
-           .withColumn("watchers", F.transform("watchers", anonymize_user)))
+           .withColumn("watchers", F.transform("watchers", lambda w: anonymize_user(w, strict))))
     if scrub:
         out = out.withColumn("description", scrub_pii("description"))
+    if strict:
+        out = out.withColumn("subject", scrub_pii("subject"))
     return out
 
 

@@ -330,6 +330,13 @@ def search(spark: SparkSession, collection: DataFrame, questions: DataFrame,
     questions:  ``question_id, vector, <filter cols>`` (NULL = no filter)
     returns:    ``question_id, id, parent, score, raw_score, rank, filtered``
     """
+    model = spec.extra.get("embed_model")
+    if model and "embed_model" in collection.columns:
+        # Never rank vectors of another model; parquet min/max stats
+        # make this check skip every row group written by the same model
+        other = collection.where(F.col("embed_model") != F.lit(model)).select("embed_model").limit(1).collect()
+        if other:
+            raise ValueError(f"collection holds vectors of {other[0][0]!r}, questions use {model!r}")
     return rank_candidates(candidates(spark, collection, questions, spec,
                                       int(spec.extra.get("fanin", TREE_FANIN))), spec)
 

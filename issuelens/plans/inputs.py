@@ -131,3 +131,12 @@ def embedded_questions(questions: DataFrame) -> DataFrame:
     # the embedder caps every text it is given, questions included
     return questions.withColumn(
         "vector", HashEmbedder(EMBED_DIM).column(cap(F.col("question"), C.EMBED_MAX_CHARS)))
+
+
+def text_spec(**kw):
+    """Search settings of the text pipelines: ingest defaults plus the
+    embedder's model tag, so a collection of another model is refused."""
+    from issuelens.operators.search import SearchSpec
+
+    extra = {"embed_model": HashEmbedder(EMBED_DIM).name()}
+    return SearchSpec(**{"top_k": C.TOP_K, **kw, "extra": extra})

@@ -339,7 +339,8 @@ def filter_predicate(spark: SparkSession, sf: str) -> DataFrame:
     return meta.where(FL.predicate({"status": "New", "priority": "High"})).select("issue_id", "status", "priority")
 
 
-def _text_hits(spark, sf, spec=SearchSpec(top_k=5)):
+def _text_hits(spark, sf, spec=None):
+    spec = spec or I.text_spec()
     coll = I.text_collection(I.conversation_chunks(spark, sf))
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
     hits, bound = search_bounded(spark, coll, qs, spec)
@@ -368,7 +369,8 @@ def source_list(spark: SparkSession, sf: str) -> DataFrame:
 # Q: retrieval evaluation (benchmark passages inside documents)
 # ---------------------------------------------------------------------------
 
-def _doc_eval(spark, sf, spec=SearchSpec(top_k=5)):
+def _doc_eval(spark, sf, spec=None):
+    spec = spec or I.text_spec()
     coll = I.text_collection(I.document_chunks(spark, sf))
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
     hits, bound = search_bounded(spark, coll, qs, spec)
@@ -405,7 +407,7 @@ def hit_rate_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Q7: hit rate for K in (1, 3, 5) x gate in (none, 1.0)."""
     coll = I.text_collection(I.document_chunks(spark, sf))
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
-    cand = fetch_window(spark, coll, qs, SearchSpec(top_k=5, fallback=False))
+    cand = fetch_window(spark, coll, qs, I.text_spec(fallback=False))
     swept = Q.sweep(cand, [1, 3, 5], [None, 1.0])
     qtext = qs.select("question_id", F.col("question").alias("_q"))
     txt = coll.select("id", "text")
@@ -474,7 +476,7 @@ def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
     qs = FL.extract_filters(qs, "response")
     qv = I.embedded_questions(qs)
     coll = I.text_collection(I.conversation_chunks(spark, sf))
-    hits, bound = search_bounded(spark, coll, qv, SearchSpec(top_k=C.TOP_K))
+    hits, bound = search_bounded(spark, coll, qv, I.text_spec())
     det = R.hit_details(hits, coll, bound)
     prompts = R.build_prompts(qs, det)
     answers = R.generate(prompts, R.citation_model)

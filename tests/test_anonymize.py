@@ -47,3 +47,9 @@ def test_run_summary(make_issues):
     s = run_summary(df, user_mapping(df)).first()
     assert (s.issues_processed, s.distinct_users, s.sample_author_before, s.sample_author_after) == \
         (2, 2, "Alice", "User_00010")
+
+
+def test_strict_masks_idless_and_subject(make_issues):
+    iss = base_issue(subject="mail a@b.com", assigned_to={"id": None, "name": "Ghost"})
+    r = anonymize_issues(make_issues([iss]), strict=True).first()
+    assert r.assigned_to.name == "Unknown" and r.subject == "mail [REDACTED-EMAIL]"

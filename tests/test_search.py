@@ -115,3 +115,12 @@ def test_tree_level_and_blocks_keep_results(spark):
     tree = run(spark, coll_df(spark, rows, parts=9), q_df(spark, qs),
                extra={"fanin": 2, "row_block": 7, "q_block": 4})
     assert tree == base
+
+
+def test_model_mismatch_is_refused(spark):
+    coll = spark.createDataFrame([("a", "a", "New", [0.0], "m1")],
+                                 "id string, parent string, status string, embedding array<double>, embed_model string")
+    q = q_df(spark, [(1, [0.0], None)])
+    assert len(run(spark, coll, q, extra={"embed_model": "m1"})) == 1
+    with pytest.raises(ValueError):
+        run(spark, coll, q, extra={"embed_model": "m2"})
