@@ -86,3 +86,14 @@ def test_ingest_stream_into_collection(spark, make_issues):
     got = sorted((r.id, r.text) for r in coll.read().collect())
     assert got == [("issue_1", "Subject: Test issue subject\nDescription: Test description"),
                    ("issue_1_chunk_1", "Subject: Test issue subject\nComments:\n- User_00002: mail [REDACTED-EMAIL]")]
+
+
+def test_session_counts_match_batch(spark):
+    ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    root = scratch_path(spark, f"test-sess/{uuid.uuid4().hex}")
+    stream = S.file_stream(spark, SF, spark.read.parquet(f"{SF}/events.parquet").schema, "events.parquet")
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    S.run_complete_to_versions(S.session_counts(stream, "ts", "event_type", "6 hours"), f"{root}/t", f"{root}/_c")
+    got = sorted((str(r.s.start), r.event_type, r.n) for r in S.read_latest(spark, f"{root}/t").collect())
+    want = ev.groupBy(F.session_window("ts", "6 hours").alias("s"), "event_type").count()
+    assert got == sorted((str(r.s.start), r.event_type, r["count"]) for r in want.collect())
