@@ -112,8 +112,14 @@ def journal_count(issues: DataFrame) -> Column:
 
 
 def journals_only(issues: DataFrame, projects: Sequence[str] = C.JOURNALS_ONLY_PROJECTS,
-                  project_col: str = "project_identifier") -> DataFrame:
-    """M6: in the listed projects keep only issues that have journals."""
+                  project_col: str = "project_identifier", mode: str = "full") -> DataFrame:
+    """M6: in the listed projects keep only issues that have journals.
+
+    Applied on full loads only; an incremental sync (``mode="incremental"``)
+    keeps every changed issue, as the reference's sync does.
+    """
+    if mode == "incremental":
+        return issues
     has = journal_count(issues) > 0
     listed = F.coalesce(F.col(project_col).isin(*projects), F.lit(False)) if projects else F.lit(False)
     return issues.where(~listed | has)

@@ -100,3 +100,9 @@ def test_collection_versions(spark):
     assert got == [("a", "v1"), ("b", "v2"), ("c", "v2")]
     c.reset()
     assert c.count() == 0
+
+
+def test_journals_only_not_applied_on_sync(make_issues):
+    iss = make_issues([base_issue(id=1, project_identifier="openqatests")])
+    assert M.journals_only(iss).count() == 0
+    assert M.journals_only(iss, mode="incremental").count() == 1

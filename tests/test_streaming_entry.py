@@ -97,3 +97,16 @@ def test_session_counts_match_batch(spark):
     got = sorted((str(r.s.start), r.event_type, r.n) for r in S.read_latest(spark, f"{root}/t").collect())
     want = ev.groupBy(F.session_window("ts", "6 hours").alias("s"), "event_type").count()
     assert got == sorted((str(r.s.start), r.event_type, r["count"]) for r in want.collect())
+
+
+def test_replayed_files_are_dropped(spark):
+    ev = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    root = scratch_path(spark, f"test-replay/{uuid.uuid4().hex}")
+    ev.write.parquet(f"{root}/in/a=1")
+    ev.write.parquet(f"{root}/in/a=2")  # the same updates delivered twice
+    stream = S.file_stream(spark, f"{root}/in/*", ev.schema)
+    out = S.drop_replays(stream, ["event_id"], "ts")
+    q = (out.writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/_c").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert spark.read.parquet(f"{root}/out").count() == ev.count()
