@@ -10,6 +10,7 @@ an uncommitted version, and a crashed job leaves the current version intact.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,8 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Committed versions under ``root``, ascending."""
+def versions(spark: SparkSession, root: str, committed_only: bool = True) -> list[int]:
+    """Versions under ``root``, ascending; by default only committed ones."""
     fs, p = _fs(spark, root)
     if not fs.exists(p):
         return []
@@ -41,7 +42,7 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     for st in fs.listStatus(p):
         name = st.getPath().getName()
         if st.isDirectory() and name.startswith("v="):
-            if fs.exists(st.getPath().suffix("/_SUCCESS")):
+            if not committed_only or fs.exists(st.getPath().suffix("/_SUCCESS")):
                 try:
                     out.append(int(name[2:]))
                 except ValueError:
@@ -49,6 +50,13 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(out)
 
 
+def next_version(spark: SparkSession, root: str) -> int:
+    """A number no directory uses yet: a failed write may have left an
+    uncommitted ``v=<n>`` behind, and a retry must not collide with it."""
+    vs = versions(spark, root, committed_only=False)
+    return (vs[-1] + 1) if vs else 0
+
+
 class Collection:
     def __init__(self, spark: SparkSession, root: str, name: str):
         self.spark = spark
@@ -64,7 +72,7 @@ class Collection:
     def get_or_create(self) -> "Collection":
         """V4: create an empty first version when none exists."""
         if self.current_version() is None:
-            self._write(self.spark.createDataFrame([], COLLECTION_SCHEMA), 0)
+            self._write(self.spark.createDataFrame([], COLLECTION_SCHEMA), next_version(self.spark, self.path))
         return self
 
     def read(self) -> DataFrame:
@@ -79,8 +87,7 @@ class Collection:
 
     def reset(self) -> "Collection":
         """V3: an empty new version; no error if the collection is absent."""
-        nxt = (self.current_version() or 0) + 1
-        self._write(self.spark.createDataFrame([], COLLECTION_SCHEMA), nxt)
+        self._write(self.spark.createDataFrame([], COLLECTION_SCHEMA), next_version(self.spark, self.path))
         return self
 
     def _write(self, df: DataFrame, v: int) -> None:
@@ -88,8 +95,7 @@ class Collection:
 
     def write_version(self, df: DataFrame) -> int:
         """Write ``df`` (already de-duplicated) as the next version; one job."""
-        cur = self.current_version()
-        nxt = 0 if cur is None else cur + 1
+        nxt = next_version(self.spark, self.path)
         self._write(df, nxt)
         return nxt
 
@@ -99,18 +105,25 @@ class Collection:
         Empty input is a no-op.  With ``prune_stale`` the chunks of touched
         issues that are not in the incoming batch are removed as well.
         """
-        incoming = incoming.select(*[f.name for f in COLLECTION_SCHEMA.fields])
-        # duplicate ids inside one batch keep a single row; callers that need
-        # "last one wins" reduce the batch with merge.dedup_last first
-        n_in = incoming.count()
-        if n_in == 0:
-            return None
-        cur = self.read()
-        key = "issue_id" if prune_stale else "id"
-        keys = incoming.select(key).distinct()
-        if n_in <= BROADCAST_ROWS:
-            keys = F.broadcast(keys)
-        kept = cur.join(keys, key, "left_anti")
-        nxt = (self.current_version() if self.current_version() is not None else -1) + 1
-        self._write(kept.unionByName(incoming.dropDuplicates(["id"])), nxt)
-        return nxt
+        # the batch is usually expensive (embedding): compute it once, keep it
+        # for the count and the write (recomputed from lineage if an
+        # executor is lost)
+        incoming = incoming.select(*[f.name for f in COLLECTION_SCHEMA.fields]).persist(
+            StorageLevel.MEMORY_AND_DISK)
+        try:
+            # duplicate ids inside one batch keep a single row; callers that
+            # need "last one wins" reduce the batch with merge.dedup_last first
+            n_in = incoming.count()
+            if n_in == 0:
+                return None
+            cur = self.read()
+            key = "issue_id" if prune_stale else "id"
+            keys = incoming.select(key).distinct()
+            if n_in <= BROADCAST_ROWS:
+                keys = F.broadcast(keys)
+            kept = cur.join(keys, key, "left_anti")
+            nxt = next_version(self.spark, self.path)
+            self._write(kept.unionByName(incoming.dropDuplicates(["id"])), nxt)
+            return nxt
+        finally:
+            incoming.unpersist()

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuelens.operators.collection import versions
+from issuelens.operators.collection import next_version, versions
 from issuelens.schemas import ISSUE, USER_MAPPING
 
 
@@ -55,8 +55,7 @@ def full_scan(issues: DataFrame, project_id: str) -> DataFrame:
 def write_issues(issues: DataFrame, root: str, partition_col: str = "project_identifier") -> int:
     """S3: write an issue set as the next version, partitioned by project."""
     spark = issues.sparkSession
-    vs = versions(spark, root)
-    nxt = (vs[-1] + 1) if vs else 0
+    nxt = next_version(spark, root)
     issues.write.mode("errorifexists").partitionBy(partition_col).parquet(f"{root}/v={nxt}")
     return nxt
 

@@ -17,12 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from issuelens.operators import merge as M
-from issuelens.operators.collection import versions
+from issuelens.operators.collection import next_version, versions
 
 
 def _next_version(spark: SparkSession, root: str) -> int:
-    vs = versions(spark, root)
-    return (vs[-1] + 1) if vs else 0
+    return next_version(spark, root)
 
 
 def read_latest(spark: SparkSession, root: str, schema=None) -> DataFrame | None:

@@ -106,3 +106,12 @@ def test_journals_only_not_applied_on_sync(make_issues):
     iss = make_issues([base_issue(id=1, project_identifier="openqatests")])
     assert M.journals_only(iss).count() == 0
     assert M.journals_only(iss, mode="incremental").count() == 1
+
+
+def test_uncommitted_version_is_skipped(spark):
+    import os
+    root = scratch_path(spark, f"test/{uuid.uuid4().hex}")
+    c = Collection(spark, root, "issues").get_or_create()
+    os.makedirs(f"{c.path}/v=1")           # a failed write left this behind
+    c.upsert(_chunks(spark, ["a"], "v1"))   # must not collide with it
+    assert c.current_version() == 2 and [r.id for r in c.read().collect()] == ["a"]
