@@ -243,7 +243,8 @@ def candidates(spark: SparkSession, collection: DataFrame, questions: DataFrame,
     questions = questions.select(*qcols)
     # counting the ids does not evaluate the (possibly model-computed) vectors
     n_q = questions.select("question_id").count()
-    coll = collection.select("id", "parent", *fcols, "embedding")
+    # a chunk without a parent issue is its own parent (V8)
+    coll = collection.select("id", F.coalesce(F.col("parent"), F.col("id")).alias("parent"), *fcols, "embedding")
     if n_q == 0:
         return spark.createDataFrame([], CANDIDATE_SCHEMA)
     # size of the broadcast block: vectors (dim from one row) + filters + ids

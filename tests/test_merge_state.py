@@ -115,3 +115,9 @@ def test_uncommitted_version_is_skipped(spark):
     os.makedirs(f"{c.path}/v=1")           # a failed write left this behind
     c.upsert(_chunks(spark, ["a"], "v1"))   # must not collide with it
     assert c.current_version() == 2 and [r.id for r in c.read().collect()] == ["a"]
+
+
+def test_changed_since_accepts_sync_state_format(spark):
+    df = spark.createDataFrame([(1, "2024-01-15 10:00:00"), (2, "2024-01-15 09:59:59")], "id bigint, t string") \
+        .withColumn("updated_ts", F.to_timestamp("t"))
+    assert [r.id for r in M.changed_since(df, "2024-01-15T10:00:00Z").collect()] == [1]

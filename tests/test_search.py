@@ -124,3 +124,9 @@ def test_model_mismatch_is_refused(spark):
     assert len(run(spark, coll, q, extra={"embed_model": "m1"})) == 1
     with pytest.raises(ValueError):
         run(spark, coll, q, extra={"embed_model": "m2"})
+
+
+def test_hit_without_parent_is_its_own_parent(spark):
+    coll = coll_df(spark, [("x1", None, "New", [0.1]), ("x2", None, "New", [0.2]), ("y", "p", "New", [0.3])])
+    out = run(spark, coll, q_df(spark, [(1, [0.0], None)]))
+    assert [(r[1], r[2]) for r in out] == [("x1", "x1"), ("x2", "x2"), ("y", "p")]
