@@ -50,18 +50,25 @@ def hash_embed_native(text: Column | str, dim: int = 64) -> Column:
     )
 
 
+# Letter/number runs: Python's [^\W_] is exactly str.isalnum(), i.e. the
+# Unicode L and N categories of TOKEN_SPLIT's complement.
+_TOKEN_RE = None
+
+
 def _embed_batch(texts, dim: int):
     import hashlib
+    import re
 
     import numpy as np
-    import regex
 
-    split = regex.compile(TOKEN_SPLIT)
+    global _TOKEN_RE
+    if _TOKEN_RE is None:
+        _TOKEN_RE = re.compile(r"[^\W_]+")
     out = []
     for s in texts:
         v = np.zeros(dim)
         if s is not None:
-            for tok in split.split(s.lower()):
+            for tok in _TOKEN_RE.findall(s.lower()):
                 if tok:
                     v[int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim] += 1.0
         n = float(np.sqrt((v * v).sum()))
