@@ -65,3 +65,21 @@ def test_state_defaults_and_corrupt(spark):
     got = {r.project_id: (r.offset, r.total, list(r.successful_ids), r.failed_ids) for r in cp.collect()}
     assert got == {"c": (10, 2, [1, 2, 3], {}), "d": (0, None, [], {})}
     assert {r.project_id: r.complete for r in SS.is_complete(cp).collect()} == {"c": True, "d": None}
+
+
+def test_result_sinks(spark):
+    from pyspark.sql import functions as F
+
+    from issuelens.operators.answer import numbered_results
+
+    root = scratch_path(spark, f"test-sinks/{uuid.uuid4().hex}")
+    answers = spark.createDataFrame([(2, "why?", "because"), (1, "what?", "that")],
+                                    "question_id bigint, question string, answer string")
+    SQ.write_numbered(numbered_results(answers), f"{root}/numbered")
+    text = "".join(r.value + "\n" for r in spark.read.text(f"{root}/numbered").collect())
+    assert text.index("=== Q1/2: what? ===") < text.index("=== Q2/2: why? ===")
+    SQ.write_eval_results(answers.withColumn("hit", F.lit(None).cast("boolean")), f"{root}/eval")
+    assert spark.read.json(f"{root}/eval").count() == 2
+    mapping = spark.createDataFrame([(10, "Alice", "User_00010")], "user_id bigint, original_name string, anonymous_name string")
+    SI.write_user_mapping(mapping, f"{root}/mapping")
+    assert spark.read.parquet(f"{root}/mapping").first().anonymous_name == "User_00010"
