@@ -53,6 +53,9 @@ def hash_embed_native(text: Column | str, dim: int = 64) -> Column:
 # Letter/number runs: Python's [^\W_] is exactly str.isalnum(), i.e. the
 # Unicode L and N categories of TOKEN_SPLIT's complement.
 _TOKEN_RE = None
+# token -> 32-bit hash, per Python worker; bounded, cleared when full
+_HASHES: dict = {}
+_HASH_CACHE_MAX = 500_000
 
 
 def _embed_batch(texts, dim: int):
@@ -64,13 +67,18 @@ def _embed_batch(texts, dim: int):
     global _TOKEN_RE
     if _TOKEN_RE is None:
         _TOKEN_RE = re.compile(r"[^\W_]+")
+    cache = _HASHES
     out = []
     for s in texts:
         v = np.zeros(dim)
         if s is not None:
             for tok in _TOKEN_RE.findall(s.lower()):
-                if tok:
-                    v[int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16) % dim] += 1.0
+                h = cache.get(tok)
+                if h is None:
+                    if len(cache) >= _HASH_CACHE_MAX:
+                        cache.clear()
+                    h = cache[tok] = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16)
+                v[h % dim] += 1.0
         n = float(np.sqrt((v * v).sum()))
         out.append(v / n if n > 0 else v)
     return out
