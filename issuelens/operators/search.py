@@ -16,8 +16,10 @@ most ``fetch_k`` candidates per question and pass.  The question block is
 broadcast only after its size is measured; larger question sets are split
 into hash blocks that are searched one after another and unioned.
 
-Ranking uses ``(round(score, 9), id)`` so ties and last-bit differences
-between engines resolve the same way everywhere.  Filtered search and the
+Ranking uses ``(rkey, id)`` with ``rkey = round(score, 9)`` computed once
+in the kernel, so ties and last-bit differences resolve the same way
+everywhere, and the kernel can cut every question to exactly ``fetch_k``
+rows: a group of identical copies (equal scores) never floods the shuffle.  Filtered search and the
 unfiltered fallback search are computed in the same scan (pass 1 and
 pass 2) so the fallback never re-reads the collection.
 """
@@ -40,9 +42,6 @@ from issuelens import config as C
 DEFAULT_FILTER_COLS = ("status", "priority", "project_id")
 RANK_DIGITS = 9
 OUT_DIGITS = 6
-# Candidates within this distance of the k-th one are kept by the kernel,
-# so the exact final order is always decided on the Spark side.
-SLACK = 1e-8
 # Working-set limits of the kernel: distances are computed for at most
 # ROW_BLOCK chunks x Q_BLOCK questions at a time (16 MB of doubles).
 ROW_BLOCK = 2048
@@ -57,6 +56,7 @@ CANDIDATE_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("parent", T.StringType()),
     T.StructField("score", T.DoubleType()),
+    T.StructField("rkey", T.DoubleType()),
 ])
 
 
@@ -96,38 +96,45 @@ def _distances(emb: np.ndarray, qmat: np.ndarray, metric: str) -> np.ndarray:
     return d
 
 
+def _top(df: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Exactly the first ``k`` rows per (question, pass) by ``(rkey, id)``."""
+    df = df.sort_values(["question_id", "pass", "rkey", "id"], kind="stable")
+    return df.groupby(["question_id", "pass"], sort=False).head(k)
+
+
 def _select(scores: np.ndarray, ids: np.ndarray, parents: np.ndarray,
             qids: np.ndarray, pass_no: int, k: int) -> pd.DataFrame | None:
-    """Rows within ``SLACK`` of the k-th best score of every column."""
+    """The first ``k`` rows of every column by ``(rkey, id)``.
+
+    Rows above the k-th key are dropped with a partition; rows tied at the
+    k-th key (copies) are cut by id, so at most ``k`` rows per column leave.
+    """
     n, m = scores.shape
     if n == 0 or m == 0:
         return None
+    keys = np.round(scores, RANK_DIGITS)
     if n > k:
-        kth = np.partition(scores, k - 1, axis=0)[k - 1]
-        keep = scores <= (kth + SLACK)[None, :]
+        kth = np.partition(keys, k - 1, axis=0)[k - 1]
+        keep = keys <= kth[None, :]
     else:
-        keep = np.ones(scores.shape, dtype=bool)
-    keep &= np.isfinite(scores)
+        keep = np.ones(keys.shape, dtype=bool)
+    keep &= np.isfinite(keys)
     r, c = np.nonzero(keep)
     if r.size == 0:
         return None
-    return pd.DataFrame({
+    return _top(pd.DataFrame({
         "question_id": qids[c],
         "pass": np.full(r.size, pass_no, dtype=np.int32),
         "id": ids[r],
         "parent": parents[r],
         "score": scores[r, c],
-    })
+        "rkey": keys[r, c],
+    }), k)
 
 
 def _reduce(df: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Keep, per (question, pass), the rows within SLACK of the k-th best."""
-    df = df.sort_values(["question_id", "pass", "score"], kind="stable")
-    pos = df.groupby(["question_id", "pass"], sort=False).cumcount().to_numpy()
-    kth = df.loc[pos == k - 1, ["question_id", "pass", "score"]].rename(columns={"score": "kth"})
-    df = df.merge(kth, on=["question_id", "pass"], how="left")
-    keep = df["kth"].isna() | (df["score"] <= df["kth"] + SLACK)
-    return df.loc[keep, ["question_id", "pass", "id", "parent", "score"]]
+    """Keep, per (question, pass), the first ``k`` rows by ``(rkey, id)``."""
+    return _top(df, k)[["question_id", "pass", "id", "parent", "score", "rkey"]]
 
 
 def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fallback: bool,
@@ -182,7 +189,8 @@ def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fa
             out = _reduce(pd.concat(acc, ignore_index=True), fetch_k)
             yield pa.RecordBatch.from_pandas(out, schema=pa.schema([
                 ("question_id", pa.int64()), ("pass", pa.int32()), ("id", pa.string()),
-                ("parent", pa.string()), ("score", pa.float64())]), preserve_index=False)
+                ("parent", pa.string()), ("score", pa.float64()), ("rkey", pa.float64())]),
+                preserve_index=False)
 
     def _block(emb, ids, parents, cvals, qmat, qids, qfilters, has_filter):
         """Candidates of one (rows x questions) block for passes 0, 1, 2."""
@@ -280,14 +288,14 @@ def _tree_level(cand: DataFrame, coll: DataFrame, fetch_k: int, fanin: int) -> D
     if n_parts <= fanin:
         return cand
     g = (F.spark_partition_id() / F.lit(fanin)).cast("int")
-    w = Window.partitionBy("question_id", "pass", "_g").orderBy(F.round("score", RANK_DIGITS), "id")
+    w = Window.partitionBy("question_id", "pass", "_g").orderBy("rkey", "id")
     return (cand.withColumn("_g", g).withColumn("_r", F.row_number().over(w))
             .where(F.col("_r") <= fetch_k).drop("_g", "_r"))
 
 
 def rank_candidates(cand: DataFrame, spec: SearchSpec) -> DataFrame:
     """V7-V10 and R6 on the candidate rows; one shuffle by question id."""
-    cand = cand.repartition("question_id").withColumn("rscore", F.round("score", RANK_DIGITS))
+    cand = cand.repartition("question_id").withColumn("rscore", F.col("rkey"))
     w_pass = Window.partitionBy("question_id", "pass").orderBy("rscore", "id")
     hits = (cand.withColumn("_fetch", F.row_number().over(w_pass))
             .where(F.col("_fetch") <= spec.fetch_k))
@@ -350,7 +358,7 @@ def fetch_window(spark: SparkSession, collection: DataFrame, questions: DataFram
     several K / threshold settings from one scan (Q7).
     """
     cand = candidates(spark, collection, questions, spec).where(F.col("pass") < 2)
-    cand = cand.repartition("question_id").withColumn("rscore", F.round("score", RANK_DIGITS))
+    cand = cand.repartition("question_id").withColumn("rscore", F.col("rkey"))
     w = Window.partitionBy("question_id").orderBy("rscore", "id")
     return (cand.withColumn("fetch_rank", F.row_number().over(w))
             .where(F.col("fetch_rank") <= spec.fetch_k)

@@ -130,3 +130,20 @@ def test_hit_without_parent_is_its_own_parent(spark):
     coll = coll_df(spark, [("x1", None, "New", [0.1]), ("x2", None, "New", [0.2]), ("y", "p", "New", [0.3])])
     out = run(spark, coll, q_df(spark, [(1, [0.0], None)]))
     assert [(r[1], r[2]) for r in out] == [("x1", "x1"), ("x2", "x2"), ("y", "p")]
+
+
+def test_group_of_copies_stays_bounded(spark):
+    from issuelens.operators.search import candidates
+
+    rnd = random.Random(9)
+    copy = [0.5, 0.5, 0.5]
+    rows = [(f"c{i:04d}", f"p{i:04d}", "New", copy) for i in range(600)]
+    rows += [(f"r{i:04d}", f"r{i:04d}", "New", [rnd.random() + 2 for _ in range(3)]) for i in range(100)]
+    coll = coll_df(spark, rows, parts=4)
+    qs = q_df(spark, [(1, [0.5, 0.5, 0.5], None), (2, [0.0, 0.0, 0.0], None)])
+    out = run(spark, coll, qs, top_k=5, deduplicate=False)
+    assert [r[1] for r in out if r[0] == 1] == [f"c{i:04d}" for i in range(5)]
+    assert [r[1] for r in out if r[0] == 2] == [f"c{i:04d}" for i in range(5)]
+    spec = SearchSpec(top_k=5, deduplicate=False, filter_cols=("status",))
+    n = candidates(spark, coll, qs, spec).count()
+    assert n <= coll.rdd.getNumPartitions() * 2 * spec.fetch_k
