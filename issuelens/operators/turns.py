@@ -178,3 +178,73 @@ def conversation_documents_bounded(turns: DataFrame, max_text_len: int = C.MAX_T
         truncate(py_strip(head), max_text_len).alias("text"),
         id_text("conv_id").alias("issue_id"),
         (F.col("n") - 1).cast("bigint").alias("num_journals"))
+
+
+def join_ranked(lines: DataFrame, key: str, rank_col: str, line_col: str, sep: str,
+                block: int = 1000) -> DataFrame:
+    """``key, joined``: lines joined in rank order, in two bounded levels.
+
+    Level one joins blocks of ``block`` consecutive ranks (bounded groups);
+    level two joins the block strings of a key.  No group ever collects a
+    key's raw rows; only the output string itself is per key.
+    """
+    b = (F.floor((F.col(rank_col) - 1) / block)).cast("bigint")
+    blocks = (lines.groupBy(key, b.alias("_b"))
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank_col, line_col))),
+                                            lambda x: x.getField(line_col)), sep).alias("_t")))
+    return (blocks.groupBy(key)
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_t"))),
+                                          lambda x: x.getField("_t")), sep).alias("joined")))
+
+
+def conversation_journal_text(turns: DataFrame, gather_limit: int | None = GATHER_LIMIT) -> DataFrame:
+    """D2 per issue: ``issue_id`` (conv id), ``comments``."""
+    if gather_limit is not None and largest_issue(turns) <= gather_limit:
+        from issuelens.operators.documents import journal_lines
+        from issuelens.sources.adapters import conversation_issues
+
+        return conversation_issues(turns).select(F.col("id").alias("issue_id"),
+                                                 journal_lines(F.col("journals")).alias("comments"))
+    t = turns.select("conv_id", "turn", "role", "text")
+    t0 = t.groupBy("conv_id").agg(F.min("turn").alias("t0"))
+    noted = (t.join(t0, "conv_id").where((F.col("turn") > F.col("t0")) & non_empty("text"))
+             .select("conv_id", "turn", F.concat(F.lit("- "), _display_name(F.col("role"), False),
+                                                 F.lit(": "), F.col("text")).alias("line")))
+    joined = join_ranked(with_key_rank(noted, "conv_id", ["turn"], "r"), "conv_id", "r", "line", "\n")
+    return (t0.join(joined, "conv_id", "left")
+            .select(F.col("conv_id").alias("issue_id"), F.coalesce("joined", F.lit("")).alias("comments")))
+
+
+def conversation_user_lists(turns: DataFrame, gather_limit: int | None = GATHER_LIMIT) -> DataFrame:
+    """A3-A6 + A12 flattened per issue: author, journal users, scrubbed notes, description."""
+    if gather_limit is not None and largest_issue(turns) <= gather_limit:
+        from issuelens.operators.anonymize import anonymize_issues
+        from issuelens.sources.adapters import conversation_issues
+
+        a = anonymize_issues(conversation_issues(turns))
+        return a.select(
+            F.col("id").alias("issue_id"), F.col("author.name").alias("author_name"),
+            F.array_join(F.transform("journals", lambda j: F.coalesce(j.getField("user").getField("name"),
+                                                                       F.lit(""))), ",").alias("journal_users"),
+            F.array_join(F.transform("journals", lambda j: F.coalesce(j.getField("notes"), F.lit(""))),
+                         "\n").alias("notes"),
+            F.col("description"))
+    t = turns.select("conv_id", "turn", "role", "text")
+    facts = t.groupBy("conv_id").agg(F.min("turn").alias("t0"),
+                                     F.min_by(F.struct("role", "text"), F.col("turn")).alias("first"))
+    uid = _lookup(F.col("role"), ROLE_USER_IDS).cast("bigint")
+    later = (t.join(facts.select("conv_id", "t0"), "conv_id").where(F.col("turn") > F.col("t0"))
+             .select("conv_id", "turn",
+                     F.coalesce(F.when(uid.isNotNull(), anonymous_name(uid)).otherwise(F.col("role")),
+                                F.lit("")).alias("u"),
+                     F.coalesce(scrub_pii("text"), F.lit("")).alias("note")))
+    ranked = with_key_rank(later, "conv_id", ["turn"], "r")
+    users = join_ranked(ranked, "conv_id", "r", "u", ",").withColumnRenamed("joined", "journal_users")
+    notes = join_ranked(ranked, "conv_id", "r", "note", "\n").withColumnRenamed("joined", "notes")
+    auid = _lookup(F.col("first.role"), ROLE_USER_IDS).cast("bigint")
+    return (facts.join(users, "conv_id", "left").join(notes, "conv_id", "left")
+            .select(F.col("conv_id").alias("issue_id"),
+                    F.when(auid.isNotNull(), anonymous_name(auid)).otherwise(F.col("first.role")).alias("author_name"),
+                    F.coalesce("journal_users", F.lit("")).alias("journal_users"),
+                    F.coalesce("notes", F.lit("")).alias("notes"),
+                    scrub_pii(F.col("first.text")).alias("description")))

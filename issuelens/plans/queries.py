@@ -38,9 +38,8 @@ def issue_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def journal_text(spark: SparkSession, sf: str) -> DataFrame:
-    """Rendered comment lines per issue."""
-    return I.conv_issues(spark, sf).select(
-        F.col("id").alias("issue_id"), D.journal_lines(F.col("journals")).alias("comments"))
+    """Rendered comment lines per issue (bounded assembly above the gather limit)."""
+    return TU.conversation_journal_text(read_table(spark, sf, "conversations"))
 
 
 def prepare_single(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,16 +117,7 @@ def user_mapping(spark: SparkSession, sf: str) -> DataFrame:
 
 def anonymize_users(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation issues after anonymisation, flattened."""
-    a = anonymize_issues(I.conv_issues(spark, sf))
-    return a.select(
-        F.col("id").alias("issue_id"),
-        F.col("author.name").alias("author_name"),
-        F.array_join(F.transform("journals", lambda j: F.coalesce(j.getField("user").getField("name"),
-                                                                   F.lit(""))), ",").alias("journal_users"),
-        F.array_join(F.transform("journals", lambda j: F.coalesce(j.getField("notes"), F.lit(""))),
-                     "\n").alias("notes"),
-        F.col("description"),
-    )
+    return TU.conversation_user_lists(read_table(spark, sf, "conversations"))
 
 
 def anonymize_summary(spark: SparkSession, sf: str) -> DataFrame:

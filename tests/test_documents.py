@@ -126,3 +126,18 @@ def test_turn_documents_equal_nested_prepare(spark):
             got = sorted((r.id, r.text, r.num_journals)
                          for r in conversation_documents(turns, max_len, anon, gather_limit=None).collect())
             assert got == want
+
+
+def test_turn_renderings_equal_gathered(spark):
+    from issuelens.operators.turns import conversation_journal_text, conversation_user_lists
+
+    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    hot = spark.range(1, 2600).select(F.lit(999).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                      F.when(F.col("id") % 4 == 0, "system").otherwise("user").alias("role"),
+                                      F.when(F.col("id") % 9 == 0, "").otherwise(
+                                          F.concat(F.lit("ip 10.0.0."), F.col("id").cast("string"))).alias("text"))
+    turns = conv.unionByName(hot).repartition(5)
+    for fn in (conversation_journal_text, conversation_user_lists):
+        want = sorted(tuple(r) for r in fn(turns).collect())
+        got = sorted(tuple(r) for r in fn(turns, gather_limit=None).collect())
+        assert got == want
