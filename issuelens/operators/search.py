@@ -243,21 +243,29 @@ def _question_payload(pdf: pd.DataFrame, filter_cols: tuple[str, ...]) -> dict:
             "filters": filters, "has_filter": has}
 
 
+# Up to this many questions one block always fits the broadcast budget for
+# vectors of up to 2048 dimensions, so no dimension probe is needed.
+SMALL_BATCH = 4096
+
+
 def candidates(spark: SparkSession, collection: DataFrame, questions: DataFrame,
-               spec: SearchSpec, fanin: int = TREE_FANIN) -> DataFrame:
+               spec: SearchSpec, fanin: int = TREE_FANIN, n_questions: int | None = None) -> DataFrame:
     """Kernel output for all question blocks: ``CANDIDATE_SCHEMA`` rows."""
     fcols = tuple(c for c in spec.filter_cols)
     qcols = ["question_id", "vector"] + [c for c in fcols if c in questions.columns]
     questions = questions.select(*qcols)
     # counting the ids does not evaluate the (possibly model-computed) vectors
-    n_q = questions.select("question_id").count()
+    n_q = n_questions if n_questions is not None else questions.select("question_id").count()
     # a chunk without a parent issue is its own parent (V8)
     coll = collection.select("id", F.coalesce(F.col("parent"), F.col("id")).alias("parent"), *fcols, "embedding")
     if n_q == 0:
         return spark.createDataFrame([], CANDIDATE_SCHEMA)
     # size of the broadcast block: vectors (dim from one row) + filters + ids
-    first = questions.select(F.size("vector").alias("d")).where(F.col("d") > 0).limit(1).collect()
-    dim = int(first[0]["d"]) if first else 1
+    if n_q <= SMALL_BATCH and spec.max_broadcast_bytes >= (64 << 20):
+        dim = 2048  # upper bound; the block fits whatever the dimension
+    else:
+        first = questions.select(F.size("vector").alias("d")).where(F.col("d") > 0).limit(1).collect()
+        dim = int(first[0]["d"]) if first else 1
     per_q = dim * 8 + 64 * (len(fcols) + 1)
     n_blocks = max(1, math.ceil(n_q * per_q / spec.max_broadcast_bytes))
     if n_blocks > 1:
@@ -328,11 +336,11 @@ def search_bounded(spark: SparkSession, collection: DataFrame, questions: DataFr
     measures anyway) is what lets callers broadcast the hits safely.
     """
     n_q = questions.select("question_id").count()
-    return search(spark, collection, questions, spec), n_q * spec.top_k
+    return search(spark, collection, questions, spec, n_questions=n_q), n_q * spec.top_k
 
 
 def search(spark: SparkSession, collection: DataFrame, questions: DataFrame,
-           spec: SearchSpec = SearchSpec()) -> DataFrame:
+           spec: SearchSpec = SearchSpec(), n_questions: int | None = None) -> DataFrame:
     """Full retrieval (V5-V12, R6) for a DataFrame of questions.
 
     collection: ``id, parent, <filter cols>, embedding``
@@ -347,7 +355,7 @@ def search(spark: SparkSession, collection: DataFrame, questions: DataFrame,
         if other:
             raise ValueError(f"collection holds vectors of {other[0][0]!r}, questions use {model!r}")
     return rank_candidates(candidates(spark, collection, questions, spec,
-                                      int(spec.extra.get("fanin", TREE_FANIN))), spec)
+                                      int(spec.extra.get("fanin", TREE_FANIN)), n_questions), spec)
 
 
 def fetch_window(spark: SparkSession, collection: DataFrame, questions: DataFrame,
