@@ -262,7 +262,7 @@ def candidates(spark: SparkSession, collection: DataFrame, questions: DataFrame,
         return spark.createDataFrame([], CANDIDATE_SCHEMA)
     # size of the broadcast block: vectors (dim from one row) + filters + ids
     if n_q <= SMALL_BATCH and spec.max_broadcast_bytes >= (64 << 20):
-        dim = 2048  # upper bound; the block fits whatever the dimension
+        dim = 2048  # assumed upper bound: 4096 x 2048 doubles = the 64 MB budget
     else:
         first = questions.select(F.size("vector").alias("d")).where(F.col("d") > 0).limit(1).collect()
         dim = int(first[0]["d"]) if first else 1
