@@ -75,11 +75,13 @@ class Collection:
             self._write(self.spark.createDataFrame([], COLLECTION_SCHEMA), next_version(self.spark, self.path))
         return self
 
-    def read(self) -> DataFrame:
+    def read(self, strict: bool = True) -> DataFrame:
+        """Current version; ``strict=False`` keeps extra metadata columns."""
         v = self.current_version()
         if v is None:
             return self.spark.createDataFrame([], COLLECTION_SCHEMA)
-        return self.spark.read.schema(COLLECTION_SCHEMA).parquet(self._version_path(v))
+        r = self.spark.read.schema(COLLECTION_SCHEMA) if strict else self.spark.read
+        return r.parquet(self._version_path(v))
 
     def count(self) -> int:
         """V2."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from issuelens import config as C
-from issuelens.functions.text import cap
+from issuelens.functions.text import cap, id_text
 from issuelens.functions.vector import l2_normalize
 from issuelens.operators import documents as D
 from issuelens.operators.anonymize import anonymize_issues
@@ -106,7 +106,7 @@ def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return D.prepare_chunks(issues, C.JOURNALS_PER_CHUNK, C.MAX_TEXT_LEN)
 
 
-def text_collection(chunks: DataFrame) -> DataFrame:
+def text_collection(chunks: DataFrame, extra_cols: tuple[str, ...] = ()) -> DataFrame:
     """Chunks + hash embeddings in the search layout (parent = issue id).
 
     The embedded collection is written once as a table version in the
@@ -118,8 +118,19 @@ def text_collection(chunks: DataFrame) -> DataFrame:
     spark = chunks.sparkSession
     emb = embed(chunks, HashEmbedder(EMBED_DIM), "text", C.EMBED_MAX_CHARS)
     coll = Collection(spark, scratch_path(spark, "collections"), uuid.uuid4().hex)
-    coll.write_version(emb.select(*[f.name for f in COLLECTION_SCHEMA.fields]))
-    return coll.read().withColumn("parent", F.col("issue_id"))
+    coll.write_version(emb.select(*[f.name for f in COLLECTION_SCHEMA.fields], *extra_cols))
+    return coll.read(strict=not extra_cols).withColumn("parent", F.col("issue_id"))
+
+
+def labelled_document_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Document chunks with the ``labels`` table as metadata (``quality``,
+    ``toxic`` as strings; NULL for unlabelled documents), joined at ingest
+    so the collection carries them as top-level, filterable columns."""
+    lab = read_table(spark, sf, "labels").select(
+        id_text("doc_id").alias("issue_id"),
+        F.col("quality").cast("string").alias("quality"),
+        F.col("toxic").cast("string").alias("toxic"))
+    return document_chunks(spark, sf).join(lab, "issue_id", "left")
 
 
 def benchmark_questions(spark: SparkSession, sf: str) -> DataFrame:

@@ -648,3 +648,15 @@ ORACLE["stream_chunks"] = f"""
 WITH {DOC_CHUNKS}
 SELECT id, text, issue_id FROM chunks
 """
+
+ORACLE["search_labelled"] = f"""
+WITH {DOC_CHUNKS},
+lab AS (SELECT {iid('doc_id')} AS issue_id, CAST(quality AS VARCHAR) AS quality FROM labels),
+{hash_vectors('cv', 'chunks', 'id', 'text')},
+{hash_vectors('qv', 'benchmark', 'item_id', 'text')},
+tp AS (SELECT qv.k AS question_id, ch.id, ch.issue_id AS parent, pow(list_distance(cv.v, qv.v), 2) AS score
+       FROM qv, cv JOIN chunks ch ON ch.id = cv.k JOIN lab ON lab.issue_id = ch.issue_id
+       WHERE lab.quality = '1'),
+{ranked_search('tp', C.TOP_K, True)}
+SELECT question_id, id, parent, round(score, 6) AS score, rank::BIGINT AS rank, true AS filtered FROM res
+"""

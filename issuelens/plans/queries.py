@@ -355,6 +355,15 @@ def source_list(spark: SparkSession, sf: str) -> DataFrame:
     return R.source_list(det).drop("score_text")
 
 
+def search_labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """V6 with table metadata: benchmark questions over document chunks,
+    restricted to documents labelled ``quality = 1``."""
+    coll = I.text_collection(I.labelled_document_chunks(spark, sf), extra_cols=("quality", "toxic"))
+    qs = I.embedded_questions(I.benchmark_questions(spark, sf)).withColumn("quality", F.lit("1"))
+    hits, _ = search_bounded(spark, coll, qs, I.text_spec(filter_cols=("quality",)))
+    return hits.select("question_id", "id", "parent", "score", "rank", "filtered")
+
+
 # ---------------------------------------------------------------------------
 # Q: retrieval evaluation (benchmark passages inside documents)
 # ---------------------------------------------------------------------------
