@@ -26,6 +26,10 @@ EVENT_PROJECTS = ("view", "click", "purchase", "error", "signup")
 UNION_PROJECTS = ("error", "click", "view")
 JOURNALS_ONLY = ("openqatests", "src0", "src1")
 EMBED_DIM = 64
+# A7 with a parameterised pattern: the noise-URL rule aimed at the hosts of
+# the `pages` table; the other rules stay the fixed ones, in order.
+PAGE_URL_RULE = ("page_url", r"https?://[a-z0-9.\-]*example\.(?:com|net|org)\S*", "[PAGE-URL]")
+PAGE_RULES = (PAGE_URL_RULE,) + tuple(r for r in C.PII_RULES if r[0] != "openqa_url")
 # squared-L2 gate of the registered gate/fallback queries (centroid questions
 # sit ~1.1-1.3 from their nearest vectors, so some pass and some fall back)
 GATE = 1.3

@@ -45,9 +45,9 @@ def anon(uid: str) -> str:
     return f"printf('User_%05d', {uid})"
 
 
-def scrub(s: str, upto: int | None = None) -> str:
+def scrub(s: str, upto: int | None = None, rules=C.PII_RULES) -> str:
     out = s
-    for _, pat, rep in C.PII_RULES[:upto]:
+    for _, pat, rep in rules[:upto]:
         out = f"regexp_replace({out}, {lit(pat)}, {lit(rep)}, 'gi')"
     return out
 
@@ -660,3 +660,9 @@ tp AS (SELECT qv.k AS question_id, ch.id, ch.issue_id AS parent, pow(list_distan
 {ranked_search('tp', C.TOP_K, True)}
 SELECT question_id, id, parent, round(score, 6) AS score, rank::BIGINT AS rank, true AS filtered FROM res
 """
+
+ORACLE["scrub_pages"] = f"""
+SELECT page_id, {scrub("concat_ws(chr(10), url, html)", rules=I.PAGE_RULES)} AS text,
+  {scrub("concat_ws(chr(10), url, html)", rules=I.PAGE_RULES)} <> concat_ws(chr(10), url, html) AS changed
+FROM pages
+"""

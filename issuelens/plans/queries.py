@@ -91,6 +91,14 @@ def scrub_pii(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", s.alias("text"), (s != F.col("text")).alias("changed"))
 
 
+def scrub_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A7-A11 with a parameterised rule list on every page (url + html)."""
+    pages = read_table(spark, sf, "pages")
+    text = F.concat_ws("\n", F.col("url"), F.col("html"))
+    s = _scrub(text, I.PAGE_RULES)
+    return pages.select("page_id", s.alias("text"), (s != text).alias("changed"))
+
+
 def pii_audit_q(spark: SparkSession, sf: str) -> DataFrame:
     """Redacted matches per document and kind, counted."""
     a = pii_audit(I.documents(spark, sf), "doc_id", "text")
