@@ -25,7 +25,7 @@ from issuelens.sources import adapters as A
 from issuelens.operators.search import SearchSpec, fetch_window, search, search_bounded
 from issuelens.functions.pii import scrub_pii as _scrub
 from issuelens.plans import inputs as I
-from issuelens.sources.tables import read_table
+from issuelens.sources.tables import read_table, spread
 
 # ---------------------------------------------------------------------------
 # D: documents and chunks
@@ -93,7 +93,7 @@ def scrub_pii(spark: SparkSession, sf: str) -> DataFrame:
 
 def scrub_pages(spark: SparkSession, sf: str) -> DataFrame:
     """A7-A11 with a parameterised rule list on every page (url + html)."""
-    pages = read_table(spark, sf, "pages")
+    pages = spread(read_table(spark, sf, "pages"))
     text = F.concat_ws("\n", F.col("url"), F.col("html"))
     s = _scrub(text, I.PAGE_RULES)
     return pages.select("page_id", s.alias("text"), (s != text).alias("changed"))
