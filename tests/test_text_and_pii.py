@@ -80,3 +80,24 @@ def test_scrub_matches_python_re_on_random_texts(spark, rnd):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(scrub_pii("t")).collect()]
     assert got == [pyref.scrub(t) for t in texts]
+
+
+def test_parameterised_rule_list(spark):
+    import re
+
+    from issuelens.plans.inputs import PAGE_RULES
+
+    texts = ["http://ththre.example.com/fr/825?page=2&ref=x\n<p>mail a@b.com from 10.1.2.3</p>",
+             "https://m.ththth.example.net/en/25#top <b>db.internal</b>", "no urls here", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(scrub_pii("t", PAGE_RULES)).collect()]
+
+    def py(t):
+        if not t:
+            return t
+        for _, pat, rep in PAGE_RULES:
+            t = re.sub(pat, rep, t, flags=re.IGNORECASE)
+        return t
+
+    assert got == [py(t) for t in texts]
+    assert got[0].startswith("[PAGE-URL]\n") and "[REDACTED-EMAIL]" in got[0] and "[REDACTED-IP]" in got[0]
