@@ -121,3 +121,19 @@ def test_changed_since_accepts_sync_state_format(spark):
     df = spark.createDataFrame([(1, "2024-01-15 10:00:00"), (2, "2024-01-15 09:59:59")], "id bigint, t string") \
         .withColumn("updated_ts", F.to_timestamp("t"))
     assert [r.id for r in M.changed_since(df, "2024-01-15T10:00:00Z").collect()] == [1]
+
+
+def test_upsert_prune_stale_chunks(spark):
+    from issuelens.operators.collection import COLLECTION_SCHEMA
+
+    def chunks(rows):
+        return spark.createDataFrame([(i, t, iss, *[""] * 10, 0, 0, True, [0.0], "m") for i, t, iss in rows],
+                                     COLLECTION_SCHEMA)
+
+    c = Collection(spark, scratch_path(spark, f"test/{uuid.uuid4().hex}"), "issues").get_or_create()
+    c.upsert(chunks([("issue_1", "a", "1"), ("issue_1_chunk_1", "b", "1"), ("issue_2", "c", "2")]))
+    # issue 1 lost its journals: default upsert keeps the stale chunk, prune removes it
+    c.upsert(chunks([("issue_1", "a2", "1")]))
+    assert sorted(r.id for r in c.read().collect()) == ["issue_1", "issue_1_chunk_1", "issue_2"]
+    c.upsert(chunks([("issue_1", "a3", "1")]), prune_stale=True)
+    assert sorted((r.id, r.text) for r in c.read().collect()) == [("issue_1", "a3"), ("issue_2", "c")]
