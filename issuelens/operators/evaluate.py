@@ -113,6 +113,8 @@ def sweep(candidates: DataFrame, ks: Sequence[int], thresholds: Sequence[float |
     c = c.withColumn("_p", F.row_number().over(wpar)).where(F.col("_p") == 1)
     wq = Window.partitionBy("k", "threshold", "question_id").orderBy("fetch_rank")
     c = c.withColumn("rank", F.row_number().over(wq)).where(F.col("rank") <= F.col("k"))
-    best = F.min("score").over(Window.partitionBy("k", "threshold", "question_id"))
+    # the gate compares the same key the search gate uses (score to 9 digits)
+    key = "rkey" if "rkey" in candidates.columns else "score"
+    best = F.min(key).over(Window.partitionBy("k", "threshold", "question_id"))
     c = c.withColumn("_best", best).where(F.col("threshold").isNull() | (F.col("_best") <= F.col("threshold")))
     return c.drop("_p", "_best")

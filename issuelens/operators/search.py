@@ -371,4 +371,4 @@ def fetch_window(spark: SparkSession, collection: DataFrame, questions: DataFram
     return (cand.withColumn("fetch_rank", F.row_number().over(w))
             .where(F.col("fetch_rank") <= spec.fetch_k)
             .select("question_id", "id", "parent", F.round("score", OUT_DIGITS).alias("score"),
-                    F.col("fetch_rank").cast("bigint").alias("fetch_rank")))
+                    F.col("rkey"), F.col("fetch_rank").cast("bigint").alias("fetch_rank")))

@@ -577,7 +577,7 @@ grid AS (SELECT * FROM (VALUES {', '.join(f'({k}, {g}::DOUBLE)' for k in ks for
 g1 AS (SELECT fw.*, grid.k, grid.threshold FROM fw, grid WHERE fw.fetch_rank <= grid.k * {C.OVERFETCH}),
 g2 AS (SELECT * FROM g1 QUALIFY row_number() OVER (PARTITION BY k, threshold, question_id, parent ORDER BY fetch_rank) = 1),
 g3 AS (SELECT *, row_number() OVER (PARTITION BY k, threshold, question_id ORDER BY fetch_rank) AS rank FROM g2 QUALIFY rank <= k),
-g4 AS (SELECT * FROM g3 QUALIFY threshold IS NULL OR min(round(score, 6)) OVER (PARTITION BY k, threshold, question_id) <= threshold),
+g4 AS (SELECT * FROM g3 QUALIFY threshold IS NULL OR min(round(score, 9)) OVER (PARTITION BY k, threshold, question_id) <= threshold),
 rel AS (SELECT g4.k, g4.threshold, g4.question_id, max(CASE WHEN instr(ch.text, b.text) > 0 THEN 1 ELSE 0 END) AS h
         FROM g4 JOIN chunks ch ON ch.id = g4.id JOIN benchmark b ON b.item_id = g4.question_id
         GROUP BY g4.k, g4.threshold, g4.question_id)
