@@ -147,3 +147,22 @@ def test_group_of_copies_stays_bounded(spark):
     spec = SearchSpec(top_k=5, deduplicate=False, filter_cols=("status",))
     n = candidates(spark, coll, qs, spec).count()
     assert n <= coll.rdd.getNumPartitions() * 2 * spec.fetch_k
+
+
+def test_sweep_equals_separate_searches(spark):
+    from issuelens.operators import evaluate as Q
+    from issuelens.operators.search import fetch_window
+
+    rnd = random.Random(21)
+    rows = [(f"c{i:03d}", f"p{rnd.randint(0, 40)}", "New", [rnd.gauss(0, 1) for _ in range(5)]) for i in range(300)]
+    qs = q_df(spark, [(q, [rnd.gauss(0, 1) for _ in range(5)], None) for q in range(12)])
+    coll = coll_df(spark, rows, parts=3)
+    ks, gates = [1, 3, 5], [None, 6.0]
+    cand = fetch_window(spark, coll, qs, SearchSpec(top_k=max(ks), fallback=False, filter_cols=("status",)))
+    swept = {(r.k, r.threshold, r.question_id, r.id) for r in Q.sweep(cand, ks, gates).collect()}
+    want = set()
+    for k in ks:
+        for t in gates:
+            for r in run(spark, coll, qs, top_k=k, score_threshold=t):
+                want.add((k, t, r[0], r[1]))
+    assert swept == want
