@@ -120,7 +120,7 @@ def conversation_chunks_skew_safe(turns: DataFrame, journals_per_chunk: int = C.
     ranked = with_key_rank(later, "conv_id", ["turn"], "r")
     grouped = (ranked.withColumn("chunk_index", (F.floor((F.col("r") - 1) / journals_per_chunk) + 1).cast("int"))
                .groupBy("conv_id", "chunk_index")
-               .agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("ls")))   # <= per rows
+               .agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("ls")))   # <= journals_per_chunk rows
     body = F.array_join(F.transform("ls", lambda x: x.getField("line")), "\n")
     rest = grouped.join(meta, "conv_id").select(
         F.concat(F.lit("issue_"), F.col("issue_id"), F.lit("_chunk_"), F.col("chunk_index").cast("string")).alias("id"),
@@ -166,7 +166,7 @@ def conversation_documents_bounded(turns: DataFrame, max_text_len: int = C.MAX_T
     ranked = with_key_rank(later.select("conv_id", "turn", F.substring(line, 1, max_text_len + 2).alias("line")),
                            "conv_id", ["turn"], "r")
     lines = (ranked.where(F.col("r") <= keep).groupBy("conv_id")
-             .agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("ls")))   # <= keep rows
+             .agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("ls")))   # <= `keep` rows
     comments = F.array_join(F.transform("ls", lambda x: x.getField("line")), "\n")
     j = facts.join(lines, "conv_id", "left")
     head = F.concat_ws(
