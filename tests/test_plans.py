@@ -42,3 +42,10 @@ def test_upsert_and_mapping_aggregate_partially(spark):
     for q in ("merge_upsert", "user_mapping", "dedup_last"):
         p = plan(E.queries()[q](spark, SF))
         assert "partial_max_by" in p or "partial_min_by" in p, q
+
+
+def test_labelled_search_scans_metadata_not_text(spark):
+    p = plan(E.queries()["search_labelled"](spark, SF))
+    scans = [s for s in re.findall(r"ReadSchema: (struct<[^\n]*>)", p) if "embedding" in s]
+    assert scans and all("quality:" in s and "text:" not in s for s in scans)
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
