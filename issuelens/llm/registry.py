@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from issuelens.llm import substring_dedup
+from issuelens.llm import decontaminate, mixing, substring_dedup
 
 QUERIES = {
+    "op4_decontaminate": decontaminate.query,
     "op8_substring_dedup": substring_dedup.query,
+    "op10_mix_sources": mixing.query,
 }
 
 ORACLE = {
+    "op4_decontaminate": decontaminate.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op10_mix_sources": mixing.ORACLE,
 }
