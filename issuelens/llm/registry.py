@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from issuelens.llm import decontaminate, mixing, substring_dedup
+from issuelens.llm import decontaminate, minhash, mixing, substring_dedup
 
 QUERIES = {
+    "op2_minhash_dedup": minhash.query,
     "op4_decontaminate": decontaminate.query,
     "op8_substring_dedup": substring_dedup.query,
     "op10_mix_sources": mixing.query,
 }
 
 ORACLE = {
+    "op2_minhash_dedup": minhash.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
