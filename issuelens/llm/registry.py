@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from issuelens.llm import decontaminate, minhash, mixing, substring_dedup
+from issuelens.llm import chat, decontaminate, minhash, mixing, substring_dedup
 
 QUERIES = {
+    "op1_chat_format": chat.query,
     "op2_minhash_dedup": minhash.query,
     "op4_decontaminate": decontaminate.query,
     "op8_substring_dedup": substring_dedup.query,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_chat_format": chat.ORACLE,
     "op2_minhash_dedup": minhash.ORACLE,
     "op4_decontaminate": decontaminate.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
