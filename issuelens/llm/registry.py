@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from issuelens.llm import chat, decontaminate, minhash, mixing, substring_dedup, toxicity
+from issuelens.llm import chat, decontaminate, langid, minhash, mixing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.query,
     "op2_minhash_dedup": minhash.query,
     "op3_toxicity": toxicity.query,
     "op4_decontaminate": decontaminate.query,
+    "op7_language_id": langid.query,
     "op8_substring_dedup": substring_dedup.query,
     "op10_mix_sources": mixing.query,
 }
