@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from issuelens.llm import chat, decontaminate, html_extract, langid, minhash, mixing, substring_dedup, toxicity
+from issuelens.llm import ann, chat, decontaminate, html_extract, langid, minhash, mixing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_html_extract": html_extract.query,
     "op7_language_id": langid.query,
     "op8_substring_dedup": substring_dedup.query,
+    "op9_nearest": ann.query,
     "op10_mix_sources": mixing.query,
 }
 
