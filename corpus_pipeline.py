@@ -1,27 +1,72 @@
-"""Cleaning a corpus in stages, each over all documents that the stage before kept."""
+"""Cleaning a corpus in stages, each over all documents that the stage before kept.
+
+Toxic documents go; of each group of near-duplicates the smallest doc_id
+stays; passages that an earlier document has are cut; benchmark passages are
+cut, and documents that are mostly benchmark go; what is left is mixed.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from issuelens.llm import blocks
+from issuelens.llm import blocks, decontaminate, minhash, mixing, toxicity
 from issuelens.llm.substring_dedup import substring_dedup
 from issuelens.session import ship_package
 
-#: SQL cannot state the toxicity model and the sketches; tests/llm checks the stages one by one.
+#: SQL cannot state the toxicity model; tests/llm checks the stages one by one.
 ORACLE_SQL = None
 
 
+def _as_before(changed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with n_chars, where there is one, of the text as it is now."""
+    out = changed.select(*docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; the model learns from the labels of these documents."""
+    ship_package(spark)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_documents(spark, docs, model).where("score < 0.5").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component."""
+    ship_package(spark)
+    found = minhash.near_duplicates(spark, docs)
+    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; documents stay."""
     ship_package(spark)
-    return substring_dedup(spark, docs).select(*docs.columns)
+    return _as_before(substring_dedup(spark, docs), docs)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages go, with documents of which they are more than half."""
+    ship_package(spark)
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return _as_before(decontaminate.clean(decontaminate.find_contamination(spark, docs, items)), docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    ship_package(spark)
+    return mixing.mix(spark, docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", drop_near_duplicates),
     ("substring_dedup", cut_repeats),
+    ("decontamination", cut_benchmark),
+    ("mixing", mix_sources),
 ]
 
 

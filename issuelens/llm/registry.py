@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from issuelens.llm import ann, chat, decontaminate, html_extract, langid, minhash, mixing, substring_dedup, toxicity
+from issuelens.llm import ann, chat, decontaminate, html_extract, katz, langid, minhash, mixing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_chat_format": chat.query,
     "op2_minhash_dedup": minhash.query,
     "op3_toxicity": toxicity.query,
     "op4_decontaminate": decontaminate.query,
+    "op5_katz_scores": katz.query,
     "op6_html_extract": html_extract.query,
     "op7_language_id": langid.query,
     "op8_substring_dedup": substring_dedup.query,
