@@ -96,14 +96,9 @@ SYSTEM_PROMPT = (
     "rather than guessing or using outside knowledge."
 )
 
-# Per-hit block and the full prompt; {placeholders} are filled column-wise.
-ISSUE_BLOCK_TEMPLATE = (
-    "[Issue #{issue_id} | {project} | {status} | {priority} | "
-    "created: {created_on} | updated: {updated_on}]\n"
-    "{text}\n"
-)
+# The full prompt around the blocks of hits.
 PROMPT_HEAD = "--- Retrieved Issues ---\n"
-PROMPT_TAIL = "\n--- End of Issues ---\n\nQuestion: {question}\n"
+PROMPT_TAIL = "\n--- End of Issues ---\n\nQuestion: "
 BLOCK_SEPARATOR = "\n---\n"
 
 FILTER_EXTRACTION_PROMPT = """\

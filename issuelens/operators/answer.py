@@ -20,8 +20,6 @@ from issuelens.operators.ordering import with_index
 
 HIT_META = ("issue_id", "project", "status", "priority", "created_on", "updated_on", "subject",
             "project_id")
-# Hit sets at most this many rows are broadcast when joined to the collection.
-BROADCAST_HIT_ROWS = 5_000_000
 
 
 def _meta(c: str) -> Column:
@@ -39,20 +37,15 @@ def issue_block() -> Column:
     )
 
 
-def hit_details(hits: DataFrame, collection: DataFrame, max_hits: int | None = None) -> DataFrame:
+def hit_details(hits: DataFrame, collection: DataFrame) -> DataFrame:
     """Attach text and metadata of each hit (join back on chunk id).
 
-    Every hit comes from the collection, so this is an inner join whose
-    build side is the hit set: broadcast when its proven bound
-    (``max_hits``, questions x top_k) is small, so the collection is only
-    scanned (needed columns, no shuffle).  Without a bound AQE decides.
+    Every hit comes from the collection, so this is an inner join; its
+    strategy is left to the sizes that Spark sees.
     """
     want = ["id", "text"] + [c for c in HIT_META if c in collection.columns]
     coll = collection.select(*want).withColumnRenamed("issue_id", "meta_issue_id")
-    h = hits
-    if max_hits is not None and max_hits <= BROADCAST_HIT_ROWS:
-        h = F.broadcast(hits)
-    out = coll.join(h, "id", "inner")
+    out = coll.join(hits, "id", "inner")
     if "meta_issue_id" in out.columns:
         out = out.withColumnRenamed("meta_issue_id", "issue_id")
     return out
@@ -69,7 +62,7 @@ def build_prompts(questions: DataFrame, detailed_hits: DataFrame) -> DataFrame:
     q = questions.select("question_id", "question")
     return (q.join(blocks, "question_id", "left")
             .select("question_id",
-                    F.concat(F.lit(C.PROMPT_HEAD), body, F.lit("\n--- End of Issues ---\n\nQuestion: "),
+                    F.concat(F.lit(C.PROMPT_HEAD), body, F.lit(C.PROMPT_TAIL),
                              or_empty("question"), F.lit("\n")).alias("prompt")))
 
 

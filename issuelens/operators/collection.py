@@ -22,9 +22,6 @@ COLLECTION_SCHEMA = T.StructType(
     + [T.StructField("embedding", T.ArrayType(T.DoubleType())),
        T.StructField("embed_model", T.StringType())]
 )
-# Incoming batches at most this many rows are broadcast for the anti join;
-# larger ones go through a shuffle join on id.
-BROADCAST_ROWS = 2_000_000
 
 
 def _fs(spark: SparkSession, path: str):
@@ -113,7 +110,7 @@ class Collection:
         incoming = incoming.select(*[f.name for f in COLLECTION_SCHEMA.fields]).persist(
             StorageLevel.MEMORY_AND_DISK)
         try:
-            # duplicate ids inside one batch keep a single row; callers that
+            # of equal ids in one batch the greatest row stays; callers that
             # need "last one wins" reduce the batch with merge.dedup_last first
             n_in = incoming.count()
             if n_in == 0:
@@ -121,11 +118,10 @@ class Collection:
             cur = self.read()
             key = "issue_id" if prune_stale else "id"
             keys = incoming.select(key).distinct()
-            if n_in <= BROADCAST_ROWS:
-                keys = F.broadcast(keys)
             kept = cur.join(keys, key, "left_anti")
             nxt = next_version(self.spark, self.path)
-            self._write(kept.unionByName(incoming.dropDuplicates(["id"])), nxt)
+            one = incoming.groupBy("id").agg(F.max(F.struct(*incoming.columns)).alias("_r")).select("_r.*")
+            self._write(kept.unionByName(one), nxt)
             return nxt
         finally:
             incoming.unpersist()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from issuelens import config as C
 from issuelens.functions.text import col_, py_strip
 
-RAW_FILTERS = "status string, priority string, project string"
+RAW_FIELDS = "status: string, priority: string, project: string"
 FENCE = "```"
 
 
@@ -34,13 +34,16 @@ def unfence(response: Column | str) -> Column:
 def parse_response(response: Column | str) -> Column:
     """R2: raw ``struct(status, priority, project)``; anything but an object gives NULLs.
 
-    Strict JSON: single quotes and other lenient forms are rejected like a
-    standard JSON parser would.
+    Strict JSON: single quotes and other lenient forms are rejected, and so
+    is anything but white space around the object.  The parser stops after
+    the first value it reads; as the one element of an array the object has
+    to end where the text does.
     """
     body = unfence(response)
     is_object = py_strip(body).startswith("{")
-    parsed = F.from_json(body, RAW_FILTERS, {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    return F.when(is_object, parsed)
+    parsed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<struct<{RAW_FIELDS}>>",
+                         {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    return F.when(is_object & (F.size(parsed) == 1), F.get(parsed, 0))
 
 
 def _alias_map() -> Column:

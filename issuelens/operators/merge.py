@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +43,8 @@ def resolve_since_value(state: DataFrame, project_ids: Sequence[str]) -> str:
     return row["since"]
 
 
-def _latest(df: DataFrame, key: str, order: Column) -> DataFrame:
+def latest(df: DataFrame, key: str, order: Column) -> DataFrame:
+    """Of each key the row of the greatest ``order``."""
     cols = df.columns
     return (df.groupBy(key)
             .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_r"))
@@ -59,7 +60,7 @@ def merge_upsert(existing: DataFrame, incoming: DataFrame, key: str = "id",
     """
     both = (existing.withColumn("_src", F.lit(0))
             .unionByName(incoming.withColumn("_src", F.lit(1))))
-    out = _latest(both, key, F.struct(F.col("_src"), F.col(seq_col)))
+    out = latest(both, key, F.struct(F.col("_src"), F.col(seq_col)))
     return out.drop("_src")
 
 
@@ -220,11 +221,3 @@ def sync_state_from_versions(versions: DataFrame, project_col: str = "project_id
     return (versions.groupBy(F.col(project_col).alias("project_id"))
             .agg(F.date_format(F.max(ts_col), ISO_UTC).alias("last_synced_at"),
                  F.lit(1).cast("int").alias("sync_count")))
-
-
-def empty_state(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], T.StructType([
-        T.StructField("project_id", T.StringType()),
-        T.StructField("last_synced_at", T.StringType()),
-        T.StructField("sync_count", T.IntegerType()),
-    ]))

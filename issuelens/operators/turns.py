@@ -21,7 +21,7 @@ from issuelens import config as C
 from issuelens.functions.pii import scrub_pii
 from issuelens.functions.text import first_line, id_text, non_empty, or_empty, py_strip, truncate
 from issuelens.operators.anonymize import anonymous_name
-from issuelens.operators.ordering import with_key_rank
+from issuelens.operators.ordering import with_key_rank, with_key_running_sum
 from issuelens.sources.adapters import ROLE_USER_IDS, _lookup, _project_of
 
 
@@ -33,44 +33,9 @@ def _display_name(role, anonymize: bool):
     return F.when(uid.isNotNull(), anonymous_name(uid)).otherwise(plain)
 
 
-# Largest issue (comments) that may be gathered into one row; above it the
-# skew-safe path is used.  Measured per run with one partial aggregate.
-GATHER_LIMIT = 50_000
-
-
-def largest_issue(turns: DataFrame) -> int:
-    """Comments in the largest issue (partial aggregation: cheap, skew-proof)."""
-    row = turns.groupBy("conv_id").count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
-
-
-def _nested(turns: DataFrame, anonymize: bool) -> DataFrame:
-    from issuelens.operators.anonymize import anonymize_issues
-    from issuelens.sources.adapters import conversation_issues
-
-    issues = conversation_issues(turns)
-    return anonymize_issues(issues) if anonymize else issues
-
-
 def conversation_chunks(turns: DataFrame, journals_per_chunk: int = C.JOURNALS_PER_CHUNK,
-                        max_text_len: int = C.MAX_TEXT_LEN, anonymize: bool = True,
-                        gather_limit: int | None = GATHER_LIMIT) -> DataFrame:
-    """Chunks of the conversation issues, from ``conv_id, turn, role, text`` rows.
-
-    When the largest issue is within ``gather_limit`` comments, issues are
-    gathered (one shuffle) and chunked in-row; otherwise the skew-safe
-    path below runs.  Both give the same rows.
-    """
-    if gather_limit is not None and largest_issue(turns) <= gather_limit:
-        from issuelens.operators.documents import prepare_chunks
-
-        return prepare_chunks(_nested(turns, anonymize), journals_per_chunk, max_text_len)
-    return conversation_chunks_skew_safe(turns, journals_per_chunk, max_text_len, anonymize)
-
-
-def conversation_chunks_skew_safe(turns: DataFrame, journals_per_chunk: int = C.JOURNALS_PER_CHUNK,
-                                  max_text_len: int = C.MAX_TEXT_LEN, anonymize: bool = True) -> DataFrame:
-    """Skew-safe chunking: no issue is ever gathered into one row."""
+                        max_text_len: int = C.MAX_TEXT_LEN, anonymize: bool = True) -> DataFrame:
+    """Chunks of the conversation issues, from ``conv_id, turn, role, text`` rows; no issue is gathered into one row."""
     t = turns.select("conv_id", "turn", "role", "text")
     facts = t.groupBy("conv_id").agg(
         F.min("turn").alias("t0"),
@@ -131,29 +96,14 @@ def conversation_chunks_skew_safe(turns: DataFrame, journals_per_chunk: int = C.
 
 
 def conversation_documents(turns: DataFrame, max_text_len: int = C.MAX_TEXT_LEN,
-                           anonymize: bool = False, gather_limit: int | None = GATHER_LIMIT) -> DataFrame:
-    """D3 per issue: gathered when the largest issue is within
-    ``gather_limit`` comments, else the bounded path below."""
-    if gather_limit is not None and largest_issue(turns) <= gather_limit:
-        from issuelens.operators.documents import prepare
-
-        return prepare(_nested(turns, anonymize), max_text_len).select("id", "text", "issue_id", "num_journals")
-    return conversation_documents_bounded(turns, max_text_len, anonymize)
-
-
-def conversation_documents_bounded(turns: DataFrame, max_text_len: int = C.MAX_TEXT_LEN,
-                                   anonymize: bool = False) -> DataFrame:
+                           anonymize: bool = False) -> DataFrame:
     """D3 from comment rows: one truncated document per issue, bounded work.
 
-    Only the first ``max_text_len // 6 + 2`` noted comments, each cut to
-    ``max_text_len + 2`` characters, can reach the truncated text: every
-    comment line is at least ``- X: n`` (6 characters), so the next line
-    starts beyond the cut, and its non-blank ``- `` keeps the final strip
-    from reaching back past it.  The result equals ``documents.prepare``
-    on the nested issue, while a conversation never gathers more than that
-    bounded slice into one row.
+    Of an issue's noted comments only those that begin within the first
+    ``max_text_len`` characters can reach the truncated text, and only they
+    are gathered, whole.  If others follow, a non-blank mark stands for them,
+    so that the strip does not reach back past the cut.
     """
-    keep = max_text_len // 6 + 2
     t = turns.select("conv_id", "turn", "role", "text")
     facts = t.groupBy("conv_id").agg(
         F.min("turn").alias("t0"), F.count(F.lit(1)).alias("n"),
@@ -163,11 +113,14 @@ def conversation_documents_bounded(turns: DataFrame, max_text_len: int = C.MAX_T
              .where((F.col("turn") > F.col("t0")) & non_empty("text")))
     note = scrub_pii("text") if anonymize else F.col("text")
     line = F.concat(F.lit("- "), _display_name(F.col("role"), anonymize), F.lit(": "), note)
-    ranked = with_key_rank(later.select("conv_id", "turn", F.substring(line, 1, max_text_len + 2).alias("line")),
-                           "conv_id", ["turn"], "r")
-    lines = (ranked.where(F.col("r") <= keep).groupBy("conv_id")
-             .agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("ls")))   # <= `keep` rows
-    comments = F.array_join(F.transform("ls", lambda x: x.getField("line")), "\n")
+    sized = later.select("conv_id", "turn", line.alias("line"), (F.length(line) + 1).cast("bigint").alias("_size"))
+    placed = with_key_running_sum(sized, "conv_id", ["turn"], "_size", "r", "_to")
+    begins = F.col("_to") - F.col("_size") <= max_text_len
+    lines = placed.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.when(begins, F.struct("r", "line")))).alias("ls"),
+        F.count(F.lit(1)).alias("_lines"))
+    comments = F.concat(F.array_join(F.transform("ls", lambda x: x.getField("line")), "\n"),
+                        F.when(F.size("ls") < F.col("_lines"), F.lit("\n- ")).otherwise(F.lit("")))
     j = facts.join(lines, "conv_id", "left")
     head = F.concat_ws(
         "\n", F.concat(F.lit("Subject: "), or_empty(first_line(F.col("first.text")))),
@@ -197,14 +150,8 @@ def join_ranked(lines: DataFrame, key: str, rank_col: str, line_col: str, sep: s
                                           lambda x: x.getField("_t")), sep).alias("joined")))
 
 
-def conversation_journal_text(turns: DataFrame, gather_limit: int | None = GATHER_LIMIT) -> DataFrame:
+def conversation_journal_text(turns: DataFrame) -> DataFrame:
     """D2 per issue: ``issue_id`` (conv id), ``comments``."""
-    if gather_limit is not None and largest_issue(turns) <= gather_limit:
-        from issuelens.operators.documents import journal_lines
-        from issuelens.sources.adapters import conversation_issues
-
-        return conversation_issues(turns).select(F.col("id").alias("issue_id"),
-                                                 journal_lines(F.col("journals")).alias("comments"))
     t = turns.select("conv_id", "turn", "role", "text")
     t0 = t.groupBy("conv_id").agg(F.min("turn").alias("t0"))
     noted = (t.join(t0, "conv_id").where((F.col("turn") > F.col("t0")) & non_empty("text"))
@@ -215,20 +162,8 @@ def conversation_journal_text(turns: DataFrame, gather_limit: int | None = GATHE
             .select(F.col("conv_id").alias("issue_id"), F.coalesce("joined", F.lit("")).alias("comments")))
 
 
-def conversation_user_lists(turns: DataFrame, gather_limit: int | None = GATHER_LIMIT) -> DataFrame:
+def conversation_user_lists(turns: DataFrame) -> DataFrame:
     """A3-A6 + A12 flattened per issue: author, journal users, scrubbed notes, description."""
-    if gather_limit is not None and largest_issue(turns) <= gather_limit:
-        from issuelens.operators.anonymize import anonymize_issues
-        from issuelens.sources.adapters import conversation_issues
-
-        a = anonymize_issues(conversation_issues(turns))
-        return a.select(
-            F.col("id").alias("issue_id"), F.col("author.name").alias("author_name"),
-            F.array_join(F.transform("journals", lambda j: F.coalesce(j.getField("user").getField("name"),
-                                                                       F.lit(""))), ",").alias("journal_users"),
-            F.array_join(F.transform("journals", lambda j: F.coalesce(j.getField("notes"), F.lit(""))),
-                         "\n").alias("notes"),
-            F.col("description"))
     t = turns.select("conv_id", "turn", "role", "text")
     facts = t.groupBy("conv_id").agg(F.min("turn").alias("t0"),
                                      F.min_by(F.struct("role", "text"), F.col("turn")).alias("first"))

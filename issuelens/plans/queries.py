@@ -342,7 +342,7 @@ def _text_hits(spark, sf, spec=None):
     coll = I.text_collection(I.conversation_chunks(spark, sf))
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
     hits, bound = search_bounded(spark, coll, qs, spec)
-    return qs, coll, R.hit_details(hits, coll, bound)
+    return qs, coll, R.hit_details(hits, coll)
 
 
 def prompt(spark: SparkSession, sf: str) -> DataFrame:
@@ -381,7 +381,7 @@ def _doc_eval(spark, sf, spec=None):
     coll = I.text_collection(I.document_chunks(spark, sf))
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
     hits, bound = search_bounded(spark, coll, qs, spec)
-    det = R.hit_details(hits, coll, bound)
+    det = R.hit_details(hits, coll)
     # relevant: the retrieved chunk contains the question's passage
     qtext = qs.select("question_id", F.col("question").alias("_q"))
     det = det.join(qtext, "question_id").withColumn("relevant", F.instr("text", F.col("_q")) > 0)
@@ -418,11 +418,6 @@ def hit_rate_sweep(spark: SparkSession, sf: str) -> DataFrame:
     swept = Q.sweep(cand, [1, 3, 5], [None, 1.0])
     qtext = qs.select("question_id", F.col("question").alias("_q"))
     txt = coll.select("id", "text")
-    # swept rows <= questions x settings x max K: a proven bound, so the
-    # collection is only scanned for the text of those rows
-    bound = qs.count() * 6 * 5
-    if bound <= R.BROADCAST_HIT_ROWS:
-        swept = F.broadcast(swept)
     rel = (txt.join(swept, "id").join(qtext, "question_id")
            .withColumn("relevant", F.instr("text", F.col("_q")) > 0))
     per = rel.groupBy("k", "threshold", "question_id").agg(F.max(F.col("relevant").cast("int")).alias("h"))
@@ -484,7 +479,7 @@ def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
     qv = I.embedded_questions(qs)
     coll = I.text_collection(I.conversation_chunks(spark, sf))
     hits, bound = search_bounded(spark, coll, qv, I.text_spec())
-    det = R.hit_details(hits, coll, bound)
+    det = R.hit_details(hits, coll)
     prompts = R.build_prompts(qs, det)
     answers = R.generate(prompts, R.citation_model)
     n_hits = hits.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_hits"),

@@ -78,8 +78,3 @@ SYNC_STATE = T.StructType([
     T.StructField("sync_count", T.IntegerType()),
 ])
 
-FILTERS = T.StructType([
-    T.StructField("status", T.StringType()),
-    T.StructField("priority", T.StringType()),
-    T.StructField("project", T.StringType()),
-])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
@@ -12,26 +13,27 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app_name: str = "issuelens") -> SparkSession:
     """Session with the settings every job here assumes.
 
-    On a cluster the master and most sizing come from spark-submit; the
-    values here only fill in what is unset.  UTC session time zone keeps
-    timestamp formatting identical on every executor.
+    A session that runs is used as it is, but for the arguments given.  For a
+    new one, spark-submit's settings hold and the values here fill in what
+    is unset.  A UTC time zone keeps timestamps identical on every executor.
     """
-    b = SparkSession.builder.appName(app_name)
-    if master:
-        b = b.master(master)
-    cores = int(os.environ.get("BENCH_CPUS", "8"))
-    b = (
-        b.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
-    )
-    spark = b.getOrCreate()
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        submitted = SparkConf()
+        wanted = {
+            "spark.sql.session.timeZone": "UTC",
+            "spark.sql.execution.arrow.pyspark.enabled": "true",
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+        }
+        if (master or submitted.get("spark.master", "local")).startswith("local"):
+            wanted["spark.driver.memory"] = "16g"  # one JVM does all the work
+        b = SparkSession.builder.appName(app_name)
+        if master:
+            b = b.master(master)
+        spark = b.config(map={k: v for k, v in wanted.items() if not submitted.contains(k)}).getOrCreate()
+    if shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     ship_package(spark)
@@ -41,12 +43,14 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  Only when it is unset (local runs,
-    tests) is a private folder created, so lineage can still be cut with
-    ``checkpoint()`` instead of the executor-local ``localCheckpoint()``.
+    The cluster's setting always wins.  Where it is unset, a local run gets a
+    private folder; on a cluster that is an error, as each machine would
+    write a folder of its own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="issuelens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)

@@ -50,10 +50,9 @@ def _project_of(key: Column) -> Column:
 def conversation_issues(conv: DataFrame) -> DataFrame:
     """One issue per ``conv_id``: first turn = subject/description, later turns = journals.
 
-    The turns of one conversation are gathered into one row (one shuffle by
-    ``conv_id``).  Pipelines call this only after measuring that the largest
-    conversation is within ``operators.turns.GATHER_LIMIT``; above it they
-    work on the turn rows instead.
+    An issue is one row here, its journals an array: for tables whose
+    conversations are known to be short.  The registered queries work on the
+    turn rows instead (``operators.turns``).
     """
     turns = (conv.groupBy("conv_id")
              .agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t")))

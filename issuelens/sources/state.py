@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from issuelens.operators.collection import next_version, versions
 from issuelens.schemas import LOAD_CHECKPOINT, SYNC_STATE
 
 ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -37,20 +38,30 @@ def _read_objects(spark: SparkSession, paths: Sequence[str], schema: T.StructTyp
 
 
 def load_sync_state(spark: SparkSession, state_dir: str, project_ids: Sequence[str]) -> DataFrame:
-    """S9 + S10: ``project_id, last_synced_at, sync_count`` for every listed project."""
-    paths = {p: f"{state_dir.rstrip('/')}/{p}_sync.json" for p in project_ids}
-    got = _read_objects(spark, list(paths.values()), SYNC_STATE)
-    got = got.withColumn("project_id", F.regexp_extract("_file", r"([^/]+)_sync\.json$", 1))
+    """S9 + S10: ``project_id, last_synced_at, sync_count`` for every listed project.
+
+    The newest saved state counts; a project that it lacks is looked up in
+    its own file ``<project>_sync.json``.
+    """
+    root = state_dir.rstrip("/")
+    saved = versions(spark, root)
+    fields = "project_id string, last_synced_at string, sync_count int"
+    table = (spark.read.schema(fields).json(f"{root}/v={saved[-1]}") if saved
+             else spark.createDataFrame([], fields)).where(F.col("project_id").isNotNull())
+    files = _read_objects(spark, [f"{root}/{p}_sync.json" for p in project_ids], SYNC_STATE)
+    files = files.withColumn("project_id", F.regexp_extract("_file", r"([^/]+)_sync\.json$", 1))
+    files = files.select("project_id", "last_synced_at", "sync_count").join(table, "project_id", "left_anti")
     wanted = spark.createDataFrame([(p,) for p in project_ids], "project_id string")
-    return (wanted.join(got, "project_id", "left")
+    return (wanted.join(table.unionByName(files), "project_id", "left")
             .select("project_id", F.col("last_synced_at"),
                     F.coalesce(F.col("sync_count"), F.lit(0)).cast("int").alias("sync_count")))
 
 
 def save_sync_state(state: DataFrame, state_dir: str) -> None:
-    """One JSON object per project, written to a new directory per run."""
+    """One JSON object per project, as a new version under ``state_dir``."""
+    root = state_dir.rstrip("/")
     (state.withColumn("_saved_at", F.date_format(F.current_timestamp(), ISO_UTC))
-     .write.mode("errorifexists").partitionBy("project_id").json(state_dir))
+     .write.mode("errorifexists").json(f"{root}/v={next_version(state.sparkSession, root)}"))
 
 
 def load_checkpoints(spark: SparkSession, state_dir: str, project_ids: Sequence[str]) -> DataFrame:

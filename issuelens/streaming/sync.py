@@ -4,8 +4,8 @@
   next run (the checkpoint records what was consumed).
 * X2: the batch column functions apply unchanged to the streaming frame.
 * X3/X4: ``foreachBatch`` upserts each micro-batch into a versioned table:
-  the batch is reduced to the latest version per key first, then merged,
-  so replayed or overlapping files are absorbed.
+  the latest version per key stays, whichever side has it, so replayed,
+  late or overlapping files are absorbed.
 * X6: watermarked event-time windows.
 
 Output tables and checkpoints live under the shared ``spark.checkpoint.dir``.
@@ -35,15 +35,18 @@ def read_latest(spark: SparkSession, root: str, schema=None) -> DataFrame | None
 
 
 def upsert_batch_writer(table_root: str, key: str, order_col: str):
-    """foreachBatch body: dedup the batch by key (last wins), merge into the table."""
+    """foreachBatch body: the newest version of each key by ``order_col``, of the table and the batch.
+
+    A late or replayed older row never replaces a newer one; of equal
+    versions the incoming one stays.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        latest = M.dedup_last(batch.withColumn("_seq", F.col(order_col)), key, "_seq") \
-            .drop("_seq", "first_seq")
-        cur = read_latest(spark, table_root, latest.schema)
-        merged = latest if cur is None else M.merge_upsert(
-            cur.withColumn("_seq", F.col(order_col)), latest.withColumn("_seq", F.col(order_col)),
-            key, "_seq").drop("_seq")
+        cur = read_latest(spark, table_root, batch.schema)
+        both = batch.withColumn("_src", F.lit(1))
+        if cur is not None:
+            both = cur.withColumn("_src", F.lit(0)).unionByName(both)
+        merged = M.latest(both, key, F.struct(F.col(order_col), F.col("_src"))).drop("_src")
         merged.write.mode("errorifexists").parquet(f"{table_root}/v={_next_version(spark, table_root)}")
     return write
 

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from issuelens.operators import documents as D
@@ -101,7 +102,7 @@ def test_turn_chunks_equal_nested_chunks(spark):
         nested = conversation_issues(turns)
         nested = anonymize_issues(nested) if anon else nested
         want = sorted(tuple(r) for r in D.prepare_chunks(nested, 5, 300).collect())
-        got = sorted(tuple(r) for r in conversation_chunks(turns, 5, 300, anon, gather_limit=None)
+        got = sorted(tuple(r) for r in conversation_chunks(turns, 5, 300, anon)
                      .select(*D.prepare_chunks(nested, 5, 300).columns).collect())
         assert got == want
 
@@ -124,20 +125,52 @@ def test_turn_documents_equal_nested_prepare(spark):
             nested = anonymize_issues(nested) if anon else nested
             want = sorted((r.id, r.text, r.num_journals) for r in D.prepare(nested, max_len).collect())
             got = sorted((r.id, r.text, r.num_journals)
-                         for r in conversation_documents(turns, max_len, anon, gather_limit=None).collect())
+                         for r in conversation_documents(turns, max_len, anon).collect())
             assert got == want
 
 
-def test_turn_renderings_equal_gathered(spark):
+def test_turn_renderings_hold_every_turn_in_order(spark):
     from issuelens.operators.turns import conversation_journal_text, conversation_user_lists
 
-    conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     hot = spark.range(1, 2600).select(F.lit(999).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
                                       F.when(F.col("id") % 4 == 0, "system").otherwise("user").alias("role"),
                                       F.when(F.col("id") % 9 == 0, "").otherwise(
-                                          F.concat(F.lit("ip 10.0.0."), F.col("id").cast("string"))).alias("text"))
-    turns = conv.unionByName(hot).repartition(5)
-    for fn in (conversation_journal_text, conversation_user_lists):
-        want = sorted(tuple(r) for r in fn(turns).collect())
-        got = sorted(tuple(r) for r in fn(turns, gather_limit=None).collect())
-        assert got == want
+                                          F.concat(F.lit("note "), F.col("id").cast("string"))).alias("text"))
+    text = conversation_journal_text(hot.repartition(5)).first().comments
+    assert [int(x.rsplit(" ", 1)[1]) for x in text.split("\n")] == [i for i in range(2, 2600) if i % 9]
+    lists = conversation_user_lists(hot.repartition(5)).first()
+    assert lists.notes.split("\n") == ["" if i % 9 == 0 else f"note {i}" for i in range(2, 2600)]
+    assert len(lists.journal_users.split(",")) == 2598
+
+
+def test_blank_runs_do_not_move_the_cut(spark):
+    from issuelens.operators.turns import conversation_documents
+
+    turns = spark.createDataFrame([(1, 0, "user", "s"), (1, 1, "user", "x" + " " * 9000), (1, 2, "user", "end")],
+                                  "conv_id long, turn long, role string, text string")
+    text = conversation_documents(turns, 8192).first().text
+    assert text.startswith("Subject: s") and len(text) > 8192
+
+
+@pytest.mark.parametrize("partitions", ["8", "200"])
+def test_numbering_keeps_every_row_of_a_hot_key(spark, partitions):
+    from issuelens.operators.ordering import with_index, with_key_rank, with_key_running_sum
+
+    n = 1_000_000
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = spark.range(n).select(
+            F.when(F.col("id") % 5 < 4, 7).otherwise(F.col("id") % 1000).alias("k"),
+            F.xxhash64("id").alias("at"), F.lit(1).alias("one"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        hot = F.col("k") == 7
+        size = rows.where(hot).count()
+        ranked = with_key_rank(rows, "k", ["at"], "r")
+        assert ranked.agg(F.count("*"), F.countDistinct("wide")).first()[:] == (n, n)
+        assert ranked.where(hot).agg(F.min("r"), F.max("r"), F.countDistinct("r")).first()[:] == (1, size, size)
+        run = with_key_running_sum(rows, "k", ["at"], "one", "r", "c")
+        assert run.where("r <> c").count() == 0 and run.count() == n
+        idx = with_index(rows, ["at"], "i", "n")
+        assert idx.agg(F.min("i"), F.max("i"), F.countDistinct("i"), F.min("n")).first()[:] == (1, n, n, n)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

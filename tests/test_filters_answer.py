@@ -87,3 +87,14 @@ def test_numbered_results(spark):
     df = spark.createDataFrame([(i, f"q{i}") for i in (5, 1, 3)], "question_id bigint, question string")
     rows = sorted((r.position, r.header) for r in R.numbered_results(df.repartition(3)).collect())
     assert rows == [(1, "=== Q1/3: q1 ==="), (2, "=== Q2/3: q3 ==="), (3, "=== Q3/3: q5 ===")]
+
+
+def test_text_around_the_object_is_no_filter(spark):
+    cases = [('{"status": "New"}', "New"), (' {"status": "New"} \n', "New"),
+             ('```json\n{"status": "New"}\n```', "New"),
+             ('{"status": "New"}\nThis filters new issues.', None),
+             ('{"status": "New"} {"status": "Closed"}', None), ('{"status": "New"}, {"status": "Closed"}', None),
+             ('[{"status": "New"}]', None), ("{'status': 'New'}", None), ("{}", None), ("", None), (None, None)]
+    rows = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "i int, response string")
+    got = {r.i: r.status for r in FL.extract_filters(rows).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)}

@@ -67,6 +67,17 @@ def test_state_defaults_and_corrupt(spark):
     assert {r.project_id: r.complete for r in SS.is_complete(cp).collect()} == {"c": True, "d": None}
 
 
+def test_saved_state_is_read_back(spark):
+    root = _local(spark, "saved")
+    first = spark.createDataFrame([("a", "2024-01-01T00:00:00Z", 1)], "project_id string, last_synced_at string, sync_count int")
+    SS.save_sync_state(first, root)
+    load = lambda: {r.project_id: (r.last_synced_at, r.sync_count)
+                    for r in SS.load_sync_state(spark, root, ["a", "b"]).collect()}
+    assert load() == {"a": ("2024-01-01T00:00:00Z", 1), "b": (None, 0)}
+    SS.save_sync_state(first.selectExpr("project_id", "'2024-02-02T00:00:00Z' as last_synced_at", "sync_count + 1 as sync_count"), root)
+    assert load()["a"] == ("2024-02-02T00:00:00Z", 2)
+
+
 def test_result_sinks(spark):
     from pyspark.sql import functions as F
 
