@@ -33,9 +33,11 @@ def non_empty(c: Column | str) -> Column:
     return c.isNotNull() & (F.length(c) > 0)
 
 
-def truncate(c: Column | str, max_len: int, suffix: str = C.TRUNCATION_SUFFIX) -> Column:
-    """First ``max_len`` code points plus a marker when the text is longer."""
+def truncate(c: Column | str, max_len: int | None, suffix: str = C.TRUNCATION_SUFFIX) -> Column:
+    """First ``max_len`` code points plus a marker when the text is longer (None: the whole text)."""
     c = col_(c)
+    if max_len is None:
+        return c
     return F.when(F.length(c) > F.lit(max_len),
                   F.concat(F.substring(c, 1, max_len), F.lit(suffix))).otherwise(c)
 

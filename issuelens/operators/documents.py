@@ -117,7 +117,7 @@ def chunk_structs(journals_per_chunk: int, max_text_len: int) -> Column:
 
 
 def prepare_chunks(issues: DataFrame, journals_per_chunk: int = C.JOURNALS_PER_CHUNK,
-                   max_text_len: int = C.CHUNK_MAX_TEXT_LEN) -> DataFrame:
+                   max_text_len: int | None = C.CHUNK_MAX_TEXT_LEN) -> DataFrame:
     """Issue -> chunk rows (at least one per issue)."""
     # chunk array first: its expressions read the raw subject/id columns,
     # which the metadata projection re-uses as output names
@@ -148,3 +148,16 @@ def expansion_counts(chunks: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_chunks"),
     ).select("n_issues", "n_chunks",
              F.round(F.col("n_chunks") / F.nullif(F.col("n_issues"), F.lit(0)), 6).alias("chunks_per_issue"))
+
+
+def embed_windows(chunks: DataFrame, size: int = C.EMBED_MAX_CHARS) -> DataFrame:
+    """Chunks as consecutive windows of what the embedder takes, so that no text stays unembedded.
+
+    The first window keeps the chunk's id, window n gets ``<id>_part_<n>``;
+    the other columns are repeated.
+    """
+    parts = chunks.withColumn("_part", F.explode(F.expr(f"sequence(0, greatest(0, (length(text) - 1) div {size}))")))
+    return (parts.withColumn("id", F.when(F.col("_part") == 0, F.col("id")).otherwise(
+                F.concat("id", F.lit("_part_"), F.col("_part").cast("string"))))
+            .withColumn("text", F.expr(f"substring(text, cast(_part * {size} + 1 as int), {size})"))
+            .drop("_part"))

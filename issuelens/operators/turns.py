@@ -34,7 +34,7 @@ def _display_name(role, anonymize: bool):
 
 
 def conversation_chunks(turns: DataFrame, journals_per_chunk: int = C.JOURNALS_PER_CHUNK,
-                        max_text_len: int = C.MAX_TEXT_LEN, anonymize: bool = True) -> DataFrame:
+                        max_text_len: int | None = C.MAX_TEXT_LEN, anonymize: bool = True) -> DataFrame:
     """Chunks of the conversation issues, from ``conv_id, turn, role, text`` rows; no issue is gathered into one row."""
     t = turns.select("conv_id", "turn", "role", "text")
     facts = t.groupBy("conv_id").agg(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from issuelens import config as C
-from issuelens.functions.text import cap, id_text
+from issuelens.functions.text import id_text
 from issuelens.functions.vector import l2_normalize
 from issuelens.operators import documents as D
 from issuelens.operators.anonymize import anonymize_issues
@@ -96,22 +96,29 @@ def embedding_collection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def conversation_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Anonymised, scrubbed conversation issues -> chunks (ingest settings).
+    """Anonymised, scrubbed conversation issues -> whole chunks, for windows to be embedded.
 
     Built from the turn rows (skew-safe: no conversation is gathered into
     one row); equal to chunking the nested conversation issues.
     """
     return conversation_chunks_from_turns(read_table(spark, sf, "conversations"),
-                                          C.JOURNALS_PER_CHUNK, C.MAX_TEXT_LEN, anonymize=True)
+                                          C.JOURNALS_PER_CHUNK, None, anonymize=True)
 
 
 def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     issues = anonymize_issues(doc_issues(spark, sf))
-    return D.prepare_chunks(issues, C.JOURNALS_PER_CHUNK, C.MAX_TEXT_LEN)
+    return D.prepare_chunks(issues, C.JOURNALS_PER_CHUNK, None)
+
+
+def stored_chunks(chunks: DataFrame) -> DataFrame:
+    """Whole chunks, scrubbed once and written, for windows and for judging hits."""
+    path = scratch_path(chunks.sparkSession, f"chunks/{uuid.uuid4().hex}")
+    chunks.write.parquet(path)
+    return chunks.sparkSession.read.schema(chunks.schema).parquet(path)
 
 
 def text_collection(chunks: DataFrame, extra_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Chunks + hash embeddings in the search layout (parent = issue id).
+    """Windows of whole chunks + hash embeddings in the search layout (parent = issue id).
 
     The embedded collection is written once as a table version in the
     shared checkpoint folder (the ingest step) and read back: the search
@@ -120,7 +127,7 @@ def text_collection(chunks: DataFrame, extra_cols: tuple[str, ...] = ()) -> Data
     an uncached plan would compute it twice: once to count, once to save.)
     """
     spark = chunks.sparkSession
-    emb = embed(chunks, HashEmbedder(EMBED_DIM), "text", C.EMBED_MAX_CHARS)
+    emb = embed(D.embed_windows(chunks), HashEmbedder(EMBED_DIM), "text", None)
     coll = Collection(spark, scratch_path(spark, "collections"), uuid.uuid4().hex)
     coll.write_version(emb.select(*[f.name for f in COLLECTION_SCHEMA.fields], *extra_cols))
     return coll.read(strict=not extra_cols).withColumn("parent", F.col("issue_id"))
@@ -143,9 +150,7 @@ def benchmark_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embedded_questions(questions: DataFrame) -> DataFrame:
-    # the embedder caps every text it is given, questions included
-    return questions.withColumn(
-        "vector", HashEmbedder(EMBED_DIM).column(cap(F.col("question"), C.EMBED_MAX_CHARS)))
+    return questions.withColumn("vector", HashEmbedder(EMBED_DIM).column(F.col("question")))
 
 
 def text_spec(**kw):

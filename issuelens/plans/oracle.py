@@ -29,7 +29,9 @@ def strip(s: str) -> str:
     return f"regexp_replace({s}, {lit(rf'\A{WS}+|{WS}+\z')}, '', 'g')"
 
 
-def trunc(s: str, n: int) -> str:
+def trunc(s: str, n: int | None) -> str:
+    if n is None:
+        return s
     return f"(CASE WHEN length({s}) > {n} THEN left({s}, {n}) || {lit(C.TRUNCATION_SUFFIX)} ELSE {s} END)"
 
 
@@ -90,7 +92,7 @@ ai AS (
 """
 
 
-def conv_chunks(jpc: int, max_len: int, scrubbed: bool, anonymised: bool) -> str:
+def conv_chunks(jpc: int, max_len: int | None, scrubbed: bool, anonymised: bool) -> str:
     """Chunks of the conversation issues (id, text, issue_id, chunk_index, ...)."""
     desc = scrub("text0") if scrubbed else "text0"
     note = scrub("text") if scrubbed else "text"
@@ -119,10 +121,17 @@ chunks AS (
 """
 
 
+# whole chunks -> windows of 1500 characters, each embedded
+WINDOWS = """
+wch AS (SELECT c.* EXCLUDE (id, text), id || CASE WHEN p = 0 THEN '' ELSE '_part_' || CAST(p AS VARCHAR) END AS id,
+               substr(text, p * 1500 + 1, 1500) AS text
+        FROM chunks c, unnest(range(0, greatest(1, (length(text) + 1499) // 1500))) AS t(p))"""
+
+
 DOC_CHUNKS = f"""
 chunks AS (
   SELECT 'issue_' || {iid('doc_id')} AS id,
-    {trunc(strip(f"'Subject: ' || coalesce(split_part(text, {NL}, 1), '') || CASE WHEN {nonempty(scrub('text'))} THEN {NL} || 'Description: ' || {scrub('text')} ELSE '' END"), C.MAX_TEXT_LEN)} AS text,
+    {strip(f"'Subject: ' || coalesce(split_part(text, {NL}, 1), '') || CASE WHEN {nonempty(scrub('text'))} THEN {NL} || 'Description: ' || {scrub('text')} ELSE '' END")} AS text,
     {iid('doc_id')} AS issue_id, '' AS status, '' AS priority, source AS project, source AS project_id,
     '' AS created_on, '' AS updated_on, left(coalesce(split_part(text, {NL}, 1), ''), {C.SUBJECT_META_LEN}) AS subject
   FROM documents)
@@ -130,9 +139,9 @@ chunks AS (
 
 
 def hash_vectors(name: str, src: str, key: str, text: str, dim: int = I.EMBED_DIM) -> str:
-    """``name(key, v)``: md5-bucket hash embedding of ``left(text, 1500)``."""
+    """``name(key, v)``: md5-bucket hash embedding of the whole text."""
     return f"""
-{name}_tok AS (SELECT {key} AS k, unnest(regexp_split_to_array(lower(left(coalesce({text}, ''), {C.EMBED_MAX_CHARS})), '[^\\p{{L}}\\p{{N}}]+')) AS tok FROM {src}),
+{name}_tok AS (SELECT {key} AS k, unnest(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+')) AS tok FROM {src}),
 {name}_b AS (SELECT k, (('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim}) AS b, count(*)::DOUBLE AS cnt
              FROM {name}_tok WHERE tok <> '' GROUP BY k, b),
 {name}_n AS (SELECT k, sqrt(sum(cnt * cnt)) AS nrm FROM {name}_b GROUP BY k),
@@ -477,15 +486,16 @@ def text_search(chunks_cte: str, top_k: int = C.TOP_K) -> str:
     """CTEs: chunks, hash vectors of chunks and benchmark questions, ``res`` hits."""
     return f"""
 {chunks_cte},
-{hash_vectors('cv', 'chunks', 'id', 'text')},
+{WINDOWS},
+{hash_vectors('cv', 'wch', 'id', 'text')},
 {hash_vectors('qv', 'benchmark', 'item_id', 'text')},
 tp AS (SELECT qv.k AS question_id, ch.id, ch.issue_id AS parent, pow(list_distance(cv.v, qv.v), 2) AS score
-       FROM qv, cv JOIN chunks ch ON ch.id = cv.k),
+       FROM qv, cv JOIN wch ch ON ch.id = cv.k),
 {ranked_search('tp', top_k, True)}
 """
 
 
-_CONV_SEARCH = f"""{CONV}, {text_search(conv_chunks(C.JOURNALS_PER_CHUNK, C.MAX_TEXT_LEN, True, True))}"""
+_CONV_SEARCH = f"""{CONV}, {text_search(conv_chunks(C.JOURNALS_PER_CHUNK, None, True, True))}"""
 
 
 def _meta(c: str) -> str:
@@ -499,7 +509,7 @@ _BLOCK = (f"'[Issue #' || {_meta('ch.issue_id')} || ' | ' || {_meta('ch.project'
 ORACLE["prompt"] = f"""
 WITH {_CONV_SEARCH},
 blk AS (SELECT res.question_id, string_agg({_BLOCK}, {lit(C.BLOCK_SEPARATOR)} ORDER BY res.rank) AS body
-        FROM res JOIN chunks ch ON ch.id = res.id GROUP BY res.question_id)
+        FROM res JOIN wch ch ON ch.id = res.id GROUP BY res.question_id)
 SELECT b.item_id AS question_id,
   {lit(C.PROMPT_HEAD)} || coalesce(blk.body, {lit(C.NO_ISSUES_TEXT)}) || {lit(chr(10) + '--- End of Issues ---' + chr(10) + chr(10) + 'Question: ')}
     || coalesce(b.text, '') || {NL} AS prompt
@@ -515,14 +525,14 @@ SELECT res.question_id, res.rank::BIGINT AS rank, coalesce(ch.issue_id, '') AS i
   left(coalesce(ch.created_on, ''), 10) AS created_on, left(coalesce(ch.updated_on, ''), 10) AS updated_on,
   left({strip("coalesce(ch.text, '')")}, 600) AS snippet,
   CASE WHEN coalesce(ch.priority, '') <> '' AND coalesce(ch.priority, '') <> 'Normal' THEN ch.priority END AS priority_badge
-FROM res JOIN chunks ch ON ch.id = res.id
+FROM res JOIN wch ch ON ch.id = res.id
 """
 
 ORACLE["source_list"] = f"""
 WITH {_CONV_SEARCH}
 SELECT res.question_id, res.rank::BIGINT AS rank, {_meta('ch.issue_id')} AS issue_id, {_meta('ch.project')} AS project,
   {_meta('ch.status')} AS status, left(coalesce(ch.subject, ''), 80) AS subject
-FROM res JOIN chunks ch ON ch.id = res.id
+FROM res JOIN wch ch ON ch.id = res.id
 """
 
 # Q: retrieval evaluation -----------------------------------------------------------
@@ -531,7 +541,7 @@ _DOC_SEARCH = text_search(DOC_CHUNKS)
 _PERQ = f"""
 hq AS (SELECT res.question_id, res.parent AS issue_id, res.score,
               instr(ch.text, b.text) > 0 AS relevant
-       FROM res JOIN chunks ch ON ch.id = res.id JOIN benchmark b ON b.item_id = res.question_id),
+       FROM res JOIN chunks ch ON ch.issue_id = res.parent JOIN benchmark b ON b.item_id = res.question_id),
 pq AS (SELECT b.item_id AS question_id, b.text AS question,
          coalesce(string_agg(DISTINCT hq.issue_id, ',' ORDER BY hq.issue_id), '') AS retrieved_ids,
          round(min(hq.score), 6) AS best_score, count(hq.question_id)::BIGINT AS n_results,
@@ -567,10 +577,11 @@ def _sweep() -> str:
     fetch = max(ks) * C.OVERFETCH
     return f"""
 WITH {DOC_CHUNKS},
-{hash_vectors('cv', 'chunks', 'id', 'text')},
+{WINDOWS},
+{hash_vectors('cv', 'wch', 'id', 'text')},
 {hash_vectors('qv', 'benchmark', 'item_id', 'text')},
 tp AS (SELECT qv.k AS question_id, ch.id, ch.issue_id AS parent, pow(list_distance(cv.v, qv.v), 2) AS score
-       FROM qv, cv JOIN chunks ch ON ch.id = cv.k),
+       FROM qv, cv JOIN wch ch ON ch.id = cv.k),
 fw AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9), id) AS fetch_rank FROM tp
        QUALIFY fetch_rank <= {fetch}),
 grid AS (SELECT * FROM (VALUES {', '.join(f'({k}, {g}::DOUBLE)' for k in ks for g in gates)}) t(k, threshold)),
@@ -579,7 +590,7 @@ g2 AS (SELECT * FROM g1 QUALIFY row_number() OVER (PARTITION BY k, threshold, qu
 g3 AS (SELECT *, row_number() OVER (PARTITION BY k, threshold, question_id ORDER BY fetch_rank) AS rank FROM g2 QUALIFY rank <= k),
 g4 AS (SELECT * FROM g3 QUALIFY threshold IS NULL OR min(round(score, 9)) OVER (PARTITION BY k, threshold, question_id) <= threshold),
 rel AS (SELECT g4.k, g4.threshold, g4.question_id, max(CASE WHEN instr(ch.text, b.text) > 0 THEN 1 ELSE 0 END) AS h
-        FROM g4 JOIN chunks ch ON ch.id = g4.id JOIN benchmark b ON b.item_id = g4.question_id
+        FROM g4 JOIN chunks ch ON ch.issue_id = g4.parent JOIN benchmark b ON b.item_id = g4.question_id
         GROUP BY g4.k, g4.threshold, g4.question_id)
 SELECT k, threshold, count(*)::BIGINT AS answered, sum(h)::BIGINT AS hits FROM rel GROUP BY k, threshold
 """
@@ -652,10 +663,11 @@ SELECT id, text, issue_id FROM chunks
 ORACLE["search_labelled"] = f"""
 WITH {DOC_CHUNKS},
 lab AS (SELECT {iid('doc_id')} AS issue_id, CAST(quality AS VARCHAR) AS quality FROM labels),
-{hash_vectors('cv', 'chunks', 'id', 'text')},
+{WINDOWS},
+{hash_vectors('cv', 'wch', 'id', 'text')},
 {hash_vectors('qv', 'benchmark', 'item_id', 'text')},
 tp AS (SELECT qv.k AS question_id, ch.id, ch.issue_id AS parent, pow(list_distance(cv.v, qv.v), 2) AS score
-       FROM qv, cv JOIN chunks ch ON ch.id = cv.k JOIN lab ON lab.issue_id = ch.issue_id
+       FROM qv, cv JOIN wch ch ON ch.id = cv.k JOIN lab ON lab.issue_id = ch.issue_id
        WHERE lab.quality = '1'),
 {ranked_search('tp', C.TOP_K, True)}
 SELECT question_id, id, parent, round(score, 6) AS score, rank::BIGINT AS rank, true AS filtered FROM res

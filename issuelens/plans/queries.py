@@ -341,7 +341,7 @@ def _text_hits(spark, sf, spec=None):
     spec = spec or I.text_spec()
     coll = I.text_collection(I.conversation_chunks(spark, sf))
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
-    hits, bound = search_bounded(spark, coll, qs, spec)
+    hits, _ = search_bounded(spark, coll, qs, spec)
     return qs, coll, R.hit_details(hits, coll)
 
 
@@ -378,14 +378,20 @@ def search_labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 def _doc_eval(spark, sf, spec=None):
     spec = spec or I.text_spec()
-    coll = I.text_collection(I.document_chunks(spark, sf))
+    chunks = I.stored_chunks(I.document_chunks(spark, sf))
+    coll = I.text_collection(chunks)
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
-    hits, bound = search_bounded(spark, coll, qs, spec)
+    hits, _ = search_bounded(spark, coll, qs, spec)
     det = R.hit_details(hits, coll)
-    # relevant: the retrieved chunk contains the question's passage
-    qtext = qs.select("question_id", F.col("question").alias("_q"))
-    det = det.join(qtext, "question_id").withColumn("relevant", F.instr("text", F.col("_q")) > 0)
-    return qs, det
+    return qs, _relevant(det, chunks, qs)
+
+
+def _relevant(hits: DataFrame, chunks: DataFrame, qs: DataFrame) -> DataFrame:
+    """``relevant``: the whole text that a hit is a window of contains the question's passage."""
+    whole = chunks.select("issue_id", F.col("text").alias("_whole"))
+    asked = qs.select("question_id", F.col("question").alias("_q"))
+    return (hits.join(asked, "question_id").join(whole, "issue_id")
+            .withColumn("relevant", F.instr("_whole", F.col("_q")) > 0).drop("_whole", "_q"))
 
 
 def hit_per_question(spark: SparkSession, sf: str) -> DataFrame:
@@ -412,14 +418,12 @@ def hit_rate_by_tag(spark: SparkSession, sf: str) -> DataFrame:
 
 def hit_rate_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """Q7: hit rate for K in (1, 3, 5) x gate in (none, 1.0)."""
-    coll = I.text_collection(I.document_chunks(spark, sf))
+    chunks = I.stored_chunks(I.document_chunks(spark, sf))
+    coll = I.text_collection(chunks)
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
     cand = fetch_window(spark, coll, qs, I.text_spec(fallback=False))
     swept = Q.sweep(cand, [1, 3, 5], [None, 1.0])
-    qtext = qs.select("question_id", F.col("question").alias("_q"))
-    txt = coll.select("id", "text")
-    rel = (txt.join(swept, "id").join(qtext, "question_id")
-           .withColumn("relevant", F.instr("text", F.col("_q")) > 0))
+    rel = _relevant(swept.withColumnRenamed("parent", "issue_id"), chunks, qs)
     per = rel.groupBy("k", "threshold", "question_id").agg(F.max(F.col("relevant").cast("int")).alias("h"))
     return per.groupBy("k", "threshold").agg(F.count(F.lit(1)).alias("answered"),
                                              F.sum("h").cast("bigint").alias("hits"))
@@ -460,7 +464,7 @@ def query_time(spark: SparkSession, sf: str) -> DataFrame:
 def hash_embed_q(spark: SparkSession, sf: str) -> DataFrame:
     """E2 (offline embedder): non-zero buckets of every document's vector."""
     d = I.documents(spark, sf)
-    v = d.select("doc_id", hash_embed(cap(F.col("text"), C.EMBED_MAX_CHARS), I.EMBED_DIM).alias("v"))
+    v = d.select("doc_id", hash_embed(F.col("text"), I.EMBED_DIM).alias("v"))
     return (v.select("doc_id", F.posexplode("v").alias("bucket", "w"))
             .where(F.col("w") != 0)
             .select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("w", 9).alias("w")))
@@ -478,7 +482,7 @@ def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
     qs = FL.extract_filters(qs, "response")
     qv = I.embedded_questions(qs)
     coll = I.text_collection(I.conversation_chunks(spark, sf))
-    hits, bound = search_bounded(spark, coll, qv, I.text_spec())
+    hits, _ = search_bounded(spark, coll, qv, I.text_spec())
     det = R.hit_details(hits, coll)
     prompts = R.build_prompts(qs, det)
     answers = R.generate(prompts, R.citation_model)

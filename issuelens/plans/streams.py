@@ -62,7 +62,7 @@ def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
     schema = read_table(spark, sf, "documents").schema
     root = _scratch(spark, "chunks")
     stream = S.file_stream(spark, sf, schema, "documents.parquet")
-    chunks = D.prepare_chunks(anonymize_issues(document_issues(stream)), C.JOURNALS_PER_CHUNK, C.MAX_TEXT_LEN)
+    chunks = D.prepare_chunks(anonymize_issues(document_issues(stream)), C.JOURNALS_PER_CHUNK, None)
     S.run_upsert_stream(chunks.withColumn("_order", F.col("chunk_index")), f"{root}/table", f"{root}/_ckpt",
                         key="id", order_col="_order")
     return S.read_latest(spark, f"{root}/table").select("id", "text", "issue_id")
