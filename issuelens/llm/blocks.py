@@ -34,13 +34,41 @@ _BLOCK_SCHEMA = "_block long, _bytes long, _data binary"
 _ZSTD = pa.Codec("zstd", compression_level=1)
 
 
-def scratch_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here."""
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+#: Ids of which so many at most are broadcast (8 bytes each).
+BROADCAST_IDS = 1_000_000
+_MADE: dict[str, list[str]] = {}
+
+
+def scratch_table(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends here.
+
+    ``drop_scratch`` deletes the tables that are not to be kept.
+    """
+    path = new_scratch(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    if not keep:
+        _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes this application's scratch tables; results that read them must have been written."""
+    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def join_ids(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
+    """Semi or anti join by ids: few of them, by their count, are broadcast, so that the rows need not move."""
+    few = ids.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, column, how)
+
+
 def _encode(batch: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=_ZSTD)) as w:
@@ -52,9 +80,13 @@ def decode(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
-def write_blocks(spark: SparkSession, docs: DataFrame, text: str, name: str,
-                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def write_blocks(spark: SparkSession, docs: DataFrame, text: str, name: str) -> DataFrame:
     """``docs`` as a written table of blocks ``(_block, _bytes, _data)``; all columns are kept."""
+    return scratch_table(spark, pack_blocks(docs, text), name)
+
+
+def pack_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks that are numbered by partition: write them before anything refers to the numbers."""
     column = docs.columns.index(text)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +121,7 @@ def write_blocks(spark: SparkSession, docs: DataFrame, text: str, name: str,
         if held:
             yield flush()
 
-    return scratch_table(spark, docs.mapInArrow(pack, _BLOCK_SCHEMA), name)
+    return docs.mapInArrow(pack, _BLOCK_SCHEMA)
 
 
 def n_buckets(blocks: DataFrame, bytes_per_key: int = 6, keys: int = BUCKET_KEYS) -> int:
@@ -131,11 +163,13 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(flat).view(dtype).ravel()
 
 
-def pack_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
-    """Ids as their distinct values and an index, so that a few wide ids take few bytes."""
-    values, index = np.unique(ids, return_inverse=True)
-    return pack(values.astype(np.int64)), pack(index.astype(np.uint32))
+def pack_coded(a: np.ndarray) -> bytes:
+    """An array with few distinct values: these, and an index."""
+    values, index = np.unique(a, return_inverse=True)
+    head = pack(values)
+    return len(head).to_bytes(8, "little") + head + pack(index.astype(np.uint32))
 
 
-def unpack_ids(values: bytes, index: bytes) -> np.ndarray:
-    return unpack(values, np.int64)[unpack(index, np.uint32)]
+def unpack_coded(data: bytes, dtype) -> np.ndarray:
+    cut = 8 + int.from_bytes(data[:8], "little")
+    return unpack(data[8:cut], dtype)[unpack(data[cut:], np.uint32)]

@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from issuelens.llm import blocks as B
 from issuelens.llm import tokens as K
-from issuelens.session import scratch_path
 
 FOLDS = 10
 ORDER = 2
@@ -180,7 +179,7 @@ def _send(block: int, g: Grams, lower: np.ndarray | None) -> pa.Table:
         if lower is not None:
             hot = g.hot[a:z]
             row |= {"sizes": B.pack(np.diff(np.append(at, hi)).astype(np.uint32)), "tails": B.pack(g.tail[lo:hi]),
-                    "lower": B.pack(lower[g.some[lo:hi]]), "hot": B.pack(hot.astype(np.uint8)),
+                    "lower": B.pack_coded(lower[g.some[lo:hi]]), "hot": B.pack(hot.astype(np.uint8)),
                     "contexts": B.pack(g.context[a:z][hot])}
         rows.append(row)
     return pa.Table.from_pylist(rows, schema=_SENT)
@@ -233,7 +232,7 @@ def _reduce(table: pa.Table) -> pa.Table:
             out.append({"kind": _ANSWER, "_block": r["_block"], "bucket": bucket,
                         "counts": B.pack(each[lo:hi].astype(np.uint64))})
         return pa.Table.from_pylist(out, schema=_REPLY)
-    lower = np.concatenate([B.unpack(r["lower"], np.float64) for r in rows])[order][at]
+    lower = np.concatenate([B.unpack_coded(r["lower"], np.float64) for r in rows])[order][at]
     ctx_at = np.flatnonzero(new_part[at])
     ctx = part_s[at][ctx_at]
     ctx_total = np.add.reduceat(total, ctx_at)
@@ -336,12 +335,13 @@ def _score(plan, ends: int):
     return final
 
 
-def _bucketed(spark: SparkSession, blocks: DataFrame) -> DataFrame:
-    """Blocks as a table bucketed by block, so that no later step moves them again."""
+def _bucketed(spark: SparkSession, blocks: DataFrame, source: DataFrame) -> DataFrame:
+    """Blocks as a written table bucketed by block, so that no later step moves them again."""
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = min(max(partitions, blocks.count()), 100_000)
+    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(max(partitions, total // B.BLOCK_BYTES), 100_000)
     name = f"katz_blocks_{uuid.uuid4().hex[:12]}"
-    (blocks.write.format("parquet").option("path", scratch_path(spark, name))
+    (blocks.write.format("parquet").option("path", B.new_scratch(spark, name))
      .bucketBy(n, "_block").sortBy("_block").saveAsTable(name))
     return spark.table(name)
 
@@ -352,9 +352,9 @@ def score(spark: SparkSession, docs: DataFrame, train: Column, id_col: str = "do
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"))
     kind = rows.schema["id"].dataType.simpleString()
-    packed = B.write_blocks(spark, rows, "text", "katz-source")
+    packed = _bucketed(spark, B.pack_blocks(rows, "text"), rows)
     buckets = B.n_buckets(packed)
-    blocks = _bucketed(spark, packed).select("_block", "_data").groupBy("_block")
+    blocks = packed.select("_block", "_data").groupBy("_block")
     replies: list[DataFrame] = []
     orders: list[Order] = []
     ends = 0

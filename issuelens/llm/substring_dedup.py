@@ -58,15 +58,14 @@ def _send(id_col: str, text: str, size: int, buckets: int):
         for batch in batches:
             for block, data in zip(batch.column("_block").to_pylist(), batch.column("_data")):
                 keys, own = _block_keys(B.decode(data.as_py()), id_col, text, size)
-                rows = {"bucket": [], "_block": [], "keys": [], "ids": [], "idx": []}
+                rows = {"bucket": [], "_block": [], "keys": [], "ids": []}
                 for b, lo, hi in B.bucket_cuts(keys, buckets):
-                    ids, idx = B.pack_ids(own[lo:hi])
-                    for k, v in zip(rows, (b, block, B.pack(keys[lo:hi]), ids, idx)):
+                    for k, v in zip(rows, (b, block, B.pack(keys[lo:hi]), B.pack_coded(own[lo:hi]))):
                         rows[k].append(v)
                 if rows["bucket"]:
                     yield pa.RecordBatch.from_pydict(rows, schema=pa.schema(
                         [("bucket", pa.int64()), ("_block", pa.int64()), ("keys", pa.binary()),
-                         ("ids", pa.binary()), ("idx", pa.binary())]))
+                         ("ids", pa.binary())]))
     return send
 
 
@@ -80,7 +79,7 @@ def _answer(table: pa.Table) -> pa.Table:
     for n in range(len(blocks)):
         k = B.unpack(table.column("keys")[n].as_py(), np.uint64)
         keys.append(k)
-        own.append(B.unpack_ids(table.column("ids")[n].as_py(), table.column("idx")[n].as_py()))
+        own.append(B.unpack_coded(table.column("ids")[n].as_py(), np.int64))
         src.append(np.full(len(k), n, np.int32))
     k, own, src = np.concatenate(keys), np.concatenate(own), np.concatenate(src)
     order = np.argsort(k, kind="stable")
@@ -155,7 +154,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     blocks = B.write_blocks(spark, docs, text, "substring-blocks")
     buckets = B.n_buckets(blocks)
     sent = blocks.mapInArrow(_send(id_col, text, size, buckets),
-                             "bucket long, _block long, keys binary, ids binary, idx binary")
+                             "bucket long, _block long, keys binary, ids binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "_block long, keys binary, smallest binary")
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
