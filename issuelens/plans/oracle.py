@@ -460,14 +460,12 @@ ORACLE["search_fallback"] = _fallback()
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'Closed' WHEN 'O' THEN 'New' WHEN 'P' THEN 'In Progress' END"
 _PRIO = ("CASE o_orderpriority WHEN '1-URGENT' THEN 'Immediate' WHEN '2-HIGH' THEN 'Urgent' "
          "WHEN '3-MEDIUM' THEN 'High' WHEN '4-NOT SPECIFIED' THEN 'Normal' WHEN '5-LOW' THEN 'Low' END")
-_ALIAS = "MAP {" + ", ".join(f"{lit(k)}: {lit(v)}" for k, v in C.PROJECT_ALIASES.items()) + "}"
-
 ORACLE["parse_filters"] = f"""
 WITH {ORDERS_C}
 SELECT o_orderkey AS question_id,
-  CASE WHEN ({_STATUS}) IN {inlist(C.KNOWN_STATUSES)} THEN {_STATUS} END AS status,
-  CASE WHEN ({_PRIO}) IN {inlist(C.KNOWN_PRIORITIES)} THEN {_PRIO} END AS priority,
-  {_ALIAS}[lower(c_mktsegment)] AS project_id
+  CASE WHEN o_orderkey % 4 < 2 AND ({_STATUS}) IN {inlist(C.KNOWN_STATUSES)} THEN {_STATUS} END AS status,
+  CASE WHEN o_orderkey % 4 < 2 AND ({_PRIO}) IN {inlist(C.KNOWN_PRIORITIES)} THEN {_PRIO} END AS priority,
+  CASE WHEN o_orderkey % 4 < 2 THEN CASE o_orderkey % 3 WHEN 0 THEN 'qe-kernel' WHEN 1 THEN 'performance' END END AS project_id
 FROM oc
 """
 
@@ -535,6 +533,39 @@ SELECT res.question_id, res.rank::BIGINT AS rank, {_meta('ch.issue_id')} AS issu
 FROM res JOIN wch ch ON ch.id = res.id
 """
 
+# Both stand-in models are deterministic, so the flow is plain SQL.  A
+# question is ranked twice, with its filters (odd key) and without (even key).
+_ANSWERS = text_search(conv_chunks(C.JOURNALS_PER_CHUNK, None, True, True)).replace(
+    hash_vectors('qv', 'benchmark', 'item_id', 'text'), hash_vectors('qv', 'asked', 'item_id', 'text'))
+_ANSWERS = _ANSWERS[:_ANSWERS.index("tp AS (")] + f"""
+tp AS (SELECT a.item_id * 2 + u.f AS question_id, ch.id, ch.issue_id AS parent, pow(list_distance(cv.v, qv.v), 2) AS score
+       FROM asked a JOIN qv ON qv.k = a.item_id, cv JOIN wch ch ON ch.id = cv.k, (VALUES (0), (1)) u(f)
+       WHERE u.f = 0 OR (coalesce(a.status, a.priority, a.project_id) IS NOT NULL
+             AND ch.status = coalesce(a.status, ch.status) AND ch.priority = coalesce(a.priority, ch.priority)
+             AND ch.project_id = coalesce(a.project_id, ch.project_id))),
+{ranked_search('tp', C.TOP_K, True)}"""
+
+ORACLE["answer_batch"] = f"""
+WITH asked AS (
+  SELECT item_id, text || CASE item_id % 4 WHEN 1 THEN ' Which of them are new?' WHEN 2 THEN ' Only urgent ones, please.'
+                          WHEN 3 THEN ' Which are resolved, for the kernel?' ELSE '' END AS text,
+         CASE item_id % 4 WHEN 1 THEN 'New' WHEN 3 THEN 'Resolved' END AS status,
+         CASE item_id % 4 WHEN 2 THEN 'Urgent' END AS priority,
+         CASE item_id % 4 WHEN 3 THEN 'qe-kernel' END AS project_id
+  FROM benchmark),
+{CONV}, {_ANSWERS},
+picked AS (SELECT question_id // 2 AS item_id, question_id % 2 AS filtered, rank, parent FROM res
+           QUALIFY question_id % 2 = max(question_id % 2) OVER (PARTITION BY question_id // 2)),
+said AS (SELECT item_id, string_agg('(Issue #' || parent || ')', ', ' ORDER BY rank) AS cited, count(*)::BIGINT AS n_hits,
+                max(filtered) AS filtered FROM picked GROUP BY item_id)
+SELECT a.item_id AS question_id,
+  coalesce('Relevant issues: ' || cited, 'The retrieved issues do not contain enough information to answer.') AS answer,
+  coalesce(n_hits, 0) AS n_hits,
+  CASE WHEN coalesce(filtered, 0) = 0 THEN '{{}}' WHEN a.item_id % 4 = 1 THEN '{{"status":"New"}}'
+       WHEN a.item_id % 4 = 2 THEN '{{"priority":"Urgent"}}' ELSE '{{"status":"Resolved","project_id":"qe-kernel"}}' END AS filters
+FROM asked a LEFT JOIN said ON said.item_id = a.item_id
+"""
+
 # Q: retrieval evaluation -----------------------------------------------------------
 
 _DOC_SEARCH = text_search(DOC_CHUNKS)
@@ -559,6 +590,18 @@ _SUMMARY = """count(*)::BIGINT AS total, count(hit)::BIGINT AS evaluable, count(
   count(*) FILTER (WHERE hit IS NULL)::BIGINT AS not_applicable,
   round(count(*) FILTER (WHERE hit) * 100.0 / nullif(count(hit), 0), 6) AS hit_rate_pct"""
 
+ORACLE["hit_expected"] = f"""
+WITH {_DOC_SEARCH},
+want AS (SELECT DISTINCT item_id, CAST(unnest([item_id, item_id * 7]) AS VARCHAR) AS want FROM benchmark WHERE item_id % 5 <> 0),
+got AS (SELECT res.question_id, string_agg(DISTINCT res.parent, ',' ORDER BY res.parent) AS retrieved_ids,
+               bool_or(want.want IS NOT NULL) AS hit
+        FROM res LEFT JOIN want ON want.item_id = res.question_id AND want.want = res.parent GROUP BY res.question_id),
+ids AS (SELECT item_id, string_agg(want, ',' ORDER BY want) AS expected_ids FROM want GROUP BY item_id)
+SELECT b.item_id AS question_id, coalesce(retrieved_ids, '') AS retrieved_ids, coalesce(expected_ids, '') AS expected_ids,
+  CASE WHEN b.item_id % 5 = 0 THEN 'N/A' WHEN coalesce(hit, false) THEN 'HIT' ELSE 'MISS' END AS label
+FROM benchmark b LEFT JOIN got ON got.question_id = b.item_id LEFT JOIN ids ON ids.item_id = b.item_id
+"""
+
 ORACLE["hit_rate"] = f"""
 WITH {_DOC_SEARCH}, {_PERQ}
 SELECT {_SUMMARY} FROM pq
@@ -678,3 +721,21 @@ SELECT page_id, {scrub("concat_ws(chr(10), url, html)", rules=I.PAGE_RULES)} AS
   {scrub("concat_ws(chr(10), url, html)", rules=I.PAGE_RULES)} <> concat_ws(chr(10), url, html) AS changed
 FROM pages
 """
+
+ORACLE["stream_late"] = ORACLE["stream_upsert"]
+ORACLE["latest_versions"] = ORACLE["stream_upsert"]
+
+# S: results and state -------------------------------------------------------------
+
+ORACLE["numbered_results"] = """
+SELECT item_id AS question_id, row_number() OVER (ORDER BY item_id) AS position,
+  '=== Q' || CAST(row_number() OVER (ORDER BY item_id) AS VARCHAR) || '/' || CAST(count(*) OVER () AS VARCHAR) || ': '
+  || coalesce(text, '') || ' ===' AS header
+FROM benchmark
+"""
+
+ORACLE["sync_state_roundtrip"] = f"""
+SELECT p.project_id, s.last_synced_at, CAST(coalesce(s.sync_count, 0) AS INTEGER) AS sync_count
+FROM (SELECT DISTINCT event_type AS project_id FROM events UNION ALL SELECT 'never-synced') p
+LEFT JOIN ({ORACLE["sync_state"]}) s ON s.project_id = p.project_id
+"""

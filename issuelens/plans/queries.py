@@ -6,6 +6,8 @@ computed column is aliased to the name used by the oracle SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from issuelens.sources import adapters as A
 from issuelens.operators.search import SearchSpec, fetch_window, search, search_bounded
 from issuelens.functions.pii import scrub_pii as _scrub
 from issuelens.plans import inputs as I
+from issuelens.session import scratch_path
+from issuelens.sources import state as SS
 from issuelens.sources.tables import read_table, spread
 
 # ---------------------------------------------------------------------------
@@ -252,6 +256,21 @@ def sync_state(spark: SparkSession, sf: str) -> DataFrame:
     return st.withColumn("sync_count", F.col("sync_count").cast("bigint"))
 
 
+def sync_state_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """S9 + M11: the state before and after a run saved one after the other, and the newest read back."""
+    root = scratch_path(spark, f"state/{uuid.uuid4().hex}")
+    v = I.versions(spark, sf)
+    SS.save_sync_state(M.sync_state_from_versions(v.where(F.col("updated_ts") < F.to_timestamp(F.lit(I.CUTOFF)))), root)
+    SS.save_sync_state(sync_state(spark, sf), root)
+    projects = [r[0] for r in read_table(spark, sf, "events").select("event_type").distinct().collect()]
+    return SS.load_sync_state(spark, root, [*projects, "never-synced"])
+
+
+def numbered_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Headers of the benchmark questions."""
+    return R.numbered_results(I.benchmark_questions(spark, sf)).select("question_id", "position", "header")
+
+
 # ---------------------------------------------------------------------------
 # V: vector search on the embeddings table
 # ---------------------------------------------------------------------------
@@ -310,12 +329,16 @@ def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _order_responses(spark, sf) -> DataFrame:
-    """Model responses derived from orders: the order's status/priority/segment."""
+    """Model responses derived from orders, by their number: bare, fenced, with
+    a sentence after the object, and two objects; projects are named loosely."""
     o = I.order_issues(spark, sf)
+    named = F.element_at(F.array(F.lit(" Kernel "), F.lit("perf"), F.lit("no such project")),
+                         (F.col("id") % 3 + 1).cast("int"))
     js = F.to_json(F.struct(F.col("status.name").alias("status"), F.col("priority.name").alias("priority"),
-                            F.col("project_identifier").alias("project")))
-    resp = F.when(F.col("status.name") == "In Progress", F.concat(F.lit("```json\n"), js, F.lit("\n```"))) \
-        .otherwise(js)
+                            named.alias("project")))
+    form = F.col("id") % 4
+    resp = (F.when(form == 0, js).when(form == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
+            .when(form == 2, F.concat(js, F.lit("\nThis filters the issues."))).otherwise(F.concat(js, F.lit(" "), js)))
     return o.select(F.col("id").alias("question_id"), resp.alias("response"))
 
 
@@ -402,6 +425,18 @@ def hit_per_question(spark: SparkSession, sf: str) -> DataFrame:
                       "best_score", "n_results", "hit", Q.label().alias("label"))
 
 
+def hit_expected(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1-Q4 with explicit expected ids; every fifth question has none (N/A)."""
+    qs, det = _doc_eval(spark, sf)
+    own = F.col("question_id")
+    qs = qs.select("question_id", F.when(own % 5 != 0, F.array(own, own * 7, own)).alias("expected_ids"))
+    res = Q.per_question(qs, det, expected=Q.expected_from_lists(qs))
+    expected = F.coalesce(F.array_sort(F.array_distinct(F.transform("expected_ids", lambda x: x.cast("string")))),
+                          F.array().cast("array<string>"))
+    return res.select("question_id", F.array_join("retrieved_ids", ",").alias("retrieved_ids"),
+                      F.array_join(expected, ",").alias("expected_ids"), Q.label().alias("label"))
+
+
 def hit_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Q5."""
     qs, det = _doc_eval(spark, sf)
@@ -476,8 +511,16 @@ def hash_embed_q(spark: SparkSession, sf: str) -> DataFrame:
 
 def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
     """Filters from the (offline) extraction model, filtered search with
-    fallback over conversation chunks, prompts, answers from an injected model."""
+    fallback over conversation chunks, prompts, answers from an injected model.
+
+    By their number, questions name nothing, a status, a priority that no
+    issue has (so the filters are cleared again), or a status and a project.
+    """
     qs = I.benchmark_questions(spark, sf)
+    names = F.array(*(F.lit(x) for x in ("", " Which of them are new?", " Only urgent ones, please.",
+                                         " Which are resolved, for the kernel?")))
+    qs = qs.withColumn("question", F.concat("question", F.element_at(
+        names, (F.pmod("question_id", F.lit(4)) + 1).cast("int"))))
     qs = qs.withColumn("response", FL.keyword_response(F.col("question")))
     qs = FL.extract_filters(qs, "response")
     qv = I.embedded_questions(qs)

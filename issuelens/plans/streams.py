@@ -36,6 +36,36 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
+def stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """The newer half of the events arrives first, then all of them again; the result stays the latest versions."""
+    events = read_table(spark, sf, "events")
+    root = _scratch(spark, "late")
+    half = events.agg(F.expr("percentile_approx(unix_micros(cast(ts as timestamp)), 0.5)")).first()[0] or 0
+    at = F.expr("unix_micros(cast(ts as timestamp))")
+
+    def arrive(part: int, rows: DataFrame) -> None:
+        rows.write.parquet(f"{root}/in/part={part}")
+        stream = S.file_stream(spark, f"{root}/in/*", events.schema)
+        S.run_upsert_stream(stream.withColumn("order_key", F.struct("ts", "event_id")), f"{root}/table",
+                            f"{root}/_ckpt", key="user_id", order_col="order_key")
+
+    arrive(1, events.where(at >= half))
+    arrive(2, events.where(at < half))
+    arrive(3, events)
+    return S.read_latest(spark, f"{root}/table").select(
+        F.col("user_id").alias("id"), "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+def latest_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The running latest version of each key."""
+    schema = read_table(spark, sf, "events").schema
+    root = _scratch(spark, "latest")
+    stream = S.file_stream(spark, sf, schema, "events.parquet").withColumn("order_key", F.struct("ts", "event_id"))
+    S.run_complete_to_versions(S.latest_versions(stream, "user_id", "order_key"), f"{root}/table", f"{root}/_ckpt")
+    return S.read_latest(spark, f"{root}/table").select(
+        F.col("user_id").alias("id"), "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
 def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Daily tumbling windows per event type, watermarked."""
     schema = read_table(spark, sf, "events").schema
