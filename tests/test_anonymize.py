@@ -10,10 +10,10 @@ def test_anonymous_names(spark):
 
 
 def test_mapping_first_name_wins(make_issues):
-    iss = [base_issue(id=1, author={"id": 10, "name": "Alice"}),
-           base_issue(id=2, author={"id": 10, "name": "Alice Duplicate"})]
+    iss = [base_issue(id=1, author={"id": 10, "name": "Ines"}),
+           base_issue(id=2, author={"id": 10, "name": "Ines Again"})]
     rows = user_mapping(make_issues(iss)).collect()
-    assert [(r.user_id, r.original_name, r.anonymous_name) for r in rows] == [(10, "Alice", "User_00010")]
+    assert [(r.user_id, r.original_name, r.anonymous_name) for r in rows] == [(10, "Ines", "User_00010")]
 
 
 def test_mapping_order_inside_issue_and_unknown(make_issues):
@@ -42,11 +42,11 @@ def test_null_and_idless_users_unchanged(make_issues):
 
 
 def test_run_summary(make_issues):
-    iss = [base_issue(id=1, author={"id": 10, "name": "Alice"}), base_issue(id=2, author={"id": 11, "name": "B"})]
+    iss = [base_issue(id=1, author={"id": 10, "name": "Ines"}), base_issue(id=2, author={"id": 11, "name": "B"})]
     df = make_issues(iss)
     s = run_summary(df, user_mapping(df)).first()
     assert (s.issues_processed, s.distinct_users, s.sample_author_before, s.sample_author_after) == \
-        (2, 2, "Alice", "User_00010")
+        (2, 2, "Ines", "User_00010")
 
 
 def test_strict_masks_idless_and_subject(make_issues):

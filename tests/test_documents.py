@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from issuelens.operators import documents as D
-from tests import pyref
 from tests.conftest import base_issue, journal
 
 
@@ -16,8 +15,12 @@ def chunk_rows(df, per=5, max_len=4000):
 def test_six_journals_five_per_chunk(make_issues):
     iss = base_issue(journals=[journal(i, "Bob", 20, f"Journal entry number {i}.") for i in range(1, 7)])
     rows = chunk_rows(make_issues([iss]))
-    assert [r[0] for r in rows] == ["issue_1", "issue_1_chunk_1", "issue_1_chunk_2"]
-    assert rows == pyref.chunks(iss)
+    head = "Subject: Cache fills the disk"
+    assert rows == [
+        ("issue_1", f"{head}\nDescription: It grows every night", 0, True),
+        ("issue_1_chunk_1", f"{head}\nComments:\n- Bob: Journal entry number 1.\n- Bob: Journal entry number 2.\n"
+         "- Bob: Journal entry number 3.\n- Bob: Journal entry number 4.\n- Bob: Journal entry number 5.", 1, False),
+        ("issue_1_chunk_2", f"{head}\nComments:\n- Bob: Journal entry number 6.", 2, False)]
 
 
 def test_ten_journals_three_per_chunk(make_issues):
@@ -58,26 +61,44 @@ def test_prepare_single_document(make_issues):
     iss = base_issue(journals=[journal(1, "Bob", 20, "first"), journal(2, "Carol", 21, "second")])
     r = D.prepare(make_issues([iss])).first()
     assert r.id == "issue_1"
-    assert r.text == ("Subject: Test issue subject\nDescription: Test description\nComments:\n"
+    assert r.text == ("Subject: Cache fills the disk\nDescription: It grows every night\nComments:\n"
                       "- Bob: first\n- Carol: second")
 
 
-def test_chunks_match_python_rules_on_random_issues(make_issues):
+def test_random_issues_keep_every_note_once_and_in_order(make_issues):
     rnd = random.Random(7)
-    words = ["alpha", "β", "  ", "\n", "text", "🙂", "", "x" * 50]
-    issues = []
-    for i in range(60):
-        js = [journal(k, rnd.choice(["Bob", "", None]) or "", k, rnd.choice(words + [None]))
-              for k in range(rnd.randint(0, 13))]
-        issues.append(base_issue(id=rnd.choice([i + 1, 0, 123456789]) if i else 0,
-                                 subject=rnd.choice(["s", "", None, " pad "]),
-                                 description=rnd.choice(["d" * rnd.randint(0, 120), "", None, "  sp  "]),
-                                 journals=js))
-    df = make_issues(issues)
-    got = sorted((r.id, r.text, r.chunk_index, r.is_description)
-                 for r in D.prepare_chunks(df, 3, 60).collect())
-    want = sorted(c for iss in issues for c in pyref.chunks(iss, 3, 60))
-    assert got == want
+    issues, notes = [], {}
+    for i in range(1, 61):
+        js = []
+        for k in range(rnd.randint(0, 13)):
+            note = rnd.choice([None, "", f"note {i}-{k} 🙂", f"β\n{i}-{k}"])
+            js.append(journal(k, rnd.choice(["Bob", ""]), k, note))
+            if note:
+                notes.setdefault(i, []).append(note)
+        issues.append(base_issue(id=i, subject=rnd.choice(["s", "", None]), description=rnd.choice(["d" * 90, "", None]), journals=js))
+    by = {}
+    for r in D.prepare_chunks(make_issues(issues), 3, 4000).collect():
+        by.setdefault(int(r.issue_id), []).append(r)
+    assert set(by) == set(range(1, 61))
+    for i, rows in by.items():
+        rows.sort(key=lambda r: r.chunk_index)
+        assert [r.chunk_index for r in rows] == list(range(len(rows)))
+        assert [r.is_description for r in rows] == [True] + [False] * (len(rows) - 1)
+        assert [r.id for r in rows] == [f"issue_{i}"] + [f"issue_{i}_chunk_{k}" for k in range(1, len(rows))]
+        want = notes.get(i, [])
+        assert len(rows) - 1 == -(-len(want) // 3)
+        for k, r in enumerate(rows[1:]):
+            body = r.text.split("\nComments:\n", 1)[1]
+            places = [body.index(n) for n in want[3 * k:3 * k + 3]]
+            assert places == sorted(places) and body.count("- ") == len(places)
+
+
+def test_long_chunks_are_cut_and_marked(make_issues):
+    from issuelens import config as C
+
+    rows = chunk_rows(make_issues([base_issue(description="d" * 500, journals=[journal(1, "Bob", 2, "n" * 500)])]), max_len=60)
+    assert [len(r[1]) for r in rows] == [60 + len(C.TRUNCATION_SUFFIX)] * 2
+    assert all(r[1].endswith(C.TRUNCATION_SUFFIX) for r in rows)
 
 
 def test_expansion_counts(make_issues):

@@ -71,7 +71,7 @@ def test_journals_filters_and_overlay(make_issues):
     assert sorted(r.id for r in M.missing_journals(iss).collect()) == [1, 3]
     full = make_issues([base_issue(id=3, subject="fetched", journals=[journal(1, "B", 2, "n")])])
     got = {r.id: r.subject for r in M.enrich_overlay(iss, full).collect()}
-    assert got == {1: "Test issue subject", 2: "Test issue subject", 3: "fetched"}
+    assert got == {1: "Cache fills the disk", 2: "Cache fills the disk", 3: "fetched"}
     cov = M.journal_coverage(iss).first()
     assert (cov.with_journals, cov.total) == (1, 3)
 

@@ -1,11 +1,12 @@
 import math
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from issuelens.operators.search import SearchSpec, search
-from tests import pyref
 
 
 def coll_df(spark, rows, parts=1):
@@ -85,15 +86,17 @@ def test_matches_brute_force(spark, dedup, top_k, metric):
             return 1 - float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)))
         return float(((a - b) ** 2).sum())
 
-    want = []
-    for q, v, st in qs:
-        allowed = [(i, p, dist(e, v)) for i, p, s, e in rows if st is None or s == st]
-        res = pyref.search(v, allowed, top_k, dedup)
-        filtered = st is not None
-        if filtered and not res:
-            res = pyref.search(v, [(i, p, dist(e, v)) for i, p, s, e in rows], top_k, dedup)
-            filtered = False
-        want += [(q, i, p, round(s, 6), k + 1, filtered) for k, (i, p, s) in enumerate(res)]
+    pairs = pd.DataFrame([(q, f, i, p, dist(e, v)) for q, v, st in qs for f in (True, False)
+                          if f == (st is not None) or not f for i, p, s, e in rows if not f or s == st],
+                         columns=["q", "f", "id", "parent", "score"])
+    fetch = top_k * 4 if dedup else top_k
+    one = "QUALIFY row_number() OVER (PARTITION BY q, f, parent ORDER BY round(score, 9), id) = 1" if dedup else ""
+    want = duckdb.sql(f"""
+        WITH near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY q, f ORDER BY round(score, 9), id) <= {fetch}),
+        one AS (SELECT * FROM near {one}),
+        top AS (SELECT *, row_number() OVER (PARTITION BY q, f ORDER BY round(score, 9), id) AS rank FROM one QUALIFY rank <= {top_k})
+        SELECT q, id, parent, round(score, 6), rank, f FROM top QUALIFY f = max(f) OVER (PARTITION BY q) ORDER BY q, rank
+        """).fetchall()
     assert [(a[0], a[1], a[2], a[4], a[5]) for a in got] == [(b[0], b[1], b[2], b[4], b[5]) for b in want]
     assert all(abs(a[3] - b[3]) < 1e-6 for a, b in zip(got, want))
 

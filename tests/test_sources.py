@@ -91,6 +91,6 @@ def test_result_sinks(spark):
     assert text.index("=== Q1/2: what? ===") < text.index("=== Q2/2: why? ===")
     SQ.write_eval_results(answers.withColumn("hit", F.lit(None).cast("boolean")), f"{root}/eval")
     assert spark.read.json(f"{root}/eval").count() == 2
-    mapping = spark.createDataFrame([(10, "Alice", "User_00010")], "user_id bigint, original_name string, anonymous_name string")
+    mapping = spark.createDataFrame([(10, "Ines", "User_00010")], "user_id bigint, original_name string, anonymous_name string")
     SI.write_user_mapping(mapping, f"{root}/mapping")
     assert spark.read.parquet(f"{root}/mapping").first().anonymous_name == "User_00010"

@@ -85,8 +85,8 @@ def test_ingest_stream_into_collection(spark, make_issues):
     coll = Collection(spark, root, "coll")
     S.run_ingest_stream(chunks, coll, HashEmbedder(8), checkpoint=f"{root}/_c")
     got = sorted((r.id, r.text) for r in coll.read().collect())
-    assert got == [("issue_1", "Subject: Test issue subject\nDescription: Test description"),
-                   ("issue_1_chunk_1", "Subject: Test issue subject\nComments:\n- User_00002: mail [REDACTED-EMAIL]")]
+    assert got == [("issue_1", "Subject: Cache fills the disk\nDescription: It grows every night"),
+                   ("issue_1_chunk_1", "Subject: Cache fills the disk\nComments:\n- User_00002: mail [REDACTED-EMAIL]")]
 
 
 def test_session_counts_match_batch(spark):
