@@ -12,12 +12,12 @@ link can have: with whole sets ceil(3/4 n), with sketches MIN_SHARED of K
 A passage that many documents share thus makes no candidates unless it is
 most of a document.
 
-Lists are resolved without all their pairs: each class is compared with the
-smallest class of its lists, links are merged, then with the smallest class
-of every list that still spans several components, and only then the classes
-of different components of a list with one another.  A pair is first held to
-the overlap of its sketches (the estimate of the union sketch) and then to
-the full sets.
+Lists are resolved without all their pairs: each class is first compared with
+the most typical class of its lists (of most shared values), and linked ones
+take its label.  Then, in lists of several labels, classes of different label
+are compared, a pair only in the first list it has in common.  A pair is held
+to the overlap of its sketches (the estimate of the union sketch), which
+settles whole sets, and what passes to the full sets.
 
 Cases: null or empty texts have n_shingles 0 and are their own component;
 with fewer than ``size`` words the whole sequence is the one shingle; rows of
@@ -100,13 +100,13 @@ def _sketch(batches):
 
 
 def _sets(batches):
-    """Whole sets of documents above SMALL, by class."""
+    """Whole sets of documents above LARGE, by class."""
     for batch in batches:
         for lo, hi, data, off in K.text_slices(batch.column(0)):
             h, first = shingle_sets(K.words(data, off, lower=True))
             n = np.diff(first)
             print_of = _class_of(h, first)
-            keep = n > SMALL
+            keep = n > LARGE
             lists = _lists(h, first, np.where(keep, n, 0))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(print_of[keep].view(np.int64)), lists.filter(pa.array(keep))], names=["cls", "whole"])
@@ -116,48 +116,52 @@ def _enough(inter: Column, n_a: Column, n_b: Column) -> Column:
     return 100 * inter >= PERCENT * (n_a + n_b - inter)
 
 
-def _comparable(n_a: Column, n_b: Column) -> Column:
-    return 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
+def _overlap(a: str, b: str) -> Column:
+    """Whether two classes share as many sketch values as a link must: whole sets exactly, others by estimate."""
+    inter = F.size(F.array_intersect(f"{a}.sketch", f"{b}.sketch"))
+    return F.when(F.col(f"{a}.tier") == 0, _enough(inter, F.col(f"{a}.n"), F.col(f"{b}.n"))).otherwise(inter >= MIN_SHARED)
 
 
-def _overlap(a: str, b: str) -> Column:
-    """Whether two sketches share as many values as a link must: whole sets exactly, others by estimate."""
-    small = _enough(F.size(F.array_intersect(f"{a}.small", f"{b}.small")), F.col(f"{a}.n"), F.col(f"{b}.n"))
-    large = F.size(F.array_intersect(f"{a}.large", f"{b}.large")) >= MIN_SHARED
-    return F.when(F.col(f"{a}.small").isNotNull() & F.col(f"{b}.small").isNotNull(), small).otherwise(large)
+def _may_link(a: str, b: str) -> Column:
+    """Two classes of a tier whose sizes allow a link; sketches are for pairs that the whole sets do not settle."""
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & (
+        (F.col(f"{a}.tier") == 0) | (F.greatest(n_a, n_b) > SMALL))
+
 
+def _members(classes: DataFrame) -> DataFrame:
+    """``(cls, tier, rep, n, sketch, typical, lists)`` of the classes that take part in inverted lists.
 
-def _candidate_lists(spark: SparkSession, classes: DataFrame) -> DataFrame:
-    """``(value, tier, cls, n)``: the inverted lists that classes take part in."""
-    def posts(column: str, tier: int, fewest: Column) -> DataFrame:
+    ``lists`` are the values whose lists a class is in, the rarest of its
+    shared ones; ``typical`` counts all of its values that others have.
+    """
+    def tier(number: int, column: str, fewest: Column) -> DataFrame:
         return classes.where(F.col(column).isNotNull()).select(
-            "cls", "n", F.lit(tier).alias("tier"), fewest.alias("fewest"), F.explode(column).alias("value"))
+            "cls", F.lit(number).alias("tier"), "rep", "n", F.col(column).alias("sketch"), fewest.alias("fewest"))
 
-    whole = F.ceil(F.col("n") * PERCENT / 100)
-    posted = posts("small", 0, whole).union(posts("large", 1, F.lit(MIN_SHARED).cast("long")))
+    tiers = tier(0, "small", F.ceil(F.col("n") * PERCENT / 100)).union(
+        tier(1, "large", F.lit(MIN_SHARED).cast("long")))
+    posted = tiers.select("cls", "tier", "fewest", F.explode("sketch").alias("value"))
     often = posted.groupBy("tier", "value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = posted.join(often, ["tier", "value"]).groupBy("cls", "tier", "n", "fewest").agg(
+    shared = posted.join(often, ["tier", "value"]).groupBy("cls", "tier", "fewest").agg(
         F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
-    shared = shared.where(F.size("v") >= F.col("fewest"))
-    return shared.select("cls", "n", "tier", F.explode(
-        F.slice("v", F.lit(1), (F.size("v") - F.col("fewest") + 1).cast("int"))).alias("v")).select(
-        F.col("v.value").alias("value"), "tier", "cls", "n")
-
-
-def _verify(pairs: DataFrame, cand: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that are links."""
-    p = (pairs.alias("p").join(cand.alias("x"), F.col("p.a") == F.col("x.cls"))
-         .join(cand.alias("y"), F.col("p.b") == F.col("y.cls")))
-    p = p.where(_comparable(F.col("x.n"), F.col("y.n")) & _overlap("x", "y"))
-    both = F.col("x.small").isNotNull() & F.col("y.small").isNotNull()
-    p = p.select("a", "b", F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b"), both.alias("sure"),
-                 F.when(~both, F.col("x.small")).alias("small_a"), F.when(~both, F.col("y.small")).alias("small_b"))
-    sure = p.where("sure").select("a", "b")
-    rest = (p.where("not sure").join(whole.select(F.col("cls").alias("a"), F.col("whole").alias("w_a")), "a", "left")
-            .join(whole.select(F.col("cls").alias("b"), F.col("whole").alias("w_b")), "b", "left"))
-    inter = F.size(F.array_intersect(F.coalesce("small_a", "w_a"), F.coalesce("small_b", "w_b")))
-    rest = rest.where(_enough(inter, F.col("n_a"), F.col("n_b"))).select("a", "b")
-    return sure.union(rest).distinct()
+    shared = shared.where(F.size("v") >= F.col("fewest")).select(
+        "cls", "tier", F.size("v").alias("typical"),
+        F.slice("v.value", F.lit(1), (F.size("v") - F.col("fewest") + 1).cast("int")).alias("lists"))
+    return tiers.drop("fewest").join(shared, ["cls", "tier"])
+
+
+def _links(spark: SparkSession, pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Of pairs (a, b, n_a, n_b, tier) those that are links: tier 0 is settled, others by their full sets."""
+    open_ = (pairs.where("tier = 1").join(whole.select(F.col("cls").alias("a"), F.col("whole").alias("w_a")), "a")
+             .join(whole.select(F.col("cls").alias("b"), F.col("whole").alias("w_b")), "b"))
+    open_ = open_.where(_enough(F.size(F.array_intersect("w_a", "w_b")), F.col("n_a"), F.col("n_b")))
+    return B.scratch_table(spark, pairs.where("tier = 0").select("a", "b").union(open_.select("a", "b")), "links")
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.col(f"{x}.cls").alias("a"), F.col(f"{y}.cls").alias("b"), F.col(f"{x}.n").alias("n_a"),
+            F.col(f"{y}.n").alias("n_b"), F.col(f"{x}.tier").alias("tier")]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,39 +172,42 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     first = sketches.where("cls is not null").groupBy("cls").agg(F.min(key).alias("rep"))
     classes = (sketches.withColumn("rep", key).join(first, ["cls", "rep"])
                .select("cls", "rep", F.col("n_shingles").alias("n"), "small", "large"))
-    lists = B.scratch_table(spark, _candidate_lists(spark, classes), "lists")
-    spans = lists.groupBy("tier", "value").agg(F.min("cls").alias("hub"), F.max("cls").alias("top")).where("hub < top")
-    members = lists.join(spans, ["tier", "value"]).groupBy("cls").agg(F.min("hub").alias("hub"))
-    cand = B.scratch_table(spark, classes.join(members, "cls"), "candidates")
-    large = cand.where("small is null").select(F.col("rep").alias("id"), "cls")
+    members = B.scratch_table(spark, _members(classes), "members")
+    large = members.where("tier = 1").select(F.col("rep").alias("id"))
     whole = B.scratch_table(
-        spark, texts.withColumn("id", key).join(large.select("id"), "id", "left_semi").select("text")
+        spark, B.join_ids(texts.withColumn("id", key), large, "id", "left_semi").select("text")
         .mapInArrow(_sets, "cls long, whole array<long>"), "sets")
-    pairs = cand.where("hub < cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct()
-    links = B.scratch_table(spark, _verify(pairs, cand, whole), "links")
-    root = _roots(spark, links)
-
-    open_lists = _open_lists(spark, lists, root)
-    hubs = open_lists.groupBy("tier", "value").agg(F.min(F.struct("cls", "root", "n")).alias("hub"))
-    pairs = (open_lists.join(hubs, ["tier", "value"]).where("root <> hub.root and cls <> hub.cls")
-             .where(_comparable(F.col("n"), F.col("hub.n")))
-             .select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b")).distinct())
-    links = links.union(_verify(pairs, cand, whole))
-    links = B.scratch_table(spark, links, "links")
-    root = _roots(spark, links)
-
-    open_lists = _open_lists(spark, lists, root).join(cand.select("cls", "small", "large"), "cls")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    pairs = (x.join(y, (F.col("x.tier") == F.col("y.tier")) & (F.col("x.value") == F.col("y.value"))
-                    & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))
-                    & _comparable(F.col("x.n"), F.col("y.n")) & _overlap("x", "y"))
-             .select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
-    links = links.union(_verify(pairs, cand, whole))
-    root = _roots(spark, links)
+
+    # each class with the most typical one of its lists: in a group of copies mostly what they are copies of
+    posts = members.select("cls", "tier", F.struct("typical", "n", "cls").alias("as"), F.explode("lists").alias("value"))
+    hubs = posts.groupBy("tier", "value").agg(F.max("as").alias("hub"), F.min("as").alias("least")).where("least < hub")
+    best = posts.join(hubs, ["tier", "value"]).groupBy("cls", "tier").agg(F.max("hub").alias("hub"))
+    x, y = members.join(best, ["cls", "tier"]).alias("x"), members.alias("y")
+    pairs = x.join(y, (F.col("x.hub.cls") == F.col("y.cls")) & (F.col("x.tier") == F.col("y.tier"))
+                   & (F.col("x.cls") != F.col("y.cls")) & _may_link("x", "y") & _overlap("x", "y")).select(*_pair("x", "y"))
+    to_hubs = _links(spark, B.scratch_table(spark, pairs, "pairs"), whole)
+    up = to_hubs.groupBy("a").agg(F.max("b").alias("b"))
+    up = B.scratch_table(spark, up, "up")
+    roots = up.alias("p").join(up.alias("q"), F.col("p.b") == F.col("q.a"), "left").select(
+        F.col("p.a").alias("cls"), F.coalesce("q.b", "p.b").alias("root"))
+
+    # classes of lists that are not yet one: each pair in its first common list, and only if it may be news
+    labelled = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    posts = labelled.select("cls", "tier", "root", F.explode("lists").alias("value"))
+    split = posts.groupBy("tier", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    open_ = posts.join(split, ["tier", "value"]).groupBy("cls", "tier", "root").agg(F.collect_list("value").alias("open"))
+    open_ = members.join(open_, ["cls", "tier"]).select("cls", "tier", "n", "root", "sketch", "lists", F.explode("open").alias("value"))
+    open_ = B.scratch_table(spark, open_, "open")
+    x, y = open_.alias("x"), open_.alias("y")
+    pairs = x.join(y, (F.col("x.tier") == F.col("y.tier")) & (F.col("x.value") == F.col("y.value"))
+                   & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y")
+                   & (F.array_min(F.array_intersect("x.lists", "y.lists")) == F.col("x.value")) & _overlap("x", "y"))
+    others = _links(spark, B.scratch_table(spark, pairs.select(*_pair("x", "y")), "pairs"), whole)
+    root = components(spark, to_hubs.union(others))
 
     grouped = first.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = B.scratch_table(spark, grouped.join(least, "root").select("cls", "component_id"), "classes")
+    of_class = grouped.join(least, "root").select("cls", "component_id")
     out = sketches.select("id", "n_shingles", "cls").join(of_class, "cls", "left")
     found = F.when(F.col("cls").isNull(), F.col("id")).otherwise(
         F.nullif(F.col("component_id"), F.lit((1 << 63) - 1)))
@@ -208,18 +215,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
                       F.col("id").eqNullSafe(found).alias("kept"), "cls")
 
 
-def _roots(spark: SparkSession, links: DataFrame) -> DataFrame:
-    return components(spark, links)
-
-
-def _open_lists(spark: SparkSession, lists: DataFrame, root: DataFrame) -> DataFrame:
-    """Rows of the lists that span several components, with each class's root."""
-    now = lists.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    now = B.scratch_table(spark, now, "lists")
-    spans = now.groupBy("tier", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    return now.join(spans.select("tier", "value"), ["tier", "value"])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: near-duplicate components at a Jaccard similarity of 0.75."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
