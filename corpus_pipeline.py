@@ -28,36 +28,43 @@ def _as_before(changed: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
+def _begin(spark: SparkSession) -> None:
+    """What earlier stages left in the shared folder goes: their results are written tables by now."""
+    ship_package(spark)
+    blocks.drop_scratch(spark)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model learns from the labels of these documents."""
-    ship_package(spark)
+    _begin(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_documents(spark, docs, model).where("score < 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component."""
-    ship_package(spark)
-    found = minhash.near_duplicates(spark, docs)
-    return docs.join(found.where("not kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    _begin(spark)
+    found = blocks.scratch_table(spark, minhash.near_duplicates(spark, docs), "near-duplicates")
+    copies = found.where("not kept").select("doc_id")
+    return blocks.join_ids(docs, copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; documents stay."""
-    ship_package(spark)
+    _begin(spark)
     return _as_before(substring_dedup(spark, docs), docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go, with documents of which they are more than half."""
-    ship_package(spark)
+    _begin(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _as_before(decontaminate.clean(decontaminate.find_contamination(spark, docs, items)), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
-    ship_package(spark)
+    _begin(spark)
     return mixing.mix(spark, docs)
 
 
@@ -74,5 +81,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``, each from the written table of the one before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = blocks.scratch_table(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = blocks.scratch_table(spark, stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,7 +35,7 @@ K_NEAREST = 5
 #: Vectors a list holds on average, before replicas, and lists at most.
 LIST_SIZE, MAX_LISTS = 512, 16_384
 #: Vectors that centroids and the pruning ratio are fitted on, at most about.
-SAMPLE = 50_000
+SAMPLE = 20_000
 PROBES = 400
 TARGET = 0.98
 REPLICAS, BORDER = 3, 1.1
@@ -145,12 +145,18 @@ def _ratio(index: Index, sample: np.ndarray, rng) -> float:
     if len(sample) < 2 or len(index.centroids) == 1:
         return 2.0
     probes = rng.choice(len(sample), min(PROBES, len(sample)), replace=False)
-    s = sample[probes] @ sample.T
-    s[np.arange(len(probes)), probes] = -2
-    near = np.argsort(-s, axis=1)[:, :K_NEAREST]
-    row, lists = index.lists_of(sample)
+    near = []
+    for lo in range(0, len(probes), 50):
+        part = probes[lo:lo + 50]
+        s = sample[part] @ sample.T
+        s[np.arange(len(part)), part] = -2
+        k = min(K_NEAREST, len(sample) - 1)
+        near.append(np.argpartition(-s, k - 1, axis=1)[:, :k])
+    near = np.concatenate(near)
     member = np.zeros((len(sample), len(index.centroids)), bool)
-    member[row, lists] = True
+    for lo in range(0, len(sample), 1024):
+        row, lists = index.lists_of(sample[lo:lo + 1024].astype(np.float32))
+        member[lo + row, lists] = True
     dist = np.sqrt(np.maximum(2 - 2 * (sample[probes] @ index.centroids.T), 0))
     need = np.stack([np.where(member[near[:, k]], dist, np.inf).min(1) for k in range(near.shape[1])], 1)
     return float(np.quantile(need / np.maximum(dist.min(1, keepdims=True), 1e-9), TARGET)) + 1e-9
