@@ -61,7 +61,8 @@ def latest_versions(spark: SparkSession, sf: str) -> DataFrame:
     schema = read_table(spark, sf, "events").schema
     root = _scratch(spark, "latest")
     stream = S.file_stream(spark, sf, schema, "events.parquet").withColumn("order_key", F.struct("ts", "event_id"))
-    S.run_complete_to_versions(S.latest_versions(stream, "user_id", "order_key"), f"{root}/table", f"{root}/_ckpt")
+    S.run_update_to_versions(S.latest_versions(stream, "user_id", "order_key"), f"{root}/table", f"{root}/_ckpt",
+                             ["user_id"])
     return S.read_latest(spark, f"{root}/table").select(
         F.col("user_id").alias("id"), "event_id", "event_type", F.round("value", 6).alias("value"))
 
@@ -74,7 +75,7 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
     # watermarks need TIMESTAMP; the log's NTZ values are read as UTC
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     agg = S.windowed_counts(stream, "ts", "event_type", "value", "1 day")
-    S.run_complete_to_versions(agg, f"{root}/table", f"{root}/_ckpt")
+    S.run_update_to_versions(agg, f"{root}/table", f"{root}/_ckpt", ["w", "event_type"])
     out = S.read_latest(spark, f"{root}/table")
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "event_type", F.col("n").cast("bigint").alias("n"),

@@ -125,3 +125,17 @@ def test_late_older_rows_do_not_replace_newer_ones(spark):
 
     assert arrive(1, [(1, 10, "new"), (2, 1, "a"), (1, 9, "x")]) == {1: (10, "new"), 2: (1, "a")}
     assert arrive(2, [(1, 5, "old"), (2, 2, "b"), (3, 1, "c")]) == {1: (10, "new"), 2: (2, "b"), 3: (1, "c")}
+
+
+def test_updated_windows_replace_their_rows(spark):
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    root = scratch_path(spark, f"test-update/{uuid.uuid4().hex}")
+    parts = [ev.where("event_id % 2 = 0"), ev.where("event_id % 2 = 1")]
+    for n, part in enumerate(parts):
+        part.write.parquet(f"{root}/in/part={n}")
+        stream = S.file_stream(spark, f"{root}/in/*", ev.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+        agg = S.windowed_counts(stream, "ts", "event_type", "value", "1 day", watermark="400 days")
+        S.run_update_to_versions(agg, f"{root}/t", f"{root}/_c", ["w", "event_type"])
+    got = {(r.w.start, r.event_type): r.n for r in S.read_latest(spark, f"{root}/t").collect()}
+    want = ev.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day").alias("w"), "event_type").count()
+    assert got == {(r.w.start, r.event_type): r["count"] for r in want.collect()}
