@@ -739,3 +739,12 @@ SELECT p.project_id, s.last_synced_at, CAST(coalesce(s.sync_count, 0) AS INTEGER
 FROM (SELECT DISTINCT event_type AS project_id FROM events UNION ALL SELECT 'never-synced') p
 LEFT JOIN ({ORACLE["sync_state"]}) s ON s.project_id = p.project_id
 """
+
+# the batch job: documents as issues, chunks cut at 8192 characters, windows of 1500
+
+ORACLE["ingest_job"] = f"""
+WITH {DOC_CHUNKS.replace("chunks AS (", "whole AS (")},
+chunks AS (SELECT id, {trunc('text', 8192)} AS text, issue_id, project FROM whole),
+{WINDOWS}
+SELECT id, issue_id, text, project FROM wch
+"""
