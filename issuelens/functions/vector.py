@@ -7,7 +7,10 @@ functions only (no Python in the task), and the bucket hash is the first
 32 bits of ``md5`` so the same vectors can be recomputed in plain SQL.
 """
 
+import hashlib
+import re
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,32 +56,30 @@ def hash_embed_native(text: Column | str, dim: int = 64) -> Column:
 # Letter/number runs: Python's [^\W_] is exactly str.isalnum(), i.e. the
 # Unicode L and N categories of TOKEN_SPLIT's complement.
 _TOKEN_RE = None
-# token -> 32-bit hash, per Python worker; bounded, cleared when full
-_HASHES: dict = {}
-_HASH_CACHE_MAX = 500_000
+class _Hashes(dict):
+    """token -> 32-bit hash, per Python worker; bounded, cleared when full."""
 
+    LIMIT = 500_000
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        h = self[token] = int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16)
+        return h
 
-def _embed_batch(texts, dim: int):
-    import hashlib
-    import re
 
-    import numpy as np
+_HASHES = _Hashes()
 
+
+def _embed_batch(texts, dim: int):
     global _TOKEN_RE
     if _TOKEN_RE is None:
         _TOKEN_RE = re.compile(r"[^\W_]+")
-    cache = _HASHES
     out = []
     for s in texts:
-        v = np.zeros(dim)
-        if s is not None:
-            for tok in _TOKEN_RE.findall(s.lower()):
-                h = cache.get(tok)
-                if h is None:
-                    if len(cache) >= _HASH_CACHE_MAX:
-                        cache.clear()
-                    h = cache[tok] = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16)
-                v[h % dim] += 1.0
+        found = _TOKEN_RE.findall(s.lower()) if s is not None else []
+        hashes = np.fromiter(map(_HASHES.__getitem__, found), np.int64, len(found))
+        v = np.bincount(hashes % dim, minlength=dim).astype(float)
         n = float(np.sqrt((v * v).sum()))
         out.append(v / n if n > 0 else v)
     return out
