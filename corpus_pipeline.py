@@ -59,7 +59,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Benchmark passages go, with documents of which they are more than half."""
     _begin(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _as_before(decontaminate.clean(decontaminate.find_contamination(spark, docs, items)), docs)
+    return _as_before(decontaminate.clean(spark, docs, items), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from issuelens.llm import blocks as B
 from issuelens.llm import tokens as K
@@ -175,8 +174,12 @@ def _automaton(items, size: int) -> Automaton:
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(items, text: str, size: int):
-    """Adds one block's hits to those that earlier blocks found."""
+def _scan(items, text: str, size: int, cut: float | None):
+    """Adds one block's hits to those that earlier blocks found.
+
+    With ``cut``, documents that are hit more are left out, and of the others
+    the hit spans: one pass, so that a task holds one Python worker.
+    """
     def scan(batches):
         for batch in batches:
             auto = _automaton(items, size)
@@ -203,14 +206,24 @@ def _scan(items, text: str, size: int):
                     spans.append([{"start": s, "end": e} for s, e in zip(edge[::2], edge[1::2])])
             new = {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
                    "items": pa.array(names, pa.list_(pa.string())), "spans": pa.array(spans, _SPANS)}
-            yield pa.RecordBatch.from_arrays(
+            if cut is not None:
+                new[text] = pa.array(cut_spans(texts, spans), pa.string())
+            out = pa.RecordBatch.from_arrays(
                 [new.get(f.name, batch.column(i)) for i, f in enumerate(batch.schema)], names=batch.schema.names)
+            if cut is not None:
+                out = out.filter(pa.array([h == 0 or h <= cut * n for h, n in zip(n_hit, n_words)], pa.bool_()))
+            yield out
     return scan
 
 
 def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str = "text",
-                       item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """``docs`` with n_words, n_hit, items (ids as sorted strings) and spans (maximal hit stretches of words)."""
+                       item_id: str = "item_id", item_text: str = "text", size: int = WINDOW,
+                       max_coverage: float | None = None) -> DataFrame:
+    """``docs`` with n_words, n_hit, items (ids as sorted strings) and spans (maximal hit stretches of words).
+
+    With ``max_coverage`` documents of which a larger share of words is hit
+    are rejected, and the hit spans are cut out of the texts of the others.
+    """
     found = docs.drop(*RESULT).withColumns({
         "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"),
         "items": F.expr("cast(array() as array<string>)"),
@@ -221,7 +234,8 @@ def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, t
     for b in range(n):
         rows = [(r.name, r.text) for r in blocked.where(F.col("block") == b).select("name", "text").collect()]
         shared = spark.sparkContext.broadcast((f"{spark.sparkContext.applicationId}-{id(rows)}-{b}", rows))
-        found = found.mapInArrow(_scan(shared, text, size), found.schema)
+        last = max_coverage if b + 1 == n else None
+        found = found.mapInArrow(_scan(shared, text, size, last), found.schema)
         if b + 1 < n:
             found = B.scratch_table(spark, found, "contamination")
     return found
@@ -246,16 +260,9 @@ def cut_spans(texts: pa.Array, spans: list) -> list[str | None]:
     return out
 
 
-def clean(found: DataFrame, text: str = "text", max_coverage: float = MAX_COVERAGE) -> DataFrame:
-    """Result of ``find_contamination`` without rejected documents, and with hit spans cut out of the others."""
-    def cut(batches):
-        for batch in batches:
-            k = batch.schema.get_field_index(text)
-            spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
-            yield batch.set_column(k, text, pa.array(cut_spans(batch.column(k), spans), pa.string()))
-
-    kept = found.where((F.col("n_hit") == 0) | (F.col("n_hit") <= max_coverage * F.col("n_words")))
-    return kept.mapInArrow(cut, T.StructType(kept.schema.fields))
+def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+    """``docs`` without contaminated spans, and without those that are mostly contamination."""
+    return find_contamination(spark, docs, items, max_coverage=max_coverage)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

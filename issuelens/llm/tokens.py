@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in slices of about this many bytes (a longer text is a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

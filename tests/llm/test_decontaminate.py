@@ -53,8 +53,8 @@ def test_clean_cuts_spans_and_rejects_what_is_mostly_hit(spark):
     item = " ".join(f"q{i}" for i in range(12))
     texts = [f"Start here. {item}! Then we go on " + "and on " * 20, item, "nothing of it", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = D.find_contamination(spark, docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
-    got = {r.doc_id: r.text for r in D.clean(found).collect()}
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r.text for r in D.clean(spark, docs, items).collect()}
     assert got == {0: "Start here. Then we go on " + "and on " * 20, 2: "nothing of it", 3: None}
 
 
