@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from issuelens.llm import blocks as B
 from issuelens.llm import tokens as K
 from issuelens.llm.toxicity import fold_of
 
@@ -162,7 +163,7 @@ class Model:
         return best, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """The model of the texts outside the held-out fold whose language is known."""
     rows = docs.where((fold_of(id_col, FOLDS) != 0) & F.col(lang).isNotNull())
     n = rows.count()
@@ -174,6 +175,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     keys = max(min(KEYS, CELLS // len(languages)), 1)
     counts = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(
         _count(languages), "size long, key long, lang long, n long").groupBy("size", "key", "lang").agg(F.sum("n").alias("n"))
+    counts = B.scratch_table(spark, counts, "language-counts")
     got = counts.groupBy("size", "key").agg(F.sum("n").alias("n"), F.map_from_entries(
         F.collect_list(F.struct("lang", "n"))).alias("by"))
     totals = {(r["size"], r["lang"]): r["n"] for r in counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
@@ -219,6 +221,6 @@ def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "te
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by a model learned outside fold 0 of doc_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    found = identify(spark, docs.select("doc_id", "text"), train(docs))
+    found = identify(spark, docs.select("doc_id", "text"), train(spark, docs))
     return found.select("doc_id", F.coalesce(fold_of("doc_id", FOLDS) == 0, F.lit(False)).alias("held_out"),
                         "lang_pred", "score")

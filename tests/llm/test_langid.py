@@ -43,11 +43,11 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_rows(spark, odd, none):
-    model = M.train(odd)
+    model = M.train(spark, odd)
     rows = M.identify(spark, odd, model).collect()
     assert sorted({(r.doc_id if r.doc_id is not None else -1, r.lang_pred) for r in rows if r.doc_id != 5}) == [
         (-1, "en"), (-1, "und"), (0, "en"), (1, "en"), (2, "und"), (3, "und"), (4, "und"), (6, "en"), (7, "en")]
     assert {r.score for r in rows if r.lang_pred == "und"} == {0.0}
-    nothing = M.train(none)
+    nothing = M.train(spark, none)
     assert {r.lang_pred for r in M.identify(spark, odd, nothing).collect()} == {"und"}
     assert M.identify(spark, none, model).count() == 0
