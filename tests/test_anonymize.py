@@ -29,7 +29,7 @@ def test_anonymize_issue_full(make_issues):
                      assigned_to={"id": 20, "name": "Bob"},
                      journals=[journal(1, "Bob", 20, "ip 10.0.0.1")], watchers=[{"id": 30, "name": "Dave"}])
     r = anonymize_issues(make_issues([iss])).first()
-    assert r.author.name == "User_00010" and r.assigned_to.name == "User_00020"
+    assert r.author.name == "User_00031" and r.assigned_to.name == "User_00020"
     assert r.journals[0].user.name == "User_00020" and r.journals[0].notes == "ip [REDACTED-IP]"
     assert r.watchers[0].name == "User_00030"
     assert r.description == "mail me at [REDACTED-EMAIL]" and r.subject == "a@b.com stays"
