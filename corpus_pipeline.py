@@ -8,6 +8,7 @@ cut, and documents that are mostly benchmark go; what is left is mixed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,47 +29,54 @@ def _as_before(changed: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def _begin(spark: SparkSession) -> None:
-    """What earlier stages left in the shared folder goes: their results are written tables by now."""
-    ship_package(spark)
-    blocks.drop_scratch(spark)
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _stage(work: Stage) -> Stage:
+    """A stage; what the stage before left in the shared folder goes, as its result is a written table by now."""
+    @wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        with blocks.owned_scratch(spark, "pipeline"):
+            return work(spark, docs, sf_dir)
+    return run_stage
+
+
+@_stage
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5; the model learns from the labels of these documents."""
-    _begin(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_documents(spark, docs, model).where("score < 0.5").select(*docs.columns)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component."""
-    _begin(spark)
     found = blocks.scratch_table(spark, minhash.near_duplicates(spark, docs), "near-duplicates")
     copies = found.where("not kept").select("doc_id")
     return blocks.join_ids(docs, copies, "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; documents stay."""
-    _begin(spark)
     return _as_before(substring_dedup(spark, docs), docs)
 
 
+@_stage
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go, with documents of which they are more than half."""
-    _begin(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _as_before(decontaminate.clean(spark, docs, items), docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes."""
-    _begin(spark)
     return mixing.mix(spark, docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", reject_toxic),
     ("near_duplicates", drop_near_duplicates),
     ("substring_dedup", cut_repeats),
@@ -81,5 +89,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn over ``documents``, each from the written table of the one before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = blocks.scratch_table(spark, stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        docs = blocks.scratch_table(spark, stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,31 +37,38 @@ _ZSTD = pa.Codec("zstd", compression_level=1)
 
 #: Ids of which so many at most are broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
-_MADE: dict[str, list[str]] = {}
+_MADE: dict[tuple[str, str], list[str]] = {}
+_OWNER: list[str] = []
 
 
-def scratch_table(spark: SparkSession, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """``df`` written to the shared folder and read back: lineage ends here.
-
-    ``drop_scratch`` deletes the tables that are not to be kept.
-    """
-    path = new_scratch(spark, name, keep)
+def scratch_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: lineage ends here."""
+    path = new_scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def new_scratch(spark: SparkSession, name: str, keep: bool = False) -> str:
+def new_scratch(spark: SparkSession, name: str) -> str:
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
-    if not keep:
-        _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    if _OWNER:
+        _MADE.setdefault((spark.sparkContext.applicationId, _OWNER[-1]), []).append(path)
     return path
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Deletes this application's scratch tables; results that read them must have been written."""
-    for path in _MADE.pop(spark.sparkContext.applicationId, []):
+@contextmanager
+def owned_scratch(spark: SparkSession, owner: str):
+    """Scratch tables made inside belong to ``owner``; those of its last use are deleted first.
+
+    For work in steps whose results are written before the next step begins.
+    """
+    for path in _MADE.pop((spark.sparkContext.applicationId, owner), []):
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _OWNER.append(owner)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
 
 
 def join_ids(rows: DataFrame, ids: DataFrame, column: str, how: str) -> DataFrame:
