@@ -161,3 +161,8 @@ def embed_windows(chunks: DataFrame, size: int = C.EMBED_MAX_CHARS) -> DataFrame
                 F.concat("id", F.lit("_part_"), F.col("_part").cast("string"))))
             .withColumn("text", F.expr(f"substring(text, cast(_part * {size} + 1 as int), {size})"))
             .drop("_part"))
+
+
+def chunk_id(window_id: str) -> Column:
+    """The id of the chunk that a window of ``embed_windows`` is cut from."""
+    return F.regexp_replace(F.col(window_id), r"_part_[0-9]+\z", "")

@@ -19,7 +19,10 @@ into hash blocks that are searched one after another and unioned.
 Ranking uses ``(rkey, id)`` with ``rkey = round(score, 9)`` computed once
 in the kernel, so ties and last-bit differences resolve the same way
 everywhere, and the kernel can cut every question to exactly ``fetch_k``
-rows: a group of identical copies (equal scores) never floods the shuffle.  Filtered search and the
+rows: a group of identical copies (equal scores) never floods the shuffle.
+``fetch_k`` counts chunks: of a chunk's windows (``documents.embed_windows``)
+the best one per question is kept before every cut, so a long text takes one
+place however many windows it has.  Filtered search and the
 unfiltered fallback search are computed in the same scan (pass 1 and
 pass 2) so the fallback never re-reads the collection.
 """
@@ -38,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from issuelens import config as C
+from issuelens.operators.documents import chunk_id
 
 DEFAULT_FILTER_COLS = ("status", "priority", "project_id")
 RANK_DIGITS = 9
@@ -97,27 +101,34 @@ def _distances(emb: np.ndarray, qmat: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _top(df: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Exactly the first ``k`` rows per (question, pass) by ``(rkey, id)``."""
+    """Exactly the best rows of the first ``k`` chunks per (question, pass) by ``(rkey, id)``."""
     df = df.sort_values(["question_id", "pass", "rkey", "id"], kind="stable")
+    df = df.drop_duplicates(["question_id", "pass", "chunk"])
     return df.groupby(["question_id", "pass"], sort=False).head(k)
 
 
-def _select(scores: np.ndarray, ids: np.ndarray, parents: np.ndarray,
+def _select(scores: np.ndarray, ids: np.ndarray, parents: np.ndarray, chunks: np.ndarray,
             qids: np.ndarray, pass_no: int, k: int) -> pd.DataFrame | None:
-    """The first ``k`` rows of every column by ``(rkey, id)``.
+    """The best rows of the first ``k`` chunks of every column by ``(rkey, id)``.
 
-    Rows above the k-th key are dropped with a partition; rows tied at the
-    k-th key (copies) are cut by id, so at most ``k`` rows per column leave.
+    Rows above their chunk's best key or the k-th of these are dropped with a
+    partition; rows tied there (copies) are cut by id, so at most ``k`` rows
+    per column leave.
     """
     n, m = scores.shape
     if n == 0 or m == 0:
         return None
     keys = np.round(scores, RANK_DIGITS)
-    if n > k:
-        kth = np.partition(keys, k - 1, axis=0)[k - 1]
-        keep = keys <= kth[None, :]
-    else:
-        keep = np.ones(keys.shape, dtype=bool)
+    keep = np.ones(keys.shape, dtype=bool)
+    best = keys
+    of, found = pd.factorize(chunks, use_na_sentinel=False)
+    if len(found) < n:
+        order = np.argsort(of, kind="stable")
+        best = np.minimum.reduceat(keys[order], np.searchsorted(of[order], np.arange(len(found))), axis=0)
+        keep = keys == best[of]
+    if len(best) > k:
+        kth = np.partition(best, k - 1, axis=0)[k - 1]
+        keep &= keys <= kth[None, :]
     keep &= np.isfinite(keys)
     r, c = np.nonzero(keep)
     if r.size == 0:
@@ -127,14 +138,15 @@ def _select(scores: np.ndarray, ids: np.ndarray, parents: np.ndarray,
         "pass": np.full(r.size, pass_no, dtype=np.int32),
         "id": ids[r],
         "parent": parents[r],
+        "chunk": chunks[r],
         "score": scores[r, c],
         "rkey": keys[r, c],
     }), k)
 
 
 def _reduce(df: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Keep, per (question, pass), the first ``k`` rows by ``(rkey, id)``."""
-    return _top(df, k)[["question_id", "pass", "id", "parent", "score", "rkey"]]
+    """Keep, per (question, pass), the best rows of the first ``k`` chunks by ``(rkey, id)``."""
+    return _top(df, k)[["question_id", "pass", "id", "parent", "chunk", "score", "rkey"]]
 
 
 def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fallback: bool,
@@ -168,6 +180,7 @@ def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fa
             emb = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
             ids_all = np.asarray(rb.column("id").to_numpy(zero_copy_only=False), dtype=object)[rows]
             parents_all = np.asarray(rb.column("parent").to_numpy(zero_copy_only=False), dtype=object)[rows]
+            chunks_all = np.asarray(rb.column("chunk").to_numpy(zero_copy_only=False), dtype=object)[rows]
             cvals_all = {col: np.asarray(rb.column(col).to_numpy(zero_copy_only=False), dtype=object)[rows]
                          for col in filter_cols} if fq.size else {}
             # bounded working set: ROW_BLOCK x (questions of one block)
@@ -175,7 +188,7 @@ def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fa
                 sl = slice(r0, r0 + row_block)
                 for q0 in range(0, len(qids), q_block):
                     qs = slice(q0, q0 + q_block)
-                    part_rows = _block(emb[sl], ids_all[sl], parents_all[sl],
+                    part_rows = _block(emb[sl], ids_all[sl], parents_all[sl], chunks_all[sl],
                                        {c: v[sl] for c, v in cvals_all.items()},
                                        qmat[qs], qids[qs], {c: v[qs] for c, v in qfilters.items()},
                                        has_filter[qs])
@@ -186,13 +199,13 @@ def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fa
                         acc = [_reduce(pd.concat(acc, ignore_index=True), fetch_k)]
                         acc_rows = len(acc[0])
         if acc:
-            out = _reduce(pd.concat(acc, ignore_index=True), fetch_k)
+            out = _reduce(pd.concat(acc, ignore_index=True), fetch_k).drop(columns="chunk")
             yield pa.RecordBatch.from_pandas(out, schema=pa.schema([
                 ("question_id", pa.int64()), ("pass", pa.int32()), ("id", pa.string()),
                 ("parent", pa.string()), ("score", pa.float64()), ("rkey", pa.float64())]),
                 preserve_index=False)
 
-    def _block(emb, ids, parents, cvals, qmat, qids, qfilters, has_filter):
+    def _block(emb, ids, parents, chunks, cvals, qmat, qids, qfilters, has_filter):
         """Candidates of one (rows x questions) block for passes 0, 1, 2."""
         out = []
         fq = np.nonzero(has_filter)[0]
@@ -201,7 +214,7 @@ def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fa
 
         # pass 0: questions without filters
         if nf.size:
-            part = _select(dist[:, nf], ids, parents, qids[nf], 0, fetch_k)
+            part = _select(dist[:, nf], ids, parents, chunks, qids[nf], 0, fetch_k)
             if part is not None:
                 out.append(part)
         if fq.size:
@@ -214,12 +227,12 @@ def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fa
                     bad = np.nonzero(cvals[col] != v)[0]
                     if bad.size:
                         masked[np.ix_(bad, cols)] = np.inf
-            part = _select(masked, ids, parents, qids[fq], 1, fetch_k)
+            part = _select(masked, ids, parents, chunks, qids[fq], 1, fetch_k)
             if part is not None:
                 out.append(part)
             # pass 2: the same questions unfiltered, for the fallback
             if fallback:
-                part = _select(dist[:, fq], ids, parents, qids[fq], 2, fetch_k)
+                part = _select(dist[:, fq], ids, parents, chunks, qids[fq], 2, fetch_k)
                 if part is not None:
                     out.append(part)
         return out
@@ -252,7 +265,8 @@ def candidates(spark: SparkSession, collection: DataFrame, questions: DataFrame,
     # counting the ids does not evaluate the (possibly model-computed) vectors
     n_q = n_questions if n_questions is not None else questions.select("question_id").count()
     # a chunk without a parent issue is its own parent (V8)
-    coll = collection.select("id", F.coalesce(F.col("parent"), F.col("id")).alias("parent"), *fcols, "embedding")
+    coll = collection.select("id", F.coalesce(F.col("parent"), F.col("id")).alias("parent"), chunk_id("id").alias("chunk"),
+                             *fcols, "embedding")
     if n_q == 0:
         return spark.createDataFrame([], CANDIDATE_SCHEMA)
     # size of the broadcast block: vectors (dim from one row) + filters + ids
@@ -289,13 +303,20 @@ def _tree_level(cand: DataFrame, coll: DataFrame, fetch_k: int, fanin: int) -> D
         return cand
     g = (F.spark_partition_id() / F.lit(fanin)).cast("int")
     w = Window.partitionBy("question_id", "pass", "_g").orderBy("rkey", "id")
-    return (cand.withColumn("_g", g).withColumn("_r", F.row_number().over(w))
+    return (_best_windows(cand.withColumn("_g", g), "_g").withColumn("_r", F.row_number().over(w))
             .where(F.col("_r") <= fetch_k).drop("_g", "_r"))
 
 
+def _best_windows(cand: DataFrame, *within: str) -> DataFrame:
+    """The best window of each chunk per (question, pass): the cuts to ``fetch_k`` count chunks."""
+    w = Window.partitionBy("question_id", "pass", *within, "_chunk").orderBy("rkey", "id")
+    return (cand.withColumn("_chunk", chunk_id("id")).withColumn("_w", F.row_number().over(w))
+            .where(F.col("_w") == 1).drop("_chunk", "_w"))
+
+
 def rank_candidates(cand: DataFrame, spec: SearchSpec) -> DataFrame:
     """V7-V10 and R6 on the candidate rows; one shuffle by question id."""
-    cand = cand.repartition("question_id").withColumn("rscore", F.col("rkey"))
+    cand = _best_windows(cand.repartition("question_id")).withColumn("rscore", F.col("rkey"))
     w_pass = Window.partitionBy("question_id", "pass").orderBy("rscore", "id")
     hits = (cand.withColumn("_fetch", F.row_number().over(w_pass))
             .where(F.col("_fetch") <= spec.fetch_k))
@@ -358,7 +379,7 @@ def fetch_window(spark: SparkSession, collection: DataFrame, questions: DataFram
     several K / threshold settings from one scan (Q7).
     """
     cand = candidates(spark, collection, questions, spec).where(F.col("pass") < 2)
-    cand = cand.repartition("question_id").withColumn("rscore", F.col("rkey"))
+    cand = _best_windows(cand.repartition("question_id")).withColumn("rscore", F.col("rkey"))
     w = Window.partitionBy("question_id").orderBy("rscore", "id")
     return (cand.withColumn("fetch_rank", F.row_number().over(w))
             .where(F.col("fetch_rank") <= spec.fetch_k)

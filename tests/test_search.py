@@ -169,3 +169,19 @@ def test_sweep_equals_separate_searches(spark):
             for r in run(spark, coll, qs, top_k=k, score_threshold=t):
                 want.add((k, t, r[0], r[1]))
     assert swept == want
+
+
+def test_windows_of_a_long_text_take_one_place(spark):
+    from issuelens.operators.search import fetch_window
+
+    # 40 windows of one text are nearest; fetch_k is 20
+    rows = [("issue_1" + (f"_part_{i}" if i else ""), "1", "New", [0.01 * (i + 1)]) for i in range(40)]
+    rows += [(f"issue_{n}", str(n), "New", [float(n)]) for n in range(2, 9)]
+    qs = q_df(spark, [(1, [0.0], None), (2, [0.0], "New"), (3, [0.0], "Nope")])
+    want = [("issue_1", 1)] + [(f"issue_{n}", n) for n in range(2, 6)]
+    for parts, extra in ((1, {}), (6, {"fanin": 2, "row_block": 7, "q_block": 2})):
+        out = run(spark, coll_df(spark, rows, parts), qs, top_k=5, extra=extra)
+        assert [(r[0], r[1], r[4]) for r in out] == [(q, i, k) for q in (1, 2, 3) for k, (i, _) in enumerate(want, 1)]
+    seen = fetch_window(spark, coll_df(spark, rows, 3), qs.where("question_id = 1"),
+                        SearchSpec(top_k=5, fallback=False, filter_cols=("status",))).orderBy("fetch_rank").collect()
+    assert [(r.id, r.fetch_rank) for r in seen] == [(f"issue_{n}", n) for n in range(1, 9)]
