@@ -5,10 +5,11 @@ and id, from the root) are one style node.  It counts, over the host's pages,
 which texts the node held and which children it had; the entropies of the two
 (normalised, 0 if all pages agree, 1 if all differ) make its importance.  A
 branch of at least MIN_PAGES pages whose importance is below NOISE of the
-page body's is the site's furniture and is removed.  Presentation that says
-itself what it is (nav, footer, a class ``ad``, a hidden element) has no
-importance on any host.  Of what is left, the article elements are the text,
-if they hold most of it, else main or the body.
+page body's is the site's furniture and is removed; below NAMED_NOISE of it, if its
+class or id has a word of NOISE_WORDS.  On a host of fewer pages these words
+alone decide.  Presentation that says itself what it is (nav, footer, a role, a
+hidden element) has no importance on any host.  Of what is left, the article
+elements are the text, if they hold most of it, else main or the body.
 
 A block is the text between two borders of block elements; white space in it
 becomes one space, character references are decoded, blocks are joined by a
@@ -17,8 +18,8 @@ line break.  ``<br>`` is white space.
 Cases: a null or empty html has no text; broken or unclosed markup is closed
 as browsers close it; a null url is a host of its own name; repeated pages
 count repeatedly, but a host whose pages are all alike loses nothing by that;
-a page of which everything would go loses only what presentation names; empty
-tables give no rows.  Input columns named like a result column are replaced.
+a page of which everything would go loses only what presentation and words
+name, or else presentation alone; empty tables give no rows.  Input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -36,6 +37,10 @@ from issuelens.llm import blocks as B
 
 MIN_PAGES = 4
 NOISE = 0.2
+#: The same for nodes with a word of NOISE_WORDS.
+NAMED_NOISE = 0.5
+#: Path that stands for a host's pages: among the noise of a host of MIN_PAGES.
+HOST = b""
 #: Share of a node's importance that its children's styles have; its texts have the rest.
 SHAPE_SHARE = 0.1
 #: Noise nodes are broadcast up to so many bytes, and joined by host beyond.
@@ -76,7 +81,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Node:
     """An element, its children (nodes and strings), and what its presentation says."""
 
-    __slots__ = ("tag", "children", "parent", "style", "noise", "named", "path")
+    __slots__ = ("tag", "children", "parent", "style", "noise", "named", "role", "path")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent, self.children = tag, parent, []
@@ -86,7 +91,8 @@ class Node:
                 found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         names = html.unescape(f"{found.get('class', '')} {found.get('id', '')}").lower()
         self.style = f"{tag} {_DIGITS.sub('0', names)}" if names.strip() else tag
-        self.named = not NOISE_WORDS.isdisjoint(_WORD.findall(names)) or found.get("role", "").lower() in NOISE_ROLES
+        self.named = not NOISE_WORDS.isdisjoint(_WORD.findall(names))
+        self.role = found.get("role", "").lower() in NOISE_ROLES
         self.noise = (tag in NOISE_TAGS or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
                       or bool(_HIDDEN.search(found.get("style", "").lower())))
         above = parent.path if parent else b""
@@ -157,9 +163,9 @@ def walk(root: Node):
             todo.extend((c, True) for c in reversed(item.children))
 
 
-def style_nodes(root: Node) -> dict[bytes, tuple[int, int]]:
-    """Of a page's block elements by path: prints of their texts and of their children's styles."""
-    out: dict[bytes, tuple[int, int]] = {}
+def style_nodes(root: Node) -> dict[bytes, tuple[int, int, bool]]:
+    """Of a page's block and named elements by path: prints of their texts and of their children's styles, if named."""
+    out: dict[bytes, tuple[int, int, bool]] = {}
     open_: list = []
     for item, entering in walk(root):
         if isinstance(item, str):
@@ -170,17 +176,17 @@ def style_nodes(root: Node) -> dict[bytes, tuple[int, int]]:
             print_ = open_.pop().digest()
             if open_:
                 open_[-1].update(print_)
-            if item.tag in BLOCK:
+            if item.tag in BLOCK or item.named:
                 shape = blake2b("|".join(c.style for c in item.children if isinstance(c, Node)).encode("utf-8", "replace"),
                                 digest_size=8).digest()
-                a, b = out.get(item.path, (0, 0))
+                a, b, _ = out.get(item.path, (0, 0, False))
                 out[item.path] = (a + int.from_bytes(print_, "little") & (1 << 63) - 1,
-                                  b + int.from_bytes(shape, "little") & (1 << 63) - 1)
+                                  b + int.from_bytes(shape, "little") & (1 << 63) - 1, item.named)
     return out
 
 
-def _mark(root: Node, noise: frozenset) -> tuple[set, list, list]:
-    """Ids of removed nodes by presentation, and of those that the style tree removes; outermost articles and mains."""
+def _mark(root: Node, noise: frozenset) -> tuple[set, set, set, list, list]:
+    """Ids of removed nodes by presentation, by their words alone, and by the style tree; outermost articles and mains."""
     holders = set()  # nodes with an article or main below
     for item, entering in walk(root):
         if entering and isinstance(item, Node) and item.tag in ("article", "main"):
@@ -188,21 +194,25 @@ def _mark(root: Node, noise: frozenset) -> tuple[set, list, list]:
             while up is not None and id(up) not in holders:
                 holders.add(id(up))
                 up = up.parent
-    gone, poor, articles, mains = set(), set(), [], []
+    gone, words, poor, articles, mains = set(), set(), set(), [], []
+    counted = HOST in noise
     depth = inside = 0
     for item, entering in walk(root):
         if isinstance(item, str):
             continue
         fixed = item.tag in ("html", "body", "main", "#page") or id(item) in holders
         bad = (item.noise and item.tag not in ("html", "body", "#page")
-               or item.named and not fixed and not (item.tag == "article" and not inside)
+               or item.role and not fixed and not (item.tag == "article" and not inside)
                or item.tag == "header" and not inside and not fixed
                or item.tag == "footer")
+        named = not counted and item.named and not fixed and not (item.tag == "article" and not inside)
         if entering:
-            depth += bad
+            depth += bad or named
             inside += item.tag == "article"
             if bad:
                 gone.add(id(item))
+            elif named:
+                words.add(id(item))
             elif item.path in noise and not fixed and item.tag != "article":
                 poor.add(id(item))
             if not depth and item.tag == "article" and inside == 1:
@@ -211,8 +221,8 @@ def _mark(root: Node, noise: frozenset) -> tuple[set, list, list]:
                 mains.append(item)
         else:
             inside -= item.tag == "article"
-            depth -= id(item) in gone
-    return gone, poor, articles, mains
+            depth -= id(item) in gone or id(item) in words
+    return gone, words, poor, articles, mains
 
 
 def blocks(roots: list[Node], gone: set) -> list[str]:
@@ -246,8 +256,13 @@ def main_text(page: str | None, noise: frozenset = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
-    gone, poor, articles, mains = _mark(root, noise)
-    for removed in ((gone | poor, gone) if poor else (gone,)):
+    gone, words, poor, articles, mains = _mark(root, noise)
+    tries = [gone | words | poor]
+    if poor:
+        tries.append(gone | words)
+    if words:
+        tries.append(gone)
+    for removed in tries:
         everything = blocks([root], removed)
         total = sum(map(len, everything))
         for region in (articles, mains):
@@ -270,30 +285,32 @@ _BODY = blake2b(blake2b(blake2b(b"#page", digest_size=8).digest() + b"html", dig
 
 def _style_rows(batches):
     for batch in batches:
-        host, path, text, shape = [], [], [], []
+        host, path, text, shape, named = [], [], [], [], []
         for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if page:
-                for p, (a, b) in style_nodes(parse(page)).items():
+                for p, (a, b, c) in [(HOST, (0, 0, False)), *style_nodes(parse(page)).items()]:
                     host.append(h)
                     path.append(p)
                     text.append(a)
                     shape.append(b)
+                    named.append(c)
         yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.binary()),
-                                          pa.array(text, pa.int64()), pa.array(shape, pa.int64())],
-                                         names=["host", "path", "text", "shape"])
+                                          pa.array(text, pa.int64()), pa.array(shape, pa.int64()),
+                                          pa.array(named, pa.bool_())],
+                                         names=["host", "path", "text", "shape", "named"])
 
 
 def style_tree(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """``(host, path, pages, importance)`` of every style node of at least MIN_PAGES pages."""
+    """``(host, path, named, pages, importance)`` of every style node of at least MIN_PAGES pages, and of HOST."""
     rows = pages.select(host_of(url).alias("host"), page).mapInArrow(
-        _style_rows, "host string, path binary, text long, shape long")
-    rows = rows.select("host", "path", F.explode(F.map_from_arrays(
+        _style_rows, "host string, path binary, text long, shape long, named boolean")
+    rows = rows.select("host", "path", "named", F.explode(F.map_from_arrays(
         F.array(F.lit("text"), F.lit("shape")), F.array("text", "shape"))).alias("kind", "print"))
-    seen = rows.groupBy("host", "path", "kind", "print").agg(F.count("*").cast("double").alias("n"))
-    by_kind = seen.groupBy("host", "path", "kind").agg(F.sum("n").alias("m"), F.sum(F.expr("n * ln(n)")).alias("s"))
+    seen = rows.groupBy("host", "path", "named", "kind", "print").agg(F.count("*").cast("double").alias("n"))
+    by_kind = seen.groupBy("host", "path", "named", "kind").agg(F.sum("n").alias("m"), F.sum(F.expr("n * ln(n)")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0)
     share = F.when(F.col("kind") == "shape", SHAPE_SHARE).otherwise(1 - SHAPE_SHARE)
-    return by_kind.groupBy("host", "path").agg(F.max("m").cast("long").alias("pages"),
+    return by_kind.groupBy("host", "path", "named").agg(F.max("m").cast("long").alias("pages"),
                                                F.sum(entropy * share).alias("importance")).where(f"pages >= {MIN_PAGES}")
 
 
@@ -302,7 +319,9 @@ def extract(spark: SparkSession, pages: DataFrame, url: str = "url", page: str =
     pages = pages.drop(*(c for c in RESULT if c not in (url, page)))
     tree = style_tree(pages, url, page)
     body = tree.where(F.col("path") == F.lit(bytearray(_BODY))).select("host", F.col("importance").alias("whole"))
-    noise = (tree.join(body, "host").where(F.col("importance") < NOISE * F.col("whole"))
+    # a host without a bare body is judged by its words only, against a body of importance 1
+    limit = F.when(F.col("named"), NAMED_NOISE * F.coalesce("whole", F.lit(1.0))).otherwise(NOISE * F.col("whole"))
+    noise = (tree.join(body, "host", "left").where((F.col("importance") < limit) | (F.col("path") == F.lit(bytearray(HOST))))
              .groupBy("host").agg(F.collect_set("path").alias("_noise")))
     noise = B.scratch_table(spark, noise.withColumnRenamed("host", "_host"), "noise-paths")
     size = noise.agg(F.sum(F.length("_host") + 16 * F.size("_noise"))).first()[0] or 0

@@ -52,6 +52,21 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     assert got[22] == "same"
 
 
+def test_words_do_not_remove_what_differs_on_every_page(spark):
+    def page(i, host):
+        return (i, f"http://{host}/{i}", f"<html><body><div class=elementor-widget><p>text {i}</p>"
+                f"<section id=related-work><p>work {i * 7}</p></section><span class=share>Share this</span>"
+                "<div class=social><p>Follow us</p></div></div></body></html>", "")
+
+    rows = [page(i, "a.example") for i in range(8)] + [page(8, "b.example")]
+    rows += [(9, "http://c.example/", "<body><p>text</p><div class=widget>more</div></body>", "")]
+    got = {r.page_id: r.text for r in M.extract(spark, spark.createDataFrame(rows, PAGE)).collect()}
+    assert [got[i] for i in range(8)] == [f"text {i}\nwork {i * 7}" for i in range(8)]
+    # one page of a host: words decide, unless they would take everything
+    assert got[8] == "text 8\nwork 56\nShare this\nFollow us"
+    assert got[9] == "text"
+
+
 def test_odd_rows(spark):
     long = "<article><p>" + "word " * 200_000 + "</p></article>"
     rows = [(1, None, None, "x"), (2, "", "", "x"), (None, "nonsense", "<p>a</p>", "x"), (3, "http://h/", long, "x"), (3, "http://h/", long, "x")]
