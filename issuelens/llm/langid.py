@@ -6,8 +6,10 @@ off: the mean log frequency of its known character 5-grams (with the word's
 borders), if it has none its 4-grams, and so on to single characters.  The
 language of the largest sum is predicted, its posterior is the score.
 
-The model is fitted on about TRAIN_DOCS documents at most, chosen by a hash
-of doc_id, and keeps the KEYS most frequent words and as many n-grams of each
+The languages are those of all labelled rows to learn from.  The model is
+fitted on about TRAIN_DOCS documents at most, chosen by a hash of doc_id: as many of each language, all
+of a language that has fewer.  It keeps KEYS words, those that are most
+frequent in some language first, and as many n-grams of each
 length (fewer, if there are so many languages that the tables would pass
 CELLS numbers): this bounds what the driver holds and what is broadcast.
 Prediction reads every whole text.
@@ -163,25 +165,40 @@ class Model:
         return best, 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
 
 
+def _even(sizes: dict[str, int], docs: int) -> float:
+    """So many documents of each language, or all it has, make ``docs`` together."""
+    left, level = docs, 0.0
+    for k, n in enumerate(sorted(sizes.values())):
+        level = left / (len(sizes) - k)
+        if n > level:
+            return max(level, 1.0)
+        left -= n
+    return float(max(sizes.values(), default=0))
+
+
 def train(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """The model of the texts outside the held-out fold whose language is known."""
     rows = docs.where((fold_of(id_col, FOLDS) != 0) & F.col(lang).isNotNull())
-    n = rows.count()
-    share = min(1.0, TRAIN_DOCS / n) if n else 1.0
-    rows = rows.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < share * 1_000_000)
-    languages = sorted(r[0] for r in rows.select(lang).distinct().collect())
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    languages = sorted(sizes)
     if not languages:
         return Model([], [])
+    level = _even(sizes, TRAIN_DOCS)
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).join(
+        F.broadcast(spark.createDataFrame([(x, min(1.0, level / n)) for x, n in sizes.items()], "lang string, _share double")),
+        "lang").where(F.pmod(F.xxhash64("_id"), F.lit(10 ** 9)) < F.col("_share") * 10 ** 9)
     keys = max(min(KEYS, CELLS // len(languages)), 1)
-    counts = rows.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(
+    counts = rows.select("text", "lang").mapInArrow(
         _count(languages), "size long, key long, lang long, n long").groupBy("size", "key", "lang").agg(F.sum("n").alias("n"))
     counts = B.scratch_table(spark, counts, "language-counts")
-    got = counts.groupBy("size", "key").agg(F.sum("n").alias("n"), F.map_from_entries(
+    sums = counts.groupBy("size", "lang").agg(F.sum("n").alias("total"))
+    got = counts.join(F.broadcast(sums), ["size", "lang"]).groupBy("size", "key").agg(
+        F.sum("n").alias("n"), F.max(F.col("n") / F.col("total")).alias("most"), F.map_from_entries(
         F.collect_list(F.struct("lang", "n"))).alias("by"))
-    totals = {(r["size"], r["lang"]): r["n"] for r in counts.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
+    totals = {(r["size"], r["lang"]): r["total"] for r in sums.collect()}
     tables = []
     for size in range(LONGEST + 1):
-        top = got.where(F.col("size") == size).orderBy(F.desc("n"), "key").limit(keys).select(
+        top = got.where(F.col("size") == size).orderBy(F.desc("most"), F.desc("n"), "key").limit(keys).select(
             "key", *(F.coalesce(F.col("by")[F.lit(k)], F.lit(0)).alias(f"n{k}") for k in range(len(languages)))).toPandas()
         top["key"] = top["key"].to_numpy().view(np.uint64)
         top = top.sort_values("key")

@@ -42,6 +42,18 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(M, "TRAIN_DOCS", 60)
+    monkeypatch.setattr(M, "KEYS", 60)
+    rows = [(i, " ".join(f"{a}{b}" for a in "bcdfg" for b in "aeiou") + f" {'klm'[i % 3]}{'uvw'[i % 2]}a", "en") for i in range(3000)]
+    rows += [(5000 + i, "žluť kůň úpěl ďábel", "cs") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = M.train(spark, df)
+    assert model.languages == ["cs", "en"]
+    assert all(r.lang == r.lang_pred for r in M.identify(spark, df, model).collect())
+    assert M._even({"a": 5, "b": 100, "c": 40}, 60) == 27.5 and M._even({"a": 5, "b": 7}, 60) == 7
+
+
 def test_odd_rows(spark, odd, none):
     model = M.train(spark, odd)
     rows = M.identify(spark, odd, model).collect()
