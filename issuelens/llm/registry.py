@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from issuelens.llm import ann, chat, decontaminate, html_extract, katz, langid, minhash, mixing, substring_dedup, toxicity
+from issuelens.llm import (
+    ann, chat, decontaminate, html_extract, katz, langid, minhash, mixing, quality, substring_dedup, toxicity, variants,
+)
 
 QUERIES = {
     "op1_chat_format": chat.query,
@@ -15,6 +17,8 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.query,
     "op9_nearest": ann.query,
     "op10_mix_sources": mixing.query,
+    "op11_quality_rules": quality.query,
+    "op12_spelling_variants": variants.query,
 }
 
 ORACLE = {
@@ -23,4 +27,5 @@ ORACLE = {
     "op4_decontaminate": decontaminate.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "op11_quality_rules": quality.ORACLE,
 }
