@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from issuelens.llm import (
-    ann, chat, decontaminate, html_extract, katz, langid, minhash, mixing, quality, substring_dedup, toxicity, variants,
+    ann, chat, clustering, decontaminate, html_extract, katz, langid, minhash, mixing, quality, substring_dedup, toxicity,
+    variants,
 )
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op10_mix_sources": mixing.query,
     "op11_quality_rules": quality.query,
     "op12_spelling_variants": variants.query,
+    "op13_centroid_clusters": clustering.query,
 }
 
 ORACLE = {
@@ -28,4 +30,5 @@ ORACLE = {
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
     "op11_quality_rules": quality.ORACLE,
+    "op13_centroid_clusters": clustering.ORACLE,
 }
