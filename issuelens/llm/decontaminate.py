@@ -20,6 +20,7 @@ rows.  Input columns named like a result column are replaced by it.
 
 from __future__ import annotations
 
+import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -162,7 +163,7 @@ _AUTOMATA: dict = {}
 
 
 def _automaton(items, size: int) -> Automaton:
-    """One automaton per worker process and broadcast."""
+    """One automaton per worker process and broadcast, which has a name of its own."""
     key = (items.value[0], size)
     if key not in _AUTOMATA:
         _AUTOMATA.clear()
@@ -233,7 +234,7 @@ def find_contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, t
         blocked = B.scratch_table(spark, blocked, "items")
     for b in range(n):
         rows = [(r.name, r.text) for r in blocked.where(F.col("block") == b).select("name", "text").collect()]
-        shared = spark.sparkContext.broadcast((f"{spark.sparkContext.applicationId}-{id(rows)}-{b}", rows))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, rows))
         last = max_coverage if b + 1 == n else None
         found = found.mapInArrow(_scan(shared, text, size, last), found.schema)
         if b + 1 < n:

@@ -66,3 +66,12 @@ def test_odd_rows(spark, odd, none):
     assert got[5, 60_000] == (0, [])
     assert D.find_contamination(spark, none, bench).count() == 0
     assert {r.n_hit for r in D.find_contamination(spark, odd, bench.limit(0)).collect()} == {0}
+
+
+def test_each_call_scans_with_its_own_items(spark):
+    docs = spark.createDataFrame([(0, "aa bb"), (1, "cc dd"), (2, "ee ff")], "doc_id long, text string").repartition(1)
+    for k in range(12):  # equal shapes: reused workers must not meet an earlier automaton
+        text = ("aa bb", "cc dd", "ee ff")[k % 3]
+        bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+        got = {r.doc_id: r.n_hit for r in D.find_contamination(spark, docs, bench).collect()}
+        assert got == {i: 2 * (i == k % 3) for i in range(3)}
