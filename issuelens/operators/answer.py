@@ -38,11 +38,13 @@ def issue_block() -> Column:
 
 
 def hit_details(hits: DataFrame, collection: DataFrame) -> DataFrame:
-    """Attach text and metadata of each hit (join back on chunk id).
+    """Attach the whole stored text and the metadata of each hit's chunk.
 
     Every hit comes from the collection, so this is an inner join; its
     strategy is left to the sizes that Spark sees.
     """
+    if "part" in collection.columns:  # a chunk's text stands in the row of its first window
+        collection = collection.where("part = 0").withColumn("id", F.col("chunk_id"))
     want = ["id", "text"] + [c for c in HIT_META if c in collection.columns]
     coll = collection.select(*want).withColumnRenamed("issue_id", "meta_issue_id")
     out = coll.join(hits, "id", "inner")

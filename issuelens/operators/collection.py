@@ -19,7 +19,9 @@ from issuelens.schemas import CHUNK
 
 COLLECTION_SCHEMA = T.StructType(
     list(CHUNK.fields)
-    + [T.StructField("embedding", T.ArrayType(T.DoubleType())),
+    + [T.StructField("chunk_id", T.StringType()),
+       T.StructField("part", T.IntegerType()),
+       T.StructField("embedding", T.ArrayType(T.DoubleType())),
        T.StructField("embed_model", T.StringType())]
 )
 

@@ -153,16 +153,17 @@ def expansion_counts(chunks: DataFrame) -> DataFrame:
 def embed_windows(chunks: DataFrame, size: int = C.EMBED_MAX_CHARS) -> DataFrame:
     """Chunks as consecutive windows of what the embedder takes, so that no text stays unembedded.
 
-    The first window keeps the chunk's id, window n gets ``<id>_part_<n>``;
-    the other columns are repeated.
+    Adds ``chunk_id``, ``part`` (from 0) and ``window``, the text to embed.
+    The first window keeps the chunk's id and its whole text; window n gets the
+    id ``<id>_part_<n>`` and no text; the other columns are repeated.
     """
-    parts = chunks.withColumn("_part", F.explode(F.expr(f"sequence(0, greatest(0, (length(text) - 1) div {size}))")))
-    return (parts.withColumn("id", F.when(F.col("_part") == 0, F.col("id")).otherwise(
-                F.concat("id", F.lit("_part_"), F.col("_part").cast("string"))))
-            .withColumn("text", F.expr(f"substring(text, cast(_part * {size} + 1 as int), {size})"))
-            .drop("_part"))
-
-
-def chunk_id(window_id: str) -> Column:
-    """The id of the chunk that a window of ``embed_windows`` is cut from."""
-    return F.regexp_replace(F.col(window_id), r"_part_[0-9]+\z", "")
+    n = f"greatest(0, (length(text) - 1) div {size})"
+    cut = (f"transform(sequence(0, {n}), i -> named_struct('part', i,"
+           f" 'window', substring(text, cast(i * {size} + 1 as int), {size}), 'whole', if(i = 0, text, null)))")
+    part = F.col("_w.part").cast("int")
+    parts = chunks.withColumn("_w", F.explode(F.expr(cut)))
+    return (parts.withColumn("chunk_id", F.col("id")).withColumn("part", part)
+            .withColumn("window", F.col("_w.window")).withColumn("text", F.col("_w.whole"))
+            .withColumn("id", F.when(part == 0, F.col("chunk_id")).otherwise(
+                F.concat("chunk_id", F.lit("_part_"), part.cast("string"))))
+            .drop("_w"))

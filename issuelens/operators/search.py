@@ -1,36 +1,43 @@
 """Exact nearest-neighbour search for a whole batch of questions.
 
-Plan shape (one scan of the collection, one shuffle of a small result):
-
-    collection scan (id, parent, filter columns, embedding only)
-      -> mapInArrow block kernel: distances of every chunk in the Arrow
-         batch to every question of a broadcast block, filter masks per
-         question, and a partial top-``fetch_k`` per question kept across
-         the whole partition
+Plan shape (the driver sees no question and no vector):
+
+    questions   -> packed into blocks of at most Q_BLOCK, written once to the shared folder
+    collection  -> scan (id, parent, filter columns, embedding only), packed into blocks of
+                   at most ROW_BLOCK chunks
+    every collection block beside every question block
+      -> mapInArrow kernel: distances of the two blocks as one matrix product, a running
+         partial top-``fetch_k`` per question kept across the whole partition
+      -> with many partitions, a reduction per group of TREE_FANIN partitions
       -> exchange hashpartitioning(question_id)         (P x Q x fetch_k rows)
-      -> windows: global fetch_k window, best chunk per parent, top_k,
-         score gate, fallback choice (all reuse the same partitioning)
-
-No question x chunk pair is ever materialised as a row: each task emits at
-most ``fetch_k`` candidates per question and pass.  The question block is
-broadcast only after its size is measured; larger question sets are split
-into hash blocks that are searched one after another and unioned.
-
-Ranking uses ``(rkey, id)`` with ``rkey = round(score, 9)`` computed once
-in the kernel, so ties and last-bit differences resolve the same way
-everywhere, and the kernel can cut every question to exactly ``fetch_k``
-rows: a group of identical copies (equal scores) never floods the shuffle.
-``fetch_k`` counts chunks: of a chunk's windows (``documents.embed_windows``)
-the best one per question is kept before every cut, so a long text takes one
-place however many windows it has.  Filtered search and the
-unfiltered fallback search are computed in the same scan (pass 1 and
-pass 2) so the fallback never re-reads the collection.
+      -> windows: fetch_k window, best chunk per parent, top_k, score gate
+
+No question x chunk pair is ever materialised as a row.  Few questions are
+broadcast by Spark's own size rule and the collection is scanned once; more
+are read by the tasks, block by block, beside their part of the collection.
+
+Questions with filters are searched first, one plan for each set of columns
+that filters name: an equality join of homogeneous blocks, with the asked
+values as a filter on the scan, so that partitions (or row groups) that nobody
+asks for are not read.  Those that found nothing, and the questions without
+filters, then share one unfiltered search.
+
+Ranking uses ``(rkey, id)`` with ``rkey = round(score, 9)`` computed once in
+the kernel, so ties and last-bit differences resolve the same way everywhere,
+and the kernel can cut every question to exactly ``fetch_k`` rows: a group of
+identical copies (equal scores) never floods the shuffle.
+
+A collection may hold several windows of a chunk (``documents.embed_windows``),
+with the chunk's id in ``chunk_id``.  Hits are chunks, scored by their best
+window; a long text takes one place however many windows it has.
 """
 
 from __future__ import annotations
 
-import math
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -41,22 +48,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from issuelens import config as C
-from issuelens.operators.documents import chunk_id
+from issuelens.session import scratch_path
 
 DEFAULT_FILTER_COLS = ("status", "priority", "project_id")
 RANK_DIGITS = 9
 OUT_DIGITS = 6
-# Working-set limits of the kernel: distances are computed for at most
-# ROW_BLOCK chunks x Q_BLOCK questions at a time (16 MB of doubles).
+#: Chunks and questions of a block: one distance matrix has at most 16 MB.
 ROW_BLOCK = 2048
 Q_BLOCK = 1024
+#: Bytes of vectors that a task packs at once, where blocks of many filter values grow side by side.
+PACK_BYTES = 64 << 20
+#: Candidates that a task holds at once before it passes them on.
+HELD_ROWS = 1_000_000
+#: Distinct filter combinations up to which the asked values become a filter on the scan.
+MAX_PRUNED = 1000
 # Above this many collection partitions, candidates are first reduced in
 # groups of partitions before the final exchange by question.
 TREE_FANIN = 64
 
 CANDIDATE_SCHEMA = T.StructType([
     T.StructField("question_id", T.LongType()),
-    T.StructField("pass", T.IntegerType()),
     T.StructField("id", T.StringType()),
     T.StructField("parent", T.StringType()),
     T.StructField("score", T.DoubleType()),
@@ -72,7 +83,6 @@ class SearchSpec:
     metric: str = "l2sq"             # l2sq (store default), l2, cosine
     fallback: bool = True            # unfiltered retry when filtered is empty
     filter_cols: tuple[str, ...] = DEFAULT_FILTER_COLS
-    max_broadcast_bytes: int = 64 << 20
     extra: dict = field(default_factory=dict)
 
     @property
@@ -81,7 +91,97 @@ class SearchSpec:
 
 
 # ---------------------------------------------------------------------------
-# Kernel (runs inside Python workers, one Arrow batch at a time)
+# Blocks (packed inside tasks, one Arrow batch at a time)
+# ---------------------------------------------------------------------------
+
+def _groups(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Rows of each combination of key values, nulls included."""
+    code = np.zeros(batch.num_rows, np.int64)
+    values = []
+    for key in keys:
+        one = batch.column(key).dictionary_encode(null_encoding="encode")
+        values.append(one.dictionary)
+        code = code * (len(one.dictionary) + 1) + np.asarray(one.indices)
+    for c in np.unique(code):
+        rows = np.flatnonzero(code == c)
+        yield tuple(batch.column(key)[rows[0]].as_py() for key in keys), rows
+
+
+def _packer(keys: Sequence[str], lists: Sequence[str], sort: str | None, size: int) -> Callable:
+    """Rows (keys, lists, vec) into blocks of one key combination: ``(keys, lists as arrays, vecs flat, dim)``."""
+    def block(key: tuple, parts: list[pa.Table]) -> pa.RecordBatch:
+        t = pa.concat_tables(parts)
+        if sort:
+            t = t.take(pc.sort_indices(t, sort_keys=[(sort, "ascending")]))
+        t = t.combine_chunks()
+        vec = t.column("vec").combine_chunks()
+        lengths = np.unique(np.asarray(pc.list_value_length(vec)))
+        if len(lengths) > 1:
+            raise ValueError(f"vectors of different dimensions: {lengths.tolist()}")
+        cols = [pa.array([v], pa.string()) for v in key]
+        for values in (*(t.column(c).combine_chunks() for c in lists), vec.flatten()):
+            cols.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+        return pa.record_batch([*cols, pa.array(lengths, pa.int32())], names=[*keys, *lists, "vecs", "dim"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[pa.Table]] = {}
+        rows: dict[tuple, int] = {}
+        nbytes = 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for key, at in _groups(batch, keys):
+                mine = table.take(pa.array(at)) if len(at) < batch.num_rows else table
+                while mine.num_rows:
+                    part = mine.slice(0, size - rows.get(key, 0))
+                    mine = mine.slice(part.num_rows)
+                    held.setdefault(key, []).append(part)
+                    rows[key] = rows.get(key, 0) + part.num_rows
+                    nbytes += part.nbytes
+                    if rows[key] == size:
+                        nbytes -= sum(t.nbytes for t in held[key])
+                        yield block(key, held.pop(key))
+                        rows.pop(key)
+            if nbytes > PACK_BYTES:
+                for key in list(held):
+                    yield block(key, held.pop(key))
+                rows.clear()
+                nbytes = 0
+        for key in list(held):
+            yield block(key, held.pop(key))
+
+    return pack
+
+
+def question_blocks(spark: SparkSession, questions: DataFrame, filter_cols: Sequence[str], size: int = Q_BLOCK) -> DataFrame:
+    """``questions`` (question_id, vector, filter columns) as written blocks of equal filters, numbered."""
+    given = [c for c in filter_cols if c in questions.columns]
+    keys = [f"q_{c}" for c in filter_cols]
+    rows = questions.select(*((F.col(c).cast("string") if c in given else F.lit(None).cast("string")).alias(f"q_{c}")
+                              for c in filter_cols),
+                            F.col("question_id").cast("long").alias("qids"), F.col("vector").cast("array<double>").alias("vec"))
+    schema = ", ".join([*(f"{k} string" for k in keys), "qids array<long>, vecs array<double>, dim int"])
+    packed = rows.where("vec is not null").mapInArrow(_packer(keys, ["qids"], None, size), schema)
+    packed = packed.select(*keys, "qids", F.col("vecs").alias("qvecs"), F.col("dim").alias("qdim"),
+                           F.monotonically_increasing_id().alias("block"))
+    path = scratch_path(spark, f"questions/{uuid.uuid4().hex}")
+    packed.write.parquet(path)
+    return spark.read.schema(packed.schema).parquet(path)
+
+
+def collection_blocks(collection: DataFrame, keys: Sequence[str], size: int = ROW_BLOCK) -> DataFrame:
+    """The collection as blocks of equal ``keys``, their chunks in order of id."""
+    chunk = F.col("chunk_id") if "chunk_id" in collection.columns else F.col("id")
+    # a chunk without a parent issue is its own parent (V8)
+    rows = collection.where("embedding is not null").select(
+        *(F.col(c).cast("string").alias(f"c_{c}") for c in keys), chunk.alias("ids"),
+        F.coalesce(F.col("parent"), chunk).alias("parents"), F.col("embedding").cast("array<double>").alias("vec"))
+    names = [f"c_{c}" for c in keys]
+    schema = ", ".join([*(f"{k} string" for k in names), "ids array<string>, parents array<string>, vecs array<double>, dim int"])
+    return rows.mapInArrow(_packer(names, ["ids", "parents"], "ids", size), schema)
+
+
+# ---------------------------------------------------------------------------
+# Kernel (runs inside Python workers, one pair of blocks at a time)
 # ---------------------------------------------------------------------------
 
 def _distances(emb: np.ndarray, qmat: np.ndarray, metric: str) -> np.ndarray:
@@ -100,201 +200,164 @@ def _distances(emb: np.ndarray, qmat: np.ndarray, metric: str) -> np.ndarray:
     return d
 
 
-def _top(df: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Exactly the best rows of the first ``k`` chunks per (question, pass) by ``(rkey, id)``."""
-    df = df.sort_values(["question_id", "pass", "rkey", "id"], kind="stable")
-    df = df.drop_duplicates(["question_id", "pass", "chunk"])
-    return df.groupby(["question_id", "pass"], sort=False).head(k)
-
-
-def _select(scores: np.ndarray, ids: np.ndarray, parents: np.ndarray, chunks: np.ndarray,
-            qids: np.ndarray, pass_no: int, k: int) -> pd.DataFrame | None:
-    """The best rows of the first ``k`` chunks of every column by ``(rkey, id)``.
-
-    Rows above their chunk's best key or the k-th of these are dropped with a
-    partition; rows tied there (copies) are cut by id, so at most ``k`` rows
-    per column leave.
-    """
-    n, m = scores.shape
-    if n == 0 or m == 0:
-        return None
-    keys = np.round(scores, RANK_DIGITS)
-    keep = np.ones(keys.shape, dtype=bool)
-    best = keys
-    of, found = pd.factorize(chunks, use_na_sentinel=False)
-    if len(found) < n:
-        order = np.argsort(of, kind="stable")
-        best = np.minimum.reduceat(keys[order], np.searchsorted(of[order], np.arange(len(found))), axis=0)
-        keep = keys == best[of]
-    if len(best) > k:
-        kth = np.partition(best, k - 1, axis=0)[k - 1]
-        keep &= keys <= kth[None, :]
-    keep &= np.isfinite(keys)
-    r, c = np.nonzero(keep)
-    if r.size == 0:
-        return None
-    return _top(pd.DataFrame({
-        "question_id": qids[c],
-        "pass": np.full(r.size, pass_no, dtype=np.int32),
-        "id": ids[r],
-        "parent": parents[r],
-        "chunk": chunks[r],
-        "score": scores[r, c],
-        "rkey": keys[r, c],
-    }), k)
-
-
-def _reduce(df: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Keep, per (question, pass), the best rows of the first ``k`` chunks by ``(rkey, id)``."""
-    return _top(df, k)[["question_id", "pass", "id", "parent", "chunk", "score", "rkey"]]
-
-
-def _make_kernel(bq, fetch_k: int, metric: str, filter_cols: tuple[str, ...], fallback: bool,
-                 row_block: int = ROW_BLOCK, q_block: int = Q_BLOCK):
-    def kernel(batches):
-        q = bq.value
-        qids = q["ids"]
-        qmat = q["mat"]
-        qfilters = q["filters"]
-        has_filter = q["has_filter"]
-        dim = qmat.shape[1]
-        fq = np.nonzero(has_filter)[0]
-        nf = np.nonzero(~has_filter)[0]
-        budget = max(2 * len(qids) * fetch_k, 100_000)
-        acc: list[pd.DataFrame] = []
-        acc_rows = 0
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            emb_col = rb.column("embedding")
-            valid = np.asarray(pc.is_valid(emb_col))
-            lengths = np.asarray(pc.fill_null(pc.list_value_length(emb_col), 0))
-            if valid.any() and (lengths[valid] != dim).any():
-                raise ValueError(
-                    f"embedding dimension mismatch: collection has "
-                    f"{sorted(set(lengths[valid].tolist()))}, questions have {dim}")
-            rows = np.nonzero(valid)[0]
-            if rows.size == 0:
-                continue
-            flat = emb_col.filter(pa.array(valid)).flatten()
-            emb = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
-            ids_all = np.asarray(rb.column("id").to_numpy(zero_copy_only=False), dtype=object)[rows]
-            parents_all = np.asarray(rb.column("parent").to_numpy(zero_copy_only=False), dtype=object)[rows]
-            chunks_all = np.asarray(rb.column("chunk").to_numpy(zero_copy_only=False), dtype=object)[rows]
-            cvals_all = {col: np.asarray(rb.column(col).to_numpy(zero_copy_only=False), dtype=object)[rows]
-                         for col in filter_cols} if fq.size else {}
-            # bounded working set: ROW_BLOCK x (questions of one block)
-            for r0 in range(0, len(rows), row_block):
-                sl = slice(r0, r0 + row_block)
-                for q0 in range(0, len(qids), q_block):
-                    qs = slice(q0, q0 + q_block)
-                    part_rows = _block(emb[sl], ids_all[sl], parents_all[sl], chunks_all[sl],
-                                       {c: v[sl] for c, v in cvals_all.items()},
-                                       qmat[qs], qids[qs], {c: v[qs] for c, v in qfilters.items()},
-                                       has_filter[qs])
-                    for part in part_rows:
-                        acc.append(part)
-                        acc_rows += len(part)
-                    if acc_rows > budget:
-                        acc = [_reduce(pd.concat(acc, ignore_index=True), fetch_k)]
-                        acc_rows = len(acc[0])
-        if acc:
-            out = _reduce(pd.concat(acc, ignore_index=True), fetch_k).drop(columns="chunk")
-            yield pa.RecordBatch.from_pandas(out, schema=pa.schema([
-                ("question_id", pa.int64()), ("pass", pa.int32()), ("id", pa.string()),
-                ("parent", pa.string()), ("score", pa.float64()), ("rkey", pa.float64())]),
-                preserve_index=False)
-
-    def _block(emb, ids, parents, chunks, cvals, qmat, qids, qfilters, has_filter):
-        """Candidates of one (rows x questions) block for passes 0, 1, 2."""
-        out = []
-        fq = np.nonzero(has_filter)[0]
-        nf = np.nonzero(~has_filter)[0]
-        dist = _distances(emb, qmat, metric)
-
-        # pass 0: questions without filters
-        if nf.size:
-            part = _select(dist[:, nf], ids, parents, chunks, qids[nf], 0, fetch_k)
-            if part is not None:
-                out.append(part)
-        if fq.size:
-            # pass 1: questions with filters, each with its own mask
-            masked = dist[:, fq].copy()
-            for col in filter_cols:
-                want = qfilters[col][fq]
-                for v in set(x for x in want if x is not None):
-                    cols = np.nonzero(want == v)[0]
-                    bad = np.nonzero(cvals[col] != v)[0]
-                    if bad.size:
-                        masked[np.ix_(bad, cols)] = np.inf
-            part = _select(masked, ids, parents, chunks, qids[fq], 1, fetch_k)
-            if part is not None:
-                out.append(part)
-            # pass 2: the same questions unfiltered, for the fallback
-            if fallback:
-                part = _select(dist[:, fq], ids, parents, chunks, qids[fq], 2, fetch_k)
-                if part is not None:
-                    out.append(part)
-        return out
+def _places(group: np.ndarray) -> np.ndarray:
+    """Place of each row in its run of equal ``group``."""
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    return np.arange(len(group)) - np.repeat(first, np.diff(np.concatenate([first, [len(group)]])))
+
+
+class _Best:
+    """Running best ``k`` chunks of each question of one block, by ``(key, id)``."""
+
+    def __init__(self, qids: np.ndarray, k: int, windows: bool):
+        self.qids, self.k, self.windows = qids, k, windows
+        self.kth = np.full(len(qids), np.inf)
+        self.q = np.zeros(0, np.int64)
+        self.key = self.score = np.zeros(0)
+        self.id = self.parent = np.zeros(0, object)
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, parents: np.ndarray) -> None:
+        """``scores``: chunks (in order of id, each once) by questions."""
+        keys = np.round(scores, RANK_DIGITS)
+        bound = self.kth
+        if len(keys) > self.k:
+            bound = np.minimum(bound, np.partition(keys, self.k - 1, axis=0)[self.k - 1])
+        r, c = np.nonzero((keys <= bound) & np.isfinite(keys))
+        order = np.lexsort((r, keys[r, c], c))
+        order = order[_places(c[order]) < self.k] if len(order) else order
+        r, c = r[order], c[order]
+        if not len(r):
+            return
+        fresh = not len(self.q)
+        self.q = np.concatenate([self.q, c])
+        self.key = np.concatenate([self.key, keys[r, c]])
+        self.score = np.concatenate([self.score, scores[r, c]])
+        self.id = np.concatenate([self.id, ids[r]])
+        self.parent = np.concatenate([self.parent, parents[r]])
+        if not fresh:
+            self._cut()
+        last = _places(self.q) == self.k - 1
+        self.kth[self.q[last]] = self.key[last]
+
+    def _keep(self, rows: np.ndarray) -> None:
+        self.q, self.key, self.score, self.id, self.parent = (
+            a[rows] for a in (self.q, self.key, self.score, self.id, self.parent))
+
+    def _cut(self) -> None:
+        if self.windows:  # windows of one chunk may lie in several blocks: the best one stays
+            code = pd.factorize(self.id)[0]
+            order = np.lexsort((self.key, code, self.q))
+            self._keep(order[_places(self.q[order] * (code.max() + 1) + code[order]) == 0])
+        self._keep(np.lexsort((self.key, self.q)))
+        place = _places(self.q)
+        edge = np.flatnonzero(place == self.k)
+        tied = edge[self.key[edge] == self.key[edge - 1]]
+        keep = place < self.k
+        for e in tied:  # a tie across the cut goes by id
+            lo = e - self.k + int(np.searchsorted(self.key[e - self.k:e], self.key[e]))
+            hi = e
+            while hi < len(self.q) and self.q[hi] == self.q[e] and self.key[hi] == self.key[e]:
+                hi += 1
+            by_id = lo + np.argsort(self.id[lo:hi], kind="stable")
+            keep[lo:hi] = False
+            keep[by_id[:e - lo]] = True
+        self._keep(np.flatnonzero(keep))
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(self.qids[self.q], pa.int64()), pa.array(self.id, pa.string()),
+                                pa.array(self.parent, pa.string()), pa.array(self.score), pa.array(self.key)],
+                               names=CANDIDATE_SCHEMA.names)
+
+
+def _make_kernel(fetch_k: int, metric: str, windows: bool) -> Callable:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, _Best] = {}
+        for batch in batches:
+            col = {n: batch.column(n) for n in ("ids", "parents", "vecs", "dim", "qids", "qvecs", "qdim", "block")}
+            for i in range(batch.num_rows):
+                dim, qdim = col["dim"][i].as_py(), col["qdim"][i].as_py()
+                if dim != qdim:
+                    raise ValueError(f"embedding dimension mismatch: collection has {dim}, questions have {qdim}")
+                emb = np.asarray(col["vecs"][i].values).reshape(-1, dim)
+                qmat = np.asarray(col["qvecs"][i].values).reshape(-1, dim)
+                ids, parents = (col[n][i].values.to_numpy(zero_copy_only=False) for n in ("ids", "parents"))
+                block = col["block"][i].as_py()
+                if block not in best:
+                    best[block] = _Best(np.asarray(col["qids"][i].values), fetch_k, windows)
+                scores = _distances(emb, qmat, metric)
+                if windows:
+                    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                    scores, ids, parents = np.minimum.reduceat(scores, first, axis=0), ids[first], parents[first]
+                best[block].add(scores, ids, parents)
+                if sum(len(b.q) for b in best.values()) > HELD_ROWS:
+                    for b in best.values():
+                        yield b.rows()
+                    best.clear()
+        for b in best.values():
+            yield b.rows()
 
     return kernel
 
 
 # ---------------------------------------------------------------------------
-# Driver-side planning
+# Planning: sizes and filter values reach the driver, questions do not
 # ---------------------------------------------------------------------------
 
-def _question_payload(pdf: pd.DataFrame, filter_cols: tuple[str, ...]) -> dict:
-    mat = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vector"]]) \
-        if len(pdf) else np.zeros((0, 1))
-    filters = {c: np.asarray(pdf[c].where(pdf[c].notna(), None), dtype=object)
-               if c in pdf else np.full(len(pdf), None, dtype=object) for c in filter_cols}
-    has = np.zeros(len(pdf), dtype=bool)
-    for c in filter_cols:
-        has |= np.array([x is not None for x in filters[c]], dtype=bool)
-    return {"ids": pdf["question_id"].to_numpy(dtype=np.int64), "mat": mat,
-            "filters": filters, "has_filter": has}
-
-
-def candidates(spark: SparkSession, collection: DataFrame, questions: DataFrame,
-               spec: SearchSpec, fanin: int = TREE_FANIN, n_questions: int | None = None) -> DataFrame:
-    """Kernel output for all question blocks: ``CANDIDATE_SCHEMA`` rows."""
-    fcols = tuple(c for c in spec.filter_cols)
-    qcols = ["question_id", "vector"] + [c for c in fcols if c in questions.columns]
-    questions = questions.select(*qcols)
-    # counting the ids does not evaluate the (possibly model-computed) vectors
-    n_q = n_questions if n_questions is not None else questions.select("question_id").count()
-    # a chunk without a parent issue is its own parent (V8)
-    coll = collection.select("id", F.coalesce(F.col("parent"), F.col("id")).alias("parent"), chunk_id("id").alias("chunk"),
-                             *fcols, "embedding")
-    if n_q == 0:
-        return spark.createDataFrame([], CANDIDATE_SCHEMA)
-    # size of the broadcast block: vectors (dim from one row) + filters + ids
-    first = questions.select(F.size("vector").alias("d")).where(F.col("d") > 0).limit(1).collect()
-    dim = int(first[0]["d"]) if first else 1
-    per_q = dim * 8 + 64 * (len(fcols) + 1)
-    n_blocks = max(1, math.ceil(n_q * per_q / spec.max_broadcast_bytes))
-    if n_blocks > 1:
-        n_blocks *= 2  # headroom: hash blocks are only roughly equal
-    parts = []
-    for b in range(n_blocks):
-        qb = questions if n_blocks == 1 else questions.where(
-            F.pmod(F.xxhash64("question_id"), F.lit(n_blocks)) == b)
-        pdf = qb.toPandas()
-        if pdf.empty:
-            continue
-        payload = _question_payload(pdf, fcols)
-        bq = spark.sparkContext.broadcast(payload)
-        kern = _make_kernel(bq, spec.fetch_k, spec.metric, fcols, spec.fallback,
-                            int(spec.extra.get("row_block", ROW_BLOCK)), int(spec.extra.get("q_block", Q_BLOCK)))
-        parts.append(_tree_level(coll.mapInArrow(kern, CANDIDATE_SCHEMA), coll, spec.fetch_k, fanin))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def _beside(collection: DataFrame, blocks: DataFrame, spec: SearchSpec, keys: Sequence[str] = ()) -> DataFrame:
+    """Candidates of the question ``blocks`` among the collection's chunks of equal ``keys``."""
+    coll = collection_blocks(collection, keys, int(spec.extra.get("row_block", ROW_BLOCK)))
+    asked = blocks.select(*(f"q_{c}" for c in keys), "qids", "qvecs", "qdim", "block")
+    if keys:
+        pairs = coll.join(asked, [F.col(f"c_{c}") == F.col(f"q_{c}") for c in keys])
+    else:
+        pairs = coll.crossJoin(asked)  # blocks: every stored block has to meet every block of questions
+    pairs = pairs.select("ids", "parents", "vecs", "dim", "qids", "qvecs", "qdim", "block")
+    cand = pairs.mapInArrow(_make_kernel(spec.fetch_k, spec.metric, "chunk_id" in collection.columns), CANDIDATE_SCHEMA)
+    return _tree_level(cand, collection, spec, int(spec.extra.get("fanin", TREE_FANIN)))
+
+
+def _filtered_plans(collection: DataFrame, blocks: DataFrame, spec: SearchSpec) -> Iterator[DataFrame]:
+    """Candidates within filters, a plan for each set of columns that some question filters by."""
+    names = [f"q_{c}" for c in spec.filter_cols]
+    combos = blocks.select(*names).distinct().limit(MAX_PRUNED + 1).collect()
+    known = len(combos) <= MAX_PRUNED
+    for n in range(1, len(names) + 1):
+        for cols in combinations(spec.filter_cols, n):
+            mine = [r for r in combos if all((r[f"q_{c}"] is not None) == (c in cols) for c in spec.filter_cols)]
+            if known and not mine:
+                continue
+            some = blocks
+            scan = collection
+            for c in spec.filter_cols:
+                some = some.where(F.col(f"q_{c}").isNotNull() if c in cols else F.col(f"q_{c}").isNull())
+                if known and c in cols:
+                    scan = scan.where(F.col(c).isin(*sorted({r[f"q_{c}"] for r in mine})))
+            yield _beside(scan, some, spec, cols)
+
+
+def candidates(spark: SparkSession, collection: DataFrame, questions: DataFrame, spec: SearchSpec,
+               filtered: bool | None = None) -> DataFrame:
+    """Kernel output (``CANDIDATE_SCHEMA``): every question within its filters, or within none of them.
+
+    ``filtered``: True searches only the questions with filters, False only
+    those without; None both.
+    """
+    blocks = question_blocks(spark, questions, spec.filter_cols, int(spec.extra.get("q_block", Q_BLOCK)))
+    plans = []
+    if filtered is not True:
+        free = blocks
+        for c in spec.filter_cols:
+            free = free.where(F.col(f"q_{c}").isNull())
+        plans.append(_beside(collection, free, spec))
+    if filtered is not False:
+        plans += _filtered_plans(collection, blocks, spec)
+    out = spark.createDataFrame([], CANDIDATE_SCHEMA)
+    for i, p in enumerate(plans):
+        out = out.unionByName(p) if i else p
     return out
 
 
-def _tree_level(cand: DataFrame, coll: DataFrame, fetch_k: int, fanin: int) -> DataFrame:
+def _tree_level(cand: DataFrame, coll: DataFrame, spec: SearchSpec, fanin: int) -> DataFrame:
     """With many collection partitions, reduce candidates per group of
     ``fanin`` partitions first, so no question receives more than
     ``partitions / fanin * fetch_k`` rows in the final exchange."""
@@ -302,63 +365,55 @@ def _tree_level(cand: DataFrame, coll: DataFrame, fetch_k: int, fanin: int) -> D
     if n_parts <= fanin:
         return cand
     g = (F.spark_partition_id() / F.lit(fanin)).cast("int")
-    w = Window.partitionBy("question_id", "pass", "_g").orderBy("rkey", "id")
-    return (_best_windows(cand.withColumn("_g", g), "_g").withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") <= fetch_k).drop("_g", "_r"))
+    w = Window.partitionBy("question_id", "_g").orderBy("rkey", "id")
+    return (_one_per_chunk(cand.withColumn("_g", g), coll, "_g").withColumn("_r", F.row_number().over(w))
+            .where(F.col("_r") <= spec.fetch_k).drop("_g", "_r"))
 
 
-def _best_windows(cand: DataFrame, *within: str) -> DataFrame:
-    """The best window of each chunk per (question, pass): the cuts to ``fetch_k`` count chunks."""
-    w = Window.partitionBy("question_id", "pass", *within, "_chunk").orderBy("rkey", "id")
-    return (cand.withColumn("_chunk", chunk_id("id")).withColumn("_w", F.row_number().over(w))
-            .where(F.col("_w") == 1).drop("_chunk", "_w"))
+def _one_per_chunk(cand: DataFrame, coll: DataFrame, *within: str) -> DataFrame:
+    """The best window of each chunk per question: the cuts to ``fetch_k`` count chunks."""
+    if "chunk_id" not in coll.columns:
+        return cand
+    w = Window.partitionBy("question_id", *within, "id").orderBy("rkey")
+    return cand.withColumn("_w", F.row_number().over(w)).where(F.col("_w") == 1).drop("_w")
 
 
-def rank_candidates(cand: DataFrame, spec: SearchSpec) -> DataFrame:
-    """V7-V10 and R6 on the candidate rows; one shuffle by question id."""
-    cand = _best_windows(cand.repartition("question_id")).withColumn("rscore", F.col("rkey"))
-    w_pass = Window.partitionBy("question_id", "pass").orderBy("rscore", "id")
-    hits = (cand.withColumn("_fetch", F.row_number().over(w_pass))
-            .where(F.col("_fetch") <= spec.fetch_k))
+def rank_candidates(cand: DataFrame, coll: DataFrame, spec: SearchSpec) -> DataFrame:
+    """V7-V10 on the candidate rows; one shuffle by question id."""
+    cand = _one_per_chunk(cand.repartition("question_id"), coll)
+    by_score = Window.partitionBy("question_id").orderBy("rkey", "id")
+    hits = cand.withColumn("_fetch", F.row_number().over(by_score)).where(F.col("_fetch") <= spec.fetch_k)
     if spec.deduplicate:
-        w_parent = Window.partitionBy("question_id", "pass", "parent").orderBy("rscore", "id")
+        w_parent = Window.partitionBy("question_id", "parent").orderBy("rkey", "id")
         hits = hits.withColumn("_p", F.row_number().over(w_parent)).where(F.col("_p") == 1)
-    hits = hits.withColumn("rank", F.row_number().over(w_pass)).where(F.col("rank") <= spec.top_k)
+    hits = hits.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= spec.top_k)
     if spec.score_threshold is not None:
-        best = F.min("rscore").over(Window.partitionBy("question_id", "pass"))
-        hits = (hits.withColumn("_best", best)
-                .where(F.col("_best") <= F.lit(float(spec.score_threshold))))
-    # pass 0: no filters; pass 1: filtered; pass 2: unfiltered retry, used
-    # only when the filtered result (after the gate) is empty
-    n_first = F.count(F.when(F.col("pass") == 1, 1)).over(Window.partitionBy("question_id"))
-    hits = hits.withColumn("_n1", n_first).where((F.col("pass") < 2) | (F.col("_n1") == 0))
-    return hits.select(
-        "question_id", "id", "parent",
-        F.round("score", OUT_DIGITS).alias("score"),
-        F.col("score").alias("raw_score"),
-        F.col("rank").cast("bigint").alias("rank"),
-        (F.col("pass") == 1).alias("filtered"),
-    )
+        best = F.min("rkey").over(Window.partitionBy("question_id"))
+        hits = hits.withColumn("_best", best).where(F.col("_best") <= F.lit(float(spec.score_threshold)))
+    return hits.select("question_id", "id", "parent", F.round("score", OUT_DIGITS).alias("score"),
+                       F.col("score").alias("raw_score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+def _has_filter(spec: SearchSpec):
+    some = F.lit(False)
+    for c in spec.filter_cols:
+        some = some | F.col(c).isNotNull()
+    return some
 
 
 def search_bounded(spark: SparkSession, collection: DataFrame, questions: DataFrame,
                    spec: SearchSpec = SearchSpec()) -> tuple[DataFrame, int]:
-    """``search`` plus a proven upper bound on its row count.
-
-    The bound (questions x top_k, from the question count the planner
-    measures anyway) is what lets callers broadcast the hits safely.
-    """
-    n_q = questions.select("question_id").count()
-    return search(spark, collection, questions, spec, n_questions=n_q), n_q * spec.top_k
+    """``search`` plus a proven upper bound on its row count (questions x top_k)."""
+    return search(spark, collection, questions, spec), questions.select("question_id").count() * spec.top_k
 
 
 def search(spark: SparkSession, collection: DataFrame, questions: DataFrame,
-           spec: SearchSpec = SearchSpec(), n_questions: int | None = None) -> DataFrame:
+           spec: SearchSpec = SearchSpec()) -> DataFrame:
     """Full retrieval (V5-V12, R6) for a DataFrame of questions.
 
-    collection: ``id, parent, <filter cols>, embedding``
+    collection: ``id, parent, <filter cols>, embedding`` (and ``chunk_id`` where rows are windows of chunks)
     questions:  ``question_id, vector, <filter cols>`` (NULL = no filter)
-    returns:    ``question_id, id, parent, score, raw_score, rank, filtered``
+    returns:    ``question_id, id, parent, score, raw_score, rank, filtered`` (id: of the chunk)
     """
     model = spec.extra.get("embed_model")
     if model and "embed_model" in collection.columns:
@@ -367,20 +422,42 @@ def search(spark: SparkSession, collection: DataFrame, questions: DataFrame,
         other = collection.where(F.col("embed_model") != F.lit(model)).select("embed_model").limit(1).collect()
         if other:
             raise ValueError(f"collection holds vectors of {other[0][0]!r}, questions use {model!r}")
-    return rank_candidates(candidates(spark, collection, questions, spec,
-                                      int(spec.extra.get("fanin", TREE_FANIN)), n_questions), spec)
+    given = [c for c in spec.filter_cols if c in questions.columns]
+    if not given:
+        cand = candidates(spark, collection, questions, spec, filtered=False)
+        return rank_candidates(cand, collection, spec).withColumn("filtered", F.lit(False))
+    # vectors may come from a model: computed once, written, read by both searches
+    path = scratch_path(spark, f"asked/{uuid.uuid4().hex}")
+    asked = questions.select("question_id", "vector", *given)
+    for c in spec.filter_cols:
+        if c not in given:
+            asked = asked.withColumn(c, F.lit(None).cast("string"))
+    asked.write.parquet(path)
+    asked = spark.read.schema(asked.schema).parquet(path)
+    with_filter = asked.where(_has_filter(spec))
+    found = rank_candidates(candidates(spark, collection, with_filter, spec, filtered=True), collection, spec)
+    found = found.withColumn("filtered", F.lit(True))
+    path = scratch_path(spark, f"hits/{uuid.uuid4().hex}")
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    rest = asked.where(~_has_filter(spec)).select("question_id", "vector")
+    if spec.fallback:
+        # What found nothing within its filters (or lost it to the gate) is searched again without them
+        again = with_filter.join(found.select("question_id").distinct(), "question_id", "left_anti")
+        rest = rest.unionByName(again.select("question_id", "vector"))
+    free = rank_candidates(candidates(spark, collection, rest, spec, filtered=False), collection, spec)
+    return found.unionByName(free.withColumn("filtered", F.lit(False)))
 
 
 def fetch_window(spark: SparkSession, collection: DataFrame, questions: DataFrame,
                  spec: SearchSpec) -> DataFrame:
-    """The ranked ``fetch_k`` window before de-duplication (filtered pass only).
+    """The ranked ``fetch_k`` window before de-duplication (within filters, no fallback).
 
     Rows: ``question_id, id, parent, score, fetch_rank``; used to evaluate
     several K / threshold settings from one scan (Q7).
     """
-    cand = candidates(spark, collection, questions, spec).where(F.col("pass") < 2)
-    cand = _best_windows(cand.repartition("question_id")).withColumn("rscore", F.col("rkey"))
-    w = Window.partitionBy("question_id").orderBy("rscore", "id")
+    cand = _one_per_chunk(candidates(spark, collection, questions, spec).repartition("question_id"), collection)
+    w = Window.partitionBy("question_id").orderBy("rkey", "id")
     return (cand.withColumn("fetch_rank", F.row_number().over(w))
             .where(F.col("fetch_rank") <= spec.fetch_k)
             .select("question_id", "id", "parent", F.round("score", OUT_DIGITS).alias("score"),

@@ -127,7 +127,7 @@ def text_collection(chunks: DataFrame, extra_cols: tuple[str, ...] = ()) -> Data
     an uncached plan would compute it twice: once to count, once to save.)
     """
     spark = chunks.sparkSession
-    emb = embed(D.embed_windows(chunks), HashEmbedder(EMBED_DIM), "text", None)
+    emb = embed(D.embed_windows(chunks), HashEmbedder(EMBED_DIM), "window", None)
     coll = Collection(spark, scratch_path(spark, "collections"), uuid.uuid4().hex)
     coll.write_version(emb.select(*[f.name for f in COLLECTION_SCHEMA.fields], *extra_cols))
     return coll.read(strict=not extra_cols).withColumn("parent", F.col("issue_id"))

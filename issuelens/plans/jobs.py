@@ -39,7 +39,7 @@ def ingest(spark: SparkSession, config: EngineConfig, incoming: DataFrame, embed
     touched = master.join(incoming.select("id").distinct(), "id", "left_semi")
     chunks = prepare_chunks(anonymize_issues(touched.drop("seq")), config.journals_per_chunk, config.max_text_len)
     collection = Collection(spark, config.collection_dir, "chunks").get_or_create()
-    collection.upsert(embed(embed_windows(chunks, config.embed_max_chars), embedder, "text", None), prune_stale=True)
+    collection.upsert(embed(embed_windows(chunks, config.embed_max_chars), embedder, "window", None), prune_stale=True)
 
     state = SS.load_sync_state(spark, config.state_dir, config.project_ids)
     synced = incoming.select(F.col("project_identifier").alias("project_id"))
@@ -57,4 +57,4 @@ def ingest_job(spark: SparkSession, sf: str) -> DataFrame:
     early = docs.where("id % 2 = 0").withColumn("description", F.concat(F.lit("draft "), F.col("description")))
     ingest(spark, config, early, embedder, "2024-01-01T00:00:00Z")
     collection = ingest(spark, config, docs, embedder, "2024-02-01T00:00:00Z")
-    return collection.read().select("id", "issue_id", "text", "project")
+    return collection.read().select("id", "chunk_id", "part", "issue_id", "text", "project")

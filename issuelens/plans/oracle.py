@@ -123,8 +123,9 @@ chunks AS (
 
 # whole chunks -> windows of 1500 characters, each embedded
 WINDOWS = """
-wch AS (SELECT c.* EXCLUDE (id, text), id || CASE WHEN p = 0 THEN '' ELSE '_part_' || CAST(p AS VARCHAR) END AS id,
-               substr(text, p * 1500 + 1, 1500) AS text
+wch AS (SELECT c.* EXCLUDE (id, text), id AS chunk_id, CAST(p AS INTEGER) AS part,
+               id || CASE WHEN p = 0 THEN '' ELSE '_part_' || CAST(p AS VARCHAR) END AS id,
+               CASE WHEN p = 0 THEN text END AS whole, substr(text, p * 1500 + 1, 1500) AS text
         FROM chunks c, unnest(range(0, greatest(1, (length(text) + 1499) // 1500))) AS t(p))"""
 
 
@@ -487,8 +488,8 @@ def text_search(chunks_cte: str, top_k: int = C.TOP_K) -> str:
 {WINDOWS},
 {hash_vectors('cv', 'wch', 'id', 'text')},
 {hash_vectors('qv', 'benchmark', 'item_id', 'text')},
-tp AS (SELECT qv.k AS question_id, ch.id, ch.issue_id AS parent, pow(list_distance(cv.v, qv.v), 2) AS score
-       FROM qv, cv JOIN wch ch ON ch.id = cv.k),
+tp AS (SELECT qv.k AS question_id, ch.chunk_id AS id, ch.issue_id AS parent, min(pow(list_distance(cv.v, qv.v), 2)) AS score
+       FROM qv, cv JOIN wch ch ON ch.id = cv.k GROUP BY ALL),
 {ranked_search('tp', top_k, True)}
 """
 
@@ -507,7 +508,7 @@ _BLOCK = (f"'[Issue #' || {_meta('ch.issue_id')} || ' | ' || {_meta('ch.project'
 ORACLE["prompt"] = f"""
 WITH {_CONV_SEARCH},
 blk AS (SELECT res.question_id, string_agg({_BLOCK}, {lit(C.BLOCK_SEPARATOR)} ORDER BY res.rank) AS body
-        FROM res JOIN wch ch ON ch.id = res.id GROUP BY res.question_id)
+        FROM res JOIN chunks ch ON ch.id = res.id GROUP BY res.question_id)
 SELECT b.item_id AS question_id,
   {lit(C.PROMPT_HEAD)} || coalesce(blk.body, {lit(C.NO_ISSUES_TEXT)}) || {lit(chr(10) + '--- End of Issues ---' + chr(10) + chr(10) + 'Question: ')}
     || coalesce(b.text, '') || {NL} AS prompt
@@ -523,14 +524,14 @@ SELECT res.question_id, res.rank::BIGINT AS rank, coalesce(ch.issue_id, '') AS i
   left(coalesce(ch.created_on, ''), 10) AS created_on, left(coalesce(ch.updated_on, ''), 10) AS updated_on,
   left({strip("coalesce(ch.text, '')")}, 600) AS snippet,
   CASE WHEN coalesce(ch.priority, '') <> '' AND coalesce(ch.priority, '') <> 'Normal' THEN ch.priority END AS priority_badge
-FROM res JOIN wch ch ON ch.id = res.id
+FROM res JOIN chunks ch ON ch.id = res.id
 """
 
 ORACLE["source_list"] = f"""
 WITH {_CONV_SEARCH}
 SELECT res.question_id, res.rank::BIGINT AS rank, {_meta('ch.issue_id')} AS issue_id, {_meta('ch.project')} AS project,
   {_meta('ch.status')} AS status, left(coalesce(ch.subject, ''), 80) AS subject
-FROM res JOIN wch ch ON ch.id = res.id
+FROM res JOIN chunks ch ON ch.id = res.id
 """
 
 # Both stand-in models are deterministic, so the flow is plain SQL.  A
@@ -538,11 +539,12 @@ FROM res JOIN wch ch ON ch.id = res.id
 _ANSWERS = text_search(conv_chunks(C.JOURNALS_PER_CHUNK, None, True, True)).replace(
     hash_vectors('qv', 'benchmark', 'item_id', 'text'), hash_vectors('qv', 'asked', 'item_id', 'text'))
 _ANSWERS = _ANSWERS[:_ANSWERS.index("tp AS (")] + f"""
-tp AS (SELECT a.item_id * 2 + u.f AS question_id, ch.id, ch.issue_id AS parent, pow(list_distance(cv.v, qv.v), 2) AS score
+tp AS (SELECT a.item_id * 2 + u.f AS question_id, ch.chunk_id AS id, ch.issue_id AS parent,
+              min(pow(list_distance(cv.v, qv.v), 2)) AS score
        FROM asked a JOIN qv ON qv.k = a.item_id, cv JOIN wch ch ON ch.id = cv.k, (VALUES (0), (1)) u(f)
        WHERE u.f = 0 OR (coalesce(a.status, a.priority, a.project_id) IS NOT NULL
              AND ch.status = coalesce(a.status, ch.status) AND ch.priority = coalesce(a.priority, ch.priority)
-             AND ch.project_id = coalesce(a.project_id, ch.project_id))),
+             AND ch.project_id = coalesce(a.project_id, ch.project_id)) GROUP BY ALL),
 {ranked_search('tp', C.TOP_K, True)}"""
 
 ORACLE["answer_batch"] = f"""
@@ -623,8 +625,8 @@ WITH {DOC_CHUNKS},
 {WINDOWS},
 {hash_vectors('cv', 'wch', 'id', 'text')},
 {hash_vectors('qv', 'benchmark', 'item_id', 'text')},
-tp AS (SELECT qv.k AS question_id, ch.id, ch.issue_id AS parent, pow(list_distance(cv.v, qv.v), 2) AS score
-       FROM qv, cv JOIN wch ch ON ch.id = cv.k),
+tp AS (SELECT qv.k AS question_id, ch.chunk_id AS id, ch.issue_id AS parent, min(pow(list_distance(cv.v, qv.v), 2)) AS score
+       FROM qv, cv JOIN wch ch ON ch.id = cv.k GROUP BY ALL),
 fw AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9), id) AS fetch_rank FROM tp
        QUALIFY fetch_rank <= {fetch}),
 grid AS (SELECT * FROM (VALUES {', '.join(f'({k}, {g}::DOUBLE)' for k in ks for g in gates)}) t(k, threshold)),
@@ -709,9 +711,9 @@ lab AS (SELECT {iid('doc_id')} AS issue_id, CAST(quality AS VARCHAR) AS quality
 {WINDOWS},
 {hash_vectors('cv', 'wch', 'id', 'text')},
 {hash_vectors('qv', 'benchmark', 'item_id', 'text')},
-tp AS (SELECT qv.k AS question_id, ch.id, ch.issue_id AS parent, pow(list_distance(cv.v, qv.v), 2) AS score
+tp AS (SELECT qv.k AS question_id, ch.chunk_id AS id, ch.issue_id AS parent, min(pow(list_distance(cv.v, qv.v), 2)) AS score
        FROM qv, cv JOIN wch ch ON ch.id = cv.k JOIN lab ON lab.issue_id = ch.issue_id
-       WHERE lab.quality = '1'),
+       WHERE lab.quality = '1' GROUP BY ALL),
 {ranked_search('tp', C.TOP_K, True)}
 SELECT question_id, id, parent, round(score, 6) AS score, rank::BIGINT AS rank, true AS filtered FROM res
 """
@@ -746,5 +748,5 @@ ORACLE["ingest_job"] = f"""
 WITH {DOC_CHUNKS.replace("chunks AS (", "whole AS (")},
 chunks AS (SELECT id, {trunc('text', 8192)} AS text, issue_id, project FROM whole),
 {WINDOWS}
-SELECT id, issue_id, text, project FROM wch
+SELECT id, chunk_id, part, issue_id, whole AS text, project FROM wch
 """

@@ -101,15 +101,46 @@ def test_matches_brute_force(spark, dedup, top_k, metric):
     assert all(abs(a[3] - b[3]) < 1e-6 for a, b in zip(got, want))
 
 
-def test_question_blocks_split_when_over_budget(spark):
+def test_question_blocks_that_are_not_broadcast(spark):
     rnd = random.Random(3)
-    rows = [(f"c{i}", f"c{i}", "New", [rnd.random() for _ in range(4)]) for i in range(50)]
-    qs = [(q, [rnd.random() for _ in range(4)], None) for q in range(20)]
+    rows = [(f"c{i}", f"c{i}", rnd.choice(["New", "Old"]), [rnd.random() for _ in range(4)]) for i in range(50)]
+    qs = [(q, [rnd.random() for _ in range(4)], rnd.choice([None, "New", "Gone"])) for q in range(20)]
     a = run(spark, coll_df(spark, rows), q_df(spark, qs))
-    b = run(spark, coll_df(spark, rows), q_df(spark, qs), max_broadcast_bytes=200)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = run(spark, coll_df(spark, rows, parts=3), q_df(spark, qs).repartition(4), extra={"q_block": 3, "row_block": 5})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert a == b
 
 
+def test_questions_do_not_pass_through_the_driver(spark, monkeypatch):
+    DataFrame, seen = type(spark.range(0)), []
+    kept = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: seen.append(df.columns) or kept(df))
+    monkeypatch.setattr(DataFrame, "toPandas", lambda df: pytest.fail("questions collected"))
+    rows = [(f"c{i}", f"c{i}", "New", [float(i)]) for i in range(30)]
+    search(spark, coll_df(spark, rows), q_df(spark, [(q, [0.5 * q], "New" if q % 2 else None) for q in range(3000)]),
+           SearchSpec(**SPEC))
+    assert seen == [["q_status"]]  # the distinct filter values, to prune the scan
+
+
+def test_filters_prune_partitions_of_the_scan(spark, tmp_path):
+    from issuelens.operators.search import _filtered_plans, question_blocks
+
+    rows = [(f"c{i}", f"p{i}", f"s{i % 10}", [float(i)]) for i in range(100)]
+    coll_df(spark, rows).write.partitionBy("status").parquet(str(tmp_path / "c"))
+    coll = spark.read.parquet(str(tmp_path / "c"))
+    qs = q_df(spark, [(1, [0.0], "s3"), (2, [50.0], "s7"), (3, [9.0], None)])
+    plan, = _filtered_plans(coll, question_blocks(spark, qs, ["status"]), SearchSpec(**SPEC))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in text.split("\n") if "FileScan" in x and "/c]" in x)
+    assert "PartitionFilters: [status" in scan and "s3" in scan and "s7" in scan
+    assert {(r.question_id, r.id) for r in plan.collect()} >= {(1, "c3"), (2, "c47"), (2, "c57")}
+    assert not {r.id for r in plan.collect()} - {f"c{i}" for i in range(100) if i % 10 in (3, 7)}
+
+
 def test_tree_level_and_blocks_keep_results(spark):
     rnd = random.Random(5)
     rows = [(f"c{i}", f"p{i % 40}", rnd.choice(["New", None]), [rnd.random() for _ in range(6)]) for i in range(900)]
@@ -152,6 +183,11 @@ def test_group_of_copies_stays_bounded(spark):
     assert n <= coll.rdd.getNumPartitions() * 2 * spec.fetch_k
 
 
+def test_ids_that_look_like_windows_are_chunks_of_their_own(spark):
+    coll = coll_df(spark, [("a", "1", "New", [0.1]), ("a_part_1", "2", "New", [0.2]), ("b", "3", "New", [0.3])])
+    assert [r[1] for r in run(spark, coll, q_df(spark, [(1, [0.0], None)]), top_k=3)] == ["a", "a_part_1", "b"]
+
+
 def test_sweep_equals_separate_searches(spark):
     from issuelens.operators import evaluate as Q
     from issuelens.operators.search import fetch_window
@@ -175,8 +211,13 @@ def test_windows_of_a_long_text_take_one_place(spark):
     from issuelens.operators.search import fetch_window
 
     # 40 windows of one text are nearest; fetch_k is 20
-    rows = [("issue_1" + (f"_part_{i}" if i else ""), "1", "New", [0.01 * (i + 1)]) for i in range(40)]
-    rows += [(f"issue_{n}", str(n), "New", [float(n)]) for n in range(2, 9)]
+    rows = [("issue_1" + (f"_part_{i}" if i else ""), "1", "New", [0.01 * (i + 1)], "issue_1") for i in range(40)]
+    rows += [(f"issue_{n}", str(n), "New", [float(n)], f"issue_{n}") for n in range(2, 9)]
+
+    def coll_df(spark, rows, parts):
+        df = spark.createDataFrame(rows, "id string, parent string, status string, embedding array<double>, chunk_id string")
+        return df.repartition(parts)
+
     qs = q_df(spark, [(1, [0.0], None), (2, [0.0], "New"), (3, [0.0], "Nope")])
     want = [("issue_1", 1)] + [(f"issue_{n}", n) for n in range(2, 6)]
     for parts, extra in ((1, {}), (6, {"fanin": 2, "row_block": 7, "q_block": 2})):
