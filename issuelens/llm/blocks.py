@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from issuelens.llm.tokens import give_back
 from issuelens.session import scratch_path
 
 #: Text bytes of a block; a longer document is a block of its own.
@@ -128,6 +129,7 @@ def pack_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> D
                 lo = hi
         if held:
             yield flush()
+        give_back()
 
     return docs.mapInArrow(pack, _BLOCK_SCHEMA)
 

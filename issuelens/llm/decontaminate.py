@@ -21,6 +21,7 @@ rows.  Input columns named like a result column are replaced by it.
 from __future__ import annotations
 
 import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -214,6 +215,7 @@ def _scan(items, text: str, size: int, cut: float | None):
             if cut is not None:
                 out = out.filter(pa.array([h == 0 or h <= cut * n for h, n in zip(n_hit, n_words)], pa.bool_()))
             yield out
+        K.give_back()
     return scan
 
 

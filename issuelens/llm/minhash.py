@@ -82,7 +82,7 @@ def _class_of(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return K.mix(total + np.diff(first).astype(np.uint64))
 
 
-_SKETCH = "id long, n_shingles long, cls long, small array<long>, large array<long>"
+_SKETCH = "id long, print long, n_shingles long, cls long, small array<long>, large array<long>"
 
 
 def _sketch(batches):
@@ -92,11 +92,12 @@ def _sketch(batches):
             n = np.diff(first)
             print_of = _class_of(h, first)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(n, pa.int64()),
+                batch.column(0).slice(lo, hi - lo).cast(pa.int64()), batch.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()),
                 pa.array(print_of.view(np.int64), mask=n == 0),
                 _lists(h, first, np.where(n <= SMALL, n, 0)),
                 _lists(h, first, np.where(n > LARGE, K_LARGE, 0))],
-                names=["id", "n_shingles", "cls", "small", "large"])
+                names=["id", "print", "n_shingles", "cls", "small", "large"])
+    K.give_back()
 
 
 def _sets(batches):
@@ -110,6 +111,7 @@ def _sets(batches):
             lists = _lists(h, first, np.where(keep, n, 0))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(print_of[keep].view(np.int64)), lists.filter(pa.array(keep))], names=["cls", "whole"])
+    K.give_back()
 
 
 def _enough(inter: Column, n_a: Column, n_b: Column) -> Column:
@@ -165,8 +167,13 @@ def _pair(x: str, y: str) -> list[Column]:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` of every document, and ``cls``, its class of equal sets."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    """``(doc_id, n_shingles, component_id, kept)`` of every document.
+
+    And ``cls``, its class of equal sets, ``root``, the class that stands for its
+    component (both null without shingles), and ``print``, the xxhash64 of its
+    text: with the id it tells rows apart where ids are null or repeat.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
     sketches = B.scratch_table(spark, texts.mapInArrow(_sketch, _SKETCH), "sketches")
     key = F.coalesce("id", F.lit((1 << 63) - 1))
     first = sketches.where("cls is not null").groupBy("cls").agg(F.min(key).alias("rep"))
@@ -207,12 +214,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     grouped = first.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_class = grouped.join(least, "root").select("cls", "component_id")
-    out = sketches.select("id", "n_shingles", "cls").join(of_class, "cls", "left")
+    of_class = grouped.join(least, "root").select("cls", "component_id", "root")
+    out = sketches.select("id", "print", "n_shingles", "cls").join(of_class, "cls", "left")
     found = F.when(F.col("cls").isNull(), F.col("id")).otherwise(
         F.nullif(F.col("component_id"), F.lit((1 << 63) - 1)))
     return out.select(F.col("id").alias(id_col), "n_shingles", found.alias("component_id"),
-                      F.col("id").eqNullSafe(found).alias("kept"), "cls")
+                      F.col("id").eqNullSafe(found).alias("kept"), "cls", "root", "print")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

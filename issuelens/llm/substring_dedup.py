@@ -47,8 +47,10 @@ def _block_keys(table: pa.Table, id_col: str, text: str, size: int) -> tuple[np.
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     h, own = np.concatenate(hashes), np.concatenate(owners)
+    del hashes, owners
     order = np.argsort(h, kind="stable")
     h, own = h[order], own[order]
+    del order
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     return h[first], np.minimum.reduceat(own, first) if len(h) else own
 
@@ -66,6 +68,7 @@ def _send(id_col: str, text: str, size: int, buckets: int):
                     yield pa.RecordBatch.from_pydict(rows, schema=pa.schema(
                         [("bucket", pa.int64()), ("_block", pa.int64()), ("keys", pa.binary()),
                          ("ids", pa.binary())]))
+        K.give_back()
     return send
 
 
@@ -75,13 +78,16 @@ _ANSWER = pa.schema([("_block", pa.int64()), ("keys", pa.binary()), ("smallest",
 def _answer(table: pa.Table) -> pa.Table:
     """For one bucket: per block, the hashes that another block has under a smaller doc_id."""
     keys, own, src = [], [], []
+    K.give_back()
     blocks = table.column("_block").to_pylist()
     for n in range(len(blocks)):
         k = B.unpack(table.column("keys")[n].as_py(), np.uint64)
         keys.append(k)
         own.append(B.unpack_coded(table.column("ids")[n].as_py(), np.int64))
         src.append(np.full(len(k), n, np.int32))
-    k, own, src = np.concatenate(keys), np.concatenate(own), np.concatenate(src)
+    k = np.concatenate(keys)
+    del keys
+    own, src = np.concatenate(own), np.concatenate(src)
     order = np.argsort(k, kind="stable")
     k = k[order]
     same = k[1:] == k[:-1]
@@ -162,6 +168,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         small = [B.unpack(x.as_py(), np.int64) for x in right.column("smallest")]
         known = np.concatenate(known) if known else np.zeros(0, np.uint64)
         small = np.concatenate(small) if small else np.zeros(0, np.int64)
+        K.give_back()
         table = B.decode(left.column("_data")[0].as_py())
         rows = list(_cut(table, id_col, text, size, known, small))
         k = table.schema.get_field_index(text)
