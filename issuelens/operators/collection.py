@@ -1,20 +1,17 @@
-"""Versioned vector collection on plain parquet (V1-V4, M3 for chunks).
-
-A collection is a directory of immutable versions ``v=<n>``; a version is
-complete when Spark's commit wrote its ``_SUCCESS`` marker, and the newest
-complete version is the current one.  Every write goes to a new version,
-so a job never overwrites the files it is reading (an overwrite of a path
-being read fails and loses the data), a lost executor only re-runs tasks of
-an uncommitted version, and a crashed job leaves the current version intact.
+"""The vector collection (V1-V4, M3 for chunks): a bucket table of embedded chunk windows.
+
+Windows of an issue share its bucket, so an upsert rewrites the buckets of the
+issues that came in.  The project is a directory, so searches that filter by
+it read its part only.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from issuelens.operators.tables import BucketTable, next_version, versions  # noqa: F401
 from issuelens.schemas import CHUNK
 
 COLLECTION_SCHEMA = T.StructType(
@@ -26,104 +23,49 @@ COLLECTION_SCHEMA = T.StructType(
 )
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def versions(spark: SparkSession, root: str, committed_only: bool = True) -> list[int]:
-    """Versions under ``root``, ascending; by default only committed ones."""
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v="):
-            if not committed_only or fs.exists(st.getPath().suffix("/_SUCCESS")):
-                try:
-                    out.append(int(name[2:]))
-                except ValueError:
-                    pass
-    return sorted(out)
-
-
-def next_version(spark: SparkSession, root: str) -> int:
-    """A number no directory uses yet: a failed write may have left an
-    uncommitted ``v=<n>`` behind, and a retry must not collide with it."""
-    vs = versions(spark, root, committed_only=False)
-    return (vs[-1] + 1) if vs else 0
-
-
 class Collection:
-    def __init__(self, spark: SparkSession, root: str, name: str):
+    """``buckets``: of one collection always the same number."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str, buckets: int = 8):
         self.spark = spark
         self.path = f"{root.rstrip('/')}/{name}"
-
-    def _version_path(self, v: int) -> str:
-        return f"{self.path}/v={v}"
-
-    def current_version(self) -> int | None:
-        vs = versions(self.spark, self.path)
-        return vs[-1] if vs else None
+        self.table = BucketTable(spark, self.path, COLLECTION_SCHEMA, "issue_id", buckets, ("project_id",))
 
     def get_or_create(self) -> "Collection":
-        """V4: create an empty first version when none exists."""
-        if self.current_version() is None:
-            self._write(self.spark.createDataFrame([], COLLECTION_SCHEMA), next_version(self.spark, self.path))
+        """V4: an empty collection where none exists."""
+        self.table.create()
         return self
 
-    def read(self, strict: bool = True) -> DataFrame:
-        """Current version; ``strict=False`` keeps extra metadata columns."""
-        v = self.current_version()
-        if v is None:
-            return self.spark.createDataFrame([], COLLECTION_SCHEMA)
-        r = self.spark.read.schema(COLLECTION_SCHEMA) if strict else self.spark.read
-        return r.parquet(self._version_path(v))
+    def read(self) -> DataFrame:
+        return self.table.read()
 
     def count(self) -> int:
         """V2."""
         return self.read().count()
 
     def reset(self) -> "Collection":
-        """V3: an empty new version; no error if the collection is absent."""
-        self._write(self.spark.createDataFrame([], COLLECTION_SCHEMA), next_version(self.spark, self.path))
+        """V3: empties the collection; no error if it is absent."""
+        self.table.reset()
         return self
 
-    def _write(self, df: DataFrame, v: int) -> None:
-        df.write.mode("errorifexists").parquet(self._version_path(v))
-
-    def write_version(self, df: DataFrame) -> int:
-        """Write ``df`` (already de-duplicated) as the next version; one job."""
-        nxt = next_version(self.spark, self.path)
-        self._write(df, nxt)
-        return nxt
+    def replace(self, df: DataFrame) -> "Collection":
+        """``df`` (one row per id) as the whole collection."""
+        self.table.replace(df)
+        return self
 
-    def upsert(self, incoming: DataFrame, prune_stale: bool = False) -> int | None:
-        """V1: incoming rows replace rows with the same id; returns the new version.
+    def upsert(self, incoming: DataFrame, prune_stale: bool = False) -> list[int] | None:
+        """V1: incoming rows replace rows with the same id; answers the rewritten buckets.
 
-        Empty input is a no-op.  With ``prune_stale`` the chunks of touched
-        issues that are not in the incoming batch are removed as well.
+        Empty input is a no-op (None).  With ``prune_stale`` the chunks of
+        touched issues that are not in the incoming batch are removed as well.
+        Of equal ids in one batch the greatest row stays; callers that need
+        "last one wins" reduce the batch with merge.dedup_last first.
         """
-        # the batch is usually expensive (embedding): compute it once, keep it
-        # for the count and the write (recomputed from lineage if an
-        # executor is lost)
-        incoming = incoming.select(*[f.name for f in COLLECTION_SCHEMA.fields]).persist(
-            StorageLevel.MEMORY_AND_DISK)
-        try:
-            # of equal ids in one batch the greatest row stays; callers that
-            # need "last one wins" reduce the batch with merge.dedup_last first
-            n_in = incoming.count()
-            if n_in == 0:
-                return None
-            cur = self.read()
-            key = "issue_id" if prune_stale else "id"
-            keys = incoming.select(key).distinct()
-            kept = cur.join(keys, key, "left_anti")
-            nxt = next_version(self.spark, self.path)
-            one = incoming.groupBy("id").agg(F.max(F.struct(*incoming.columns)).alias("_r")).select("_r.*")
-            self._write(kept.unionByName(one), nxt)
-            return nxt
-        finally:
-            incoming.unpersist()
+        key = "issue_id" if prune_stale else "id"
+
+        def merge(here: DataFrame, new: DataFrame) -> DataFrame:
+            kept = here.join(new.select(key).distinct(), key, "left_anti").select(*here.columns)
+            one = new.groupBy("id").agg(F.max(F.struct(*new.columns)).alias("_r")).select("_r.*")
+            return kept.unionByName(one)
+
+        return self.table.upsert(incoming, merge) or None

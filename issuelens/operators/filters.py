@@ -31,16 +31,35 @@ def unfence(response: Column | str) -> Column:
     return F.when(raw.startswith(FENCE), inner).otherwise(raw)
 
 
+JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+def one_value(body: Column) -> Column:
+    """Whether the first bracket of a text closes with its last character.
+
+    Without its strings the text is walked bracket by bracket; the depth must
+    not return to zero before the end.
+    """
+    brackets = F.split(F.regexp_replace(F.regexp_replace(py_strip(body), JSON_STRING, ""), r"[^\[\]{}]", "."), "")
+    deep = F.aggregate(
+        brackets, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("closed")),
+        lambda a, c: F.struct(
+            (a.depth + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)).alias("depth"),
+            (a.closed + F.when((a.depth <= 0) & (c != ""), 1).otherwise(0)).alias("closed")))
+    # only the first character meets depth zero
+    return (deep.depth == 0) & (deep.closed == 1)
+
+
 def parse_response(response: Column | str) -> Column:
     """R2: raw ``struct(status, priority, project)``; anything but an object gives NULLs.
 
     Strict JSON: single quotes and other lenient forms are rejected, and so
     is anything but white space around the object.  The parser stops after
-    the first value it reads; as the one element of an array the object has
-    to end where the text does.
+    the first value it reads, so the object also has to be the only one: as
+    the one element of an array, and with no bracket that closes it early.
     """
     body = unfence(response)
-    is_object = py_strip(body).startswith("{")
+    is_object = py_strip(body).startswith("{") & one_value(body)
     parsed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<struct<{RAW_FIELDS}>>",
                          {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
     return F.when(is_object & (F.size(parsed) == 1), F.get(parsed, 0))

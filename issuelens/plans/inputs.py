@@ -15,7 +15,7 @@ from issuelens.operators.turns import conversation_chunks as conversation_chunks
 from issuelens.sources import adapters as A
 import uuid
 
-from issuelens.operators.collection import COLLECTION_SCHEMA, Collection
+from issuelens.operators.collection import COLLECTION_SCHEMA
 from issuelens.session import scratch_path
 from issuelens.sources.tables import read_table, spread
 
@@ -120,7 +120,7 @@ def stored_chunks(chunks: DataFrame) -> DataFrame:
 def text_collection(chunks: DataFrame, extra_cols: tuple[str, ...] = ()) -> DataFrame:
     """Windows of whole chunks + hash embeddings in the search layout (parent = issue id).
 
-    The embedded collection is written once as a table version in the
+    The embedded collection is written once in the
     shared checkpoint folder (the ingest step) and read back: the search
     scans it for vectors and the detail join reads text from it, without
     recomputing scrub, chunking and embedding.  (``Dataset.checkpoint`` on
@@ -128,9 +128,10 @@ def text_collection(chunks: DataFrame, extra_cols: tuple[str, ...] = ()) -> Data
     """
     spark = chunks.sparkSession
     emb = embed(D.embed_windows(chunks), HashEmbedder(EMBED_DIM), "window", None)
-    coll = Collection(spark, scratch_path(spark, "collections"), uuid.uuid4().hex)
-    coll.write_version(emb.select(*[f.name for f in COLLECTION_SCHEMA.fields], *extra_cols))
-    return coll.read(strict=not extra_cols).withColumn("parent", F.col("issue_id"))
+    emb = emb.select(*COLLECTION_SCHEMA.names, *extra_cols)
+    path = scratch_path(spark, f"collections/{uuid.uuid4().hex}")
+    emb.write.parquet(path)
+    return spark.read.schema(emb.schema).parquet(path).withColumn("parent", F.col("issue_id"))
 
 
 def labelled_document_chunks(spark: SparkSession, sf: str) -> DataFrame:

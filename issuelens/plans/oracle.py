@@ -464,9 +464,9 @@ _PRIO = ("CASE o_orderpriority WHEN '1-URGENT' THEN 'Immediate' WHEN '2-HIGH' TH
 ORACLE["parse_filters"] = f"""
 WITH {ORDERS_C}
 SELECT o_orderkey AS question_id,
-  CASE WHEN o_orderkey % 4 < 2 AND ({_STATUS}) IN {inlist(C.KNOWN_STATUSES)} THEN {_STATUS} END AS status,
-  CASE WHEN o_orderkey % 4 < 2 AND ({_PRIO}) IN {inlist(C.KNOWN_PRIORITIES)} THEN {_PRIO} END AS priority,
-  CASE WHEN o_orderkey % 4 < 2 THEN CASE o_orderkey % 3 WHEN 0 THEN 'qe-kernel' WHEN 1 THEN 'performance' END END AS project_id
+  CASE WHEN o_orderkey % 6 < 2 AND ({_STATUS}) IN {inlist(C.KNOWN_STATUSES)} THEN {_STATUS} END AS status,
+  CASE WHEN o_orderkey % 6 < 2 AND ({_PRIO}) IN {inlist(C.KNOWN_PRIORITIES)} THEN {_PRIO} END AS priority,
+  CASE WHEN o_orderkey % 6 < 2 THEN CASE o_orderkey % 3 WHEN 0 THEN 'qe-kernel' WHEN 1 THEN 'performance' END END AS project_id
 FROM oc
 """
 
@@ -742,11 +742,27 @@ FROM (SELECT DISTINCT event_type AS project_id FROM events UNION ALL SELECT 'nev
 LEFT JOIN ({ORACLE["sync_state"]}) s ON s.project_id = p.project_id
 """
 
-# the batch job: documents as issues, chunks cut at 8192 characters, windows of 1500
+# the batch job: a full load with enrichment, then an incremental run; chunks cut at 8192 characters, windows of 1500
+
+_STORED = f"""
+stored AS (
+  SELECT doc_id, source, split_part(text, {NL}, 1) AS subj, false AS noted, text AS descr FROM documents WHERE doc_id % 3 <> 0
+  UNION ALL
+  SELECT doc_id, source, split_part(text, {NL}, 1), doc_id % 12 = 0,
+         CASE WHEN doc_id % 12 = 0 THEN 'whole ' ELSE 'draft ' END || text
+  FROM documents WHERE doc_id % 6 = 0 AND (doc_id % 12 = 0 OR source NOT IN {inlist(I.JOURNALS_ONLY)}))"""
+_JOB_TEXT = strip(f"""'Subject: ' || coalesce(subj, '') || CASE WHEN {nonempty(scrub('descr'))}
+                      THEN {NL} || 'Description: ' || {scrub('descr')} ELSE '' END""")
 
 ORACLE["ingest_job"] = f"""
-WITH {DOC_CHUNKS.replace("chunks AS (", "whole AS (")},
-chunks AS (SELECT id, {trunc('text', 8192)} AS text, issue_id, project FROM whole),
+WITH {_STORED},
+chunks AS (
+  SELECT 'issue_' || {iid('doc_id')} AS id, {trunc(_JOB_TEXT, 8192)} AS text, {iid('doc_id')} AS issue_id, source AS project
+  FROM stored WHERE source IS NOT NULL
+  UNION ALL
+  SELECT 'issue_' || {iid('doc_id')} || '_chunk_1', {trunc(f"""'Subject: ' || coalesce(subj, '') || {NL} || 'Comments:' || {NL}
+         || '- User_00007: see [OPENQA-URL] on [REDACTED-HOST] or ask [REDACTED-EMAIL]'""", 8192)}, {iid('doc_id')}, source
+  FROM stored WHERE noted AND source IS NOT NULL),
 {WINDOWS}
 SELECT id, chunk_id, part, issue_id, whole AS text, project FROM wch
 """

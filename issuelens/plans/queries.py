@@ -330,15 +330,18 @@ def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 def _order_responses(spark, sf) -> DataFrame:
     """Model responses derived from orders, by their number: bare, fenced, with
-    a sentence after the object, and two objects; projects are named loosely."""
+    a sentence after the object, two objects, a bracket after the object, and
+    that with more text; projects are named loosely."""
     o = I.order_issues(spark, sf)
     named = F.element_at(F.array(F.lit(" Kernel "), F.lit("perf"), F.lit("no such project")),
                          (F.col("id") % 3 + 1).cast("int"))
     js = F.to_json(F.struct(F.col("status.name").alias("status"), F.col("priority.name").alias("priority"),
                             named.alias("project")))
-    form = F.col("id") % 4
+    form = F.col("id") % 6
     resp = (F.when(form == 0, js).when(form == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
-            .when(form == 2, F.concat(js, F.lit("\nThis filters the issues."))).otherwise(F.concat(js, F.lit(" "), js)))
+            .when(form == 2, F.concat(js, F.lit("\nThis filters the issues.")))
+            .when(form == 3, F.concat(js, F.lit(" "), js)).when(form == 4, F.concat(js, F.lit("]")))
+            .otherwise(F.concat(js, F.lit("], that is all: [1"))))
     return o.select(F.col("id").alias("question_id"), resp.alias("response"))
 
 

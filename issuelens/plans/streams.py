@@ -32,7 +32,7 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     stream = S.file_stream(spark, sf, schema, "events.parquet")
     S.run_upsert_stream(stream, f"{root}/table", f"{root}/_ckpt",
                         key="id", order_col="order_key", transform=to_versions)
-    out = S.read_latest(spark, f"{root}/table")
+    out = S.upsert_table(spark, f"{root}/table", to_versions(stream).schema, "id").read()
     return out.select("id", "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
@@ -43,16 +43,15 @@ def stream_late(spark: SparkSession, sf: str) -> DataFrame:
     half = events.agg(F.expr("percentile_approx(unix_micros(cast(ts as timestamp)), 0.5)")).first()[0] or 0
     at = F.expr("unix_micros(cast(ts as timestamp))")
 
-    def arrive(part: int, rows: DataFrame) -> None:
+    def arrive(part: int, rows: DataFrame) -> DataFrame:
         rows.write.parquet(f"{root}/in/part={part}")
-        stream = S.file_stream(spark, f"{root}/in/*", events.schema)
-        S.run_upsert_stream(stream.withColumn("order_key", F.struct("ts", "event_id")), f"{root}/table",
-                            f"{root}/_ckpt", key="user_id", order_col="order_key")
+        stream = S.file_stream(spark, f"{root}/in/*", events.schema).withColumn("order_key", F.struct("ts", "event_id"))
+        S.run_upsert_stream(stream, f"{root}/table", f"{root}/_ckpt", key="user_id", order_col="order_key")
+        return S.upsert_table(spark, f"{root}/table", stream.schema, "user_id").read()
 
     arrive(1, events.where(at >= half))
     arrive(2, events.where(at < half))
-    arrive(3, events)
-    return S.read_latest(spark, f"{root}/table").select(
+    return arrive(3, events).select(
         F.col("user_id").alias("id"), "event_id", "event_type", F.round("value", 6).alias("value"))
 
 
@@ -84,7 +83,7 @@ def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The batch column functions (anonymise, scrub, chunk) on a stream of
-    documents; micro-batches are upserted into a versioned chunk table."""
+    documents; micro-batches are upserted into a bucketed chunk table."""
     from issuelens import config as C
     from issuelens.operators import documents as D
     from issuelens.operators.anonymize import anonymize_issues
@@ -94,6 +93,6 @@ def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
     root = _scratch(spark, "chunks")
     stream = S.file_stream(spark, sf, schema, "documents.parquet")
     chunks = D.prepare_chunks(anonymize_issues(document_issues(stream)), C.JOURNALS_PER_CHUNK, None)
-    S.run_upsert_stream(chunks.withColumn("_order", F.col("chunk_index")), f"{root}/table", f"{root}/_ckpt",
-                        key="id", order_col="_order")
-    return S.read_latest(spark, f"{root}/table").select("id", "text", "issue_id")
+    chunks = chunks.withColumn("_order", F.col("chunk_index"))
+    S.run_upsert_stream(chunks, f"{root}/table", f"{root}/_ckpt", key="id", order_col="_order")
+    return S.upsert_table(spark, f"{root}/table", chunks.schema, "id").read().select("id", "text", "issue_id")

@@ -1,6 +1,6 @@
 """Issue files: per-project JSON arrays in, versioned parquet out.
 
-Every write goes to a new ``v=<n>`` directory (see ``operators.collection``),
+Every write goes to a new ``v=<n>`` directory (see ``operators.tables``),
 so a job can read the current master and write the next one in the same run.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuelens.operators.collection import next_version, versions
+from issuelens.operators.tables import next_version, versions
 from issuelens.schemas import ISSUE, USER_MAPPING
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from issuelens.operators.collection import next_version, versions
+from issuelens.operators.tables import next_version, versions
 from issuelens.schemas import LOAD_CHECKPOINT, SYNC_STATE
 
 ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss'Z'"

@@ -3,9 +3,9 @@
 * X1: file source over the update files; only new files are read on the
   next run (the checkpoint records what was consumed).
 * X2: the batch column functions apply unchanged to the streaming frame.
-* X3/X4: ``foreachBatch`` upserts each micro-batch into a versioned table:
-  the latest version per key stays, whichever side has it, so replayed,
-  late or overlapping files are absorbed.
+* X3/X4: ``foreachBatch`` upserts each micro-batch into a bucket table: the
+  latest version per key stays, whichever side has it, so replayed, late or
+  overlapping files are absorbed; only the buckets of the batch are rewritten.
 * X6: watermarked event-time windows.
 
 Output tables and checkpoints live under the shared ``spark.checkpoint.dir``.
@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from issuelens.operators import merge as M
-from issuelens.operators.collection import next_version, versions
+from issuelens.operators.tables import BucketTable, expire, next_version, versions
+
+#: Buckets of a table that a stream upserts into.
+BUCKETS = 16
 
 
 def _next_version(spark: SparkSession, root: str) -> int:
@@ -34,20 +37,24 @@ def read_latest(spark: SparkSession, root: str, schema=None) -> DataFrame | None
     return r.parquet(f"{root}/v={vs[-1]}")
 
 
-def upsert_batch_writer(table_root: str, key: str, order_col: str):
+def upsert_table(spark: SparkSession, table_root: str, schema, key: str, buckets: int = BUCKETS) -> BucketTable:
+    """The table that ``run_upsert_stream`` keeps for a stream of ``schema``."""
+    return BucketTable(spark, table_root, schema, key, buckets)
+
+
+def upsert_batch_writer(table_root: str, key: str, order_col: str, buckets: int = BUCKETS):
     """foreachBatch body: the newest version of each key by ``order_col``, of the table and the batch.
 
     A late or replayed older row never replaces a newer one; of equal
-    versions the incoming one stays.
+    versions the incoming one stays.  Only the buckets of the batch's keys are
+    read and rewritten.
     """
+    def merge(here: DataFrame, batch: DataFrame) -> DataFrame:
+        both = here.withColumn("_src", F.lit(0)).unionByName(batch.withColumn("_src", F.lit(1)))
+        return M.latest(both, key, F.struct(F.col(order_col), F.col("_src"))).drop("_src")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cur = read_latest(spark, table_root, batch.schema)
-        both = batch.withColumn("_src", F.lit(1))
-        if cur is not None:
-            both = cur.withColumn("_src", F.lit(0)).unionByName(both)
-        merged = M.latest(both, key, F.struct(F.col(order_col), F.col("_src"))).drop("_src")
-        merged.write.mode("errorifexists").parquet(f"{table_root}/v={_next_version(spark, table_root)}")
+        upsert_table(batch.sparkSession, table_root, batch.schema, key, buckets).upsert(batch, merge)
     return write
 
 
@@ -99,6 +106,7 @@ def run_update_to_versions(agg: DataFrame, table_root: str, checkpoint: str, key
         cur = read_latest(spark, table_root, batch.schema)
         merged = batch if cur is None else cur.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
         merged.write.mode("errorifexists").parquet(f"{table_root}/v={_next_version(spark, table_root)}")
+        expire(spark, table_root)
 
     q = (agg.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -110,6 +118,7 @@ def run_complete_to_versions(agg: DataFrame, table_root: str, checkpoint: str) -
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("errorifexists").parquet(f"{table_root}/v={_next_version(spark, table_root)}")
+        expire(spark, table_root)
 
     q = (agg.writeStream.outputMode("complete").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -127,18 +136,14 @@ def latest_versions(stream: DataFrame, key: str, order_col: str) -> DataFrame:
             .select(key, "_r.*"))
 
 
-def run_ingest_stream(stream: DataFrame, collection, embedder, text_col: str = "text",
-                      checkpoint: str | None = None, max_chars: int | None = None) -> None:
-    """X2 + X3: issue stream -> (already chunked by the caller's column
-    functions) -> embed -> idempotent upsert of every micro-batch."""
-    from issuelens import config as C
+def run_ingest_stream(stream: DataFrame, collection, embedder, text_col: str = "window",
+                      checkpoint: str | None = None) -> None:
+    """X2 + X3: issue stream -> (already chunked and cut to windows by the caller's
+    column functions) -> embed -> idempotent upsert of every micro-batch."""
     from issuelens.operators.embed import embed
 
-    cap = C.EMBED_MAX_CHARS if max_chars is None else max_chars
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        collection.get_or_create()
-        collection.upsert(embed(batch, embedder, text_col, cap))
+        collection.upsert(embed(batch, embedder, text_col, None))
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

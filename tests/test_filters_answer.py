@@ -98,3 +98,15 @@ def test_text_around_the_object_is_no_filter(spark):
     rows = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "i int, response string")
     got = {r.i: r.status for r in FL.extract_filters(rows).collect()}
     assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_nothing_may_follow_the_object(spark):
+    from issuelens.operators.filters import parse_response
+
+    ok = '{"status": "New"}'
+    texts = [ok, f" {ok}\n", '{"status": "New", "project": "a } ] b \\" {"}', '{"status": "New", "x": {"y": [1, {}]}}',
+             "```json\n" + ok + "\n```", ok + "]", ok + "] and so on", ok + "], [" + ok, ok + "," + ok, ok + "}", "{" + ok,
+             ok + " x", "[" + ok + "]", ok + '"', "", "{", "}{", "x" + ok, "{}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i for r in df.withColumn("r", parse_response("t")).where("r.status = 'New'").collect()}
+    assert got == {0, 1, 2, 3, 4}

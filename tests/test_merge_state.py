@@ -86,13 +86,13 @@ def test_resume_and_completeness(spark):
 
 
 def _chunks(spark, ids, text):
-    data = [(i, text, "1", *[""] * 10, 0, 0, True, [0.0, 1.0], "m") for i in ids]
+    data = [(i, text, i, *[""] * 10, 0, 0, True, i, 0, [0.0, 1.0], "m") for i in ids]
     return spark.createDataFrame(data, COLLECTION_SCHEMA)
 
 
-def test_collection_versions(spark):
+def test_collection_upsert_and_reset(spark):
     c = Collection(spark, scratch_path(spark, f"test/{uuid.uuid4().hex}"), "issues").get_or_create()
-    assert c.count() == 0 and c.current_version() == 0
+    assert c.count() == 0
     assert c.upsert(_chunks(spark, [], "x")) is None
     c.upsert(_chunks(spark, ["a", "b"], "v1"))
     c.upsert(_chunks(spark, ["b", "c"], "v2"))
@@ -108,13 +108,58 @@ def test_journals_only_not_applied_on_sync(make_issues):
     assert M.journals_only(iss, mode="incremental").count() == 1
 
 
-def test_uncommitted_version_is_skipped(spark):
+def _sizes(c):
+    """Bytes and modification time of each data file."""
+    import glob
     import os
+    return {f: (os.path.getsize(f), os.stat(f).st_mtime_ns) for f in glob.glob(f"{c.path}/rows/**/part-*.parquet", recursive=True)}
+
+
+def test_an_upsert_rewrites_the_buckets_it_touches(spark):
+    c = Collection(spark, scratch_path(spark, f"test/{uuid.uuid4().hex}"), "issues", buckets=32).get_or_create()
+    c.upsert(_chunks(spark, [f"c{i}" for i in range(2000)], "v1"))
+    before = _sizes(c)
+    assert len(c.upsert(_chunks(spark, ["c7", "c8"], "v2"))) <= 2
+    after = _sizes(c)
+    written = sum(size for f, (size, at) in after.items() if before.get(f) != (size, at))
+    assert 0 < written < 0.15 * sum(size for size, _ in after.values())
+    assert {r.id for r in c.read().where("text = 'v2'").collect()} == {"c7", "c8"} and c.count() == 2000
+
+
+def test_a_partition_that_lost_its_rows_goes(spark):
+    c = Collection(spark, scratch_path(spark, f"test/{uuid.uuid4().hex}"), "issues", buckets=2).get_or_create()
+    rows = _chunks(spark, ["a", "b", "c", "d"], "v1")
+    c.upsert(rows.withColumn("project_id", F.lit("old place/ 1%")))
+    c.upsert(rows.withColumn("project_id", F.lit("new")).where("id <> 'd'"))
+    assert sorted((r.id, r.project_id) for r in c.read().collect()) == [
+        ("a", "new"), ("b", "new"), ("c", "new"), ("d", "old place/ 1%")]
+    c.upsert(rows.where("id = 'd'"))  # no project at all
+    assert sorted((r.id, r.project_id) for r in c.read().collect()) == [("a", "new"), ("b", "new"), ("c", "new"), ("d", "")]
+
+
+def test_a_lost_upsert_is_finished_or_dropped(spark, monkeypatch):
+    c = Collection(spark, scratch_path(spark, f"test/{uuid.uuid4().hex}"), "issues", buckets=4).get_or_create()
+    c.upsert(_chunks(spark, ["a", "b"], "v1"))
+    with monkeypatch.context() as m:  # the driver dies after the new content is complete
+        m.setattr(type(c.table), "recover", lambda self: None)
+        c.upsert(_chunks(spark, ["b", "c"], "v2"))
+        assert sorted((r.id, r.text) for r in c.read().collect()) == [("a", "v1"), ("b", "v1")]
+    c.get_or_create()
+    assert sorted((r.id, r.text) for r in c.read().collect()) == [("a", "v1"), ("b", "v2"), ("c", "v2")]
+    _chunks(spark, ["x"], "v3").write.parquet(c.table.staged)
+    c.table._delete(f"{c.table.staged}/_SUCCESS")  # and before it is
+    c.get_or_create()
+    assert sorted(r.id for r in c.read().collect()) == ["a", "b", "c"]
+
+
+def test_expire_keeps_the_newest_versions(spark):
+    from issuelens.operators.tables import expire, versions
+
     root = scratch_path(spark, f"test/{uuid.uuid4().hex}")
-    c = Collection(spark, root, "issues").get_or_create()
-    os.makedirs(f"{c.path}/v=1")           # a failed write left this behind
-    c.upsert(_chunks(spark, ["a"], "v1"))   # must not collide with it
-    assert c.current_version() == 2 and [r.id for r in c.read().collect()] == ["a"]
+    for v in range(4):
+        spark.range(1).write.parquet(f"{root}/v={v}")
+    expire(spark, root)
+    assert versions(spark, root) == [2, 3]
 
 
 def test_changed_since_accepts_sync_state_format(spark):
@@ -127,7 +172,7 @@ def test_upsert_prune_stale_chunks(spark):
     from issuelens.operators.collection import COLLECTION_SCHEMA
 
     def chunks(rows):
-        return spark.createDataFrame([(i, t, iss, *[""] * 10, 0, 0, True, [0.0], "m") for i, t, iss in rows],
+        return spark.createDataFrame([(i, t, iss, *[""] * 10, 0, 0, True, i, 0, [0.0], "m") for i, t, iss in rows],
                                      COLLECTION_SCHEMA)
 
     c = Collection(spark, scratch_path(spark, f"test/{uuid.uuid4().hex}"), "issues").get_or_create()

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from issuelens.operators import merge as M
-from issuelens.operators.collection import versions
 from issuelens.session import scratch_path
 from issuelens.streaming import sync as S
 
@@ -24,14 +23,15 @@ def test_stream_upsert_reads_only_new_files(spark):
         S.run_upsert_stream(stream.withColumn("order_key", F.struct("ts", "event_id")), f"{root}/table",
                             f"{root}/_ckpt", key="user_id", order_col="order_key")
 
-    run()
-    assert len(versions(spark, f"{root}/table")) == 1
-    run()  # nothing new: no new version
-    assert len(versions(spark, f"{root}/table")) == 1
+        return S.upsert_table(spark, f"{root}/table", stream.withColumn("order_key", F.struct("ts", "event_id")).schema,
+                              "user_id").read()
+
+    files = set(run().inputFiles())
+    assert files and set(run().inputFiles()) == files  # nothing new: nothing written
     ev.where(F.col("ts") >= F.lit(cut)).write.parquet(f"{src}/part=2")
-    run()
-    assert len(versions(spark, f"{root}/table")) == 2
-    got = sorted((r.user_id, r.event_id) for r in S.read_latest(spark, f"{root}/table").collect())
+    table = run()
+    assert set(table.inputFiles()) != files
+    got = sorted((r.user_id, r.event_id) for r in table.collect())
     batch = M.dedup_last(ev.withColumn("seq", F.struct("ts", "event_id")), "user_id", "seq")
     assert got == sorted((r.user_id, r.event_id) for r in batch.collect())
 
@@ -83,7 +83,7 @@ def test_ingest_stream_into_collection(spark, make_issues):
     stream = spark.readStream.schema(ISSUE).json(f"{root}/in/*")
     chunks = D.prepare_chunks(anonymize_issues(stream), 5, 8192)
     coll = Collection(spark, root, "coll")
-    S.run_ingest_stream(chunks, coll, HashEmbedder(8), checkpoint=f"{root}/_c")
+    S.run_ingest_stream(D.embed_windows(chunks), coll, HashEmbedder(8), checkpoint=f"{root}/_c")
     got = sorted((r.id, r.text) for r in coll.read().collect())
     assert got == [("issue_1", "Subject: Cache fills the disk\nDescription: It grows every night"),
                    ("issue_1_chunk_1", "Subject: Cache fills the disk\nComments:\n- User_00002: mail [REDACTED-EMAIL]")]
@@ -121,7 +121,7 @@ def test_late_older_rows_do_not_replace_newer_ones(spark):
         spark.createDataFrame(rows, schema).write.parquet(f"{root}/in/part={part}")
         stream = S.file_stream(spark, f"{root}/in/*", spark.createDataFrame([], schema).schema)
         S.run_upsert_stream(stream, f"{root}/table", f"{root}/_ckpt", key="k", order_col="version")
-        return {r.k: (r.version, r.body) for r in S.read_latest(spark, f"{root}/table").collect()}
+        return {r.k: (r.version, r.body) for r in S.upsert_table(spark, f"{root}/table", stream.schema, "k").read().collect()}
 
     assert arrive(1, [(1, 10, "new"), (2, 1, "a"), (1, 9, "x")]) == {1: (10, "new"), 2: (1, "a")}
     assert arrive(2, [(1, 5, "old"), (2, 2, "b"), (3, 1, "c")]) == {1: (10, "new"), 2: (2, "b"), 3: (1, "c")}
