@@ -705,6 +705,11 @@ WITH {DOC_CHUNKS}
 SELECT id, text, issue_id FROM chunks
 """
 
+ORACLE["stream_chunk_state"] = f"""
+WITH {CONV}, {conv_chunks(C.JOURNALS_PER_CHUNK, C.CHUNK_MAX_TEXT_LEN, False, False)}
+SELECT id, text, issue_id, chunk_index::BIGINT AS chunk_index, is_description FROM chunks
+"""
+
 ORACLE["search_labelled"] = f"""
 WITH {DOC_CHUNKS},
 lab AS (SELECT {iid('doc_id')} AS issue_id, CAST(quality AS VARCHAR) AS quality FROM labels),

@@ -96,3 +96,26 @@ def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
     chunks = chunks.withColumn("_order", F.col("chunk_index"))
     S.run_upsert_stream(chunks, f"{root}/table", f"{root}/_ckpt", key="id", order_col="_order")
     return S.upsert_table(spark, f"{root}/table", chunks.schema, "id").read().select("id", "text", "issue_id")
+
+
+def stream_chunk_state(spark: SparkSession, sf: str) -> DataFrame:
+    """X2 + D6: turns arrive as issue updates in three parts, each with turns between those of the parts before;
+    the state of each issue rewrites the chunks that they change."""
+    from issuelens import config as C
+    from issuelens.functions.text import first_line, id_text, non_empty
+    from issuelens.streaming import chunk_state as K
+
+    turns = read_table(spark, sf, "conversations")
+    first = turns.groupBy("conv_id").agg(F.min("turn").alias("t0"), F.min_by("text", "turn").alias("text0"))
+    name = F.when(non_empty("role"), F.col("role")).otherwise(F.lit(C.UNKNOWN_USER))
+    opens = F.col("turn") == F.col("t0")
+    updates = turns.join(first, "conv_id").select(
+        id_text("conv_id").alias("issue_id"), opens.alias("is_issue"), first_line("text0").alias("subject"),
+        F.when(opens, F.col("text")).alias("body"), F.when(~opens, K.comment_line(name, F.col("text"))).alias("line"),
+        F.col("turn").cast("long").alias("pos"))
+    root = _scratch(spark, "chunk-state")
+    for part in (2, 0, 1):
+        updates.where(F.col("pos") % 3 == part).write.parquet(f"{root}/in/part={part}")
+        stream = S.file_stream(spark, f"{root}/in/*", updates.schema)
+        table = K.run_chunk_stream(stream, f"{root}/table", f"{root}/_ckpt", spark.sparkContext.defaultParallelism)
+    return table.select("id", "text", "issue_id", F.col("chunk_index").cast("long").alias("chunk_index"), "is_description")
