@@ -72,12 +72,13 @@ def label(hit_col: str = "hit"):
 
 
 def summary(results: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
-    """Q5: totals and hit rate @K (percent; NULL when nothing is evaluable)."""
+    """Q5: totals, hit rate @K (percent; NULL when nothing is evaluable), and of records the total time."""
     g = results.groupBy(*group_cols)
+    time = [F.sum("elapsed").alias("total_elapsed")] if "elapsed" in results.columns else []
     return (g.agg(F.count(F.lit(1)).alias("total"),
                   F.count_if(F.col("hit").isNotNull()).alias("evaluable"),
                   F.count_if(F.col("hit")).alias("hits"),
-                  F.count_if(F.col("hit").isNull()).alias("not_applicable"))
+                  F.count_if(F.col("hit").isNull()).alias("not_applicable"), *time)
             .withColumn("hit_rate_pct",
                         F.round(F.col("hits") * 100.0 / F.nullif(F.col("evaluable"), F.lit(0)), 6)))
 
@@ -118,3 +119,32 @@ def sweep(candidates: DataFrame, ks: Sequence[int], thresholds: Sequence[float |
     best = F.min(key).over(Window.partitionBy("k", "threshold", "question_id"))
     c = c.withColumn("_best", best).where(F.col("threshold").isNull() | (F.col("_best") <= F.col("threshold")))
     return c.drop("_p", "_best")
+
+
+def records(results: DataFrame, applied: DataFrame, timings: DataFrame) -> DataFrame:
+    """The record of each question: ``results`` of ``per_question``, with the filters that were used and the time it took.
+
+    ``applied``: ``question_id, filters`` (JSON; of questions searched without filters it counts as ``{}``);
+    ``timings``: ``question_id, elapsed`` in seconds, added up per question.
+    """
+    took = timings.groupBy("question_id").agg(F.sum("elapsed").alias("elapsed"))
+    return (results.join(applied, "question_id", "left").join(took, "question_id", "left")
+            .withColumn("filters", F.coalesce("filters", F.lit("{}")))
+            .withColumn("elapsed", F.coalesce("elapsed", F.lit(0.0))))
+
+
+def cube(judged: DataFrame, tags: DataFrame) -> DataFrame:
+    """Q6 + Q7 in one aggregation: answered questions and hits by (tag, k, threshold), by (k, threshold), by tag and in all.
+
+    ``judged``: ``k, threshold, question_id, hit`` of ``sweep``; ``tags``:
+    ``question_id, tag``, one row per tag.  ``level`` tells the sets apart, as a
+    threshold may itself be null.  A question counts once for each of its tags
+    and, in the sets without tag, once for each tag as well: tags that split
+    the questions give totals.
+    """
+    rows = judged.join(tags, "question_id")
+    dims = [F.col("tag"), F.col("k"), F.col("threshold")]
+    sets = [dims, [F.col("k"), F.col("threshold")], [F.col("tag")], []]
+    return (rows.groupingSets(sets, *dims)
+            .agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("answered"), F.count_if(F.col("hit")).alias("hits"))
+            .withColumn("hit_rate_pct", F.round(F.col("hits") * 100.0 / F.nullif(F.col("answered"), F.lit(0)), 6)))

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,19 +125,18 @@ class BucketTable:
         ``merge`` must not move rows to other buckets.
         """
         self.create()
-        # usually expensive (embedding): computed once for the buckets and the write
-        incoming = incoming.select(*self.schema.names).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            touched = sorted(r[0] for r in incoming.select(self.bucket()).distinct().collect())
-            if not touched:
-                return []
+        # usually expensive (embedding): computed once, in one write, for the buckets and the merge
+        given = f"{self.path}/incoming"
+        incoming.select(*self.schema.names).write.mode("overwrite").parquet(given)
+        incoming = self.spark.read.schema(self.schema).parquet(given)
+        touched = sorted(r[0] for r in incoming.select(self.bucket()).distinct().collect())
+        if touched:
             here = self._read(self.rows).where(F.col(self.BUCKET).isin(*touched)).select(*self.schema.names)
             self._delete(f"{self.path}/touched")
             self.spark.createDataFrame([(b,) for b in touched], "b int").coalesce(1).write.json(f"{self.path}/touched")
             self._write(merge(here, incoming).select(*self.schema.names), self.staged, "overwrite")
-        finally:
-            incoming.unpersist()
         self.recover()
+        self._delete(given)
         return touched
 
     def recover(self) -> None:

@@ -22,7 +22,7 @@ from issuelens.functions.pii import scrub_pii
 from issuelens.functions.text import first_line, id_text, non_empty, or_empty, py_strip, truncate
 from issuelens.operators.anonymize import anonymous_name
 from issuelens.operators.ordering import with_key_rank, with_key_running_sum
-from issuelens.sources.adapters import ROLE_USER_IDS, _lookup, _project_of
+from issuelens.sources.adapters import ROLE_USER_IDS, _lookup, _project_of, priority_of
 
 
 def _display_name(role, anonymize: bool):
@@ -58,7 +58,7 @@ def conversation_chunks(turns: DataFrame, journals_per_chunk: int = C.JOURNALS_P
         id_text("conv_id").alias("issue_id"),
         F.substring(or_empty(first_line(F.col("first.text"))), 1, C.SUBJECT_META_LEN).alias("subject"),
         F.when(F.col("last_role") == "assistant", F.lit("Resolved")).otherwise(F.lit("New")).alias("status"),
-        F.lit("Normal").alias("priority"), F.lit("Support").alias("tracker"),
+        priority_of(F.col("conv_id")).alias("priority"), F.lit("Support").alias("tracker"),
         project.alias("project"), project.alias("project_id"),
         F.lit("").alias("created_on"), F.lit("").alias("updated_on"),
         F.when(non_empty(author), author).otherwise(F.lit("")).alias("author"),

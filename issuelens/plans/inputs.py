@@ -21,6 +21,10 @@ from issuelens.sources.tables import read_table, spread
 
 # Parameters of the registered queries (chosen once; see README).
 CUTOFF = "2024-01-15"                 # since / existing-vs-incoming split of the event log
+EARLY = "2024-01-01 06:00:00"          # a few hours into the log: most issues are still to come
+# What stands for a template marker and for noise in the test texts
+MARKER = r"released under the \w+ license"
+NOISE = C.PII_RULES[1][1]
 RUN_STARTED_AT = "2024-02-01T00:00:00Z"
 EVENT_PROJECTS = ("view", "click", "purchase", "error", "signup")
 UNION_PROJECTS = ("error", "click", "view")

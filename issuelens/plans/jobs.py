@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from issuelens.config import EngineConfig
 from issuelens.operators import merge as M
-from issuelens.operators.anonymize import anonymize_issues, user_mapping
+from issuelens.operators import runlog as L
+from issuelens.operators.anonymize import anonymize_issues, user_mapping, user_refs
 from issuelens.operators.collection import Collection
 from issuelens.operators.documents import embed_windows, prepare_chunks
 from issuelens.operators.embed import HashEmbedder, embed
@@ -67,10 +68,13 @@ def ingest(spark: SparkSession, config: EngineConfig, incoming: DataFrame, embed
     user mapping is published apart from the data, and the chunks of these
     issues are scrubbed, cut, embedded and upserted; chunks that an issue no
     longer has go.  In both tables only the buckets of these issues are
-    rewritten.  The sync state of the projects is advanced.
+    rewritten.  The sync state of the projects is advanced, and the run's
+    numbers, counted as the issues and windows were written, go to the run log.
     """
-    path = scratch_path(spark, f"incoming/{uuid.uuid4().hex}")
-    incoming.select(*ISSUE_FIELDS).write.parquet(path)
+    run = uuid.uuid4().hex
+    path = scratch_path(spark, f"incoming/{run}")
+    observed, issues_seen = L.observe_issues(incoming.select(*ISSUE_FIELDS), f"issues-{run}")
+    observed.write.parquet(path)
     incoming = spark.read.schema(ISSUE).parquet(path)
     store = issue_store(spark, config)
     store.upsert(incoming, lambda here, new: here.join(new.select("id"), "id", "left_anti").select(*ISSUE_FIELDS).union(new))
@@ -79,14 +83,26 @@ def ingest(spark: SparkSession, config: EngineConfig, incoming: DataFrame, embed
     SI.write_user_mapping(user_mapping(master), f"{config.base_path.rstrip('/')}/restricted/{uuid.uuid4().hex}")
     chunks = prepare_chunks(anonymize_issues(incoming), config.journals_per_chunk, config.max_text_len)
     collection = Collection(spark, config.collection_dir, "chunks").get_or_create()
-    collection.upsert(embed(embed_windows(chunks, config.embed_max_chars), embedder, "window", None), prune_stale=True)
+    windows, windows_seen = L.observe_windows(
+        embed(embed_windows(chunks, config.embed_max_chars), embedder, "window", None), f"windows-{run}")
+    collection.upsert(windows, prune_stale=True)
 
     state = SS.load_sync_state(spark, config.state_dir, config.project_ids)
     synced = incoming.select(F.col("project_identifier").alias("project_id"))
     SS.save_sync_state(M.advance_sync_state(state, synced, started_at), config.state_dir)
+
+    numbers = issues_seen.get | windows_seen.get | {"started_at": started_at}
+    record = L.user_sketch(user_refs(incoming.withColumn("seq", F.lit(0)))).select(
+        *(F.lit(v).alias(k) for k, v in sorted(numbers.items())), "users")
+    record.write.mode("append").parquet(run_log(config))
     return collection
 
 
+def run_log(config: EngineConfig) -> str:
+    """Where each run leaves its numbers and its sketch of users."""
+    return f"{config.base_path.rstrip('/')}/runs"
+
+
 def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents as a first listing (drafts of the even ones), full records of some of them, and a second listing.
 
@@ -112,8 +128,7 @@ def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     return early, details, later
 
 
-def ingest_job(spark: SparkSession, sf: str) -> DataFrame:
-    """A full load of document issues with enrichment, then an incremental run since the first one's start."""
+def _two_runs(spark: SparkSession, sf: str) -> tuple[EngineConfig, Collection]:
     early, details, later = _versions(spark, sf)
     projects = tuple(r[0] for r in early.union(later).select("project_identifier").where(
         F.col("project_identifier").isNotNull()).distinct().collect())
@@ -121,5 +136,17 @@ def ingest_job(spark: SparkSession, sf: str) -> DataFrame:
                           journals_only_projects=I.JOURNALS_ONLY)
     embedder = HashEmbedder(I.EMBED_DIM)
     ingest(spark, config, fetch(spark, config, early, full=True, details=details), embedder, "2024-01-01T00:00:00Z")
-    collection = ingest(spark, config, fetch(spark, config, later), embedder, "2024-02-01T00:00:00Z")
+    return config, ingest(spark, config, fetch(spark, config, later), embedder, "2024-02-01T00:00:00Z")
+
+
+def ingest_job(spark: SparkSession, sf: str) -> DataFrame:
+    """A full load of document issues with enrichment, then an incremental run since the first one's start."""
+    _, collection = _two_runs(spark, sf)
     return collection.read().select("id", "chunk_id", "part", "issue_id", "text", "project")
+
+
+def run_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """A14 + D8: the numbers that the two runs of ``ingest_job`` left in the run log."""
+    config, _ = _two_runs(spark, sf)
+    return spark.read.parquet(run_log(config)).select("started_at", "issues", "with_journals", "chunked_issues", "chunks",
+                                                      "windows")

@@ -58,6 +58,10 @@ def nonempty(s: str) -> str:
     return f"({s} IS NOT NULL AND {s} <> '')"
 
 
+def prio(x: str) -> str:
+    return f"(CASE {x} % 3 WHEN 0 THEN 'Normal' WHEN 1 THEN 'High' ELSE 'Low' END)"
+
+
 def proj(x: str) -> str:
     return f"{PROJ}[({x} % {len(C.PROJECT_IDS)}) + 1]"
 
@@ -115,7 +119,7 @@ cch AS (
 chunks AS (
   SELECT cch.id, cch.text, {iid('cch.conv_id')} AS issue_id, cch.chunk_index, cch.is_description,
     ci.n - 1 AS num_journals, CASE WHEN ci.rolel = 'assistant' THEN 'Resolved' ELSE 'New' END AS status,
-    'Normal' AS priority, {proj('ci.conv_id')} AS project, {proj('ci.conv_id')} AS project_id,
+    {prio('ci.conv_id')} AS priority, {proj('ci.conv_id')} AS project, {proj('ci.conv_id')} AS project_id,
     '' AS created_on, '' AS updated_on, left(coalesce(ci.subj, ''), {C.SUBJECT_META_LEN}) AS subject
   FROM cch JOIN ci ON cch.conv_id = ci.conv_id)
 """
@@ -181,7 +185,7 @@ ORACLE["issue_metadata"] = f"""
 WITH {CONV}
 SELECT {iid('conv_id')} AS issue_id, left(coalesce(subj, ''), {C.SUBJECT_META_LEN}) AS subject,
   CASE WHEN rolel = 'assistant' THEN 'Resolved' ELSE 'New' END AS status,
-  'Normal' AS priority, 'Support' AS tracker, {proj('conv_id')} AS project, {proj('conv_id')} AS project_id,
+  {prio('conv_id')} AS priority, 'Support' AS tracker, {proj('conv_id')} AS project, {proj('conv_id')} AS project_id,
   '' AS created_on, '' AS updated_on,
   CASE WHEN {nonempty('role0')} THEN role0 ELSE '' END AS author, '' AS assigned_to,
   (n - 1)::BIGINT AS num_journals
@@ -252,6 +256,7 @@ ORACLE["user_mapping"] = f"""
 WITH {CONV}, {ORDERS_C},
 refs AS (
   SELECT c_custkey AS user_id, c_name AS name, 0 AS src, o_orderkey AS pos, 0 AS role_rank, 0 AS idx FROM oc WHERE c_custkey IS NOT NULL
+  UNION ALL SELECT o_custkey + 1, 'Watcher ' || CAST(o_custkey + 1 AS VARCHAR), 0, o_orderkey, 3, 0 FROM oc WHERE o_custkey % 5 > 0
   UNION ALL SELECT {roleid('role0')}, role0, 1, conv_id, 0, 0 FROM ci WHERE {roleid('role0')} IS NOT NULL
   UNION ALL SELECT * FROM (SELECT {roleid('role')} AS user_id, role AS name, 1 AS src, conv_id AS pos, 2 AS role_rank,
                                   row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx FROM j)
@@ -271,10 +276,16 @@ SELECT ci.conv_id AS issue_id,
 FROM ci LEFT JOIN ju ON ci.conv_id = ju.conv_id
 """
 
+ORACLE["anonymize_watchers"] = f"""
+SELECT o_orderkey AS issue_id, {anon('c_custkey')} AS author,
+  CASE WHEN o_custkey % 5 > 0 THEN {anon('(o_custkey + 1)')} ELSE '' END AS watchers
+FROM (WITH {ORDERS_C} SELECT * FROM oc)
+"""
+
 ORACLE["anonymize_summary"] = f"""
 WITH {ORDERS_C}
 SELECT count(*)::BIGINT AS issues_processed,
-  (SELECT count(DISTINCT c_custkey) FROM oc)::BIGINT AS distinct_users,
+  (SELECT count(DISTINCT u) FROM (SELECT c_custkey AS u FROM oc UNION ALL SELECT o_custkey + 1 FROM oc WHERE o_custkey % 5 > 0))::BIGINT AS distinct_users,
   first(c_name ORDER BY o_orderkey) AS sample_author_before,
   first(CASE WHEN c_custkey IS NOT NULL THEN {anon('c_custkey')} END ORDER BY o_orderkey) AS sample_author_after
 FROM oc
@@ -311,8 +322,8 @@ SELECT {VC} FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY src DESC,
 
 ORACLE["merge_counts"] = f"""
 WITH {V},
-ex AS (SELECT DISTINCT id FROM v WHERE ts < {CUT}),
-inc AS (SELECT id FROM v WHERE ts >= {CUT})
+ex AS (SELECT DISTINCT id FROM v WHERE ts < TIMESTAMP '{I.EARLY}'),
+inc AS (SELECT id FROM v WHERE ts >= TIMESTAMP '{I.EARLY}')
 SELECT (SELECT count(DISTINCT id) FROM inc WHERE id NOT IN (SELECT id FROM ex))::BIGINT AS n_new,
   ((SELECT count(*) FROM inc) - (SELECT count(DISTINCT id) FROM inc WHERE id NOT IN (SELECT id FROM ex)))::BIGINT AS n_updated
 """
@@ -358,7 +369,7 @@ FROM ai GROUP BY project_identifier
 
 ORACLE["resume_pending"] = f"""
 SELECT DISTINCT user_id AS id FROM events
-WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts < {CUT})
+WHERE user_id NOT IN (SELECT user_id FROM events WHERE ts < TIMESTAMP '{I.EARLY}')
 """
 
 ORACLE["load_completeness"] = f"""
@@ -385,8 +396,8 @@ WITH {ALLI}
 SELECT project_identifier, count(*)::BIGINT AS issues,
   round(avg(CASE WHEN n_journals > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_with_journals,
   round(avg(n_journals::DOUBLE), 6) AS mean_journals,
-  round(avg(CASE WHEN regexp_matches(coalesce(description, ''), '^Subject: ', 'i') THEN 1.0 ELSE 0.0 END), 6) AS share_marker,
-  round(avg(CASE WHEN regexp_matches(coalesce(description, ''), {lit(C.PII_RULES[0][1])}, 'i') THEN 1.0 ELSE 0.0 END), 6) AS share_noise_url
+  round(avg(CASE WHEN regexp_matches(coalesce(description, ''), {lit(I.MARKER)}, 'i') THEN 1.0 ELSE 0.0 END), 6) AS share_marker,
+  round(avg(CASE WHEN regexp_matches(coalesce(description, ''), {lit(I.NOISE)}, 'i') THEN 1.0 ELSE 0.0 END), 6) AS share_noise_url
 FROM ai GROUP BY project_identifier
 """
 
@@ -643,6 +654,15 @@ SELECT k, threshold, count(*)::BIGINT AS answered, sum(h)::BIGINT AS hits FROM r
 
 ORACLE["hit_rate_sweep"] = _sweep()
 
+_RATES = """grouping(tag, k, threshold)::BIGINT AS level, count(*)::BIGINT AS answered, sum(h)::BIGINT AS hits,
+  round(sum(h) * 100.0 / count(*), 6) AS hit_rate_pct"""
+ORACLE["hit_rate_cube"] = _sweep()[:_sweep().rindex("SELECT k, threshold, count(*)")] + f"""
+SELECT tag, coalesce(k, 0) AS k, threshold, {_RATES}
+FROM (SELECT rel.*, CASE WHEN length(b.text) < 200 THEN 'short' ELSE 'long' END AS tag
+      FROM rel JOIN benchmark b ON b.item_id = rel.question_id)
+GROUP BY GROUPING SETS ((tag, k, threshold), (k, threshold), (tag), ())
+"""
+
 # T: run-log analytics -------------------------------------------------------------
 
 ORACLE["stage_share"] = """
@@ -771,3 +791,79 @@ chunks AS (
 {WINDOWS}
 SELECT id, chunk_id, part, issue_id, whole AS text, project FROM wch
 """
+
+ORACLE["run_numbers"] = f"""
+WITH first AS (
+  SELECT doc_id, split_part(text, {NL}, 1) AS subj, doc_id % 12 = 0 AS noted,
+         CASE WHEN doc_id % 12 = 0 THEN 'whole ' ELSE 'draft ' END || text AS descr
+  FROM documents WHERE doc_id % 2 = 0 AND source IS NOT NULL AND (doc_id % 12 = 0 OR source NOT IN {inlist(I.JOURNALS_ONLY)})),
+runs AS (
+  SELECT '2024-01-01T00:00:00Z' AS started_at, * FROM first
+  UNION ALL
+  SELECT '2024-02-01T00:00:00Z', doc_id, split_part(text, {NL}, 1), false, text
+  FROM documents WHERE doc_id % 3 <> 0 AND source IS NOT NULL),
+sized AS (SELECT *, greatest(1, (length({trunc(_JOB_TEXT, 8192)}) + 1499) // 1500) AS k,
+                 length('Subject: ' || coalesce(subj, '')) + length('Comments:- User_00007: see [OPENQA-URL] on [REDACTED-HOST] or ask [REDACTED-EMAIL]') + 2 AS note
+          FROM runs)
+SELECT started_at, count(*)::BIGINT AS issues, count_if(noted)::BIGINT AS with_journals, count(*)::BIGINT AS chunked_issues,
+  (count(*) + count_if(noted))::BIGINT AS chunks,
+  (sum(k) + coalesce(sum((least(note, 8206) + 1499) // 1500) FILTER (noted), 0))::BIGINT AS windows
+FROM sized GROUP BY started_at
+"""
+
+ORACLE["stream_sliding"] = """
+WITH w AS (SELECT unnest([date_trunc('day', ts) + INTERVAL 12 HOUR * (CAST(date_part('hour', ts) AS INTEGER) // 12),
+                          date_trunc('day', ts) + INTERVAL 12 HOUR * (CAST(date_part('hour', ts) AS INTEGER) // 12 - 1)]) AS s, event_type, value
+           FROM events)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*)::BIGINT AS n, round(sum(value), 6) AS total
+FROM w GROUP BY 1, 2
+"""
+
+ORACLE["stream_sessions"] = """
+WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 1 DAY THEN 1 ELSE 0 END AS opens
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+n AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM o),
+s AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 1 DAY AS z, count(*) AS n FROM n GROUP BY user_id, k)
+SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S.%f') AS session_start, strftime(z, '%Y-%m-%d %H:%M:%S.%f') AS session_end, n::BIGINT AS n
+FROM s WHERE z <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM events)
+"""
+
+ORACLE["stream_late_rows"] = """
+SELECT event_id, user_id FROM events WHERE ts < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+"""
+
+ORACLE["stream_replays"] = """
+SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events
+"""
+
+_answers = ORACLE["answer_batch"].strip()
+ORACLE["numbered_answers"] = f"""
+SELECT a.question_id, n.position, n.header, a.answer, a.n_hits
+FROM ({_answers}) a JOIN ({ORACLE["numbered_results"]}) n ON n.question_id = a.question_id
+"""
+
+# S8 + Q5: records of a whole evaluation.  Expected of a question: the conversations of its own number and of 7 times that.
+_EVAL = ORACLE["answer_batch"].strip()
+_EVAL = _EVAL[:_EVAL.index("said AS (")].replace("rank, parent FROM res", "rank, parent, score FROM res") + f"""
+got AS (SELECT item_id, string_agg(DISTINCT parent, ',' ORDER BY parent) AS retrieved_ids, count(*) AS n_results,
+               round(min(score), 6) AS best_score, max(filtered) AS filtered FROM picked GROUP BY item_id),
+want AS (SELECT DISTINCT item_id, CAST(unnest([item_id, item_id * 7]) AS VARCHAR) AS w FROM benchmark WHERE item_id % 5 <> 0),
+hits AS (SELECT want.item_id, bool_or(p.parent IS NOT NULL) AS hit, string_agg(DISTINCT w, ',' ORDER BY w) AS expected_ids
+         FROM want LEFT JOIN picked p ON p.item_id = want.item_id AND p.parent = want.w GROUP BY want.item_id),
+took AS (SELECT user_id, sum(value) AS elapsed FROM events GROUP BY user_id),
+records AS (
+  SELECT a.item_id AS question_id, a.text AS question, CASE WHEN length(b.text) < 200 THEN 'short' ELSE 'long' END AS tags,
+    CASE WHEN coalesce(got.filtered, 0) = 0 THEN '{{}}' WHEN a.item_id % 4 = 1 THEN '{{"status":"New"}}'
+         WHEN a.item_id % 4 = 2 THEN '{{"priority":"Urgent"}}' ELSE '{{"status":"Resolved","project_id":"qe-kernel"}}' END AS filters,
+    coalesce(retrieved_ids, '') AS retrieved_ids, coalesce(expected_ids, '') AS expected_ids, best_score, hits.hit,
+    round(coalesce(elapsed, 0), 6) AS elapsed, coalesce(n_results, 0)::BIGINT AS n_results
+  FROM asked a JOIN benchmark b USING (item_id) LEFT JOIN got USING (item_id) LEFT JOIN hits USING (item_id)
+  LEFT JOIN took ON took.user_id = a.item_id)"""
+
+ORACLE["eval_records"] = _EVAL + """
+SELECT question_id, question, tags, filters, retrieved_ids, expected_ids, best_score,
+  CASE WHEN hit IS NULL THEN 'N/A' WHEN hit THEN 'HIT' ELSE 'MISS' END AS label, elapsed, n_results FROM records
+"""
+ORACLE["eval_summary"] = _EVAL + f"""
+SELECT {_SUMMARY}, round(sum(elapsed), 6) AS total_elapsed FROM records
+"""

@@ -28,6 +28,7 @@ from issuelens.operators.search import SearchSpec, fetch_window, search, search_
 from issuelens.functions.pii import scrub_pii as _scrub
 from issuelens.plans import inputs as I
 from issuelens.session import scratch_path
+from issuelens.sources import questions as SQ
 from issuelens.sources import state as SS
 from issuelens.sources.tables import read_table, spread
 
@@ -132,6 +133,13 @@ def anonymize_users(spark: SparkSession, sf: str) -> DataFrame:
     return TU.conversation_user_lists(read_table(spark, sf, "conversations"))
 
 
+def anonymize_watchers(spark: SparkSession, sf: str) -> DataFrame:
+    """A4 + A6 on the order issues."""
+    out = anonymize_issues(I.order_issues(spark, sf))
+    return out.select(F.col("id").alias("issue_id"), F.col("author.name").alias("author"),
+                      F.array_join(F.transform("watchers", lambda w: w.getField("name")), ",").alias("watchers"))
+
+
 def anonymize_summary(spark: SparkSession, sf: str) -> DataFrame:
     """A14 on the order issues."""
     issues = I.order_issues(spark, sf)
@@ -172,8 +180,9 @@ def merge_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merge_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """M3 counts (H1 semantics)."""
-    return M.merge_counts(_existing(spark, sf), _incoming(spark, sf), "id")
+    """M3 counts (H1 semantics): the first hours of the log, and all that came after them."""
+    v, at = I.versions(spark, sf), F.to_timestamp(F.lit(I.EARLY))
+    return M.merge_counts(v.where(F.col("updated_ts") < at), v.where(F.col("updated_ts") >= at), "id")
 
 
 def dedup_last(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,9 +223,9 @@ def journal_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def resume_pending(spark: SparkSession, sf: str) -> DataFrame:
-    """Issues still to load = all issue ids minus those done before the cutoff."""
+    """Issues still to load = all issue ids minus those done in the first hours."""
     v = I.versions(spark, sf)
-    done = v.where(F.col("updated_ts") < F.to_timestamp(F.lit(I.CUTOFF)))
+    done = v.where(F.col("updated_ts") < F.to_timestamp(F.lit(I.EARLY)))
     return M.resume_pending(v.select("id").distinct(), done, "id")
 
 
@@ -238,7 +247,7 @@ def load_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 def quality_profile(spark: SparkSession, sf: str) -> DataFrame:
     """M13 per project."""
-    return M.quality_profile(I.all_issues(spark, sf))
+    return M.quality_profile(I.all_issues(spark, sf), marker=I.MARKER, noise=I.NOISE)
 
 
 def project_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,6 +275,14 @@ def sync_state_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return SS.load_sync_state(spark, root, [*projects, "never-synced"])
 
 
+def numbered_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """S7 + R10: the answers of a batch as one numbered row set, header, answer and number of sources."""
+    asked = I.benchmark_questions(spark, sf)
+    answers = answer_batch(spark, sf).select("question_id", "answer", "n_hits")
+    out = R.numbered_results(asked.join(answers, "question_id"))
+    return out.select("question_id", "position", "header", "answer", "n_hits")
+
+
 def numbered_results(spark: SparkSession, sf: str) -> DataFrame:
     """Headers of the benchmark questions."""
     return R.numbered_results(I.benchmark_questions(spark, sf)).select("question_id", "position", "header")
@@ -454,17 +471,28 @@ def hit_rate_by_tag(spark: SparkSession, sf: str) -> DataFrame:
     return Q.by_tag(res)
 
 
-def hit_rate_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Q7: hit rate for K in (1, 3, 5) x gate in (none, 1.0)."""
+def _swept(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Questions, and per (k, threshold, question) that got hits whether one of them is relevant."""
     chunks = I.stored_chunks(I.document_chunks(spark, sf))
     coll = I.text_collection(chunks)
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
     cand = fetch_window(spark, coll, qs, I.text_spec(fallback=False))
     swept = Q.sweep(cand, [1, 3, 5], [None, 1.0])
     rel = _relevant(swept.withColumnRenamed("parent", "issue_id"), chunks, qs)
-    per = rel.groupBy("k", "threshold", "question_id").agg(F.max(F.col("relevant").cast("int")).alias("h"))
-    return per.groupBy("k", "threshold").agg(F.count(F.lit(1)).alias("answered"),
-                                             F.sum("h").cast("bigint").alias("hits"))
+    return qs, rel.groupBy("k", "threshold", "question_id").agg(F.bool_or("relevant").alias("hit"))
+
+
+def hit_rate_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Q7: hit rate for K in (1, 3, 5) x gate in (none, 1.0)."""
+    _, per = _swept(spark, sf)
+    return per.groupBy("k", "threshold").agg(F.count(F.lit(1)).alias("answered"), F.count_if("hit").alias("hits"))
+
+
+def hit_rate_cube(spark: SparkSession, sf: str) -> DataFrame:
+    """Q6 + Q7: the sweep by length class of the question, with all totals, in one aggregation."""
+    qs, per = _swept(spark, sf)
+    tag = F.when(F.length("question") < 200, F.lit("short")).otherwise(F.lit("long"))
+    return Q.cube(per, qs.select("question_id", tag.alias("tag"))).withColumn("k", F.coalesce("k", F.lit(0)))
 
 
 # ---------------------------------------------------------------------------
@@ -512,9 +540,8 @@ def hash_embed_q(spark: SparkSession, sf: str) -> DataFrame:
 # The whole question -> answer flow for a batch
 # ---------------------------------------------------------------------------
 
-def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Filters from the (offline) extraction model, filtered search with
-    fallback over conversation chunks, prompts, answers from an injected model.
+def _answer_flow(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions with their filters, detailed hits, and per question with hits their number and the filters used.
 
     By their number, questions name nothing, a status, a priority that no
     issue has (so the filters are cleared again), or a status and a project.
@@ -526,18 +553,52 @@ def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
         names, (F.pmod("question_id", F.lit(4)) + 1).cast("int"))))
     qs = qs.withColumn("response", FL.keyword_response(F.col("question")))
     qs = FL.extract_filters(qs, "response")
-    qv = I.embedded_questions(qs)
     coll = I.text_collection(I.conversation_chunks(spark, sf))
-    hits, _ = search_bounded(spark, coll, qv, I.text_spec())
-    det = R.hit_details(hits, coll)
-    prompts = R.build_prompts(qs, det)
-    answers = R.generate(prompts, R.citation_model)
-    n_hits = hits.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_hits"),
-                                            F.max(F.col("filtered").cast("int")).alias("_f"))
-    applied = qs.select("question_id", FL.filters_map(F.col("status"), F.col("priority"),
-                                                      F.col("project_id")).alias("filters"))
-    return (answers.join(n_hits, "question_id", "left").join(applied, "question_id", "left")
-            .select("question_id", "answer", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"),
-                    # filters reported only when the filtered search was used
-                    F.when(F.coalesce(F.col("_f"), F.lit(0)) == 1, F.to_json("filters"))
-                     .otherwise(F.lit("{}")).alias("filters")))
+    hits, _ = search_bounded(spark, coll, I.embedded_questions(qs), I.text_spec())
+    # filters are reported only when the filtered search was used
+    given = F.to_json(FL.filters_map(F.col("status"), F.col("priority"), F.col("project_id")))
+    used = hits.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_hits"), F.bool_or("filtered").alias("_f"))
+    used = used.join(qs.select("question_id", given.alias("_given")), "question_id").select(
+        "question_id", "n_hits", F.when(F.col("_f"), F.col("_given")).alias("filters"))
+    return qs, R.hit_details(hits, coll), used
+
+
+def answer_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Filters from the (offline) extraction model, filtered search with
+    fallback over conversation chunks, prompts, answers from an injected model."""
+    qs, det, used = _answer_flow(spark, sf)
+    answers = R.generate(R.build_prompts(qs, det), R.citation_model)
+    return answers.join(used, "question_id", "left").select(
+        "question_id", "answer", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits"),
+        F.coalesce("filters", F.lit("{}")).alias("filters"))
+
+
+def _eval_records(spark: SparkSession, sf: str) -> DataFrame:
+    """The answer flow judged by expected ids; what each question took is read from the event log (its user's events)."""
+    qs, det, used = _answer_flow(spark, sf)
+    own = F.col("question_id")
+    tag = F.when(F.length("text") < 200, F.lit("short")).otherwise(F.lit("long"))
+    tags = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.array(tag).alias("tags"))
+    asked = qs.select("question_id", "question", F.when(own % 5 != 0, F.array(own, own * 7, own)).alias("expected_ids"))
+    asked = asked.join(tags, "question_id")
+    timings = read_table(spark, sf, "events").select(F.col("user_id").alias("question_id"), F.col("value").alias("elapsed"))
+    return Q.records(Q.per_question(asked, det, expected=Q.expected_from_lists(asked)),
+                     used.select("question_id", "filters"), timings)
+
+
+def eval_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of an evaluation, written as JSON lines and read back."""
+    path = scratch_path(spark, f"eval/{uuid.uuid4().hex}")
+    records = _eval_records(spark, sf)
+    SQ.write_eval_results(records, path)
+    back = spark.read.schema(records.schema).json(path)
+    expected = F.array_sort(F.array_distinct(F.transform(F.coalesce("expected_ids", F.array()), lambda x: x.cast("string"))))
+    return back.select("question_id", "question", F.array_join("tags", ",").alias("tags"), "filters",
+                       F.array_join("retrieved_ids", ",").alias("retrieved_ids"), F.array_join(expected, ",").alias("expected_ids"),
+                       F.round("best_score", 6).alias("best_score"), Q.label().alias("label"),
+                       F.round("elapsed", 6).alias("elapsed"), "n_results")
+
+
+def eval_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Q5 with the total time."""
+    return Q.summary(_eval_records(spark, sf)).withColumn("total_elapsed", F.round("total_elapsed", 6))

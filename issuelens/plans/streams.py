@@ -119,3 +119,54 @@ def stream_chunk_state(spark: SparkSession, sf: str) -> DataFrame:
         stream = S.file_stream(spark, f"{root}/in/*", updates.schema)
         table = K.run_chunk_stream(stream, f"{root}/table", f"{root}/_ckpt", spark.sparkContext.defaultParallelism)
     return table.select("id", "text", "issue_id", F.col("chunk_index").cast("long").alias("chunk_index"), "is_description")
+
+
+def _two_parts(spark: SparkSession, sf: str, name: str) -> tuple[str, DataFrame, list[DataFrame]]:
+    """Events in two deliveries: the later half of them (by time), then the earlier half and what the first brought."""
+    events = read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    half = events.agg(F.expr("percentile_approx(unix_micros(ts), 0.5)")).first()[0] or 0
+    first = events.where(F.expr("unix_micros(ts)") >= half)
+    return _scratch(spark, name), events, [first, events]
+
+
+def stream_replays(spark: SparkSession, sf: str) -> DataFrame:
+    """The events delivered twice, in two files of one update each; a replayed update adds no row."""
+    events = read_table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    root = _scratch(spark, "replays")
+    for part in (1, 2):
+        events.write.parquet(f"{root}/in/part={part}")
+    stream = S.drop_replays(S.file_stream(spark, f"{root}/in/*", events.schema), ["event_id"], "ts")
+    out = S.run_append(stream, f"{root}/out", f"{root}/_ckpt")
+    return out.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
+
+
+def stream_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of a day that begin every 12 hours, per event type, watermarked, in update mode."""
+    schema = read_table(spark, sf, "events").schema
+    root = _scratch(spark, "sliding")
+    stream = S.file_stream(spark, sf, schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    agg = S.windowed_counts(stream, "ts", "event_type", "value", "1 day", "12 hours")
+    S.run_update_to_versions(agg, f"{root}/table", f"{root}/_ckpt", ["w", "event_type"])
+    return S.read_latest(spark, f"{root}/table").select(
+        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type",
+        F.col("n").cast("bigint").alias("n"), F.round("total", 6).alias("total"))
+
+
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of each user (a day's silence closes one) that the watermark has passed, each told once."""
+    events = read_table(spark, sf, "events")
+    root = _scratch(spark, "sessions")
+    stream = S.file_stream(spark, sf, events.schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = S.run_append(S.closed_sessions(stream, "ts", "user_id", "1 day"), f"{root}/out", f"{root}/_ckpt")
+    at = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return out.select("user_id", F.date_format("start", at).alias("session_start"), F.date_format("end", at).alias("session_end"),
+                      F.col("n").cast("bigint").alias("n"))
+
+
+def stream_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The events that come behind the watermark when the newer half is delivered first and all of them later."""
+    root, events, parts = _two_parts(spark, sf, "late-rows")
+    for n, rows in enumerate(parts):
+        rows.write.parquet(f"{root}/in/part={n}")
+        S.run_late_rows(S.file_stream(spark, f"{root}/in/*", events.schema), "ts", "1 hour", f"{root}/late", f"{root}/_ckpt")
+    return S.read_late_rows(spark, f"{root}/late", events.schema).select("event_id", "user_id")

@@ -47,6 +47,11 @@ def _project_of(key: Column) -> Column:
                         (F.pmod(key, F.lit(len(C.PROJECT_IDS))) + 1).cast("int"))
 
 
+def priority_of(key: Column) -> Column:
+    """Conversations are of three priorities in turn."""
+    return F.when(key % 3 == 0, "Normal").when(key % 3 == 1, "High").otherwise("Low")
+
+
 def conversation_issues(conv: DataFrame) -> DataFrame:
     """One issue per ``conv_id``: first turn = subject/description, later turns = journals.
 
@@ -71,7 +76,7 @@ def conversation_issues(conv: DataFrame) -> DataFrame:
         first_line(first.getField("text")).alias("subject"),
         first.getField("text").alias("description"),
         _named(F.when(last_role == "assistant", F.lit("Resolved")).otherwise(F.lit("New"))).alias("status"),
-        _named(F.lit("Normal")).alias("priority"),
+        _named(priority_of(F.col("conv_id"))).alias("priority"),
         _named(F.lit("Support")).alias("tracker"),
         _named(project).alias("project"),
         project.alias("project_identifier"),
@@ -104,7 +109,7 @@ def conversation_issue_summary(conv: DataFrame) -> DataFrame:
         first_line(F.col("_first.text")).alias("subject"),
         F.col("_first.text").alias("description"),
         _named(F.when(F.col("_last_role") == "assistant", F.lit("Resolved")).otherwise(F.lit("New"))).alias("status"),
-        _named(F.lit("Normal")).alias("priority"),
+        _named(priority_of(F.col("conv_id"))).alias("priority"),
         _named(F.lit("Support")).alias("tracker"),
         _named(project).alias("project"),
         project.alias("project_identifier"),
@@ -141,7 +146,7 @@ def document_issues(docs: DataFrame) -> DataFrame:
 
 
 def order_issues(orders: DataFrame, customer: DataFrame) -> DataFrame:
-    """Orders as issues: status/priority mapped, the customer is the author.
+    """Orders as issues: status/priority mapped, the customer is the author, the next one (by number) may watch.
 
     The customer table grows with the data, so no broadcast is forced;
     AQE turns the join into a broadcast at run time when it is small.
@@ -164,7 +169,9 @@ def order_issues(orders: DataFrame, customer: DataFrame) -> DataFrame:
                F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))).alias("author"),
         F.lit(None).cast(NAMED_TYPE).alias("assigned_to"),
         F.array().cast(EMPTY_JOURNALS).alias("journals"),
-        F.array().cast(EMPTY_USERS).alias("watchers"),
+        F.when(F.col("o_custkey") % 5 > 0, F.array(F.struct((F.col("o_custkey") + 1).alias("id"), F.concat(
+            F.lit("Watcher "), (F.col("o_custkey") + 1).cast("string")).alias("name"))))
+        .otherwise(F.array()).cast(EMPTY_USERS).alias("watchers"),
         F.col("o_orderkey").alias("seq"),
     )
 

@@ -11,14 +11,46 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuelens.operators.tables import next_version, versions
+from issuelens.operators.tables import file_system, next_version, versions
 from issuelens.schemas import ISSUE, USER_MAPPING
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+#: What stands between the objects of an array that is written with two spaces of indent, and before the first.
+#: Text inside an object cannot look like that: JSON strings hold no line breaks.
+BETWEEN, BEFORE = "\n  },\n  {", "[\n  {\n"
+
+_SEQ = "struct<project_rank:int,block:bigint,pos:bigint>"
+
+
+def _indented(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins as an array of objects with two spaces of indent (reads its first bytes only)."""
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(max(stream.read(), 0) for _ in BEFORE) == BEFORE.encode()
+    finally:
+        stream.close()
+
+
+def _split_arrays(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Objects of indented arrays, each file cut into byte ranges that are read side by side."""
+    text = spark.read.option("lineSep", BETWEEN).text(paths).select(
+        "value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+    body = F.regexp_replace(F.regexp_replace("value", r"\A\[\n  \{", ""), r"\n  \}\n\]\s*\z", "")
+    return (text.withColumn("_issue", F.from_json(F.concat(F.lit("{"), body, F.lit("}")), ISSUE))
+            .select("_issue.*", "_path", "_block", F.monotonically_increasing_id().alias("_pos")))
+
+
+def _whole_arrays(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Objects of arrays in any layout: a file is read by one task."""
+    return (spark.read.schema(ISSUE).option("multiLine", True).option("mode", "PERMISSIVE").json(paths)
+            .select("*", F.input_file_name().alias("_path"), F.lit(0).cast("long").alias("_block"),
+                    F.monotonically_increasing_id().alias("_pos")))
 
 
 def read_project_files(spark: SparkSession, raw_dir: str, project_ids: Sequence[str]) -> DataFrame:
@@ -26,25 +58,27 @@ def read_project_files(spark: SparkSession, raw_dir: str, project_ids: Sequence[
 
     Absent files are skipped (an absent project reads as empty).  Each row
     is tagged with the project of the file it came from, and ``seq`` keeps
-    the file order (project position, then position in the file) so
+    the file order (project position, byte range, position in it) so
     order-dependent rules (first-seen names, last-wins dedup) are exact.
+
+    Files in the layout that downloads are saved in, two spaces of indent, are
+    split by bytes whatever their size; others are read by one task each.
     """
     paths = [(i, p, f"{raw_dir.rstrip('/')}/{p}.json") for i, p in enumerate(project_ids)]
     present = [(i, p, path) for i, p, path in paths if _exists(spark, path)]
     if not present:
-        return spark.createDataFrame([], ISSUE).withColumn("seq", F.struct(
-            F.lit(0).alias("project_rank"), F.lit(0).cast("bigint").alias("pos")))
-    df = (spark.read.schema(ISSUE).option("multiLine", True).option("mode", "PERMISSIVE")
-          .json([path for _, _, path in present]))
+        return spark.createDataFrame([], ISSUE).withColumn("seq", F.lit(None).cast(_SEQ))
     rank = F.create_map(*[F.lit(x) for i, p, _ in present for x in (p, i)])
-    project = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
-    # a JSON-array file is read by one task, in file order: the position
-    # within the file follows from the generated row id
+    split = [path for _, _, path in present if _indented(spark, path)]
+    whole = [path for _, _, path in present if path not in split]
+    parts = ([_split_arrays(spark, split)] if split else []) + ([_whole_arrays(spark, whole)] if whole else [])
+    df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    project = F.regexp_extract("_path", r"([^/]+)\.json$", 1)
     return (df.withColumn("_file_project", project)
             .withColumn("project_identifier", F.coalesce("project_identifier", "_file_project"))
-            .withColumn("seq", F.struct(rank[F.col("_file_project")].alias("project_rank"),
-                                        F.monotonically_increasing_id().alias("pos")))
-            .drop("_file_project"))
+            .withColumn("seq", F.struct(rank[F.col("_file_project")].alias("project_rank"), F.col("_block").alias("block"),
+                                        F.col("_pos").alias("pos")))
+            .drop("_file_project", "_path", "_block", "_pos"))
 
 
 def full_scan(issues: DataFrame, project_id: str) -> DataFrame:

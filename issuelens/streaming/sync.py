@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from issuelens.operators import merge as M
-from issuelens.operators.tables import BucketTable, expire, next_version, versions
+from issuelens.operators.tables import BucketTable, expire, file_system, next_version, versions
 
 #: Buckets of a table that a stream upserts into.
 BUCKETS = 16
@@ -154,3 +154,44 @@ def drop_replays(stream: DataFrame, key_cols: list[str], ts_col: str, watermark:
     """X4 (optional): drop re-delivered copies of the same update within the
     watermark; the per-batch upsert absorbs any that arrive later."""
     return stream.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark(key_cols)
+
+
+def run_append(stream: DataFrame, table_root: str, checkpoint: str) -> DataFrame:
+    """Append mode into parquet files that the sink's own log lists; answers what is there."""
+    (stream.writeStream.format("parquet").option("path", table_root).option("checkpointLocation", checkpoint)
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    return stream.sparkSession.read.schema(stream.schema).parquet(table_root)
+
+
+def closed_sessions(stream: DataFrame, ts_col: str, key_col: str, gap: str, watermark: str = "1 hour") -> DataFrame:
+    """X6 in append mode: a session leaves once, when the watermark has passed its end, and its state goes."""
+    return (stream.withWatermark(ts_col, watermark).groupBy(F.session_window(ts_col, gap).alias("s"), key_col)
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col("s.start").alias("start"), F.col("s.end").alias("end"), key_col, "n"))
+
+
+def run_late_rows(stream: DataFrame, ts_col: str, watermark: str, late_root: str, checkpoint: str) -> None:
+    """The rows that come behind the watermark, which windows leave out, to a table of their own.
+
+    A row is late if it is older than the greatest time of all earlier batches
+    less the delay, as Spark's watermark is.  That time is kept beside the
+    table, a version per batch, so a batch that is repeated after a failure is
+    judged as it was the first time and replaces its own rows.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        seen = [v for v in versions(spark, f"{late_root}/seen") if v < batch_id]
+        mark = spark.read.schema("at timestamp").parquet(f"{late_root}/seen/v={seen[-1]}").first()[0] if seen else None
+        late = batch.where(F.lit(False) if mark is None else F.col(ts_col) < F.lit(mark) - F.expr(f"interval {watermark}"))
+        late.write.mode("overwrite").parquet(f"{late_root}/rows/batch={batch_id}")
+        newest = batch.agg(F.max(ts_col).alias("at")).select(F.greatest("at", F.lit(mark).cast("timestamp")).alias("at"))
+        newest.write.mode("overwrite").parquet(f"{late_root}/seen/v={batch_id}")
+
+    (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def read_late_rows(spark: SparkSession, late_root: str, schema) -> DataFrame:
+    """What ``run_late_rows`` has put aside."""
+    fs, p = file_system(spark, f"{late_root}/rows")
+    return spark.read.schema(schema).parquet(f"{late_root}/rows/*") if fs.exists(p) else spark.createDataFrame([], schema)

@@ -52,3 +52,33 @@ def test_rolling_eta_hot_key_matches_brute_force(spark):
             want = (40.0, 40.0)
         assert got[(k, t)] == want
         hist.append(d)
+
+
+def test_cube_equals_separate_groupings(spark):
+    from issuelens.operators import evaluate as Q
+
+    judged = [(k, t, q, (q * k) % 3 == 0) for k in (1, 5) for t in (None, 1.0) for q in range(10) if t is None or q % 2]
+    tags = [(q, tag) for q in range(10) for tag in (["a"] if q < 4 else ["b", "c"])]
+    df = spark.createDataFrame(judged, "k int, threshold double, question_id long, hit boolean")
+    got = {(r.level, r.tag, r.k, r.threshold): (r.answered, r.hits) for r in Q.cube(
+        df, spark.createDataFrame(tags, "question_id long, tag string")).collect()}
+    rows = [(tag, k, t, h) for k, t, q, h in judged for q2, tag in tags if q == q2]
+    want = {}
+    for tag, k, t, h in rows:
+        for key in ((0, tag, k, t), (4, None, k, t), (3, tag, None, None), (7, None, None, None)):
+            n, hits = want.get(key, (0, 0))
+            want[key] = (n + 1, hits + h)
+    assert got == want
+
+
+def test_records_carry_filters_and_time(spark):
+    from issuelens.operators import evaluate as Q
+
+    res = spark.createDataFrame([(1, True), (2, None), (3, False)], "question_id long, hit boolean")
+    applied = spark.createDataFrame([(1, '{"status":"New"}'), (3, None)], "question_id long, filters string")
+    times = spark.createDataFrame([(1, 0.25), (1, 0.5), (3, 1.0)], "question_id long, elapsed double")
+    rec = Q.records(res, applied, times)
+    assert {r.question_id: (r.filters, r.elapsed) for r in rec.collect()} == {
+        1: ('{"status":"New"}', 0.75), 2: ("{}", 0.0), 3: ("{}", 1.0)}
+    s = Q.summary(rec).first()
+    assert (s.total, s.evaluable, s.hits, s.not_applicable, s.total_elapsed) == (3, 2, 1, 1, 1.75)

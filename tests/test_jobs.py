@@ -75,3 +75,22 @@ def test_second_run_writes_a_share_of_the_bytes(spark, make_issues):
     written = sum(size for f, (size, at) in after.items() if before.get(f) != (size, at))
     assert 0 < written < 0.3 * sum(size for size, _ in after.values())
     assert coll.count() == 400 and [r.text for r in coll.read().where("issue_id = '3'").collect()][0].startswith("Subject: changed")
+
+
+def test_run_log_counts_in_the_writes_and_merges_users(spark, make_issues):
+    from issuelens.operators import runlog as L
+
+    cfg = config(spark)
+    person = lambda k: {"id": k, "name": f"U{k}"}
+    for run in range(3):  # runs share a third of their users
+        rows = [issue(i, "s", f"2024-0{run + 1}-02T00:00:00Z", author=person(1000 * run + i), watchers=[person(500_000 + i)],
+                      description="long " * 700 if i == 0 else "d",
+                      journals=[journal(1, "B", 2, "n")] if i % 2 else []) for i in range(1500)]
+        J.ingest(spark, cfg, J.fetch(spark, cfg, make_issues(rows), full=True), EMBED, f"2024-0{run + 1}-03T00:00:00Z")
+    log = spark.read.parquet(J.run_log(cfg))
+    for r in log.collect():
+        assert (r.issues, r.with_journals, r.chunked_issues, r.chunks, r.windows) == (1500, 750, 1500, 2250, 2252)
+    got = L.users_of_runs(log).first()
+    exact = len({1000 * run + i for run in range(3) for i in range(1500)} | {500_000 + i for i in range(1500)} | {2})
+    assert got.runs == 3 and abs(got.users - exact) < 3 * 1.04 / 2 ** (L.SKETCH_BITS / 2) * exact
+    assert L.users_of_runs(log.limit(0)).first().users == 0

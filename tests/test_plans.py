@@ -16,10 +16,16 @@ def plan(df) -> str:
     return buf.getvalue()
 
 
-def test_search_has_no_pairwise_join_and_one_exchange_by_question(spark):
+def joins_blocks_only(p: str) -> bool:
+    """At most one join without keys, of packed collection blocks with packed question blocks."""
+    loops = re.findall(r"\(\d+\) (?:BroadcastNestedLoopJoin|CartesianProduct)", p)
+    packed = re.search(r"MapInArrow\nInput[^\n]*\nArguments: kernel[^\n]*", p)
+    return len(loops) <= 1 and bool(packed) and "vecs" in p and "qvecs" in p
+
+
+def test_search_joins_blocks_and_has_one_exchange_by_question(spark):
     p = plan(E.queries()["search"](spark, SF))
-    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    assert "MapInArrow" in p
+    assert joins_blocks_only(p)
     assert len(re.findall(r"Exchange hashpartitioning\(question_id", p)) <= 1
 
 
@@ -28,7 +34,7 @@ def test_kernel_scan_reads_no_text(spark):
     scans = re.findall(r"ReadSchema: (struct<[^\n]*>)", p)
     kernel_scans = [s for s in scans if "embedding" in s]
     assert kernel_scans and all("text:" not in s for s in kernel_scans)
-    assert "BroadcastNestedLoopJoin" not in p and "CartesianProduct" not in p
+    assert joins_blocks_only(p)
 
 
 def test_filters_reach_the_scan(spark):
@@ -45,7 +51,15 @@ def test_upsert_and_mapping_aggregate_partially(spark):
 
 
 def test_labelled_search_scans_metadata_not_text(spark):
-    p = plan(E.queries()["search_labelled"](spark, SF))
+    from issuelens.operators.search import _filtered_plans, question_blocks
+    from issuelens.plans import inputs as I
+
+    coll = I.text_collection(I.labelled_document_chunks(spark, SF), extra_cols=("quality", "toxic"))
+    qs = I.embedded_questions(I.benchmark_questions(spark, SF)).selectExpr("*", "'1' AS quality")
+    spec = I.text_spec(filter_cols=("quality",))
+    filtered, = _filtered_plans(coll, question_blocks(spark, qs, spec.filter_cols), spec)
+    p = plan(filtered)
     scans = [s for s in re.findall(r"ReadSchema: (struct<[^\n]*>)", p) if "embedding" in s]
     assert scans and all("quality:" in s and "text:" not in s for s in scans)
+    assert re.search(r"PushedFilters: \[.*EqualTo\(quality,1\)|PushedFilters: \[.*In\(quality", p)
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p

@@ -94,3 +94,28 @@ def test_result_sinks(spark):
     mapping = spark.createDataFrame([(10, "Ines", "User_00010")], "user_id bigint, original_name string, anonymous_name string")
     SI.write_user_mapping(mapping, f"{root}/mapping")
     assert spark.read.parquet(f"{root}/mapping").first().anonymous_name == "User_00010"
+
+
+def test_large_project_files_are_split_by_bytes(spark):
+    root = _local(spark, "split")
+    tricky = 'a quote \\" and } ] , { brackets\n  },\n  {\n and é 𝔘 \\ end'
+    issues = [base_issue(id=i, project_identifier=None, subject=f"s{i}", description=tricky * (i % 5) + "x" * (i % 700),
+                         journals=[journal(1, "B", 2, tricky)] if i % 3 else []) for i in range(3000)]
+    for name, indent, rows in (("qam", 2, issues), ("net", None, issues[:20]), ("one", 2, issues[:1]), ("none", 2, [])):
+        with open(f"{root}/{name}.json", "w", encoding="utf-8") as fh:
+            json.dump(rows, fh, ensure_ascii=False, indent=indent)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        df = SI.read_project_files(spark, root, ["one", "qam"])
+        assert df.rdd.getNumPartitions() > 10
+        got = df.orderBy("seq").collect()
+        assert [r.id for r in got] == [0, *range(3000)] and got[0].seq.project_rank == 0
+        assert {r.project_identifier for r in got[1:]} == {"qam"}
+        for r, want in zip(got[1:], issues):
+            assert (r.subject, r.description, len(r.journals)) == (want["subject"], want["description"], len(want["journals"]))
+            assert not r.journals or r.journals[0].notes == tricky
+        both = SI.read_project_files(spark, root, ["net", "qam", "none"])
+        assert both.count() == 3020 and [r.id for r in both.orderBy("seq").limit(20).collect()] == list(range(20))
+        assert SI.read_project_files(spark, root, ["none"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

@@ -139,3 +139,38 @@ def test_updated_windows_replace_their_rows(spark):
     got = {(r.w.start, r.event_type): r.n for r in S.read_latest(spark, f"{root}/t").collect()}
     want = ev.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", "1 day").alias("w"), "event_type").count()
     assert got == {(r.w.start, r.event_type): r["count"] for r in want.collect()}
+
+
+def test_rows_behind_the_watermark_are_put_aside(spark):
+    root = scratch_path(spark, f"test-behind/{uuid.uuid4().hex}")
+    schema = "k long, ts timestamp"
+
+    def arrive(n, rows):
+        (spark.createDataFrame(rows, "k long, t string").select("k", F.to_timestamp("t").alias("ts"))
+         .write.parquet(f"{root}/in/part={n}"))
+        stream = S.file_stream(spark, f"{root}/in/*", spark.createDataFrame([], schema).schema)
+        S.run_late_rows(stream, "ts", "1 hour", f"{root}/late", f"{root}/_c")
+        return sorted(r.k for r in S.read_late_rows(spark, f"{root}/late", stream.schema).collect())
+
+    day = "2024-01-01 "
+    assert arrive(1, [(1, day + "10:00:00"), (2, day + "01:00:00")]) == []  # the first batch has no watermark yet
+    assert arrive(2, [(3, day + "08:59:59"), (4, day + "09:00:00"), (5, day + "12:00:00")]) == [3]
+    assert arrive(3, [(6, day + "10:30:00")]) == [3, 6]
+    assert arrive(4, [(7, day + "11:00:00"), (8, None)]) == [3, 6]
+
+
+def test_a_closed_session_is_told_once(spark):
+    root = scratch_path(spark, f"test-closed/{uuid.uuid4().hex}")
+    schema = "u long, ts timestamp"
+
+    def arrive(n, rows):
+        (spark.createDataFrame([(u, f"2024-01-01 {t}") for u, t in rows], "u long, t string")
+         .select("u", F.to_timestamp("t").alias("ts")).write.parquet(f"{root}/in/part={n}"))
+        stream = S.file_stream(spark, f"{root}/in/*", spark.createDataFrame([], schema).schema)
+        out = S.run_append(S.closed_sessions(stream, "ts", "u", "30 minutes", "10 minutes"), f"{root}/out", f"{root}/_c")
+        return sorted((r.u, str(r.start)[11:], str(r.end)[11:], r.n) for r in out.collect())
+
+    assert arrive(1, [(1, "08:00:00"), (1, "08:20:00"), (2, "08:55:00")]) == []
+    assert arrive(2, [(1, "09:00:00"), (1, "08:40:00")]) == []  # 8:40 joins 8:00 to 8:20, and 9:00
+    assert arrive(3, [(3, "12:00:00")]) == [(1, "08:00:00", "09:30:00", 4), (2, "08:55:00", "09:25:00", 1)]
+    assert arrive(4, [(2, "08:56:00")]) == [(1, "08:00:00", "09:30:00", 4), (2, "08:55:00", "09:25:00", 1)]
