@@ -1,18 +1,22 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Sources share all words by weight, none above three times its own size.  Slot
-i of the schedule falls on the source whose share of [0, 1) holds the
-golden-ratio point frac((i + 1/2) * 0.618...), so every stretch of the
-schedule is close to the targets.  Slots are ranked within their source;
-rank r takes block r modulo the source's number of blocks.  Blocks are
-equal stretches of words of the source's documents in shuffled order (by the
-md5 of doc_id), so a document is taken at most three times over.  Where a
-source's whole blocks end further than SLACK words or SLACK_SHARE from its
-target, its last blocks are cut, or taken in part, at the target: blocks grow
-with the corpus, what a source misses its target by does not.
+Sources share all words by weight, none above three times its own size.  The
+words of a source's documents, in shuffled order (by the md5 of doc_id), are
+cut into blocks of equal length, about a thousandth of its target, and as
+many slots are planned for it as meet its target in whole blocks.
+
+The schedule has a power of two of slots.  Slot i falls on the source whose
+stretch of the summed slot numbers holds the van der Corput point of i (its
+bits reversed), so every stretch of the schedule is close to the targets and
+the whole of it gives each source exactly its slots.  Slots are ranked within
+their source; rank r takes block r modulo the source's number of blocks, so no
+document is taken more than three times over.  A document's taken words are
+read off the running sums of its source's scheduled blocks at its first word
+and behind its last.
 
 All steps are joins, aggregates and windows over bounded groups: running
 sums and ranks are taken within buckets and shifted by the buckets' totals.
+A source misses its target by less than a block, at any size of the corpus.
 
 Cases: null texts have size 0 and are taken 0 times; null sources are one
 source, the last; a null doc_id is shuffled as the word null; rows of equal
@@ -31,13 +35,10 @@ from issuelens.llm import blocks as B
 WEIGHTS = (5.0, 2.0, 1.0)
 #: No source, and so no document, is taken more often.
 MAX_REPEATS = 3
-#: About so many slots, if their blocks are of MIN_BLOCK to MAX_BLOCK words.
-SLOTS = 1 << 20
-MIN_BLOCK, MAX_BLOCK = 16, 8192
-#: Whole blocks of a source stand if they miss its target by so many words at most, and by so much of it.
-SLACK, SLACK_SHARE = 4 * MIN_BLOCK, 0.01
-#: frac(golden ratio)
-PHI = 0.6180339887498949
+#: Slots of a source, about: its blocks are its target over this, of one word at least.
+SLOTS = 1024
+#: Targets are doubles: a whole number of words that came out a little less is meant whole.
+_ROUNDING = 1e-6
 _CELLS = 4096
 _CHUNK = 1 << 16
 RESULT = ("size", "source_size", "target", "taken")
@@ -71,22 +72,32 @@ def targets(sizes: DataFrame, source: str, weights: tuple[float, ...] = WEIGHTS,
     src = src.withColumn("_full", F.col("_level") >= F.col("_cap") / F.col("_weight"))
     level = F.max(F.when(~F.col("_full"), F.col("_level"))).over(every)
     src = src.withColumn("target", F.when(F.col("_full"), F.col("_cap")).otherwise(level * F.col("_weight")))
-    total = F.sum("target").over(every)
-    hi = F.sum("target").over(Window.orderBy("_src").rowsBetween(Window.unboundedPreceding, 0))
-    return (src.withColumn("hi", F.when(total > 0, hi / total).otherwise(0.0))
-            .withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("_src")), F.lit(0.0)))
-            .select("source", "_src", "source_size", "target", "lo", "hi"))
-
-
-def schedule(spark: SparkSession, src: DataFrame, total: int, block: int, repeats: int = MAX_REPEATS) -> DataFrame:
-    """Slots ``(slot, _src, rank, block, round)`` over ``total`` words in blocks of ``block``."""
-    n = -(-total // block)
-    slots = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") + 0.5) * F.lit(PHI) % 1.0).alias("x"))
-    slots = slots.withColumn("cell", F.floor(F.col("x") * _CELLS))
-    shares = src.where("hi > lo").select(
-        "_src", "lo", "hi", F.ceil(F.col("source_size") / block).alias("blocks"),
-        F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.floor(F.col("hi") * _CELLS))).alias("cell"))
-    # a point past the last upper bound by rounding belongs to nobody: n is large against it
+    return src.select("source", "_src", "source_size", "target")
+
+
+def blocked(src: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``src`` with ``block`` (words of a block), ``blocks`` (their number), ``slots`` and where its points lie, lo to hi."""
+    goal = F.floor(F.col("target") + _ROUNDING)
+    src = src.withColumn("_goal", goal).withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("_goal") / slots)).cast("long"))
+    src = src.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long"))
+    some = F.col("source_size") > 0
+    whole = F.when(some, F.floor(F.col("_goal") / F.nullif("source_size", F.lit(0))) * F.col("blocks")
+                   + F.floor(F.col("_goal") % F.nullif("source_size", F.lit(0)) / F.col("block"))).otherwise(F.lit(0))
+    src = src.withColumn("slots", whole.cast("long")).drop("_goal")
+    hi = F.sum("slots").over(Window.orderBy("_src").rowsBetween(Window.unboundedPreceding, 0))
+    return src.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("slots"))
+
+
+def schedule(spark: SparkSession, src: DataFrame) -> DataFrame:
+    """Slots ``(slot, _src, rank, block_no, round)`` of the sources of ``blocked``, in the order the mix reads."""
+    total = src.agg(F.sum("slots")).first()[0] or 0
+    bits = max(total - 1, 0).bit_length()
+    width = max((1 << bits) // _CELLS, 1)
+    point = F.conv(F.reverse(F.lpad(F.bin("id"), bits, "0")), 2, 10).cast("long") if bits else F.lit(0).cast("long")
+    slots = spark.range(1 << bits if total else 0).select(F.col("id").alias("slot"), point.alias("x"))
+    slots = slots.where(F.col("x") < total).withColumn("cell", F.floor(F.col("x") / width))
+    shares = src.where("slots > 0").select("_src", "lo", "hi", "blocks", F.explode(
+        F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
     slots = slots.join(shares, "cell").where("x >= lo and x < hi")
     slots = slots.withColumn("chunk", F.floor(F.col("slot") / _CHUNK))
     per = slots.groupBy("_src", "chunk").agg(F.count("*").alias("_n"))
@@ -95,9 +106,22 @@ def schedule(spark: SparkSession, src: DataFrame, total: int, block: int, repeat
     rank = F.row_number().over(Window.partitionBy("_src", "chunk").orderBy("slot")) - 1
     slots = slots.withColumn("rank", rank).join(per, ["_src", "chunk"])
     slots = slots.withColumn("rank", F.col("rank") + F.col("_before"))
-    return (slots.where(F.col("rank") < F.col("blocks") * repeats)
-            .select("slot", "_src", "rank", (F.col("rank") % F.col("blocks")).alias("block"),
-                    F.floor(F.col("rank") / F.col("blocks")).alias("round")))
+    return slots.select("slot", "_src", "rank", (F.col("rank") % F.col("blocks")).alias("block_no"),
+                        F.floor(F.col("rank") / F.col("blocks")).alias("round"))
+
+
+def scheduled_blocks(src: DataFrame, slots: DataFrame) -> DataFrame:
+    """``(_src, block_no, times, before)``: how often each block is read, and the words read of the blocks before it.
+
+    The row behind a source's last block closes the sums.
+    """
+    every = src.select("_src", "block", "blocks", "source_size",
+                       F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks"))).alias("block_no"))
+    read = slots.groupBy("_src", "block_no").agg(F.count("*").alias("times"))
+    every = every.join(read, ["_src", "block_no"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    words = F.least(F.col("block"), F.col("source_size") - F.col("block_no") * F.col("block")) * F.col("times")
+    before = Window.partitionBy("_src").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    return every.select("_src", "block_no", "times", F.coalesce(F.sum(words).over(before), F.lit(0)).alias("before"))
 
 
 def layout(docs: DataFrame, n_docs: int) -> DataFrame:
@@ -115,41 +139,30 @@ def layout(docs: DataFrame, n_docs: int) -> DataFrame:
     return docs.join(per, ["_src", "_bucket"]).withColumn("_at", F.col("_before") + F.col("_in"))
 
 
-def block_size(total: int) -> int:
-    return min(max(total // SLOTS, MIN_BLOCK), MAX_BLOCK)
-
-
-def words_taken(src: DataFrame, slots: DataFrame, block: int) -> DataFrame:
-    """``src`` with ``_words``: what is taken of each source, by its whole blocks or else its target."""
-    size = F.nullif(F.col("source_size"), F.lit(0))
-    n, blocks = F.coalesce("_slots", F.lit(0)), F.ceil(size / block)
-    whole = size * F.floor(n / blocks) + n % blocks * block
-    near = F.abs(whole - F.col("target")) <= F.least(F.lit(float(SLACK)), F.col("target") * SLACK_SHARE)
-    return (src.join(slots.groupBy("_src").agg(F.count("*").alias("_slots")), "_src", "left")
-            .withColumn("_words", F.coalesce(F.when(near, whole).otherwise(F.round("target")), F.lit(0)).cast("long"))
-            .drop("_slots"))
-
-
 def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-        source: str = "source", repeats: int = MAX_REPEATS) -> DataFrame:
+        source: str = "source", repeats: int = MAX_REPEATS, slots: int = SLOTS) -> DataFrame:
     """``(doc_id, size, source, source_size, target, taken)`` of every document."""
     sizes = docs.select(F.col(id_col).alias("_id"), F.col(source).alias("_source"), n_words(text).alias("_size"))
     sizes = B.scratch_table(spark, sizes, "mix-sizes")
-    total, n_docs = sizes.agg(F.sum("_size"), F.count("*")).first()
-    block = block_size(total or 0)
-    src = targets(sizes, "_source", repeats=repeats)
-    src = B.scratch_table(spark, src, "mix-sources")
-    src = words_taken(src, schedule(spark, src, total or 0, block, repeats), block)
-    src = B.scratch_table(spark, src, "mix-words")
-    placed = sizes.join(src, F.col("_source").eqNullSafe(F.col("source"))).select(
-        "_id", "_size", "_src")
-    out = layout(placed, n_docs).select("_src", "_id", "_size", "_at").join(src, "_src")
-    size = F.nullif(F.col("source_size"), F.lit(0))
-    part = F.greatest(F.least(F.col("_at") + F.col("_size"), F.col("_words") % size) - F.col("_at"), F.lit(0))
-    taken = F.coalesce(F.col("_size") * F.floor(F.col("_words") / size) + part, F.lit(0)).cast("long")
+    n_docs = sizes.count()
+    src = B.scratch_table(spark, blocked(targets(sizes, "_source", repeats=repeats), slots), "mix-sources")
+    read = B.scratch_table(spark, scheduled_blocks(src, schedule(spark, src)), "mix-blocks")
+    placed = sizes.join(src, F.col("_source").eqNullSafe(F.col("source"))).select("_id", "_size", "_src")
+    out = layout(placed, n_docs).select("_src", "_id", "_size", "_at")
+    out = out.join(src.select("_src", "source", "source_size", "target", "block"), "_src")
+
+    def words_read(df: DataFrame, at: Column, name: str) -> DataFrame:
+        """``name``: words that the schedule reads of the source's first ``at``."""
+        df = df.withColumn("_x", at).withColumn("block_no", F.floor(F.col("_x") / F.col("block")))
+        df = df.join(read, ["_src", "block_no"])
+        return df.withColumn(name, F.col("before") + F.col("times") * (F.col("_x") - F.col("block_no") * F.col("block"))).drop(
+            "_x", "block_no", "times", "before")
+
+    out = words_read(out, F.col("_at"), "_from")
+    out = words_read(out, F.col("_at") + F.col("_size"), "_to")
     return out.select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("source").alias(source),
-        "source_size", "target", taken.alias("taken"))
+        "source_size", "target", (F.col("_to") - F.col("_from")).cast("long").alias("taken"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,22 +184,19 @@ l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap
                 / sum(weight) OVER (ORDER BY cap / weight, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT *, CASE WHEN level >= cap / weight THEN cap
                 ELSE weight * max(level) FILTER (level < cap / weight) OVER () END AS target FROM l),
-h AS (SELECT *, CASE WHEN sum(target) OVER () > 0 THEN
-             sum(target) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () ELSE 0 END AS hi FROM t),
-r AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY k), 0) AS lo FROM h),
-c AS (SELECT greatest(least(CAST(sum(size) AS BIGINT) // {SLOTS}, {MAX_BLOCK}), {MIN_BLOCK}) AS block, CAST(sum(size) AS BIGINT) AS total FROM d),
-slots AS (SELECT (i + CAST(0.5 AS DOUBLE)) * CAST({PHI} AS DOUBLE) % CAST(1 AS DOUBLE) AS x
-          FROM c, unnest(range(0, (total + block - 1) // block)) AS u(i)),
-per AS (SELECT k, least(count(x), 3 * ((any_value(source_size) + any_value(block) - 1) // any_value(block))) AS n,
-               (any_value(source_size) + any_value(block) - 1) // any_value(block) AS blocks
-        FROM r CROSS JOIN c JOIN slots ON x >= lo AND x < hi GROUP BY k),
-a AS (SELECT d.doc_id, d.size, r.k, r.source_size, r.target,
-             coalesce(sum(size) OVER (PARTITION BY r.k ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), size
+g AS (SELECT *, CAST(floor(target + 1e-6) AS BIGINT) AS goal FROM t),
+bs AS (SELECT *, greatest(1, (goal + {SLOTS - 1}) // {SLOTS}) AS block FROM g),
+n AS (SELECT *, (source_size + block - 1) // block AS blocks,
+             CASE WHEN source_size > 0 THEN goal // source_size * ((source_size + block - 1) // block) + goal % source_size // block
+                  ELSE 0 END AS slots FROM bs),
+a AS (SELECT d.doc_id, d.size, n.*,
+             coalesce(sum(size) OVER (PARTITION BY n.k ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), size
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+      FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
 SELECT doc_id, size, source_size, target,
-       CAST(coalesce(size * (n // blocks) + greatest(0, least(pos + size, (n % blocks) * block) - pos), 0) AS BIGINT) AS taken
-FROM a CROSS JOIN c LEFT JOIN per USING (k)
+       CAST(CASE WHEN size = 0 THEN 0 ELSE size * (slots // blocks)
+            + greatest(0, least(pos + size, (slots % blocks) * block) - pos) END AS BIGINT) AS taken
+FROM a
 """
 
 

@@ -27,7 +27,7 @@ def rows(n):
     return out + [(1000, None, "big"), (1001, "", None), (1002, " ", "only empty")]
 
 
-def test_targets_and_taken_words(spark, monkeypatch):
+def test_targets_and_taken_words(spark):
     given = rows(240)
     df = spark.createDataFrame(given, "doc_id long, text string, source string").repartition(4)
     got = {r.doc_id: r for r in M.mix(spark, df).collect()}
@@ -44,40 +44,59 @@ def test_targets_and_taken_words(spark, monkeypatch):
         assert abs(r.target - want[s]) < 1e-6 * (1 + want[s])
         assert 0 <= r.taken <= 3 * r.size
         taken[s] += r.taken
-    block = M.block_size(sum(sizes.values()))
-    for s in order:
-        assert abs(taken[s] - want[s]) <= 12 * block
+    for s in order:  # by less than a block
+        assert 0 <= want[s] + 1e-6 - taken[s] < want[s] / M.SLOTS + 1
     again = {r.doc_id: r.taken for r in M.mix(spark, df.repartition(7)).collect()}
     assert again == {i: r.taken for i, r in got.items()}
 
 
-def test_small_sources_meet_their_targets_in_large_blocks(spark, monkeypatch):
-    # blocks as in a large corpus: longer than some sources and targets
-    monkeypatch.setattr(M, "block_size", lambda total: 500)
+def test_targets_are_met_at_every_block_size(spark):
+    # a few slots a source: blocks longer than documents, as in a large corpus
     size = {"a": 300, "b": 20, "c": 7, "d": 40, "e": 3}
     given = [(i, " ".join(["w"] * size["abcde"[i % 5]]), "abcde"[i % 5]) for i in range(1000)]
     given += [(2000, "only three words", "lone")]
-    rows = M.mix(spark, spark.createDataFrame(given, "doc_id long, text string, source string")).collect()
-    assert sorted(r.doc_id for r in rows) == sorted(i for i, _, _ in given)
-    taken = defaultdict(int)
-    for r in rows:
-        taken[r.source] += r.taken
-        assert r.taken <= 3 * r.size
-    for r in rows:
-        assert abs(taken[r.source] - r.target) <= max(0.5, min(M.SLACK, M.SLACK_SHARE * r.target))
-    assert taken["lone"] == 9
-
-
-def test_schedule_is_even(spark):
-    src = spark.createDataFrame([("a", 1, 6400, 5000.0, 0.0, 0.625), ("b", 2, 1600, 3000.0, 0.625, 1.0)],
-                                "source string, _src long, source_size long, target double, lo double, hi double")
-    slots = M.schedule(spark, src, 8000, 16).orderBy("slot").collect()
-    assert len(slots) == 500
+    df = spark.createDataFrame(given, "doc_id long, text string, source string")
+    for slots in (7, 64, M.SLOTS):
+        rows = M.mix(spark, df, slots=slots).collect()
+        assert sorted(r.doc_id for r in rows) == sorted(i for i, _, _ in given)
+        taken = defaultdict(int)
+        for r in rows:
+            taken[r.source] += r.taken
+            assert 0 <= r.taken <= 3 * r.size
+        for r in rows:
+            assert 0 <= r.target + 1e-6 - taken[r.source] < r.target / slots + 1
+        assert taken["lone"] == 9
+
+
+SOURCES = "source string, _src long, source_size long, target double"
+
+
+def test_targets_are_met_in_a_corpus_of_any_size(spark):
+    # sizes of 1e3 to 1e11 words: only the schedule of them, not their texts
+    sizes = [10 ** (3 + k % 9) + 17 * k for k in range(20)]
+    want = waterfill(sizes, [M.WEIGHTS[i % 3] for i in range(20)])
+    src = M.blocked(spark.createDataFrame([(f"s{i:02}", i + 1, n, float(t)) for i, (n, t) in enumerate(zip(sizes, want))], SOURCES))
+    slots = M.schedule(spark, src)
+    read = {r._src: r.before for r in M.scheduled_blocks(src, slots).join(
+        src.selectExpr("_src", "blocks AS block_no"), ["_src", "block_no"]).collect()}
+    for i, t in enumerate(want):
+        assert 0 <= t + 1e-3 - read[i + 1] < t / M.SLOTS + 1.01
+
+
+def test_schedule_is_even_and_exact(spark):
+    src = M.blocked(spark.createDataFrame([("a", 1, 6400, 5000.0), ("b", 2, 1600, 3000.0), ("c", 3, 0, 0.0)], SOURCES), 500)
+    planned = {r._src: r for r in src.collect()}
+    assert (planned[1].block, planned[1].slots) == (10, 500) and (planned[2].block, planned[2].slots) == (6, 500)
+    assert planned[3].slots == 0
+    slots = M.schedule(spark, src).orderBy("slot").collect()
+    assert len(slots) == 1000
     seen = {1: 0, 2: 0}
     for n, s in enumerate(slots, 1):
         assert s["rank"] == seen[s["_src"]]
+        assert (s["block_no"], s["round"]) == (s["rank"] % planned[s["_src"]].blocks, s["rank"] // planned[s["_src"]].blocks)
         seen[s["_src"]] += 1
-        assert abs(seen[1] - 0.625 * n) < 4
+        assert abs(seen[1] - 0.5 * n) < 6
+    assert seen == {1: 500, 2: 500}
     assert {s["round"] for s in slots if s["_src"] == 2} == {0, 1}
 
 
