@@ -7,8 +7,10 @@ which texts the node held and which children it had; the entropies of the two
 branch of at least MIN_PAGES pages whose importance is below NOISE of the
 page body's is the site's furniture and is removed; below NAMED_NOISE of it, if its
 class or id has a word of NOISE_WORDS.  On a host of fewer pages these words
-alone decide.  Presentation that says itself what it is (nav, footer, a role, a
-hidden element) has no importance on any host.  Of what is left, the article
+alone decide.  What readers or advertisers wrote differs on every page, so entropy
+cannot tell it from the article: the words of SURE_WORDS (comments, notices, share
+boxes, adverts) decide on every host.  Presentation that says itself what it is
+(nav, footer, a role, a hidden element) has no importance on any host.  Of what is left, the article
 elements are the text, if they hold most of it, else main or the body.
 
 A block is the text between two borders of block elements; white space in it
@@ -19,7 +21,7 @@ Cases: a null or empty html has no text; broken or unclosed markup is closed
 as browsers close it; a null url is a host of its own name; repeated pages
 count repeatedly, but a host whose pages are all alike loses nothing by that;
 a page of which everything would go loses only what presentation and words
-name, or else presentation alone; empty tables give no rows.  Input columns named like a result column are replaced.
+name, or else presentation and the sure words, or else presentation alone; empty tables give no rows.  Input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -68,6 +70,11 @@ NOISE_WORDS = frozenset(
     "signup nav navbar navigation menu breadcrumb breadcrumbs sidebar widget widgets footer masthead topbar toolbar "
     "comment comments respond reply replies disqus share sharing social related recommended recommendations "
     "pagination pager login search skip form copyright".split())
+#: Those of them that an article's own parts are not called.
+SURE_WORDS = frozenset(
+    "ads advert adverts advertisement advertisements advertising adsense sponsored cookie cookies consent gdpr notice "
+    "notices newsletter breadcrumb breadcrumbs comment comments respond replies disqus share sharing social pagination "
+    "pager".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|</([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"
@@ -81,7 +88,7 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 class Node:
     """An element, its children (nodes and strings), and what its presentation says."""
 
-    __slots__ = ("tag", "children", "parent", "style", "noise", "named", "role", "path")
+    __slots__ = ("tag", "children", "parent", "style", "noise", "named", "sure", "role", "path")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent, self.children = tag, parent, []
@@ -91,7 +98,8 @@ class Node:
                 found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
         names = html.unescape(f"{found.get('class', '')} {found.get('id', '')}").lower()
         self.style = f"{tag} {_DIGITS.sub('0', names)}" if names.strip() else tag
-        self.named = not NOISE_WORDS.isdisjoint(_WORD.findall(names))
+        words = _WORD.findall(names)
+        self.named, self.sure = not NOISE_WORDS.isdisjoint(words), not SURE_WORDS.isdisjoint(words)
         self.role = found.get("role", "").lower() in NOISE_ROLES
         self.noise = (tag in NOISE_TAGS or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
                       or bool(_HIDDEN.search(found.get("style", "").lower())))
@@ -185,8 +193,8 @@ def style_nodes(root: Node) -> dict[bytes, tuple[int, int, bool]]:
     return out
 
 
-def _mark(root: Node, noise: frozenset) -> tuple[set, set, set, list, list]:
-    """Ids of removed nodes by presentation, by their words alone, and by the style tree; outermost articles and mains."""
+def _mark(root: Node, noise: frozenset) -> tuple[set, set, set, set, list, list]:
+    """Ids of removed nodes by presentation, by sure words, by other words, and by the style tree; outermost articles and mains."""
     holders = set()  # nodes with an article or main below
     for item, entering in walk(root):
         if entering and isinstance(item, Node) and item.tag in ("article", "main"):
@@ -194,7 +202,7 @@ def _mark(root: Node, noise: frozenset) -> tuple[set, set, set, list, list]:
             while up is not None and id(up) not in holders:
                 holders.add(id(up))
                 up = up.parent
-    gone, words, poor, articles, mains = set(), set(), set(), [], []
+    gone, sure, words, poor, articles, mains = set(), set(), set(), set(), [], []
     counted = HOST in noise
     depth = inside = 0
     for item, entering in walk(root):
@@ -205,14 +213,14 @@ def _mark(root: Node, noise: frozenset) -> tuple[set, set, set, list, list]:
                or item.role and not fixed and not (item.tag == "article" and not inside)
                or item.tag == "header" and not inside and not fixed
                or item.tag == "footer")
-        named = not counted and item.named and not fixed and not (item.tag == "article" and not inside)
+        named = (item.sure or not counted and item.named) and not fixed and not (item.tag == "article" and not inside)
         if entering:
             depth += bad or named
             inside += item.tag == "article"
             if bad:
                 gone.add(id(item))
             elif named:
-                words.add(id(item))
+                (sure if item.sure else words).add(id(item))
             elif item.path in noise and not fixed and item.tag != "article":
                 poor.add(id(item))
             if not depth and item.tag == "article" and inside == 1:
@@ -221,8 +229,8 @@ def _mark(root: Node, noise: frozenset) -> tuple[set, set, set, list, list]:
                 mains.append(item)
         else:
             inside -= item.tag == "article"
-            depth -= id(item) in gone or id(item) in words
-    return gone, words, poor, articles, mains
+            depth -= id(item) in gone or id(item) in words or id(item) in sure
+    return gone, sure, words, poor, articles, mains
 
 
 def blocks(roots: list[Node], gone: set) -> list[str]:
@@ -256,13 +264,11 @@ def main_text(page: str | None, noise: frozenset = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
-    gone, words, poor, articles, mains = _mark(root, noise)
-    tries = [gone | words | poor]
-    if poor:
-        tries.append(gone | words)
-    if words:
-        tries.append(gone)
-    for removed in tries:
+    gone, sure, words, poor, articles, mains = _mark(root, noise)
+    tries = [gone | sure | words | poor, gone | sure | words, gone | sure, gone]
+    for n, removed in enumerate(tries):
+        if n and removed == tries[n - 1]:
+            continue
         everything = blocks([root], removed)
         total = sum(map(len, everything))
         for region in (articles, mains):

@@ -63,10 +63,25 @@ def test_words_do_not_remove_what_differs_on_every_page(spark):
     got = {r.page_id: r.text for r in M.extract(spark, spark.createDataFrame(rows, PAGE)).collect()}
     assert [got[i] for i in range(8)] == [f"text {i}\nwork {i * 7}" for i in range(8)]
     # one page of a host: words decide, unless they would take everything
-    assert got[8] == "text 8\nwork 56\nShare this\nFollow us"
+    assert got[8] == "text 8\nwork 56"
     assert got[9] == "text"
 
 
+def test_comments_and_notices_go_though_they_differ_on_every_page(spark):
+    def page(i, inner):
+        return (i, f"http://a.example/{i}", f"<html><body>{inner}</body></html>", "")
+
+    rows = [page(i, f"<article><p>text {i}</p><p>more {i * 3}</p><section class=comments><p>reader {i} says {i * i}</p></section>"
+                    f"</article><div class=cookie-notice>Accept {i} cookies</div>") for i in range(8)]
+    rows += [page(10 + i, f"<article><p>story {i}</p><div class='share-box n{i}'>shared {i * 7} times</div></article>"
+                          f"<div class=comments>reader 1{i} says no</div><div id=sponsored>buy {i}</div>") for i in range(8)]
+    got = {r.page_id: r.text for r in M.extract(spark, spark.createDataFrame(rows, PAGE)).collect()}
+    assert [got[i] for i in range(8)] == [f"text {i}\nmore {i * 3}" for i in range(8)]
+    assert [got[10 + i] for i in range(8)] == [f"story {i}" for i in range(8)]
+    # all that a page has stays, whatever it is called
+    assert M.main_text("<body><div class=comments><p>only this</p></div></body>") == "only this"
+
+
 def test_odd_rows(spark):
     long = "<article><p>" + "word " * 200_000 + "</p></article>"
     rows = [(1, None, None, "x"), (2, "", "", "x"), (None, "nonsense", "<p>a</p>", "x"), (3, "http://h/", long, "x"), (3, "http://h/", long, "x")]
