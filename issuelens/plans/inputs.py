@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +16,10 @@ from issuelens.operators.anonymize import anonymize_issues
 from issuelens.operators.embed import HashEmbedder, embed
 from issuelens.operators.turns import conversation_chunks as conversation_chunks_from_turns
 from issuelens.sources import adapters as A
-import uuid
-
 from issuelens.operators.collection import COLLECTION_SCHEMA
+from issuelens.operators.tables import file_system
 from issuelens.session import scratch_path
-from issuelens.sources.tables import read_table, spread
+from issuelens.sources.tables import read_table, spread, table_path
 
 # Parameters of the registered queries (chosen once; see README).
 CUTOFF = "2024-01-15"                 # since / existing-vs-incoming split of the event log
@@ -114,28 +116,59 @@ def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return D.prepare_chunks(issues, C.JOURNALS_PER_CHUNK, None)
 
 
-def stored_chunks(chunks: DataFrame) -> DataFrame:
-    """Whole chunks, scrubbed once and written, for windows and for judging hits."""
-    path = scratch_path(chunks.sparkSession, f"chunks/{uuid.uuid4().hex}")
-    chunks.write.parquet(path)
-    return chunks.sparkSession.read.schema(chunks.schema).parquet(path)
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
-def text_collection(chunks: DataFrame, extra_cols: tuple[str, ...] = ()) -> DataFrame:
-    """Windows of whole chunks + hash embeddings in the search layout (parent = issue id).
+def stored(spark: SparkSession, sf: str, name: str, tables: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()`` as a written table of the shared folder, made once per application and state of its source tables.
 
-    The embedded collection is written once in the
-    shared checkpoint folder (the ingest step) and read back: the search
-    scans it for vectors and the detail join reads text from it, without
-    recomputing scrub, chunking and embedding.  (``Dataset.checkpoint`` on
-    an uncached plan would compute it twice: once to count, once to save.)
+    The state is the files of the tables with their sizes and times: a table
+    that changed, or a stored one that is gone, is built again.
     """
-    spark = chunks.sparkSession
+    state = []
+    for table in tables:
+        fs, path = file_system(spark, table_path(sf, table))
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            state.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    key = (spark.sparkContext.applicationId, name, "\n".join(sorted(state)))
+    path = _STORED.get(key)
+    if path is not None:
+        fs, done = file_system(spark, f"{path}/_SUCCESS")
+        if fs.exists(done):
+            return spark.read.parquet(path)
+    df = build()
+    path = scratch_path(spark, f"stored/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    _STORED[key] = path
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def text_collection(chunks: DataFrame, extra_cols: tuple[str, ...] = ()) -> DataFrame:
+    """Windows of whole chunks + hash embeddings in the search layout (parent = issue id)."""
     emb = embed(D.embed_windows(chunks), HashEmbedder(EMBED_DIM), "window", None)
-    emb = emb.select(*COLLECTION_SCHEMA.names, *extra_cols)
-    path = scratch_path(spark, f"collections/{uuid.uuid4().hex}")
-    emb.write.parquet(path)
-    return spark.read.schema(emb.schema).parquet(path).withColumn("parent", F.col("issue_id"))
+    return emb.select(*COLLECTION_SCHEMA.names, *extra_cols).withColumn("parent", F.col("issue_id"))
+
+
+def conversation_collection(spark: SparkSession, sf: str) -> DataFrame:
+    """The embedded collection of the conversations (the ingest step, once per state of the table)."""
+    return stored(spark, sf, "conversation-collection", ("conversations",),
+                  lambda: text_collection(conversation_chunks(spark, sf)))
+
+
+def document_collection(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "document-collection", ("documents",), lambda: text_collection(document_chunks(spark, sf)))
+
+
+def labelled_collection(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(spark, sf, "labelled-collection", ("documents", "labels"),
+                  lambda: text_collection(labelled_document_chunks(spark, sf), ("quality", "toxic")))
+
+
+def whole_chunks(collection: DataFrame) -> DataFrame:
+    """The chunks of a collection, each once with its whole text."""
+    return collection.where("part = 0").withColumn("id", F.col("chunk_id"))
 
 
 def labelled_document_chunks(spark: SparkSession, sf: str) -> DataFrame:

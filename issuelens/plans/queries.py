@@ -382,7 +382,7 @@ def filter_predicate(spark: SparkSession, sf: str) -> DataFrame:
 
 def _text_hits(spark, sf, spec=None):
     spec = spec or I.text_spec()
-    coll = I.text_collection(I.conversation_chunks(spark, sf))
+    coll = I.conversation_collection(spark, sf)
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
     hits, _ = search_bounded(spark, coll, qs, spec)
     return qs, coll, R.hit_details(hits, coll)
@@ -409,7 +409,7 @@ def source_list(spark: SparkSession, sf: str) -> DataFrame:
 def search_labelled(spark: SparkSession, sf: str) -> DataFrame:
     """V6 with table metadata: benchmark questions over document chunks,
     restricted to documents labelled ``quality = 1``."""
-    coll = I.text_collection(I.labelled_document_chunks(spark, sf), extra_cols=("quality", "toxic"))
+    coll = I.labelled_collection(spark, sf)
     qs = I.embedded_questions(I.benchmark_questions(spark, sf)).withColumn("quality", F.lit("1"))
     hits, _ = search_bounded(spark, coll, qs, I.text_spec(filter_cols=("quality",)))
     return hits.select("question_id", "id", "parent", "score", "rank", "filtered")
@@ -421,12 +421,11 @@ def search_labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 def _doc_eval(spark, sf, spec=None):
     spec = spec or I.text_spec()
-    chunks = I.stored_chunks(I.document_chunks(spark, sf))
-    coll = I.text_collection(chunks)
+    coll = I.document_collection(spark, sf)
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
     hits, _ = search_bounded(spark, coll, qs, spec)
     det = R.hit_details(hits, coll)
-    return qs, _relevant(det, chunks, qs)
+    return qs, _relevant(det, I.whole_chunks(coll), qs)
 
 
 def _relevant(hits: DataFrame, chunks: DataFrame, qs: DataFrame) -> DataFrame:
@@ -473,12 +472,11 @@ def hit_rate_by_tag(spark: SparkSession, sf: str) -> DataFrame:
 
 def _swept(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Questions, and per (k, threshold, question) that got hits whether one of them is relevant."""
-    chunks = I.stored_chunks(I.document_chunks(spark, sf))
-    coll = I.text_collection(chunks)
+    coll = I.document_collection(spark, sf)
     qs = I.embedded_questions(I.benchmark_questions(spark, sf))
     cand = fetch_window(spark, coll, qs, I.text_spec(fallback=False))
     swept = Q.sweep(cand, [1, 3, 5], [None, 1.0])
-    rel = _relevant(swept.withColumnRenamed("parent", "issue_id"), chunks, qs)
+    rel = _relevant(swept.withColumnRenamed("parent", "issue_id"), I.whole_chunks(coll), qs)
     return qs, rel.groupBy("k", "threshold", "question_id").agg(F.bool_or("relevant").alias("hit"))
 
 
@@ -553,7 +551,7 @@ def _answer_flow(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
         names, (F.pmod("question_id", F.lit(4)) + 1).cast("int"))))
     qs = qs.withColumn("response", FL.keyword_response(F.col("question")))
     qs = FL.extract_filters(qs, "response")
-    coll = I.text_collection(I.conversation_chunks(spark, sf))
+    coll = I.conversation_collection(spark, sf)
     hits, _ = search_bounded(spark, coll, I.embedded_questions(qs), I.text_spec())
     # filters are reported only when the filtered search was used
     given = F.to_json(FL.filters_map(F.col("status"), F.col("priority"), F.col("project_id")))

@@ -54,7 +54,7 @@ def test_labelled_search_scans_metadata_not_text(spark):
     from issuelens.operators.search import _filtered_plans, question_blocks
     from issuelens.plans import inputs as I
 
-    coll = I.text_collection(I.labelled_document_chunks(spark, SF), extra_cols=("quality", "toxic"))
+    coll = I.labelled_collection(spark, SF)
     qs = I.embedded_questions(I.benchmark_questions(spark, SF)).selectExpr("*", "'1' AS quality")
     spec = I.text_spec(filter_cols=("quality",))
     filtered, = _filtered_plans(coll, question_blocks(spark, qs, spec.filter_cols), spec)

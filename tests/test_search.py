@@ -226,3 +226,22 @@ def test_windows_of_a_long_text_take_one_place(spark):
     seen = fetch_window(spark, coll_df(spark, rows, 3), qs.where("question_id = 1"),
                         SearchSpec(top_k=5, fallback=False, filter_cols=("status",))).orderBy("fetch_rank").collect()
     assert [(r.id, r.fetch_rank) for r in seen] == [(f"issue_{n}", n) for n in range(1, 9)]
+
+
+def test_a_stored_collection_follows_its_table(spark, tmp_path):
+    from issuelens.plans import inputs as I
+
+    built = []
+
+    def collection():
+        return I.stored(spark, str(tmp_path), "t", ("documents",), lambda: built.append(1) or spark.read.parquet(path))
+
+    path = str(tmp_path / "documents.parquet")
+    spark.range(3).write.parquet(path)
+    first = collection()
+    assert first.count() == 3 and sorted(collection().inputFiles()) == sorted(first.inputFiles()) and len(built) == 1
+    spark.range(3, 5).write.mode("append").parquet(path)
+    assert collection().count() == 5 and len(built) == 2
+    (spark.sparkContext._jvm.java.io.File(first.inputFiles()[0].removeprefix("file:")).getParentFile()
+     .toPath().resolve("_SUCCESS").toFile().delete())
+    assert collection().count() == 5 and len(built) == 2  # the other version's
