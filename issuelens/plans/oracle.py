@@ -730,6 +730,11 @@ WITH {CONV}, {conv_chunks(C.JOURNALS_PER_CHUNK, C.CHUNK_MAX_TEXT_LEN, False, Fal
 SELECT id, text, issue_id, chunk_index::BIGINT AS chunk_index, is_description FROM chunks
 """
 
+ORACLE["search_approx_recall"] = f"""
+WITH {_DOC_SEARCH}
+SELECT count(*)::BIGINT AS wanted, true AS reached FROM res
+"""
+
 ORACLE["search_labelled"] = f"""
 WITH {DOC_CHUNKS},
 lab AS (SELECT {iid('doc_id')} AS issue_id, CAST(quality AS VARCHAR) AS quality FROM labels),

@@ -15,6 +15,7 @@ from issuelens import config as C
 from issuelens.functions.text import cap
 from issuelens.functions.vector import hash_embed
 from issuelens.operators import answer as R
+from issuelens.operators import approx as X
 from issuelens.operators import documents as D
 from issuelens.operators import evaluate as Q
 from issuelens.operators import filters as FL
@@ -415,6 +416,15 @@ def search_labelled(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("question_id", "id", "parent", "score", "rank", "filtered")
 
 
+def search_approx_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """V5, approximate: whether nine in ten hits of the exact search over document chunks are found by buckets."""
+    coll = I.document_collection(spark, sf)
+    qs = I.embedded_questions(I.benchmark_questions(spark, sf))
+    spec = I.text_spec(filter_cols=())
+    got = X.recall(X.search_approx(spark, coll, qs, spec), search(spark, coll, qs, spec))
+    return got.select("wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
 # ---------------------------------------------------------------------------
 # Q: retrieval evaluation (benchmark passages inside documents)
 # ---------------------------------------------------------------------------
