@@ -39,10 +39,11 @@ from issuelens.llm.components import components
 SIZE = 5
 #: A link has 100 * intersection >= PERCENT * union.
 PERCENT = 75
-K_LARGE = 64
-MIN_SHARED = 24
+#: Values of a sketch, and how many of them a link shares: fewer than 15 of 48 with a chance of 3e-11 at 0.75.
+K_LARGE = 48
+MIN_SHARED = 15
 #: Sets of up to this many shingles are kept whole.
-SMALL = 192
+SMALL = 96
 #: A set that can link to one above SMALL is above this.
 LARGE = SMALL * PERCENT // 100
 _ODD = np.uint64(0xA24BAED4963EE407)
