@@ -1,3 +1,8 @@
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
 import numpy as np
 import pyarrow as pa
 
@@ -63,3 +68,64 @@ def test_odd_rows(spark, odd, none):
     nothing = M.train(spark, none)
     assert {r.lang_pred for r in M.identify(spark, odd, nothing).collect()} == {"und"}
     assert M.identify(spark, none, model).count() == 0
+
+
+def spelled(text):
+    lower = "".join(x.lower() if "A" <= x <= "Z" else x for x in text or "")
+    return re.findall("[a-z\u0080-\U0010ffff]+", lower)
+
+
+def grams(word, n):
+    padded = f" {word} " if n > 1 else word
+    return [padded[i:i + n] for i in range(len(padded) - n + 1)]
+
+
+def brute(docs):
+    """(held_out, language, posterior) per doc_id, with plain dictionaries."""
+    held = {i: zlib.crc32(str(i).encode()) % M.FOLDS == 0 for i, _, _ in docs}
+    counts = [defaultdict(Counter) for _ in range(M.LONGEST + 1)]
+    for i, text, lang in docs:
+        if not held[i] and lang is not None:
+            for word in spelled(text):
+                counts[0][lang][word] += 1
+                for n in range(1, M.LONGEST + 1):
+                    counts[n][lang].update(grams(word, n))
+    languages = sorted({x for _, _, x in docs if x is not None})
+    keys = [set().union(*c.values()) for c in counts]
+    assert max(map(len, keys)) <= M.KEYS  # nothing is cut off here
+    total = [{x: sum(c[x].values()) for x in languages} for c in counts]
+
+    def log(size, key, lang):
+        return math.log((counts[size][lang][key] + M.SMOOTHING) / (total[size][lang] + M.SMOOTHING * (len(keys[size]) + 1)))
+
+    def score(word, lang):
+        if word in keys[0]:
+            return log(0, word, lang)
+        for n in range(M.LONGEST, 0, -1):
+            if known := [g for g in grams(word, n) if g in keys[n]]:
+                return sum(log(n, g, lang) for g in known) / len(known)
+        return 0.0
+
+    out = {}
+    for i, text, _ in docs:
+        words = Counter(spelled(text))
+        if not any(c.isalpha() for c in text or ""):
+            out[i] = (held[i], "und", 0.0)
+            continue
+        sums = [sum(n * score(w, x) for w, n in words.items()) for x in languages]
+        best = max(range(len(languages)), key=lambda k: sums[k])
+        out[i] = (held[i], languages[best], 1 / sum(math.exp(x - sums[best]) for x in sums))
+    return out
+
+
+def test_the_query_equals_brute_force(spark, tmp_path):
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(120).collect()
+    docs = [(r.doc_id, r.text, r.lang) for r in given]
+    docs += [(900_000, None, "en"), (900_001, "12 34", "de"), (900_002, "zzzqqq", None), (900_003, "The Café!", None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute(docs)
+    got = M.query(spark, str(tmp_path)).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        held, lang, score = want[r.doc_id]
+        assert (r.held_out, r.lang_pred) == (held, lang) and abs(r.score - score) < 1e-3
