@@ -13,6 +13,7 @@ lost later, and later passes start from the table, not from the source.
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -40,13 +41,30 @@ _ZSTD = pa.Codec("zstd", compression_level=1)
 BROADCAST_IDS = 1_000_000
 _MADE: dict[tuple[str, str], list[str]] = {}
 _OWNER: list[str] = []
+#: Paths of scratch tables by the DataFrame that reads them.
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
 
 
 def scratch_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here."""
     path = new_scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more (what was made of them is written)."""
+    for table in tables:
+        made, path = _PATHS.pop(id(table), (None, ""))
+        if made is not None and made() is table:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def new_scratch(spark: SparkSession, name: str) -> str:
@@ -63,8 +81,7 @@ def owned_scratch(spark: SparkSession, owner: str):
     For work in steps whose results are written before the next step begins.
     """
     for path in _MADE.pop((spark.sparkContext.applicationId, owner), []):
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
     _OWNER.append(owner)
     try:
         yield

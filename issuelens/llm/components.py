@@ -31,5 +31,6 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         seen = now
         if not now[0]:
             break
-        edges = B.scratch_table(spark, _round(edges), "edges")
+        last, edges = edges, B.scratch_table(spark, _round(edges), "edges")
+        B.forget(spark, last)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -193,7 +193,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     x, y = members.join(best, ["cls", "tier"]).alias("x"), members.alias("y")
     pairs = x.join(y, (F.col("x.hub.cls") == F.col("y.cls")) & (F.col("x.tier") == F.col("y.tier"))
                    & (F.col("x.cls") != F.col("y.cls")) & _may_link("x", "y") & _overlap("x", "y")).select(*_pair("x", "y"))
-    to_hubs = _links(spark, B.scratch_table(spark, pairs, "pairs"), whole)
+    pairs = B.scratch_table(spark, pairs, "pairs")
+    to_hubs = _links(spark, pairs, whole)
+    B.forget(spark, pairs)
     up = to_hubs.groupBy("a").agg(F.max("b").alias("b"))
     up = B.scratch_table(spark, up, "up")
     roots = up.alias("p").join(up.alias("q"), F.col("p.b") == F.col("q.a"), "left").select(
@@ -210,7 +212,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     pairs = x.join(y, (F.col("x.tier") == F.col("y.tier")) & (F.col("x.value") == F.col("y.value"))
                    & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y")
                    & (F.array_min(F.array_intersect("x.lists", "y.lists")) == F.col("x.value")) & _overlap("x", "y"))
-    others = _links(spark, B.scratch_table(spark, pairs.select(*_pair("x", "y")), "pairs"), whole)
+    pairs = B.scratch_table(spark, pairs.select(*_pair("x", "y")), "pairs")
+    B.forget(spark, members, open_, up)
+    others = _links(spark, pairs, whole)
+    B.forget(spark, pairs, whole)
     root = components(spark, to_hubs.union(others))
 
     grouped = first.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
