@@ -106,9 +106,9 @@ def decode(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
-def write_blocks(spark: SparkSession, docs: DataFrame, text: str, name: str) -> DataFrame:
+def write_blocks(spark: SparkSession, docs: DataFrame, text: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` as a written table of blocks ``(_block, _bytes, _data)``; all columns are kept."""
-    return scratch_table(spark, pack_blocks(docs, text), name)
+    return scratch_table(spark, pack_blocks(docs, text, block_bytes), name)
 
 
 def pack_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -144,21 +144,22 @@ def _cut(table: pa.Table, id_col: str, text: str, size: int, known: np.ndarray,
                    kept.decode(), hashlib.sha256(b" ".join(kept.split())).hexdigest())
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text",
-                    size: int = WINDOW) -> DataFrame:
+def substring_dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = WINDOW,
+                    block_bytes: int = B.BLOCK_BYTES, bucket_keys: int = B.BUCKET_KEYS) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``.
 
     Adds n_words and n_removed (words before, and words removed), removed
     (maximal intervals of word positions) and kept_sha256 (of the kept words
     joined by one space).  A text that loses nothing stays as it is; from
-    others the removed words go with the white space after them.
+    others the removed words go with the white space after them.  A task holds
+    a block of ``block_bytes`` of text, or ``bucket_keys`` window hashes.
     """
     docs = docs.drop(*RESULT)
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(
         "n_words long, n_removed long, kept_sha256 string, "
         "removed array<struct<start:int,end:int>>").fields])
-    blocks = B.write_blocks(spark, docs, text, "substring-blocks")
-    buckets = B.n_buckets(blocks)
+    blocks = B.write_blocks(spark, docs, text, "substring-blocks", block_bytes)
+    buckets = B.n_buckets(blocks, keys=bucket_keys)
     sent = blocks.mapInArrow(_send(id_col, text, size, buckets),
                              "bucket long, _block long, keys binary, ids binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer, "_block long, keys binary, smallest binary")
