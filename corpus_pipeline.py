@@ -89,7 +89,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 @_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; documents stay."""
-    return _as_before(_apart(docs, substring_dedup.RESULT, lambda d: substring_dedup.substring_dedup(spark, d)), docs)
+    # smaller blocks than the operator alone takes: executors still keep the memory of the stages before
+    def cut(d: DataFrame) -> DataFrame:
+        return substring_dedup.substring_dedup(spark, d, block_bytes=blocks.BLOCK_BYTES // 4,
+                                               bucket_keys=blocks.BUCKET_KEYS // 2)
+
+    return _as_before(_apart(docs, substring_dedup.RESULT, cut), docs)
 
 
 @_stage
