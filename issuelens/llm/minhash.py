@@ -16,8 +16,8 @@ Lists are resolved without all their pairs: each class is first compared with
 the most typical class of its lists (of most shared values), and linked ones
 take its label.  Then, in lists of several labels, classes of different label
 are compared, a pair only in the first list it has in common.  A pair is held
-to the overlap of its sketches (the estimate of the union sketch), which
-settles whole sets, and what passes to the full sets.
+to the estimate by the sketch of its union (whole sets: to the similarity
+itself), and what passes to the full sets.
 
 Cases: null or empty texts have n_shingles 0 and are their own component;
 with fewer than ``size`` words the whole sequence is the one shingle; rows of
@@ -39,13 +39,15 @@ from issuelens.llm.components import components
 SIZE = 5
 #: A link has 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Values of a sketch, and how many of them a link shares: fewer than 15 of 48 with a chance of 3e-11 at 0.75.
+#: Values of a sketch, and how many of the union's sketch a link shares: fewer than 15 of 48 with a chance of 3e-11 at 0.75.
 K_LARGE = 48
 MIN_SHARED = 15
 #: Sets of up to this many shingles are kept whole.
 SMALL = 96
 #: A set that can link to one above SMALL is above this.
 LARGE = SMALL * PERCENT // 100
+#: Flipping it makes the order of signed numbers that of the hashes.
+_SIGN = np.uint64(1 << 63)
 _ODD = np.uint64(0xA24BAED4963EE407)
 
 
@@ -73,7 +75,7 @@ def _lists(h: np.ndarray, first: np.ndarray, take: np.ndarray) -> pa.Array:
     """The first ``take`` values of each document; none: null."""
     inside = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first)) < np.repeat(take, np.diff(first))
     ends = np.concatenate([[0], np.cumsum(np.minimum(take, np.diff(first)))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[inside].view(np.int64)),
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((h[inside] ^ _SIGN).view(np.int64)),
                                     mask=pa.array(take == 0))
 
 
@@ -120,9 +122,15 @@ def _enough(inter: Column, n_a: Column, n_b: Column) -> Column:
 
 
 def _overlap(a: str, b: str) -> Column:
-    """Whether two classes share as many sketch values as a link must: whole sets exactly, others by estimate."""
-    inter = F.size(F.array_intersect(f"{a}.sketch", f"{b}.sketch"))
-    return F.when(F.col(f"{a}.tier") == 0, _enough(inter, F.col(f"{a}.n"), F.col(f"{b}.n"))).otherwise(inter >= MIN_SHARED)
+    """Whether two classes may be as similar as a link: whole sets exactly, others by the sketch of their union.
+
+    The K_LARGE smallest values of both sketches are the sketch of the union;
+    those of them that both sets have estimate the similarity.
+    """
+    both = F.array_intersect(f"{a}.sketch", f"{b}.sketch")
+    union = F.slice(F.sort_array(F.array_union(f"{a}.sketch", f"{b}.sketch")), 1, K_LARGE)
+    estimate = (F.size(both) >= MIN_SHARED) & (F.size(F.array_intersect(union, both)) >= MIN_SHARED)
+    return F.when(F.col(f"{a}.tier") == 0, _enough(F.size(both), F.col(f"{a}.n"), F.col(f"{b}.n"))).otherwise(estimate)
 
 
 def _may_link(a: str, b: str) -> Column:
