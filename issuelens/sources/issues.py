@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from issuelens.operators.tables import file_system, next_version, versions
+from issuelens.operators.tables import expire, file_system, next_version, versions
 from issuelens.schemas import ISSUE, USER_MAPPING
 
 
@@ -91,6 +91,7 @@ def write_issues(issues: DataFrame, root: str, partition_col: str = "project_ide
     spark = issues.sparkSession
     nxt = next_version(spark, root)
     issues.write.mode("errorifexists").partitionBy(partition_col).parquet(f"{root}/v={nxt}")
+    expire(spark, root)
     return nxt
 
 

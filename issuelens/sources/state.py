@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from issuelens.operators.tables import next_version, versions
+from issuelens.operators.tables import expire, next_version, versions
 from issuelens.schemas import LOAD_CHECKPOINT, SYNC_STATE
 
 ISO_UTC = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -62,6 +62,7 @@ def save_sync_state(state: DataFrame, state_dir: str) -> None:
     root = state_dir.rstrip("/")
     (state.withColumn("_saved_at", F.date_format(F.current_timestamp(), ISO_UTC))
      .write.mode("errorifexists").json(f"{root}/v={next_version(state.sparkSession, root)}"))
+    expire(state.sparkSession, root)
 
 
 def load_checkpoints(spark: SparkSession, state_dir: str, project_ids: Sequence[str]) -> DataFrame:
