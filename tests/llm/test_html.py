@@ -1,5 +1,7 @@
 import html
+import math
 import re
+from collections import Counter, defaultdict
 
 from issuelens.llm import html_extract as M
 
@@ -89,3 +91,32 @@ def test_odd_rows(spark):
     got = sorted(((r.page_id, r.n_chars) for r in M.extract(spark, df).collect()), key=str)
     assert got == sorted([(1, 0), (2, 0), (None, 1), (3, 999_999), (3, 999_999)], key=str)
     assert M.extract(spark, df.limit(0)).count() == 0
+
+
+def test_importances_equal_plain_entropies(spark):
+    def body(i):
+        menu = "".join(f"<li>entry {k}</li>" for k in range(3 + (i % 4 == 0)))
+        return (f"<html><body><ul class=menu>{menu}</ul><div id=story><h1>title {i}</h1><p>text {i // 2}</p></div>"
+                f"<div class=footer2>{'old' if i % 3 else 'new'} words</div></body></html>")
+
+    rows = [(i, f"https://{'a' if i < 9 else 'b'}.example/{i}", body(i), "") for i in range(15)]
+    seen = defaultdict(Counter)
+    for i, url, page, _ in rows:
+        for path, (text, shape, named) in M.style_nodes(M.parse(page)).items():
+            host = url[8:].split("/")[0]
+            seen[host, path, named, "text"][text] += 1
+            seen[host, path, named, "shape"][shape] += 1
+
+    def entropy(c):
+        m = sum(c.values())
+        return -sum(n / m * math.log(n / m) for n in c.values()) / math.log(m) if m > 1 else 1.0
+
+    want = {}
+    for (host, path, named, kind), c in seen.items():
+        if kind == "text" and sum(c.values()) >= M.MIN_PAGES:
+            want[host, path, named] = (sum(c.values()), (1 - M.SHAPE_SHARE) * entropy(c)
+                                       + M.SHAPE_SHARE * entropy(seen[host, path, named, "shape"]))
+    got = {(r.host, bytes(r.path), r.named): (r.pages, r.importance) for r in M.style_tree(
+        spark.createDataFrame(rows, PAGE)).collect() if bytes(r.path) != M.HOST}
+    assert set(got) == set(want) and len(want) > 10
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)

@@ -1,5 +1,10 @@
 import itertools
+import math
+import re
+import zlib
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from issuelens.llm import tokens as K
@@ -65,3 +70,76 @@ def test_fold_is_crc32_of_the_id(spark):
     got = spark.range(50).select("id", M.fold_of("id", 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
     assert spark.range(1).select(M.fold_of("id", 5) == F.lit(0)).count() == 1
+
+
+def learned_words(rows):
+    """Weights of the words that toxic texts of (text, label) have more often, by the evidence for it."""
+    n_t = sum(1 for _, y in rows if y)
+    n_c = len(rows) - n_t
+    t, c = Counter(), Counter()
+    for text, y in rows:
+        (t if y else c).update(set(re.findall(WORD, lower(text))))
+    out = {}
+    for word in t:
+        a, b, n = t[word], c[word], n_t + n_c
+        cells = [(a, (a + b) * n_t), (b, (a + b) * n_c), (n_t - a, (n - a - b) * n_t), (n_c - b, (n - a - b) * n_c)]
+        evidence = 2 * sum(k * math.log(k * n / m) for k, m in cells if k)
+        weight = math.log((a + 0.5) / (n_t + 1)) - math.log((b + 0.5) / (n_c + 1))
+        if a >= 3 and weight > 0 and evidence >= M.EVIDENCE:
+            out[word] = weight
+    return out
+
+
+WORD = "[a-z0-9'\u0080-\U0010ffff]+"
+
+
+def lower(text):
+    return "".join(x.lower() if "A" <= x <= "Z" else x for x in text or "")
+
+
+def matched(text, insults):
+    """Sums of matched words by how their clause uses them, read off the rules instead of the machines."""
+    out = [0.0] * M.FEATURES
+    for clause in re.split(r"[.;:!?\n]", lower(text)):
+        words = re.findall(WORD, clause)
+
+        def kind(w):
+            if w in insults or w in M.INSULTS:
+                return "insult"
+            return next((k for k, listed in (("threat", M.THREATS), ("target", M.TARGETS), ("no", M.NEGATIONS),
+                                             ("report", M.REPORTS)) if w in listed), None)
+
+        kinds = [kind(w) for w in words]
+        for i, (w, k) in enumerate(zip(words, kinds)):
+            if k not in ("insult", "threat"):
+                continue
+            negated = "no" in kinds[max(i - M.SCOPE, 0):i]
+            reported = "report" in kinds[:i]
+            aimed = "target" in kinds
+            if k == "threat":
+                f = 4 if aimed and not negated and not reported else 5
+            else:
+                f = 2 if reported else 1 if negated else 3 if aimed else 0
+            out[f] += insults.get(w, M.LISTED)
+    return out
+
+
+def test_the_query_equals_brute_force(spark, tmp_path):
+    sf = "/root/testdata/sf0.01"
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    texts |= {10 ** 6: None, 10 ** 6 + 1: "He said you are an idiot. I don't hate it, you moron; we'll kill you!"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % M.FOLDS == 0
+    rows = [(texts[i], y) for i, y in labels if i in texts and y is not None and not held(i)]
+    insults = learned_words(rows)
+    assert len(insults) > 3
+    beta = M.fit(np.array([matched(t, insults) for t, _ in rows]), np.array([y > 0 for _, y in rows], float))
+    got = {r.doc_id: r for r in M.query(spark, str(tmp_path)).collect()}
+    assert set(got) == set(texts)
+    for i, t in texts.items():
+        x = np.array([matched(t, insults)])
+        z = np.concatenate([[1.0], np.log1p(x[0]), [np.log1p(x.sum())]]) @ beta
+        score = 1 / (1 + math.exp(-z))
+        assert got[i].held_out == held(i) and abs(got[i].score - score) < 1e-6 and got[i].predicted == (got[i].score >= 0.5)
