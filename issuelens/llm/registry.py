@@ -30,5 +30,6 @@ ORACLE = {
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
     "op11_quality_rules": quality.ORACLE,
+    "op12_spelling_variants": variants.ORACLE,
     "op13_centroid_clusters": clustering.ORACLE,
 }

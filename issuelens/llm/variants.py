@@ -260,3 +260,34 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants among the words of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return variants(spark, count_words(docs))
+
+
+#: The same in SQL: crc32 byte by byte with its table, near words by what is left of a word without one code point.
+ORACLE = rf"""
+WITH RECURSIVE tab AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i:
+         CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '{LETTERS}')), '{UPPER}', '{LOWER}') AS run FROM documents),
+kinds AS MATERIALIZED (SELECT run, coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run AS s, count(*) AS k FROM runs GROUP BY ALL),
+coded AS (SELECT run, k, flatten(list_transform(string_split(s, ''), lambda x:
+                 CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END))::BIGINT[] AS bytes FROM kinds),
+hashed AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b:
+                  xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS h FROM coded, tab),
+cut AS (SELECT CASE WHEN h % {TYPO} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k
+        FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM cut WHERE length(word) >= {MIN_LENGTH}
+                       GROUP BY word HAVING sum(k) >= {MIN_COUNT}),
+less AS MATERIALIZED (SELECT word, p, left(word, p) || substr(word, p + 2) AS d FROM words, unnest(range(length(word))) AS u(p)),
+near AS MATERIALIZED (
+  SELECT a.word AS x, b.word AS y FROM less a JOIN less b ON a.p = b.p AND a.d = b.d AND a.word <> b.word
+  UNION SELECT a.word, w.word FROM less a JOIN words w ON w.word = a.d
+  UNION SELECT w.word, a.word FROM less a JOIN words w ON w.word = a.d),
+best AS (SELECT x AS word, count(*) AS n_near, min_by(y, (-n, y)) AS y, max(n) AS n FROM near JOIN words ON words.word = y GROUP BY x),
+forms AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= {RATIO} * w.n THEN y END AS form,
+         CASE WHEN b.n >= {RATIO} * w.n THEN b.n END AS form_n FROM words w LEFT JOIN best b USING (word)),
+chain AS (SELECT word, form AS root FROM forms WHERE form IS NOT NULL
+          UNION ALL SELECT chain.word, f.form FROM chain JOIN forms f ON f.word = chain.root WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.root FROM chain JOIN forms f ON f.word = chain.root WHERE f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM forms LEFT JOIN ends USING (word)
+"""
