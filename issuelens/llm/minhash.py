@@ -39,11 +39,11 @@ from issuelens.llm.components import components
 SIZE = 5
 #: A link has 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Values of a sketch, and how many of the union's sketch a link shares: fewer than 15 of 48 with a chance of 3e-11 at 0.75.
-K_LARGE = 48
-MIN_SHARED = 15
+#: Values of a sketch, and how many of the union's sketch a link shares: fewer than 24 of 64 with a chance of 5e-11 at 0.75.
+K_LARGE = 64
+MIN_SHARED = 24
 #: Sets of up to this many shingles are kept whole.
-SMALL = 96
+SMALL = 192
 #: A set that can link to one above SMALL is above this.
 LARGE = SMALL * PERCENT // 100
 #: Flipping it makes the order of signed numbers that of the hashes.
