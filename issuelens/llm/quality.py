@@ -163,7 +163,8 @@ def judge(spark: SparkSession, docs: DataFrame, rules: Sequence[Rule] = RULES,
     Documents that a base rule rejects go through no further rule, in the sample as in the run.
     """
     base_failed = F.coalesce(F.expr(" or ".join(f"({r.rejects})" for r in base) or "false"), F.lit(False))
-    whole = docs.withColumn("_q_given", F.col(text)).withColumn("text", F.coalesce(F.col(text), F.lit("")))
+    own = F.col("text") if "text" in docs.columns else F.lit(None)
+    whole = docs.withColumn("_q_given", own).withColumn("text", F.coalesce(F.col(text), F.lit("")))
     drawn = measure(sample_of(whole.select("text"), sample)).where(~base_failed)
     order = [e.rule for e in plan(B.scratch_table(spark, drawn, "quality-sample"), rules)]
     out = (measure(whole).withColumn("base_failed", base_failed)

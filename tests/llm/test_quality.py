@@ -106,3 +106,10 @@ def test_odd_rows(spark, odd, none):
     assert [r["text"] for r in rows if r["doc_id"] == 2] == [None]
     assert all(measures(r["text"]) == tuple(r[m] for m in MEASURES) for r in rows)
     assert Q.judge(spark, none).count() == 0
+
+
+def test_another_text_column(spark, varied):
+    df = spark.createDataFrame([(i, t, "own") for i, t in enumerate(varied)], "doc_id long, body string, text string")
+    rows = Q.judge(spark, df, text="body").collect()
+    assert all((r.body, r.text) == (varied[r.doc_id], "own") and r.n_words == measures(r.body)[0] for r in rows)
+    assert "text" not in Q.judge(spark, df.drop("text"), text="body").columns
