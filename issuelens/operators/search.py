@@ -97,10 +97,8 @@ class SearchSpec:
 def _groups(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
     """Rows of each combination of key values, nulls included."""
     code = np.zeros(batch.num_rows, np.int64)
-    values = []
     for key in keys:
         one = batch.column(key).dictionary_encode(null_encoding="encode")
-        values.append(one.dictionary)
         code = code * (len(one.dictionary) + 1) + np.asarray(one.indices)
     for c in np.unique(code):
         rows = np.flatnonzero(code == c)
