@@ -246,6 +246,7 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.append(h[first], np.uint64(0)).view(np.int64)),
                 pa.array(np.append(t, mine.sum())), pa.array(np.append(n - t, len(mine) - mine.sum()))], schema=schema)
+    K.give_back()
 
 
 def _part(t: str, n: str, total: str) -> str:
@@ -280,6 +281,7 @@ def _collect_features(lexicon: Lexicon):
                 yield pa.RecordBatch.from_arrays(
                     [label.slice(lo, hi - lo).cast(pa.int64()), *(pa.array(x[:, k]) for k in range(FEATURES))],
                     names=["toxic", *(f"x{k}" for k in range(FEATURES))])
+        K.give_back()
     return features
 
 
@@ -317,6 +319,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, model: Model, text: st
             col = batch.column(batch.schema.get_field_index(text))
             got = [shared.value.scores(_tokens(data, off)) for _, _, data, off in K.text_slices(col)]
             yield batch.append_column("score", pa.array(np.concatenate(got) if got else np.zeros(0)))
+        K.give_back()
 
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
