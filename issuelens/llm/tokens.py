@@ -7,7 +7,6 @@ nanoseconds per byte and never loops over words in Python.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +14,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from issuelens.functions.memory import give_back  # noqa: F401
+
 #: Texts are worked on in slices of about this many bytes (a longer text is a slice of its own).
 SLICE_BYTES = 1 << 20
 
@@ -153,16 +154,3 @@ def text_slices(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
     data, off = buffers(col)
     for lo, hi in slices(off, limit):
         yield lo, hi, data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
-
-
-def give_back() -> None:
-    """Returns the memory that a task's arrays have left with the allocators to the system.
-
-    A Python worker lives on for later tasks and stages; what it keeps counts
-    against its executor all the while.
-    """
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library
-        pass

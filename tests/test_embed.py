@@ -48,3 +48,24 @@ def test_pair_distance_and_normalize(spark):
     df = spark.createDataFrame([([1.0, 2.0, 2.0], [0.0, 0.0, 0.0])], "a array<double>, b array<double>")
     r = df.select(squared_l2("a", "b").alias("d"), l2_normalize("a").alias("n")).first()
     assert r.d == 9.0 and [round(x, 12) for x in r.n] == [round(x / 3, 12) for x in (1.0, 2.0, 2.0)]
+
+
+def test_tokens_that_a_worker_keeps_are_bounded():
+    import sys
+
+    from issuelens.functions import vector as V
+
+    text = " ".join([f"word{i}" for i in range(150_000)] + ["y" * 500 + str(i) for i in range(100)])
+    got = V._embed_batch([text], 64)[0]
+    want = pyref.hash_vec(text, 64)
+    assert max(abs(x - y) for x, y in zip(got, want)) < 1e-12
+    assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in V._HASHES.items()) + sys.getsizeof(V._HASHES) < 8 << 20
+    assert max(map(len, V._HASHES)) <= 100
+
+
+def test_vectors_keep_their_rows_over_slices(spark):
+    texts = [None if i % 97 == 0 else f"text {i} of {i % 5}" for i in range(1300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    for r in df.select("i", hash_embed("t", 16).alias("v")).collect():
+        want = pyref.hash_vec(texts[r.i], 16)
+        assert len(r.v) == 16 and all(abs(x - y) < 1e-12 for x, y in zip(r.v, want))
