@@ -245,3 +245,28 @@ def test_a_stored_collection_follows_its_table(spark, tmp_path):
     (spark.sparkContext._jvm.java.io.File(first.inputFiles()[0].removeprefix("file:")).getParentFile()
      .toPath().resolve("_SUCCESS").toFile().delete())
     assert collection().count() == 5 and len(built) == 2  # the other version's
+
+
+def test_blocks_of_many_keys_are_passed_on_while_rows_come_in(monkeypatch):
+    import pyarrow as pa
+
+    from issuelens.operators import search as S
+
+    monkeypatch.setattr(S, "PACK_BYTES", 1 << 20)
+    taken = []
+
+    def batches():
+        for b in range(4):
+            taken.append(b)
+            at = range(2000 * b, 2000 * b + 2000)
+            yield pa.record_batch([pa.array([str(i) if i % 4 else None for i in at]), pa.array([f"c{i:05}" for i in at]),
+                                   pa.array([[float(i)] for i in at])], names=["c_k", "ids", "vec"])
+
+    out, seen = S._packer(["c_k"], ["ids"], "ids", 300)(batches()), {}
+    for n, block in enumerate(out):
+        if not n:
+            assert taken == [0]  # a row held as a table of its own takes more than its values
+        ids, vecs = block.column("ids")[0].as_py(), block.column("vecs")[0].as_py()
+        assert ids == sorted(ids) and [f"c{int(v):05}" for v in vecs] == ids and len(ids) <= 300
+        seen.update((i, block.column("c_k")[0].as_py()) for i in ids)
+    assert seen == {f"c{i:05}": str(i) if i % 4 else None for i in range(8000)}
