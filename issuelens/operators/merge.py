@@ -44,11 +44,11 @@ def resolve_since_value(state: DataFrame, project_ids: Sequence[str]) -> str:
 
 
 def latest(df: DataFrame, key: str, order: Column) -> DataFrame:
-    """Of each key the row of the greatest ``order``."""
+    """Of each key the row of the greatest ``order``; the rows lie by key, so that a join by it need not move them."""
     cols = df.columns
     return (df.groupBy(key)
             .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), order).alias("_r"))
-            .select(*[F.col("_r").getField(c).alias(c) for c in cols]))
+            .select(*[F.col(c) if c == key else F.col("_r").getField(c).alias(c) for c in cols]))
 
 
 def merge_upsert(existing: DataFrame, incoming: DataFrame, key: str = "id",

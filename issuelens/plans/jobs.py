@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from issuelens.config import EngineConfig
+from issuelens.functions.text import id_text
 from issuelens.operators import merge as M
 from issuelens.operators import runlog as L
 from issuelens.operators.anonymize import anonymize_issues, user_mapping, user_refs
 from issuelens.operators.collection import Collection
 from issuelens.operators.documents import embed_windows, prepare_chunks
 from issuelens.operators.embed import HashEmbedder, embed
-from issuelens.operators.tables import BucketTable
+from issuelens.operators.tables import CODEC, BucketTable, without
 from issuelens.plans import inputs as I
 from issuelens.schemas import ISSUE, ISSUE_FIELDS, JOURNAL, USER
 from issuelens.session import scratch_path
@@ -74,10 +75,10 @@ def ingest(spark: SparkSession, config: EngineConfig, incoming: DataFrame, embed
     run = uuid.uuid4().hex
     path = scratch_path(spark, f"incoming/{run}")
     observed, issues_seen = L.observe_issues(incoming.select(*ISSUE_FIELDS), f"issues-{run}")
-    observed.write.parquet(path)
+    observed.write.option("compression", CODEC).parquet(path)
     incoming = spark.read.schema(ISSUE).parquet(path)
     store = issue_store(spark, config)
-    store.upsert(incoming, lambda here, new: here.join(new.select("id"), "id", "left_anti").select(*ISSUE_FIELDS).union(new))
+    store.upsert(incoming, lambda here, new: without(here, new, "id").select(*ISSUE_FIELDS).union(new), incoming)
 
     master = store.read().withColumn("seq", F.col("id"))
     SI.write_user_mapping(user_mapping(master), f"{config.base_path.rstrip('/')}/restricted/{uuid.uuid4().hex}")
@@ -85,7 +86,9 @@ def ingest(spark: SparkSession, config: EngineConfig, incoming: DataFrame, embed
     collection = Collection(spark, config.collection_dir, "chunks").get_or_create()
     windows, windows_seen = L.observe_windows(
         embed(embed_windows(chunks, config.embed_max_chars), embedder, "window", None), f"windows-{run}")
-    collection.upsert(windows, prune_stale=True)
+    ids = incoming.select(id_text("id").alias("issue_id"))
+    once = ids.groupBy("issue_id").count().where("count > 1").isEmpty()
+    collection.upsert(windows, prune_stale=True, issues=ids if once else None)
 
     state = SS.load_sync_state(spark, config.state_dir, config.project_ids)
     synced = incoming.select(F.col("project_identifier").alias("project_id"))

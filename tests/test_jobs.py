@@ -94,3 +94,29 @@ def test_run_log_counts_in_the_writes_and_merges_users(spark, make_issues):
     exact = len({1000 * run + i for run in range(3) for i in range(1500)} | {500_000 + i for i in range(1500)} | {2})
     assert got.runs == 3 and abs(got.users - exact) < 3 * 1.04 / 2 ** (L.SKETCH_BITS / 2) * exact
     assert L.users_of_runs(log.limit(0)).first().users == 0
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_issues_of_distinct_ids_are_not_stored_beside_the_tables(spark, make_issues, monkeypatch, repeated):
+    from issuelens.operators.tables import BucketTable
+
+    beside, recover = [], BucketTable.recover
+
+    def watched(self):
+        if self._exists(f"{self.path}/incoming"):
+            beside.append(self.path)
+        recover(self)
+
+    monkeypatch.setattr(BucketTable, "recover", watched)
+    cfg = config(spark)
+    rows = [issue(i, "s", "2024-01-02T00:00:00Z", description="long " * 700, journals=[journal(1, "B", 2, "n")]) for i in range(1, 7)]
+    coll = J.ingest(spark, cfg, make_issues(rows + rows[:repeated]), EMBED, "2024-01-03T00:00:00Z")
+    J.ingest(spark, cfg, make_issues([issue(1, "new", "2024-01-04T00:00:00Z")]), EMBED, "2024-01-05T00:00:00Z")
+    assert bool(beside) == repeated
+    ids = [r.id for r in coll.read().collect()]
+    assert sorted(ids) == sorted(set(ids)) and len(ids) == 1 + 5 * 4
+    assert [r.subject for r in coll.read().where("issue_id = '1'").collect()] == ["new"]
+    log = {r.started_at: r for r in spark.read.parquet(J.run_log(cfg)).collect()}
+    first = log["2024-01-03T00:00:00Z"]
+    assert (first.issues, first.chunked_issues, first.chunks, first.windows) == (
+        6 + repeated, 6 + repeated, 12 + 2 * repeated, 24 + 4 * repeated)

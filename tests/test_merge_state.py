@@ -2,9 +2,11 @@ import uuid
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from issuelens.operators import merge as M
 from issuelens.operators.collection import COLLECTION_SCHEMA, Collection
+from issuelens.operators.tables import BucketTable, file_system, without
 from issuelens.session import scratch_path
 from tests.conftest import base_issue, journal
 
@@ -182,3 +184,59 @@ def test_upsert_prune_stale_chunks(spark):
     assert sorted(r.id for r in c.read().collect()) == ["issue_1", "issue_1_chunk_1", "issue_2"]
     c.upsert(chunks([("issue_1", "a3", "1")]), prune_stale=True)
     assert sorted((r.id, r.text) for r in c.read().collect()) == [("issue_1", "a3"), ("issue_2", "c")]
+
+
+def _files(spark, root):
+    fs, p = file_system(spark, root)
+    found, out = fs.listFiles(p, True) if fs.exists(p) else None, set()
+    while found is not None and found.hasNext():
+        name = found.next().getPath().getName()
+        if name.endswith(".parquet"):
+            out.add(name)
+    return out
+
+
+def _issue_table(spark):
+    return BucketTable(spark, scratch_path(spark, f"renamed/{uuid.uuid4().hex}"),
+                       T.StructType.fromDDL("id bigint, p string, v string"), "id", 4, ("p",))
+
+
+def _replace(here, new):
+    return without(here, new, "id").unionByName(new)
+
+
+def test_staged_partitions_are_renamed_not_copied(spark, monkeypatch):
+    t, staged = _issue_table(spark), set()
+    recover = BucketTable.recover
+    monkeypatch.setattr(BucketTable, "recover", lambda self: (staged.update(_files(spark, self.staged)), recover(self)))
+    for v, moved in (("a", 0), ("b", 1)):
+        staged.clear()
+        t.upsert(spark.createDataFrame([(i, "x: 1%" if (i + moved) % 3 else None, v) for i in range(40)], t.schema), _replace)
+        assert staged and staged <= _files(spark, t.rows)
+        got = {r.id: (r.p, r.v) for r in t.read().collect()}
+        assert got == {i: ("x: 1%" if (i + moved) % 3 else "", v) for i in range(40)} and t.read().count() == 40
+
+
+def test_a_replacement_lost_between_two_partitions_is_finished(spark, monkeypatch):
+    t = _issue_table(spark)
+    t.upsert(spark.createDataFrame([(i, f"p{i % 3}", "a") for i in range(60)], t.schema), _replace)
+    real = BucketTable._partitions
+
+    class Lost(dict):
+        def items(self):
+            yield from list(super().items())[:4]
+            raise InterruptedError
+
+    def partitions(self, root, bucket):
+        found = real(self, root, bucket)
+        return Lost(found) if root == self.staged and self._exists(f"{self.staged}/_swept") else found
+
+    monkeypatch.setattr(BucketTable, "_partitions", partitions)
+    moved = spark.createDataFrame([(i, f"p{(i + 1) % 2}", "b") for i in range(0, 60, 2)], t.schema)
+    with pytest.raises(InterruptedError):
+        t.upsert(moved, _replace)
+    monkeypatch.setattr(BucketTable, "_partitions", real)
+    t.recover()
+    assert {r.id: (r.p, r.v) for r in t.read().collect()} == {
+        i: (f"p{i % 3}", "a") if i % 2 else (f"p{(i + 1) % 2}", "b") for i in range(60)}
+    assert t.read().count() == 60
