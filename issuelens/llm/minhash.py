@@ -154,7 +154,8 @@ def _members(classes: DataFrame) -> DataFrame:
         tier(1, "large", F.lit(MIN_SHARED).cast("long")))
     posted = tiers.select("cls", "tier", "fewest", F.explode("sketch").alias("value"))
     often = posted.groupBy("tier", "value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = posted.join(often, ["tier", "value"]).groupBy("cls", "tier", "fewest").agg(
+    # dealt by class as plain rows: partial lists of mostly one value each would be larger, and the join below moves nothing again
+    shared = posted.join(often, ["tier", "value"]).repartition("cls", "tier").groupBy("cls", "tier", "fewest").agg(
         F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
     shared = shared.where(F.size("v") >= F.col("fewest")).select(
         "cls", "tier", F.size("v").alias("typical"),
@@ -213,7 +214,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     labelled = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     posts = labelled.select("cls", "tier", "root", F.explode("lists").alias("value"))
     split = posts.groupBy("tier", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_ = posts.join(split, ["tier", "value"]).groupBy("cls", "tier", "root").agg(F.collect_list("value").alias("open"))
+    open_ = (posts.join(split, ["tier", "value"]).repartition("cls", "tier")
+             .groupBy("cls", "tier", "root").agg(F.collect_list("value").alias("open")))
     open_ = members.join(open_, ["cls", "tier"]).select("cls", "tier", "n", "root", "sketch", "lists", F.explode("open").alias("value"))
     open_ = B.scratch_table(spark, open_, "open")
     x, y = open_.alias("x"), open_.alias("y")

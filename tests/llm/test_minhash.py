@@ -73,3 +73,17 @@ def test_long_chains_are_one_component(spark):
     got = dict(C.components(spark, spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 1 for i in range(2, 61)}, 101: 100, 102: 100}
     assert C.components(spark, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shared_values_move_once_as_plain_rows(spark):
+    import re
+
+    from issuelens.llm import minhash as H
+
+    # two classes of equal values but one, and a third that shares too few to take part
+    rows = [(1, 10, 8, list(range(8)), None), (2, 20, 8, list(range(7)) + [70], None), (3, 30, 8, [0, 1] + list(range(90, 96)), None)]
+    members = H._members(spark.createDataFrame(rows, "cls long, rep long, n long, small array<long>, large array<long>"))
+    got = {r.cls: (r.typical, sorted(r.lists)) for r in members.collect()}
+    assert got == {1: (7, [2, 3]), 2: (7, [2, 3])}
+    plan = members._jdf.queryExecution().toString()
+    assert not re.search(r"hashpartitioning\(cls#\d+L, tier#\d+, fewest#", plan)  # lists of partial aggregates do not move
