@@ -15,9 +15,11 @@ most of a document.
 Lists are resolved without all their pairs: each class is first compared with
 the most typical class of its lists (of most shared values), and linked ones
 take its label.  Then, in lists of several labels, classes of different label
-are compared, a pair only in the first list it has in common.  A pair is held
-to the estimate by the sketch of its union (whole sets: to the similarity
-itself), and what passes to the full sets.
+meet.  Lists hold no sets and are not joined to pairs: classes are dealt to
+tiles of two blocks, and a class sends its set once to each tile where it may
+meet another, not once to each pair.  There a pair is held, once, to the
+estimate by the sketch of its union (whole sets: to the similarity itself),
+and what passes to the full sets.
 
 Cases: null or empty texts have n_shingles 0 and are their own component;
 with fewer than ``size`` words the whole sequence is the one shingle; rows of
@@ -46,6 +48,8 @@ MIN_SHARED = 24
 SMALL = 192
 #: A set that can link to one above SMALL is above this.
 LARGE = SMALL * PERCENT // 100
+#: Values of a block of classes, about; a tile holds the sets of two blocks.
+TILE_VALUES = 1 << 19
 #: Flipping it makes the order of signed numbers that of the hashes.
 _SIGN = np.uint64(1 << 63)
 _ODD = np.uint64(0xA24BAED4963EE407)
@@ -104,76 +108,180 @@ def _sketch(batches):
 
 
 def _sets(batches):
-    """Whole sets of documents above LARGE, by class."""
+    """Whole sets of documents, by class."""
     for batch in batches:
         for lo, hi, data, off in K.text_slices(batch.column(0)):
             h, first = shingle_sets(K.words(data, off, lower=True))
             n = np.diff(first)
             print_of = _class_of(h, first)
-            keep = n > LARGE
+            keep = n > 0
             lists = _lists(h, first, np.where(keep, n, 0))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(print_of[keep].view(np.int64)), lists.filter(pa.array(keep))], names=["cls", "whole"])
     K.give_back()
 
 
-def _enough(inter: Column, n_a: Column, n_b: Column) -> Column:
+def _enough(inter: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return 100 * inter >= PERCENT * (n_a + n_b - inter)
 
 
-def _overlap(a: str, b: str) -> Column:
-    """Whether two classes may be as similar as a link: whole sets exactly, others by the sketch of their union.
+def _estimate(of_a: np.ndarray, of_b: np.ndarray) -> np.ndarray:
+    """Whether sketches (rows of ``of_b``) may link to the sketch ``of_a``, all ascending.
 
     The K_LARGE smallest values of both sketches are the sketch of the union;
     those of them that both sets have estimate the similarity.
     """
-    both = F.array_intersect(f"{a}.sketch", f"{b}.sketch")
-    union = F.slice(F.sort_array(F.array_union(f"{a}.sketch", f"{b}.sketch")), 1, K_LARGE)
-    estimate = (F.size(both) >= MIN_SHARED) & (F.size(F.array_intersect(union, both)) >= MIN_SHARED)
-    return F.when(F.col(f"{a}.tier") == 0, _enough(F.size(both), F.col(f"{a}.n"), F.col(f"{b}.n"))).otherwise(estimate)
+    rank = np.searchsorted(of_a, of_b)
+    both = of_a[np.minimum(rank, len(of_a) - 1)] == of_b
+    in_union = np.arange(of_b.shape[1]) + rank - (np.cumsum(both, axis=1) - both)
+    return (both & (in_union < K_LARGE)).sum(axis=1) >= MIN_SHARED
+
+
+class _Sets:
+    """Whole sets of a tile's classes, ascending ranks in place of hashes."""
+
+    def __init__(self, whole: pa.ListArray):
+        self.values = np.unique(whole.flatten().to_numpy(), return_inverse=True)[1].astype(np.int32)
+        self.n = np.asarray(whole.value_lengths(), np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        self.has = np.zeros(len(self.values), bool)
+
+    def linked(self, one: int, others: np.ndarray, tier: np.ndarray) -> np.ndarray:
+        """Whether ``one`` is linked with each of ``others``: in tier 1 the sketches have to agree first."""
+        own = self.values[self.start[one]:self.start[one] + self.n[one]]
+        good = np.ones(len(others), bool)
+        if (by_sketch := tier == 1).any():
+            good[by_sketch] = _estimate(own[:K_LARGE], self.values[self.start[others[by_sketch]][:, None] + np.arange(K_LARGE)])
+        others = others[good]
+        if len(others):
+            size = self.n[others]
+            ends = np.cumsum(size)
+            self.has[own] = True
+            inside = self.has[self.values[np.arange(ends[-1]) + np.repeat(self.start[others] - ends + size, size)]]
+            self.has[own] = False
+            good[good] = _enough(np.add.reduceat(inside, ends - size, dtype=np.int64), self.n[one], size)
+        return good
+
+
+def _verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The links ``(a, b)`` among a tile's pairs ``(a, b, tier)``, by its sets ``(cls, whole)``."""
+    cls, at = np.unique(sets.column("cls").to_numpy(), return_index=True)
+    of = _Sets(sets.column("whole").combine_chunks().take(pa.array(at)))
+    a, b, tier = (pairs.column(c).to_numpy() for c in ("a", "b", "tier"))
+    order = np.argsort(a, kind="stable")
+    a, b, tier = np.searchsorted(cls, a[order]), np.searchsorted(cls, b[order]), tier[order]
+    good = np.zeros(len(a), bool)
+    cuts = np.concatenate([np.flatnonzero(np.diff(a, prepend=-1)), [len(a)]])
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        good[lo:hi] = of.linked(a[lo], b[lo:hi], tier[lo:hi])
+    K.give_back()
+    return pa.table({"a": cls[a[good]], "b": cls[b[good]]})
+
 
+def _meet(rows: pa.Table) -> pa.Table:
+    """The links ``(a, b)`` between the two blocks of a tile, or within its one: classes of a common list and different roots.
 
-def _may_link(a: str, b: str) -> Column:
+    A row is a class in a tier; each pair is settled once, however many lists it has in common.
+    """
+    cls, tier, root, block = (rows.column(c).to_numpy() for c in ("cls", "tier", "root", "block"))
+    of = _Sets(rows.column("whole").combine_chunks())
+    open_ = rows.column("open").combine_chunks()
+    length = np.asarray(open_.value_lengths(), np.int64)
+    row = np.repeat(np.arange(len(cls)), length)
+    value = np.unique(open_.flatten().to_numpy(), return_inverse=True)[1]
+    order = np.argsort(value, kind="stable")
+    listed = row[order]                                        # list by list, rows ascending
+    ends = np.cumsum(np.bincount(value))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    first = np.cumsum(length) - length
+    two = block.min() != block.max() if len(block) else False
+    found = np.zeros(len(cls), bool)
+    out_a, out_b = [cls[:0]], [cls[:0]]
+    for i in range(len(cls)):
+        mine = slice(first[i], first[i] + length[i])
+        for lo, hi in zip(place[mine] + 1, ends[value[mine]]):  # what comes after this row in each of its lists
+            found[listed[lo:hi]] = True
+        other = i + 1 + np.flatnonzero(found[i + 1:])
+        found[other] = False
+        big, small = np.maximum(of.n[i], of.n[other]), np.minimum(of.n[i], of.n[other])
+        fit = (tier[other] == tier[i]) & (root[other] != root[i]) & (cls[other] != cls[i]) & (100 * small >= PERCENT * big)
+        fit &= ((block[other] != block[i]) | (not two)) & ((tier[i] == 0) | (big > SMALL))
+        other = other[fit]
+        if len(other):
+            other = other[of.linked(i, other, tier[other])]
+            out_a.append(np.full(len(other), cls[i]))
+            out_b.append(cls[other])
+    K.give_back()
+    return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+
+
+def _sizes_allow(n_a: Column, n_b: Column) -> Column:
     """Two classes of a tier whose sizes allow a link; sketches are for pairs that the whole sets do not settle."""
-    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & (
-        (F.col(f"{a}.tier") == 0) | (F.greatest(n_a, n_b) > SMALL))
+        (F.col("tier") == 0) | (F.greatest(n_a, n_b) > SMALL))
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """``(cls, tier, rep, n, sketch, typical, lists)`` of the classes that take part in inverted lists.
+    """``(cls, tier, n, typical, lists)`` of the classes that take part in inverted lists.
 
     ``lists`` are the values whose lists a class is in, the rarest of its
     shared ones; ``typical`` counts all of its values that others have.
     """
-    def tier(number: int, column: str, fewest: Column) -> DataFrame:
+    def tier(number: int, column: str) -> DataFrame:
         return classes.where(F.col(column).isNotNull()).select(
-            "cls", F.lit(number).alias("tier"), "rep", "n", F.col(column).alias("sketch"), fewest.alias("fewest"))
+            "cls", F.lit(number).alias("tier"), "n", F.explode(column).alias("value"))
 
-    tiers = tier(0, "small", F.ceil(F.col("n") * PERCENT / 100)).union(
-        tier(1, "large", F.lit(MIN_SHARED).cast("long")))
-    posted = tiers.select("cls", "tier", "fewest", F.explode("sketch").alias("value"))
+    posted = tier(0, "small").union(tier(1, "large"))
+    fewest = F.when(F.col("tier") == 0, F.ceil(F.col("n") * PERCENT / 100)).otherwise(MIN_SHARED)
     often = posted.groupBy("tier", "value").agg(F.count("*").alias("df")).where("df > 1")
     # dealt by class as plain rows: partial lists of mostly one value each would be larger, and the join below moves nothing again
-    shared = posted.join(often, ["tier", "value"]).repartition("cls", "tier").groupBy("cls", "tier", "fewest").agg(
+    shared = posted.join(often, ["tier", "value"]).repartition("cls", "tier").groupBy("cls", "tier", "n").agg(
         F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))
-    shared = shared.where(F.size("v") >= F.col("fewest")).select(
-        "cls", "tier", F.size("v").alias("typical"),
-        F.slice("v.value", F.lit(1), (F.size("v") - F.col("fewest") + 1).cast("int")).alias("lists"))
-    return tiers.drop("fewest").join(shared, ["cls", "tier"])
+    return shared.where(F.size("v") >= fewest).select(
+        "cls", "tier", "n", F.size("v").alias("typical"),
+        F.slice("v.value", F.lit(1), (F.size("v") - fewest + 1).cast("int")).alias("lists"))
+
+
+def _one_each(sketches: DataFrame, first: DataFrame) -> DataFrame:
+    """``(cls, n, small, large)`` of the documents that stand for their classes: those of smallest key.
+
+    Only classes of several documents, by their count few, need a look-up; the sketches need not move for it.
+    """
+    several = first.where("copies > 1").select("cls", F.col("rep").alias("least"))
+    few = several.count() <= B.BROADCAST_IDS
+    found = sketches.where("cls is not null").join(F.broadcast(several) if few else several, "cls", "left")
+    return found.where("least is null or key = least").select("cls", F.col("n_shingles").alias("n"), "small", "large")
+
+
+def _part(key: Column, values: Column) -> Column:
+    """One of the parts, of about TILE_VALUES each, that so many values make."""
+    return F.pmod(F.xxhash64(key), F.greatest(F.lit(1), F.ceil(values / TILE_VALUES)))
 
 
 def _links(spark: SparkSession, pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Of pairs (a, b, n_a, n_b, tier) those that are links: tier 0 is settled, others by their full sets."""
-    open_ = (pairs.where("tier = 1").join(whole.select(F.col("cls").alias("a"), F.col("whole").alias("w_a")), "a")
-             .join(whole.select(F.col("cls").alias("b"), F.col("whole").alias("w_b")), "b"))
-    open_ = open_.where(_enough(F.size(F.array_intersect("w_a", "w_b")), F.col("n_a"), F.col("n_b")))
-    return B.scratch_table(spark, pairs.where("tier = 0").select("a", "b").union(open_.select("a", "b")), "links")
+    """Of pairs (a, b, tier, tile) those that are links, settled tile by tile on the sets of its classes."""
+    sent = pairs.select(F.col("tile").alias("to"), F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sent = sent.join(whole, "cls").select("to", "cls", "whole")
+    links = pairs.groupBy("tile").cogroup(sent.groupBy("to")).applyInArrow(
+        lambda left, right: _verify(left, right), "a long, b long")
+    return B.scratch_table(spark, links, "links")
+
 
+def _met(spark: SparkSession, open_: DataFrame, whole: DataFrame) -> DataFrame:
+    """The links between classes (cls, tier, n, root, block, open) of common lists.
 
-def _pair(x: str, y: str) -> list[Column]:
-    return [F.col(f"{x}.cls").alias("a"), F.col(f"{y}.cls").alias("b"), F.col(f"{x}.n").alias("n_a"),
-            F.col(f"{y}.n").alias("n_b"), F.col(f"{x}.tier").alias("tier")]
+    A class goes to the tile of its block and another if one of its lists has a class there that may be news.
+    """
+    posts = open_.select("cls", "tier", "n", "root", "block", F.explode("open").alias("value"))
+    there = posts.groupBy("tier", "value", F.col("block").alias("to")).agg(
+        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    news = ((F.col("lo") != F.col("root")) | (F.col("hi") != F.col("root"))) & (
+        100 * F.col("n_hi") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("n_lo"))
+    tile = F.xxhash64(F.least("block", "to"), F.greatest("block", "to"))
+    sent = posts.join(there, ["tier", "value"]).where(news).select("cls", "tier", tile.alias("tile")).distinct()
+    rows = open_.drop("n").join(whole, "cls").join(sent, ["cls", "tier"])
+    return B.scratch_table(spark, rows.groupBy("tile").applyInArrow(_meet, "a long, b long"), "links")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,26 +292,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     text: with the id it tells rows apart where ids are null or repeat.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
-    sketches = B.scratch_table(spark, texts.mapInArrow(_sketch, _SKETCH), "sketches")
     key = F.coalesce("id", F.lit((1 << 63) - 1))
-    first = sketches.where("cls is not null").groupBy("cls").agg(F.min(key).alias("rep"))
-    classes = (sketches.withColumn("rep", key).join(first, ["cls", "rep"])
-               .select("cls", "rep", F.col("n_shingles").alias("n"), "small", "large"))
-    members = B.scratch_table(spark, _members(classes), "members")
-    large = members.where("tier = 1").select(F.col("rep").alias("id"))
+    sketches = B.scratch_table(spark, texts.mapInArrow(_sketch, _SKETCH).withColumn("key", key), "sketches")
+    rows = B.scratch_table(spark, sketches.select("id", "key", "print", "n_shingles", "cls"), "rows")
+    first = rows.where("cls is not null").groupBy("cls").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
+    members = B.scratch_table(spark, _members(_one_each(sketches, first)), "members")
+    B.forget(spark, sketches)
+    ids = members.select("cls").distinct().join(first, "cls").select(F.col("rep").alias("id"))
     whole = B.scratch_table(
-        spark, B.join_ids(texts.withColumn("id", key), large, "id", "left_semi").select("text")
+        spark, B.join_ids(texts.withColumn("id", key), ids, "id", "left_semi").select("text")
         .mapInArrow(_sets, "cls long, whole array<long>"), "sets")
+    all_values = F.lit(members.agg(F.sum("n")).first()[0] or 0)
 
     # each class with the most typical one of its lists: in a group of copies mostly what they are copies of
     posts = members.select("cls", "tier", F.struct("typical", "n", "cls").alias("as"), F.explode("lists").alias("value"))
     hubs = posts.groupBy("tier", "value").agg(F.max("as").alias("hub"), F.min("as").alias("least")).where("least < hub")
-    best = posts.join(hubs, ["tier", "value"]).groupBy("cls", "tier").agg(F.max("hub").alias("hub"))
-    x, y = members.join(best, ["cls", "tier"]).alias("x"), members.alias("y")
-    pairs = x.join(y, (F.col("x.hub.cls") == F.col("y.cls")) & (F.col("x.tier") == F.col("y.tier"))
-                   & (F.col("x.cls") != F.col("y.cls")) & _may_link("x", "y") & _overlap("x", "y")).select(*_pair("x", "y"))
+    best = posts.join(hubs, ["tier", "value"]).groupBy("cls", "tier", F.col("as.n").alias("n")).agg(F.max("hub").alias("hub"))
+    pairs = best.where((F.col("cls") != F.col("hub.cls")) & _sizes_allow(F.col("n"), F.col("hub.n"))).select(
+        F.col("cls").alias("a"), F.col("hub.cls").alias("b"), "tier", "n")
     pairs = B.scratch_table(spark, pairs, "pairs")
-    to_hubs = _links(spark, pairs, whole)
+    of_hub = pairs.groupBy("b").agg(F.sum("n").alias("values"))
+    to_hubs = _links(spark, pairs.join(of_hub, "b").select("a", "b", "tier", F.xxhash64(
+        _part(F.col("b"), all_values), _part(F.col("a"), F.col("values"))).alias("tile")), whole)
     B.forget(spark, pairs)
     up = to_hubs.groupBy("a").agg(F.max("b").alias("b"))
     up = B.scratch_table(spark, up, "up")
@@ -212,26 +322,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     # classes of lists that are not yet one: each pair in its first common list, and only if it may be news
     labelled = members.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    posts = labelled.select("cls", "tier", "root", F.explode("lists").alias("value"))
-    split = posts.groupBy("tier", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_ = (posts.join(split, ["tier", "value"]).repartition("cls", "tier")
-             .groupBy("cls", "tier", "root").agg(F.collect_list("value").alias("open")))
-    open_ = members.join(open_, ["cls", "tier"]).select("cls", "tier", "n", "root", "sketch", "lists", F.explode("open").alias("value"))
-    open_ = B.scratch_table(spark, open_, "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    pairs = x.join(y, (F.col("x.tier") == F.col("y.tier")) & (F.col("x.value") == F.col("y.value"))
-                   & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y")
-                   & (F.array_min(F.array_intersect("x.lists", "y.lists")) == F.col("x.value")) & _overlap("x", "y"))
-    pairs = B.scratch_table(spark, pairs.select(*_pair("x", "y")), "pairs")
-    B.forget(spark, members, open_, up)
-    others = _links(spark, pairs, whole)
-    B.forget(spark, pairs, whole)
+    posts = labelled.select("cls", "tier", "n", "root", F.explode("lists").alias("value"))
+    split = posts.groupBy("tier", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("n").alias("values"))
+    split = split.where("lo < hi").select("tier", "value", "values")
+    open_ = (posts.join(split, ["tier", "value"]).repartition("cls", "tier").groupBy("cls", "tier", "n", "root")
+             .agg(F.sort_array(F.collect_list("value")).alias("open"), F.max(F.struct("values", "value")).alias("home")))
+    # classes of one large list are of one block, or of the parts of it, so that what a class meets is in few tiles
+    block = F.xxhash64(_part(F.col("home.value"), all_values), _part(F.col("cls"), F.col("home.values")))
+    open_ = B.scratch_table(spark, open_.select("cls", "tier", "n", "root", block.alias("block"), "open"), "open")
+    others = _met(spark, open_, whole)
+    B.forget(spark, members, open_, up, whole)
     root = components(spark, to_hubs.union(others))
 
     grouped = first.join(root.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = grouped.join(least, "root").select("cls", "component_id", "root")
-    out = sketches.select("id", "print", "n_shingles", "cls").join(of_class, "cls", "left")
+    out = rows.select("id", "print", "n_shingles", "cls").join(of_class, "cls", "left")
     found = F.when(F.col("cls").isNull(), F.col("id")).otherwise(
         F.nullif(F.col("component_id"), F.lit((1 << 63) - 1)))
     return out.select(F.col("id").alias(id_col), "n_shingles", found.alias("component_id"),

@@ -87,3 +87,14 @@ def test_shared_values_move_once_as_plain_rows(spark):
     assert got == {1: (7, [2, 3]), 2: (7, [2, 3])}
     plan = members._jdf.queryExecution().toString()
     assert not re.search(r"hashpartitioning\(cls#\d+L, tier#\d+, fewest#", plan)  # lists of partial aggregates do not move
+
+
+def test_sets_move_by_tile_not_by_list_or_pair(spark, monkeypatch):
+    made, table = [], M.B.scratch_table
+    monkeypatch.setattr(M.B, "scratch_table", lambda s, df, name: made.append((name, t := table(s, df, name))) or t)
+    monkeypatch.setattr(M.B, "forget", lambda s, *tables: None)
+    monkeypatch.setattr(M, "TILE_VALUES", 500)  # many blocks
+    check(spark, variants(40, 100, 9, 5) + variants(30, 300, 40, 6))
+    (open_,) = (t for name, t in made if name == "open")
+    assert "sketch" not in open_.columns
+    assert open_.count() == open_.select("cls", "tier").distinct().count() > 0  # a row of each class, not of each list
