@@ -18,6 +18,10 @@ A word's form is its near word of largest count (ties: first in code-point
 order) if that is RATIO times its own or more.  Counts grow along forms, so
 the chains end; roots are found by doubling the steps.
 
+Joins are merges by a hint: the groups are an explode of the words and the scratch
+tables compressed, so Spark takes tables that grow with the corpus for small
+enough to collect them on the driver and broadcast them.
+
 Cases: null and empty texts have no words, a null id is the word null in the
 typing-error rule; repeated rows count as often as they occur; empty tables give
 no rows; columns other than id and text are not looked at.  In ``variants``,
@@ -97,7 +101,7 @@ def tiles(spark: SparkSession, words: DataFrame) -> DataFrame:
     sizes = (joined.groupBy("g").agg(F.count("*").alias("size"), F.count_if(short).alias("short"))
              .where("short > 0 and size > 1").select("g", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")))
     block = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int").alias("block")
-    made = (joined.join(sizes, "g").groupBy("g", "blocks", block)
+    made = (joined.join(sizes.hint("merge"), "g").groupBy("g", "blocks", block)
             .agg(F.first("m").alias("m"), F.first("piece").alias("piece"), F.collect_list("word").alias("word"),
                  F.collect_list("n").alias("n")))
     made = B.scratch_table(spark, made, "variant-blocks")
@@ -228,7 +232,7 @@ def roots(spark: SparkSession, forms: DataFrame) -> DataFrame:
     now = B.scratch_table(spark, forms.select("word", F.col("form").alias("root")), "variant-roots")
     while True:
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        step = now.join(ahead, "root", "left")
+        step = now.join(ahead.hint("merge"), "root", "left")
         step = B.scratch_table(spark, step.select("word", F.coalesce("next", "root").alias("root"),
                                                   F.col("next").isNotNull().alias("moved")), "variant-roots")
         now = step.select("word", "root")
@@ -252,8 +256,8 @@ def variants(spark: SparkSession, words: DataFrame, ratio: float = RATIO) -> Dat
                      F.when(has_form, -F.col("_b.n")).alias("form_n"))
     one = B.scratch_table(spark, one, "variant-forms")
     last = roots(spark, one.where("form is not null"))
-    return one.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near",
-                                                 "form_n")
+    return (one.join(last.hint("merge"), "word", "left")
+            .select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

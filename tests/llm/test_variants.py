@@ -109,6 +109,27 @@ def test_chains_lead_to_their_root(spark):
     assert {r.word: r.form for r in rows} == dict(zip(chain, chain[1:] + [None]))
 
 
+def test_no_join_collects_a_table_on_the_driver(spark, monkeypatch):
+    # tables this small are broadcast wherever the plan leaves that to Spark
+    plans, write = {}, V.B.scratch_table
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(spark, df, name):
+        plans.setdefault(name, []).append(plan(df))
+        return write(spark, df, name)
+
+    monkeypatch.setattr(V.B, "scratch_table", seen)
+    words = invented(3, 200)
+    df = V.variants(spark, spark.createDataFrame(list(words.items()), "word string, n long"))
+    assert got(df) == sorted(grouped(words), key=lambda r: r[0])
+    plans["result"] = [plan(df)]
+    assert not [name for name, found in plans.items() for p in found if "Broadcast" in p]
+    assert {name for name, found in plans.items() if any("SortMergeJoin" in p for p in found)} == {
+        "variant-blocks", "variant-roots", "result"}
+
+
 def test_odd_rows(spark, odd, none):
     rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
     named = odd.selectExpr("*", "'mine' AS word", "'mine' AS n", "'mine' AS g", "'mine' AS run")
